@@ -72,23 +72,28 @@ class Model:
         counts: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *GRAMS)}
         for lang, unit, n, c in rows:
             counts[n].setdefault(unit, np.zeros(len(langs)))[at[lang]] += c
-        self.tables: dict[int, dict[str, np.ndarray]] = {}
+        #: Row of each unit in ``scores``, by its length (0: words).
+        self.rows: dict[int, dict[str, int]] = {}
+        scores = [np.zeros((0, len(langs)))]
         for n, table in counts.items():
+            first = sum(map(len, scores))
+            self.rows[n] = {u: first + i for i, u in enumerate(table)}
             if table:
-                total = np.sum(list(table.values()), axis=0)
-                self.tables[n] = {u: np.log((v + 0.5) / (total + 0.5 * (len(table) + 1))).astype(np.float32) for u, v in table.items()}
+                values = np.array(list(table.values()))
+                scores.append(np.log((values + 0.5) / (values.sum(axis=0) + 0.5 * (len(table) + 1))))
+        self.scores = np.concatenate(scores).astype(np.float32)
 
-    def word(self, raw: str) -> np.ndarray:
-        zero = np.zeros(len(self.langs), np.float32)
+    def word(self, raw: str) -> np.ndarray | None:
+        """Scores of one word; None if it has no letter or nothing of it is known."""
         if not (word := plain(raw)):
-            return zero
-        if (known := self.tables.get(0, {}).get(word)) is not None:
-            return known
+            return None
+        if (known := self.rows[0].get(word)) is not None:
+            return self.scores[known]
         for n in GRAMS:
-            table = self.tables.get(n, {})
-            if found := [table[g] for g in grams(word, n) if g in table]:
-                return np.mean(found, axis=0).astype(np.float32)
-        return zero
+            row = self.rows[n].get
+            if found := [r for g in grams(word, n) if (r := row(g)) is not None]:
+                return np.add.reduce(self.scores[found], axis=0) / len(found)
+        return None
 
 
 def train(docs: DataFrame, max_train_docs: int = 20_000, max_words: int = 60_000, max_grams: int = 60_000) -> Model:
@@ -120,24 +125,24 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        cells: list[np.ndarray] = []
+        matrix = np.zeros((1 << 16, len(model.langs)), np.float32)  # row 0: words that say nothing
 
         def number(word: str) -> int:
-            cells.append(model.word(word))
-            return len(cells) - 1
+            nonlocal matrix
+            if (scores := model.word(word)) is None:
+                return 0
+            if (row := len(cache) + 1) >= len(matrix):
+                matrix = np.concatenate([matrix, np.zeros_like(matrix)])
+            matrix[row] = scores
+            return row
 
         cache = Memo(number)
-        matrix = np.zeros((0, len(model.langs)), np.float32)
         for batch in batches:
             langs, scores = [], []
             for text in batch.column(1).to_pylist():
-                if cache.trim():
-                    cells.clear()
-                    matrix = matrix[:0]
+                cache.trim()
                 tokens = text.split() if text else []
                 ids = np.fromiter(map(cache.__getitem__, tokens), np.int64, len(tokens))
-                if len(cells) > len(matrix):
-                    matrix = np.concatenate([matrix, np.array(cells[len(matrix) :], np.float32).reshape(-1, len(model.langs))])
                 if not model.langs or not any(map(str.isalpha, text or "")):
                     langs.append(UNKNOWN)
                     scores.append(0.0)

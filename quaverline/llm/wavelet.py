@@ -8,6 +8,7 @@ count. The file supports access, counting and the k-th occurrence of an id witho
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, shared_dir, shuffle_partitions, texts
+from .common import shared_dir, shuffle_partitions, texts
 
 MAGIC = b"QWM1"
 BLOCK = 512
@@ -145,43 +146,78 @@ class WaveletMatrix:
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
     found = Tokenizer.from_file(path)
     found.encode_special_tokens = True
     return found
 
 
-#: A chunk is a space or line end, if any, and what follows up to the next one. Where such characters stand alone, the
-#: split of the byte-level tokenizer never crosses a chunk's start, so chunks can be encoded one by one and remembered.
-_CHUNK = re.compile(r"[ \n]?[^ \n]+")
-_ODD = re.compile(r"[ \n][ \n]|[ \n]\Z|[\t\v\f\r\x00-\x08\x0e-\x1f\x7f-\xa0]|[^\x00-\xff]")
-_CHUNKS: dict[str, Memo] = {}
+_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The byte-level tokenizer's split of texts within Latin-1.
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\\s{_LETTER}{_NUMBER}]+|\\s+(?!\\S)|\\s+")
+_SPACED_WORD = re.compile(f" [{_LETTER}]+")
+#: Characters that libraries may or may not take for white space.
+_DOUBTFUL = b"\x1c\x1d\x1e\x1f\x85\xa0"
+#: Pieces that one worker process remembers.
+MEMO_PIECES = 1_200_000
+_MEMO: dict[str, dict[str, bytes]] = {}
+
+
+@lru_cache(maxsize=2)
+def _token_bytes(path: str) -> np.ndarray:
+    """Bytes of each id; a byte-level token has one character for each byte."""
+    vocab = tokenizer(path).get_vocab(with_added_tokens=False)
+    sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, i in vocab.items():
+        sizes[i] = len(token)
+    return sizes
+
+
+def _simple(text: str) -> bool:
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return len(raw.translate(None, _DOUBTFUL)) == len(raw)
+
+
+def _learn(new: list[str], memo: dict[str, bytes], path: str) -> None:
+    """Encodes new pieces. Words with a space before them are encoded as one text, which the tokenizer parts just there;
+    the ids are dealt back by the bytes that they stand for."""
+    tok = tokenizer(path)
+    spaced = [p for p in new if _SPACED_WORD.fullmatch(p)]
+    for at in range(0, len(spaced), 2000):
+        part = spaced[at : at + 2000]
+        ids = np.array(tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum([len(p.encode()) for p in part])
+        cuts = np.searchsorted(np.cumsum(_token_bytes(path)[ids]), ends) + 1
+        raw, start = ids.tobytes(), 0
+        for piece, cut in zip(part, (4 * cuts).tolist()):
+            memo[piece] = raw[start:cut]
+            start = cut
+    other = [p for p in new if not _SPACED_WORD.fullmatch(p)]
+    for piece, e in zip(other, tok.encode_batch_fast(other, add_special_tokens=False) if other else ()):
+        memo[piece] = np.array(e.ids, np.uint32).tobytes()
 
 
 def encode_all(docs: list[str], path: str) -> list[np.ndarray]:
     """Ids of whole texts as the tokenizers library gives them, special tokens taken as text.
 
-    Most words recur: chunks of a text are looked up, and the library encodes those that are new. A text with other
-    white space, double spaces or characters past Latin-1 goes to the library whole.
+    The pieces of its split don't influence each other and most recur, so each is encoded once and looked up from then on.
+    A text with characters past Latin-1 goes to the library whole.
     """
-    tok = tokenizer(path)
-    memo = _CHUNKS.setdefault(path, Memo(lambda piece: None))
-    memo.trim()
-    out = []
-    for text in docs:
-        if _ODD.search(text):
-            out.append(np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
-            continue
-        pieces = _CHUNK.findall(text)
-        new = [p for p in dict.fromkeys(pieces) if p not in memo]
-        for piece, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False) if new else ()):
-            memo[piece] = np.array(e.ids, np.uint32).tobytes()
-        out.append(np.frombuffer(b"".join(map(memo.__getitem__, pieces)), np.uint32))
-    return out
+    memo = _MEMO.setdefault(path, {})
+    if len(memo) > MEMO_PIECES:
+        memo.clear()
+    parted = [_PIECE.findall(t) if _simple(t) else None for t in docs]
+    _learn(list(set().union(*(p for p in parted if p)).difference(memo)), memo, path)
+    whole = iter(tokenizer(path).encode_batch_fast([t for t, p in zip(docs, parted) if p is None], add_special_tokens=False))
+    return [np.array(next(whole).ids, np.uint32) if p is None else np.frombuffer(b"".join(map(memo.__getitem__, p)), np.uint32) for p in parted]
 
 
 def _write(path: str, raw: bytes) -> None:
     """Whole or not at all: a retried task writes the same bytes under the same name."""
-    import os
     import uuid
 
     from pyarrow import fs

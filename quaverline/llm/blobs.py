@@ -31,7 +31,7 @@ def buckets(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)
 
 
-def pack(hashes: np.ndarray, owners: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, bytes, bytes, bytes]]:
+def pack(hashes: np.ndarray, owners: np.ndarray, n: int, width: int = WIDTH) -> Iterator[tuple[int, np.ndarray, bytes, bytes, bytes]]:
     """For ascending ``hashes``: bucket, order of its entries, hashes, owners and how many hashes each owner has."""
     edges = np.searchsorted(buckets(hashes, n), np.arange(n + 1, dtype=np.uint64))
     for b in range(n):
@@ -39,14 +39,14 @@ def pack(hashes: np.ndarray, owners: np.ndarray, n: int) -> Iterator[tuple[int,
         if lo < hi:
             to = lo + np.argsort(owners[lo:hi], kind="stable")
             ids, sizes = np.unique(owners[lo:hi], return_counts=True)
-            yield b, to, binary(hashes[to].view(np.uint8).reshape(-1, 8)[:, :WIDTH]), binary(ids), binary(sizes.astype(np.uint32))
+            yield b, to, binary(hashes[to].view(np.uint8).reshape(-1, 8)[:, :width]), binary(ids), binary(sizes.astype(np.uint32))
 
 
-def unpack(hashes: list[bytes], owners: list[bytes], sizes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def unpack(hashes: list[bytes], owners: list[bytes], sizes: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (without their high byte) and owners in the order sent."""
-    low = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, WIDTH)
+    low = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, width)
     h = np.zeros((len(low), 8), np.uint8)
-    h[:, :WIDTH] = low
+    h[:, :width] = low
     ids = np.repeat(np.frombuffer(b"".join(owners), np.int64), np.frombuffer(b"".join(sizes), np.uint32))
     return h.view(np.uint64).ravel(), ids
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, langid, substring, warc, wavelet
+from . import bpe, classlm, jaccard, langid, substring, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.class_scores(_table(spark, sf_dir, "documents"), held_out_remainder=1, modulus=5)
+
+
 def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_warc": op3_warc,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_class_lm": op5_class_lm,
     "op7_wavelet_tokens": op7_wavelet_tokens,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_language_id": op10_language_id,

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, shuffle_partitions, texts, words
+from .common import binary, shuffle_partitions, stored, texts, words
 
 #: Windows that a map task folds at a time.
 BATCH_WINDOWS = 1_000_000
@@ -255,7 +255,7 @@ def repeated_spans(rows: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, found): for each text, by its ``sig``, the word positions at which a window ends that a smaller document holds."""
     spark = rows.sparkSession
     n = 4 * shuffle_partitions(spark)
-    pairs = homes(rows.select("doc_id", "text"), min_words).withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(n)).cast("int"))
+    pairs = stored(homes(rows.select("doc_id", "text"), min_words), "homes").withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(n)).cast("int"))
     streamed = pairs.select("shard", "doc_id").distinct()
     salts = streamed.groupBy("shard").agg(F.ceil(F.count("*") / GROUP_DOCS).cast("int").alias("salts"))
     stream = streamed.join(salts, "shard").select("doc_id", "shard", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("reference"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classlm, jaccard, langid, substring, warc, wavelet
+from . import bpe, classlm, decontam, jaccard, langid, substring, topk, toxicity, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(_table(spark, sf_dir, "documents"), min_words=13)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"), min_revisit_bytes=1000)
 
@@ -30,6 +34,10 @@ def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classlm.class_scores(_table(spark, sf_dir, "documents"), held_out_remainder=1, modulus=5)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out_remainder=0, modulus=5)
+
+
 def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
@@ -38,17 +46,24 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), width=5, percent=75)
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), k=10, query_modulus=100, scale=1024.0)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_table(spark, sf_dir, "documents"), held_out_remainder=2, modulus=4)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_warc": op3_warc,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_class_lm": op5_class_lm,
+    "op6_toxicity": op6_toxicity,
     "op7_wavelet_tokens": op7_wavelet_tokens,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_topk": op9_topk,
     "op10_language_id": op10_language_id,
 }
 
@@ -61,4 +76,15 @@ ORACLE: dict[str, str] = {
                CASE WHEN d.page_id < o.original THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN d.page_id < o.original THEN o.original END AS refers_to
         FROM d LEFT JOIN o USING (payload_digest, payload_bytes)""",
+    "op9_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+        ),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 10""",
 }

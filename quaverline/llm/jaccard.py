@@ -390,3 +390,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, sample_d
     known = sets.join(joined, sets.sid == joined.node, "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
     named = known.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return known.join(named, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of their component, with all their columns.
+
+    Rows without a doc_id stay, as nothing can name them. Rows that share a doc_id stay or go together.
+    """
+    found = near_duplicates(docs, **how)
+    gone = found.filter("doc_id is not null and component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

@@ -96,6 +96,33 @@ class Model:
         return None
 
 
+class Scorer:
+    """(language, probability) of whole texts. Scores of words are remembered by row of one growing matrix."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.matrix = np.zeros((1 << 16, len(model.langs)), np.float32)  # row 0: words that say nothing
+        self.memo = Memo(self._number)
+
+    def _number(self, word: str) -> int:
+        if (scores := self.model.word(word)) is None:
+            return 0
+        if (row := len(self.memo) + 1) >= len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+        self.matrix[row] = scores
+        return row
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        self.memo.trim()
+        tokens = text.split() if text else []
+        rows = np.fromiter(map(self.memo.__getitem__, tokens), np.int64, len(tokens))
+        if not self.model.langs or not any(map(str.isalpha, text or "")):
+            return UNKNOWN, 0.0
+        total = self.matrix[rows].sum(axis=0, dtype=np.float64)
+        best = int(np.argmax(total))
+        return self.model.langs[best], 1.0 / float(np.sum(np.exp(np.maximum(total - total[best], -700.0))))
+
+
 def train(docs: DataFrame, max_train_docs: int = 20_000, max_words: int = 60_000, max_grams: int = 60_000) -> Model:
     """``docs`` has doc_id, text and lang; rows without a language don't count.
 
@@ -124,34 +151,10 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     fields = docs.select("doc_id", *keep).schema
 
     def run(batches):
-        model = shared.value
-        matrix = np.zeros((1 << 16, len(model.langs)), np.float32)  # row 0: words that say nothing
-
-        def number(word: str) -> int:
-            nonlocal matrix
-            if (scores := model.word(word)) is None:
-                return 0
-            if (row := len(cache) + 1) >= len(matrix):
-                matrix = np.concatenate([matrix, np.zeros_like(matrix)])
-            matrix[row] = scores
-            return row
-
-        cache = Memo(number)
+        scorer = Scorer(shared.value)
         for batch in batches:
-            langs, scores = [], []
-            for text in batch.column(1).to_pylist():
-                cache.trim()
-                tokens = text.split() if text else []
-                ids = np.fromiter(map(cache.__getitem__, tokens), np.int64, len(tokens))
-                if not model.langs or not any(map(str.isalpha, text or "")):
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total = matrix[ids].sum(axis=0, dtype=np.float64) + 0.0
-                best = int(np.argmax(total))
-                langs.append(model.langs[best])
-                scores.append(1.0 / float(np.sum(np.exp(np.maximum(total - total[best], -700.0)))))
-            columns = [batch.column(0), *batch.columns[2:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            found = list(map(scorer, batch.column(1).to_pylist()))
+            columns = [batch.column(0), *batch.columns[2:], pa.array([lang for lang, _ in found], pa.string()), pa.array([score for _, score in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in fields), "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string", "score double"])
@@ -168,3 +171,21 @@ def language_id(docs: DataFrame, held_out_remainder: int = 2, modulus: int = 4,
     held = id_bucket(F.col("doc_id"), modulus) == held_out_remainder
     model = train(rows.filter(~held), **bounds)
     return identify(rows.select("doc_id", "text", held.alias("held_out")), model, "held_out").select("doc_id", "held_out", "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, min_score: float = 0.5, held_out_remainder: int = 2, modulus: int = 4, **bounds: int) -> DataFrame:
+    """The rows of ``docs`` whose language is found with at least ``min_score``, with all their columns.
+
+    Prediction and filter are one pass over the texts, without a join. Texts without a letter go.
+    """
+    held = id_bucket(F.col("doc_id"), modulus) == held_out_remainder
+    model = train(texts(docs, F.col("lang").cast("string").alias("lang")).filter(~held), **bounds)
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            kept = [lang != UNKNOWN and score >= min_score for lang, score in map(scorer, batch.column(place).to_pylist())]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -112,16 +112,30 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
     The occurrence may start anywhere on the diagonals from ``low`` to ``high`` (place in text less place in item). The
     earliest end among the best is taken.
     """
-    found = _band_rows(item, text, low - most, high + most)
+    if (start := _verbatim(item, text, max(low, 0), high)) is not None:
+        return 0, start, start + len(item)
+    found = _band_rows(item, text, low - most, high + most, most)
     if found is None or found[0] > most:
         return None
     edits, stop = found
-    back = _band_rows(item[::-1], text[:stop][::-1], -most, most, anchored=True)
+    back = _band_rows(item[::-1], text[:stop][::-1], -most, most, most, anchored=True)
     return edits, stop - (back[1] if back else len(item)), stop
 
 
-def _band_rows(item: np.ndarray, text: np.ndarray, low: int, high: int, anchored: bool = False) -> tuple[int, int] | None:
-    """Fewest edits of the item against a stretch of text, and that stretch's end, row by row over a band of diagonals."""
+def _verbatim(item: np.ndarray, text: np.ndarray, low: int, high: int) -> int | None:
+    """First diagonal of the band along which no edit is needed."""
+    raw, wanted, at = text[low : high + len(item)].tobytes(), item.tobytes(), -1
+    while (at := raw.find(wanted, at + 1)) >= 0:
+        if at % item.itemsize == 0:
+            return low + at // item.itemsize
+    return None
+
+
+def _band_rows(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int, anchored: bool = False) -> tuple[int, int] | None:
+    """Fewest edits of the item against a stretch of text, and that stretch's end, row by row over a band of diagonals.
+
+    The least value of a row never falls from row to row, so a band without one up to ``most`` is given up.
+    """
     m, n, width = len(item), len(text), high - low + 1
     big = m + n + 1
     steps = np.arange(width)
@@ -143,6 +157,8 @@ def _band_rows(item: np.ndarray, text: np.ndarray, low: int, high: int, anchored
         step[(used < 0) | (used > n)] = big
         row = np.minimum(np.minimum.accumulate(step - steps) + steps, big)
         row[(used < 0) | (used > n)] = big
+        if i % 8 == 0 and row.min() > most:
+            return None
     k = int(np.argmin(row))
     return (int(row[k]), low + k + m) if row[k] < big else None
 
@@ -150,10 +166,15 @@ def _band_rows(item: np.ndarray, text: np.ndarray, low: int, high: int, anchored
 def find(text: np.ndarray, candidates: list[tuple[int, int]], index: Index) -> list[tuple[int, int, int, int]]:
     """(item, start, stop, edits) of verified occurrences; of those of one item that overlap, the one with fewest edits."""
     found = []
-    for item, band in candidates:
+    seen: dict[int, set[int]] = {}
+    for item, band in sorted(candidates):
         e = int(index.edits[item])
+        if band in seen.setdefault(item, set()):
+            continue  # next to a band that has an occurrence, and half of it is that band
         if hit := align(index.codes[item], text, band * (e + 1), (band + 2) * (e + 1) - 1, e):
             found.append((item, hit[1], hit[2], hit[0]))
+            if hit[0] == 0 and hit[1] // (e + 1) == band + 1:
+                seen[item].add(band + 1)
     kept: list[tuple[int, int, int, int]] = []
     for item, a, b, edits in sorted(found, key=lambda x: (x[3], x[1], x[0])):
         if all(k[0] != item or b <= k[1] or k[2] <= a for k in kept):

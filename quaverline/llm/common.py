@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Cached entries of one Python worker before it starts anew (about 150 bytes each).
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
+#: Rows of one Arrow batch; texts are long, and a batch is held several times on its way.
+BATCH_ROWS = 1_000
 
 
 class Memo(dict):
@@ -47,8 +49,14 @@ def id_bucket(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of whole texts small, whatever rows the session's default puts into one."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def texts(docs: DataFrame, *more: Column | str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the columns that an operator reads, whatever else the table holds."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
 
 

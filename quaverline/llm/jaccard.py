@@ -30,7 +30,9 @@ from .components import components
 from .substring import window_hashes, word_hashes
 
 #: Shingles that a map task folds at a time.
-BATCH_SHINGLES = 1_000_000
+BATCH_SHINGLES = 600_000
+#: Buckets of hash values for each shuffle partition; one bucket at a time is in a task's memory.
+BUCKETS_PER_PARTITION = 2
 #: Nodes of one verification group.
 GROUP_NODES = 2_000
 #: Candidates that a task holds before it passes them on.
@@ -101,7 +103,7 @@ def need(n: int, percent: int) -> int:
 def shared_shingles(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> DataFrame:
     """(sid, n, tokens, counts) of nodes that may have a link: shared shingles from rare to frequent and their node counts."""
     spark = docs.sparkSession
-    n_buckets = shuffle_partitions(spark)
+    n_buckets = BUCKETS_PER_PARTITION * shuffle_partitions(spark)
     common = spark.sparkContext.broadcast(hot)
 
     def send(batches):

@@ -41,10 +41,10 @@ class WaveletMatrix:
         for k in range(levels - 1, -1, -1):
             bit = (x & x.dtype.type(1 << k)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
-            low = x[~bit]
+            low = np.compress(~bit, x)
             zeros.append(len(low))
             if k:
-                x = np.concatenate([low, x[bit]])
+                x = np.concatenate([low, np.compress(bit, x)])
         return cls(len(ids), levels, zeros, planes)
 
     def _rank_blocks(self, level: int) -> np.ndarray:
@@ -117,8 +117,8 @@ class WaveletMatrix:
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             z = self.zeros[level]
             merged = np.empty(self.n, kind)
-            merged[~bit] = out[:z]
-            merged[bit] = out[z:] | kind(1 << (self.levels - 1 - level))
+            merged[np.flatnonzero(~bit)] = out[:z]
+            merged[np.flatnonzero(bit)] = out[z:] | kind(1 << (self.levels - 1 - level))
             out = merged
         return out
 
@@ -158,9 +158,10 @@ _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECE = re.compile(f" ?[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_NUMBER}]+| ?[^\\s{_LETTER}{_NUMBER}]+|\\s+(?!\\S)|\\s+")
 #: Characters that libraries may or may not take for white space.
 _DOUBTFUL = b"\x1c\x1d\x1e\x1f\x85\xa0"
-#: Pieces that one worker process remembers.
-MEMO_PIECES = 500_000
-_MEMO: dict[str, dict[str, bytes]] = {}
+#: Pieces after which a worker process starts a new memo. It keeps the one before, from which pieces that occur again are
+#: taken over, so frequent ones stay.
+MEMO_PIECES = 300_000
+_MEMO: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
 @lru_cache(maxsize=2)
@@ -204,11 +205,16 @@ def encode_all(docs: list[str], path: str) -> list[np.ndarray]:
     The pieces of its split don't influence each other and most recur, so each is encoded once and looked up from then on.
     A text with characters past Latin-1 goes to the library whole.
     """
-    memo = _MEMO.setdefault(path, {})
+    memo, before = _MEMO.get(path, ({}, {}))
     if len(memo) > MEMO_PIECES:
-        memo.clear()
+        memo, before = {}, memo
+    _MEMO[path] = memo, before
     parted = [_PIECE.findall(t) if _simple(t) else None for t in docs]
-    _learn(list(set().union(*(p for p in parted if p)).difference(memo)), memo, path)
+    new = set().union(*(p for p in parted if p)).difference(memo)
+    if known := new.intersection(before):
+        memo.update((p, before[p]) for p in known)
+        new -= known
+    _learn(list(new), memo, path)
     whole = iter(tokenizer(path).encode_batch_fast([t for t, p in zip(docs, parted) if p is None], add_special_tokens=False))
     return [np.array(next(whole).ids, np.uint32) if p is None else np.frombuffer(b"".join(map(memo.__getitem__, p)), np.uint32) for p in parted]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, num
 from ..functions.tables import PARAMETERS, STEM_CAP, STEM_GAINS, STEM_ROLES, VOCAL_STEM_CAP
-from ..plans.rules import clamp, of, packed
+from ..plans.rules import clamp, flat, of, opened, packed, without
 
 
 def _over(value: Column) -> Column:
@@ -79,7 +79,7 @@ def safe_amount(adaptive: Column) -> Column:
 
 def role_tuned(rows: DataFrame) -> DataFrame:
     """``dsp_params`` and ``strength`` within the range of each stem's role."""
-    params = of("dsp_params")
+    rows, params = opened(rows, "dsp_params", "_in_"), of("_in_")
     for p in PARAMETERS:
         tuned = params[p]
         for stem, (_, ranges) in STEM_ROLES.items():
@@ -87,18 +87,21 @@ def role_tuned(rows: DataFrame) -> DataFrame:
                 tuned = F.when(F.col("stem") == stem, clip(params[p], *ranges[p])).otherwise(tuned)
         params[p] = tuned
     most = F.create_map(*(x for s, (cap, _) in STEM_ROLES.items() for x in (F.lit(s), num(cap))))
-    return rows.withColumns({"dsp_params": packed(clamp(params)), "strength": F.least(F.col("strength"), F.coalesce(most[F.col("stem")], num(STEM_CAP)))})
+    rows = flat(rows.withColumn("strength", F.least(F.col("strength"), F.coalesce(most[F.col("stem")], num(STEM_CAP)))), "_out_", clamp(params))
+    return without(rows.withColumn("dsp_params", packed(of("_out_"))), "_in_", "_out_")
 
 
 def conservative(rows: DataFrame) -> DataFrame:
     """A stem's parameters taken back: ceiling, compression and harmonics, more so at a risk ``score`` of 0.22 or above."""
-    p, c = of("dsp_params"), F.col
-    cut = F.when(c("score") >= 0.22, clip(1.0 - c("score") * 0.38, 0.70, 0.94)).otherwise(num(1.0))
+    c, cut = F.col, F.col("reduction")
+    least = F.when(c("score") >= 0.22, clip(1.0 - c("score") * 0.38, 0.70, 0.94)).otherwise(num(1.0))
+    rows, p = opened(rows.withColumn("reduction", least), "dsp_params", "_in_"), of("_in_")
     p["limiter_ceiling_db"] = F.least(p["limiter_ceiling_db"], num(-1.8))
     p["compress_ratio"] = 1.0 + (p["compress_ratio"] - 1.0) * 0.7 * cut
     for n in ("exciter_amount", "saturation_amount"):
         p[n] = p[n] * 0.55 * cut
-    return rows.withColumns({"dsp_params": packed(clamp(p)), "reduction": cut, "strength": F.least(c("strength"), safe_amount(c("effective"))) * cut})
+    rows = flat(rows.withColumn("strength", F.least(c("strength"), safe_amount(c("effective"))) * cut), "_out_", clamp(p))
+    return without(rows.withColumn("dsp_params", packed(of("_out_"))), "_in_", "_out_")
 
 
 def gains() -> Column:

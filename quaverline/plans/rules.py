@@ -18,9 +18,23 @@ from ..functions.tables import BOUNDS, BUDGET_LIMITS, MANUAL_CEILING_DB, OPPOSIN
 Params = dict[str, Column]
 
 
-def of(struct: str) -> Params:
-    """The parameters of a struct column."""
-    return {p: F.col(f"{struct}.{p}") for p in PARAMETERS}
+def of(prefix: str) -> Params:
+    """The parameters of one step, as ``flat`` leaves them."""
+    return {p: F.col(f"{prefix}{p}") for p in PARAMETERS}
+
+
+def flat(rows: DataFrame, prefix: str, params: Params) -> DataFrame:
+    """A column for each parameter of a step. The optimizer computes such columns once however often the next step reads
+    them; fields of a struct it would write out at every use."""
+    return rows.withColumns({f"{prefix}{p}": params[p].cast("double") for p in PARAMETERS})
+
+
+def opened(rows: DataFrame, struct: str, prefix: str) -> DataFrame:
+    return flat(rows, prefix, {p: F.col(f"{struct}.{p}") for p in PARAMETERS})
+
+
+def without(rows: DataFrame, *prefixes: str) -> DataFrame:
+    return rows.drop(*(f"{x}{p}" for x in prefixes for p in PARAMETERS))
 
 
 def packed(params: Params) -> Column:
@@ -51,10 +65,10 @@ def blend(targets: Column) -> Params:
 
 
 def with_targets(requests: DataFrame) -> DataFrame:
-    """Adds ``targets``, ``preset`` and whether the targets pull against each other, from ``request``."""
+    """Adds ``targets``, the blended preset (``preset_...``) and whether the targets pull against each other, from ``request``."""
     rows = requests.withColumn("targets", text.targets(F.col("request")))
     opposed = reduce(lambda a, b: a | b, (has(F.col("targets"), a) & has(F.col("targets"), b) for a, b in OPPOSING_TARGETS))
-    return rows.withColumns({"preset": packed(blend(F.col("targets"))), "weight": 1.0 / F.size("targets"), "opposed": opposed})
+    return flat(rows.withColumns({"weight": 1.0 / F.size("targets"), "opposed": opposed}), "preset_", blend(F.col("targets")))
 
 
 def adaptive_amount(rows: DataFrame) -> DataFrame:
@@ -126,27 +140,23 @@ def harmonic_factor() -> Column:
     return clip(1.0 - sum((F.when(r, num(w)).otherwise(num(0.0)) for r, w in rules), num(0.0)), 0.45, 1.0)
 
 
-def manual(base: Params, raw: Column) -> Column:
-    """Parameters of a manual request in JSON, or null if there is none or it isn't JSON.
+def manual(base: Params, raw: Column) -> tuple[Column, Params]:
+    """Whether ``raw`` is a manual request in JSON, and the parameters that follow: ``base`` if it isn't.
 
     ``manual_mode`` fine_tune, or any change, is added to ``base``; otherwise the values in it are taken as they are.
     """
     names = [*PARAMETERS, *(t[1] for t in TWEAKS)]
-    schema = "manual_mode string, " + ", ".join(f"{n} double" for n in dict.fromkeys(names))
-    asked = F.from_json(raw, schema)
+    asked = F.from_json(raw, "manual_mode string, " + ", ".join(f"{n} double" for n in dict.fromkeys(names)))
     keys = F.json_object_keys(raw)
-    tuned = dict(base)
-    for p, key, low, high in TWEAKS:
-        tuned[p] = base[p] + clip(F.coalesce(asked[key], num(0.0)), low, high)
-    tuned["limiter_ceiling_db"] = F.least(F.coalesce(asked["limiter_ceiling_db"], base["limiter_ceiling_db"]), num(MANUAL_CEILING_DB))
-    plain = {p: F.coalesce(asked[p], num(BOUNDS[p][2])) for p in PARAMETERS}
     fine = F.coalesce(asked["manual_mode"] == "fine_tune", F.lit(False)) | F.arrays_overlap(keys, F.array(*(F.lit(t[1]) for t in TWEAKS)))
-    ready = []
-    for params in (tuned, plain):
-        safe = clamp(params)
-        safe["limiter_ceiling_db"] = F.least(safe["limiter_ceiling_db"], num(MANUAL_CEILING_DB))
-        ready.append(packed(safe))
-    return F.when(keys.isNotNull(), F.when(fine, ready[0]).otherwise(ready[1]))
+    changes = {p: clip(F.coalesce(asked[key], num(0.0)), low, high) for p, key, low, high in TWEAKS}
+    out = {}
+    for p in PARAMETERS:
+        low, high, default = BOUNDS[p]
+        tuned = F.least(F.coalesce(asked[p], base[p]), num(MANUAL_CEILING_DB)) if p == "limiter_ceiling_db" else base[p] + changes[p]
+        value = clip(F.when(fine, tuned).otherwise(F.coalesce(asked[p], num(default))), low, high)
+        out[p] = F.when(keys.isNull(), base[p]).otherwise(F.least(value, num(MANUAL_CEILING_DB)) if p == "limiter_ceiling_db" else value)
+    return keys.isNotNull(), out
 
 
 def recommend(rows: DataFrame) -> DataFrame:
@@ -160,7 +170,7 @@ def recommend(rows: DataFrame) -> DataFrame:
     first, alone = F.element_at("targets", 1), F.size("targets") == 1
     flagged = lambda f: F.array_contains("quality_flags", f)
     only = lambda t: alone & (first == t)
-    p = of("preset")
+    p = of("preset_")
     low, bass = c("low_energy"), has(c("targets"), "bass_boost")
     weak, voice = (low < 0.18) & (first != "voice_focus"), first == "voice_focus"
     strong_bass = ~weak & (low > 0.45) & bass
@@ -199,14 +209,14 @@ def recommend(rows: DataFrame) -> DataFrame:
     for name in PARAMETERS:
         p[name] = chain(p[name], *((only(t), clip(p[name], *ranges[name])) for t, ranges in own.items() if name in ranges))
 
-    rows = rows.withColumns({"_wanted": packed(clamp(p)), "_intensity": intensity, "mode": F.when(slow, "upsample").otherwise("denoise")})
-    rows = rows.withColumn("_scaled", packed(scaled(of("_wanted"), c("lufs"), c("effective"))))
-    within, factor = budget(of("_scaled"), F.size("targets"), c("effective"))
-    rows = rows.withColumns({"_budget": packed(within), "reductions": F.struct(*(f.alias(k) for k, f in factor.items())), "harmonic_factor": harmonic_factor()})
-    safe = of("_budget")
+    rows = flat(rows.withColumns({"_intensity": intensity, "mode": F.when(slow, "upsample").otherwise("denoise"), "harmonic_factor": harmonic_factor()}), "_wanted_", clamp(p))
+    rows = flat(rows, "_scaled_", scaled(of("_wanted_"), c("lufs"), c("effective")))
+    within, factor = budget(of("_scaled_"), F.size("targets"), c("effective"))
+    rows = flat(rows.withColumns({f"_reduced_{k}": f for k, f in factor.items()}), "_budget_", within)
+    safe = of("_budget_")
     for name in ("exciter_amount", "saturation_amount"):
         safe[name] = safe[name] * c("harmonic_factor")
-    limited = F.exists(F.array(*(c(f"reductions.{k}") for k in BUDGET_LIMITS)), lambda v: v < 0.999)
+    limited = F.least(*(c(f"_reduced_{k}") for k in BUDGET_LIMITS)) < 0.999
     confidence = num(0.72) - F.least(F.size("quality_flags") * 0.04, num(0.18)) - F.when(c("duration") < 1.0, num(0.12)).otherwise(num(0.0))
     reasons = F.array_compact(
         F.array(
@@ -232,19 +242,21 @@ def recommend(rows: DataFrame) -> DataFrame:
         {
             "target": F.array_join("targets", "+"),
             "intensity": clip(c("_intensity") * c("effective"), 0.0, 1.0),
-            "dsp_params": packed(clamp(safe)),
+            "reductions": F.struct(*(c(f"_reduced_{k}").alias(k) for k in BUDGET_LIMITS)),
             "stereo_safe": stereo,
             "output_sr": F.when(slow, text.default_sample_rate(c("sr"))).otherwise(c("sr")).cast("int"),
             "confidence": clip(confidence, 0.1, 0.95),
             "reasons": reasons,
         }
     )
-    return rows.withColumn("advice", advice()).drop("_wanted", "_intensity", "_scaled", "_budget", "preset")
+    rows = flat(rows, "dsp_", clamp(safe))
+    rows = rows.withColumns({"dsp_params": packed(of("dsp_")), "advice": advice(of("dsp_"))})
+    return without(rows, "_wanted_", "_scaled_", "_budget_", "preset_", "dsp_").drop("_intensity", *(f"_reduced_{k}" for k in BUDGET_LIMITS))
 
 
-def advice() -> Column:
+def advice(p: Params) -> Column:
     """One line of what will be done; parts that don't apply are null and vanish."""
-    p, signed = of("dsp_params"), lambda name, v: F.when(v != 0, F.format_string(f"{name} %+.1f dB", v))
+    signed = lambda name, v: F.when(v != 0, F.format_string(f"{name} %+.1f dB", v))
     return F.concat_ws(
         "; ",
         F.concat(F.col("mode"), F.lit(" mode")),
@@ -263,9 +275,11 @@ def advice() -> Column:
 def for_request(rows: DataFrame) -> DataFrame:
     """Recommendations with the request's ``volume_mode``, ``use_denoise`` and manual parameters (``manual``, JSON or null)."""
     c = F.col
-    rows = recommend(rows).withColumn("volume_mode", F.when(c("volume_mode") == "match_source", c("volume_mode")).otherwise("target"))
-    matched = of("dsp_params") | {"target_lufs": F.when(c("volume_mode") == "match_source", clip(c("lufs"), -24.0, -8.0)).otherwise(c("dsp_params.target_lufs"))}
+    rows = opened(recommend(rows), "dsp_params", "_own_").withColumn("volume_mode", F.when(c("volume_mode") == "match_source", c("volume_mode")).otherwise("target"))
+    matched = of("_own_") | {"target_lufs": F.when(c("volume_mode") == "match_source", clip(c("lufs"), -24.0, -8.0)).otherwise(c("_own_target_lufs"))}
     skipped = ~F.coalesce(c("use_denoise"), F.lit(True)) & (c("mode") == "denoise")
-    rows = rows.withColumns({"dsp_params": packed(matched), "mode": F.when(skipped, "none").otherwise(c("mode"))})
-    rows = rows.withColumn("_manual", manual(of("dsp_params"), c("manual")))
-    return rows.withColumns({"manual_dsp": c("_manual").isNotNull(), "dsp_params": F.coalesce("_manual", "dsp_params"), "advice": advice()}).drop("_manual")
+    rows = flat(rows.withColumn("mode", F.when(skipped, "none").otherwise(c("mode"))), "_base_", matched)
+    by_hand, chosen = manual(of("_base_"), c("manual"))
+    rows = flat(rows.withColumn("manual_dsp", by_hand), "_final_", chosen)
+    line = F.when(c("manual_dsp"), "manual fine-tuning on top of the target, with strict safety").otherwise(advice(of("_final_")))
+    return without(rows.withColumns({"dsp_params": packed(of("_final_")), "advice": line}), "_own_", "_base_", "_final_")

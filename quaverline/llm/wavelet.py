@@ -155,23 +155,50 @@ def tokenizer(path: str):
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: The byte-level tokenizer's split of texts within Latin-1, the commonest case first: no other starts like it.
-_PIECE = re.compile(f" ?[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_NUMBER}]+| ?[^\\s{_LETTER}{_NUMBER}]+|\\s+(?!\\S)|\\s+")
+_PIECE = re.compile(f" [{_LETTER}]+|[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_NUMBER}]+| ?[^\\s{_LETTER}{_NUMBER}]+|\\s+(?!\\S)|\\s+")
 #: Characters that libraries may or may not take for white space.
 _DOUBTFUL = b"\x1c\x1d\x1e\x1f\x85\xa0"
 #: Pieces after which a worker process starts a new memo. It keeps the one before, from which pieces that occur again are
 #: taken over, so frequent ones stay.
 MEMO_PIECES = 300_000
-_MEMO: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+
+
+@lru_cache(maxsize=1)
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it is printable, else one from 256 up."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Pieces(dict):
+    """Ids of the pieces of the tokenizer's split, as bytes. The tokenizer's own model encodes a piece it hasn't met."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        tok = tokenizer(path)
+        self.model, self.before = tok.model, {}
+        self.raw = [i.to_bytes(4, "little") for i in range(tok.get_vocab_size())]
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            letters = "\u0120" + piece[1:] if piece.isascii() and piece[0] == " " and piece[1:].isalpha() else piece.encode().decode("latin-1").translate(_byte_letters())
+            raw = self.raw
+            ids = b"".join([raw[t.id] for t in self.model.tokenize(letters)])
+        self[piece] = ids
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > MEMO_PIECES:
+            self.before = dict(self)
+            self.clear()
 
 
 @lru_cache(maxsize=2)
-def _token_bytes(path: str) -> np.ndarray:
-    """Bytes of each id; a byte-level token has one character for each byte."""
-    vocab = tokenizer(path).get_vocab(with_added_tokens=False)
-    sizes = np.zeros(max(vocab.values()) + 1, np.int64)
-    for token, i in vocab.items():
-        sizes[i] = len(token)
-    return sizes
+def _pieces(path: str) -> Pieces:
+    """One for each worker process."""
+    return Pieces(path)
 
 
 def _simple(text: str) -> bool:
@@ -182,41 +209,20 @@ def _simple(text: str) -> bool:
     return len(raw.translate(None, _DOUBTFUL)) == len(raw)
 
 
-def _learn(new: list[str], memo: dict[str, bytes], path: str) -> None:
-    """Encodes new pieces. Words with a space before them are encoded as one text, which the tokenizer parts just there;
-    the ids are dealt back by the bytes that they stand for."""
-    tok, sizes = tokenizer(path), _token_bytes(path)
-    spaced = [p for p in new if p[0] == " " and p[1:2].isalpha()]
-    for at in range(0, len(spaced), 2000):
-        part = spaced[at : at + 2000]
-        ids = np.array(tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.cumsum([len(p.encode()) for p in part])
-        cuts = (4 * np.searchsorted(np.cumsum(sizes[ids]), ends) + 4).tolist()
-        raw = ids.tobytes()
-        memo.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
-    other = [p for p in new if not (p[0] == " " and p[1:2].isalpha())]
-    for piece, e in zip(other, tok.encode_batch_fast(other, add_special_tokens=False) if other else ()):
-        memo[piece] = np.array(e.ids, np.uint32).tobytes()
-
-
 def encode_all(docs: list[str], path: str) -> list[np.ndarray]:
     """Ids of whole texts as the tokenizers library gives them, special tokens taken as text.
 
     The pieces of its split don't influence each other and most recur, so each is encoded once and looked up from then on.
-    A text with characters past Latin-1 goes to the library whole.
+    A text with characters past Latin-1 goes through the library's own split.
     """
-    memo, before = _MEMO.get(path, ({}, {}))
-    if len(memo) > MEMO_PIECES:
-        memo, before = {}, memo
-    _MEMO[path] = memo, before
-    parted = [_PIECE.findall(t) if _simple(t) else None for t in docs]
-    new = set().union(*(p for p in parted if p)).difference(memo)
-    if known := new.intersection(before):
-        memo.update((p, before[p]) for p in known)
-        new -= known
-    _learn(list(new), memo, path)
-    whole = iter(tokenizer(path).encode_batch_fast([t for t, p in zip(docs, parted) if p is None], add_special_tokens=False))
-    return [np.array(next(whole).ids, np.uint32) if p is None else np.frombuffer(b"".join(map(memo.__getitem__, p)), np.uint32) for p in parted]
+    memo, out = _pieces(path), []
+    for text in docs:
+        if _simple(text):
+            memo.trim()
+            out.append(np.frombuffer(b"".join(map(memo.__getitem__, _PIECE.findall(text))), np.uint32))
+        else:
+            out.append(np.array(tokenizer(path).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+    return out
 
 
 def _write(path: str, raw: bytes) -> None:
@@ -250,7 +256,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     spark = docs.sparkSession
     system, root = fs.FileSystem.from_uri(path)
     system.create_dir(root, recursive=True)
-    n = partitions or 4 * shuffle_partitions(spark)
+    n = partitions or 2 * shuffle_partitions(spark)
     ordered = texts(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     levels = max(1, (tokenizer(tokenizer_path).get_vocab_size() - 1).bit_length())
 

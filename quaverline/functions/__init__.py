@@ -1 +1 @@
-"""See the package docstring."""
+"""Column functions and tables of fixed values."""

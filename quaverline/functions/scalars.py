@@ -22,7 +22,7 @@ def amplitude(db: Column) -> Column:
 
 
 def clip(value: Column, low: float | Column | None, high: float | Column | None) -> Column:
-    """Either bound may be open."""
+    """Either bound may be open. A null value becomes a bound; fill nulls before."""
     if low is not None:
         value = F.greatest(value, num(low))
     return value if high is None else F.least(value, num(high))

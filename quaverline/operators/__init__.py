@@ -1 +1 @@
-"""See the package docstring."""
+"""Operators on series: features, spectra, analysis records, kernels, guards, mastering, stems."""

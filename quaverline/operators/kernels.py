@@ -57,18 +57,37 @@ def butterworth(sr: float, low: float | None, high: float | None) -> tuple[Array
     return num * abs((den * point).sum() / (num * point).sum()), den
 
 
+#: Samples of one block of a filter; within a block everything is one matrix product.
+BLOCK = 64
+
+
 def run_filter(coefficients: tuple[Array, Array], x: Array) -> Array:
-    """Causal, in the transposed second direct form, from silence."""
+    """Causal, from silence.
+
+    The filter is a small state that each sample advances. Over a block, the output is one matrix times the samples plus
+    another times the state before, so only the state has to walk from block to block.
+    """
     b, a = coefficients
-    state = np.zeros((len(b), *x.shape[:-1]))
-    out = np.empty_like(x, dtype=float)
-    for i in range(x.shape[-1]):
-        v = x[..., i]
-        y = b[0] * v + state[0]
-        for k in range(1, len(b)):
-            state[k - 1] = b[k] * v - a[k] * y + state[k]
-        out[..., i] = y
-    return out
+    m, n = len(b) - 1, x.shape[-1]
+    size = min(BLOCK, max(n, 1))
+    move = np.eye(m, k=1)
+    move[:, 0] -= a[1:]
+    push = b[1:] - a[1:] * b[0]
+    powers = [np.eye(m)]
+    for _ in range(size):
+        powers.append(powers[-1] @ move)
+    response = np.array([b[0], *(powers[i][0] @ push for i in range(size - 1))])
+    lags = np.arange(size)[:, None] - np.arange(size)[None, :]
+    own = np.where(lags >= 0, response[np.maximum(lags, 0)], 0.0)
+    carried = np.array([powers[i][0] for i in range(size)])
+    gathered = np.array([powers[size - 1 - i] @ push for i in range(size)])
+    blocks = -(-n // size)
+    cells = np.concatenate([x, np.zeros((*x.shape[:-1], blocks * size - n))], axis=-1).reshape(*x.shape[:-1], blocks, size)
+    inflow = cells @ gathered
+    states = np.zeros((*x.shape[:-1], blocks, m))
+    for k in range(1, blocks):
+        states[..., k, :] = states[..., k - 1, :] @ powers[size].T + inflow[..., k - 1, :]
+    return (cells @ own.T + states @ carried.T).reshape(*x.shape[:-1], blocks * size)[..., :n]
 
 
 def zero_phase(coefficients: tuple[Array, Array], x: Array) -> Array:
@@ -303,7 +322,7 @@ def repair_clicks(x: Array, most_share: float = 0.0009) -> tuple[Array, Array]:
 def onset_mask(x: Array, sr: float) -> Array:
     """Where a fast envelope runs ahead of a slow one, 0 to 1."""
     focus = np.abs(high_pass(x, sr, 120.0))
-    fast, slow = (envelope(focus, 0.0, d, d) for d in (decay(1, sr, 0.003), decay(1, sr, 0.045)))
+    fast, slow = (run_filter((np.array([1 - d, 0.0]), np.array([1.0, -d])), focus) for d in (decay(1, sr, 0.003), decay(1, sr, 0.045)))
     onset = np.maximum(fast - slow, 0)
     return np.clip(onset / (column(np.percentile(onset, 98, axis=-1)) + 1e-9), 0, 1) ** 0.65
 

@@ -1 +1 @@
-"""See the package docstring."""
+"""Rules, validation and the registered queries."""

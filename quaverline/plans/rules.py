@@ -165,7 +165,7 @@ def recommend(rows: DataFrame) -> DataFrame:
     ``true_peak_db`` must be there. A null amount counts as 0.6.
     """
     c = F.col
-    rows = with_targets(rows).withColumn("amount", F.coalesce(clip(c("amount"), 0.0, 1.0), num(0.6)))
+    rows = with_targets(rows).withColumn("amount", clip(F.coalesce(c("amount"), num(0.6)), 0.0, 1.0))
     rows = adaptive_amount(rows)
     first, alone = F.element_at("targets", 1), F.size("targets") == 1
     flagged = lambda f: F.array_contains("quality_flags", f)

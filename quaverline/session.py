@@ -1,8 +1,14 @@
-"""Session settings that the queries rely on."""
+"""Session settings, reading tables, and shipping the package to executors."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+import zipfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+_shipped: set[str] = set()
 
 
 def session(app: str = "quaverline", master: str | None = None, **conf: str) -> SparkSession:
@@ -21,6 +27,23 @@ def session(app: str = "quaverline", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; the path may be a file or a folder of files."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers that don't find it by themselves, once for each application."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    context = spark.sparkContext
+    if context.applicationId in _shipped or root in known or os.path.abspath(os.getcwd()) == root:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="quaverline-"), "quaverline.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(os.path.join(root, "quaverline")):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), root))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)

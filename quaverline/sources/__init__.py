@@ -1 +1 @@
-"""See the package docstring."""
+"""Adapters that read tables and files as series."""

@@ -1 +1 @@
-"""See the package docstring."""
+"""Streams of samples. An extension: the reference reads whole files only."""

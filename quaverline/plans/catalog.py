@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.scalars import decibels, mean, num, rms, rounded
-from ..functions.tables import PARAMETERS, STEM_GAINS, STEM_ORDER, STEM_ROLES
-from ..operators import features, guards, kernels, mastering, spectral, stems
+from ..functions.tables import LIGHT_PRESETS, PARAMETERS, STEM_GAINS, STEM_ORDER, STEM_ROLES
+from ..operators import features, guards, kernels, mastering, spectral, stem_audio, stems
 from ..operators.analysis import FRAMES, analyze
 from ..session import table
 from ..sources import signals
@@ -641,4 +641,106 @@ def post_quality_guard(spark, sf_dir):
     return rounded(rows.select("track", F.array_join("flags", ",").alias("flags"), "severity", "blend", rms(F.concat("out_l", "out_r")).alias("rms_out")))
 
 
+@query()
+def target_previews(spark, sf_dir):
+    """Up to three targets for each track through the chain; the one with the highest validation score."""
+    rows = mastering.with_true_peak(_pairs(spark, sf_dir)).join(analyze(_pairs(spark, sf_dir)), "track")
+    asked = rules.with_targets(_requests(rows)).select(*rows.columns, "amount", F.posexplode(text.preview_targets(F.col("targets"))).alias("position", "request"))
+    done = mastering.mastered(rules.recommend(asked))
+    tracks = done.select((F.col("track") * 3 + F.col("position")).alias("track"), F.col("out_l").alias("l"), F.col("out_r").alias("r"))
+    after = analyze(tracks).join(done.select((F.col("track") * 3 + F.col("position")).alias("track"), F.col("true_peak_out_db").alias("true_peak_db")), "track")
+    before = done.select((F.col("track") * 3 + F.col("position")).alias("track"), *(c for c in rows.columns if c not in ("track", "l", "r")))
+    known = done.select((F.col("track") * 3 + F.col("position")).alias("track"), "position", F.col("request").alias("target"), F.col("dsp_params.target_lufs").alias("goal"), F.col("dsp_params.limiter_ceiling_db").alias("ceiling"))
+    scored = validation.validation(validation.compared(before, after, ["track"]).join(known, "track"), F.col("target"), F.lit("target"), F.col("goal"), F.col("ceiling"))
+    best = validation.best(scored.withColumn("song", F.floor(F.col("track") / 3).cast("long")), ["song"])
+    return rounded(best.select(F.col("song").alias("track"), "target", "score", "overall"))
+
+
+@query()
+def stem_remix(spark, sf_dir):
+    """Five stems a song through their chains and back together, with what no stem holds."""
+    rows = rules.recommend(_requests(_risks(spark, sf_dir)))
+    tuned = stems.role_tuned(stems.conservative(rows.withColumn("strength", F.col("intensity"))))
+    sound = _pairs(spark, sf_dir).withColumns({"extra_l": F.transform("r", lambda v: v * 0.02), "extra_r": F.transform("l", lambda v: v * 0.02)})
+    parts = tuned.select("track", "song", "stem", "score", "strength", "dsp_params").join(sound, "track").drop("track").withColumnRenamed("song", "track")
+    out = stem_audio.remixed(parts)
+    return rounded(out.select("track", "stems", "residual_gain", rms(F.concat("out_l", "out_r")).alias("rms_out"), F.array_max(F.transform(F.concat("out_l", "out_r"), F.abs)).alias("peak_out")))
+
+
+# The light client, files and reports
+
+
+_LIGHT = ", ".join(f"('{t}', {i}, {v[5]}::DOUBLE)" for i, (t, v) in enumerate(LIGHT_PRESETS.items()))
+
+
+@query(
+    f"""WITH {o.PAIR}, a AS (SELECT track, list_concat(l, r) AS x, l, r FROM p), b AS (SELECT track, x, {o.lrms('x')} AS rms, list_max([abs(v) for v in x]) AS peak, sqrt(list_sum([((l[i] - r[i]) / 2) ** 2 for i in range(1, 65)]) / greatest(list_sum([((l[i] + r[i]) / 2) ** 2 for i in range(1, 65)]), 1e-12)) AS width FROM a),
+    c AS (SELECT *, {o.db('rms')} - 0.691 AS lufs, {o.db('peak / greatest(rms, 1e-9)')} AS crest, goal FROM b JOIN (VALUES {_LIGHT}) t(name, k, goal) ON k = track % 7),
+    d AS (SELECT *, {o.clip('goal - lufs', -14, 8)} AS desired, least({o.clip('goal - lufs', -14, 8)}, {o.db('10 ** (-1.0 / 20) / greatest(peak, 1e-9)')}) AS gain FROM c)
+    SELECT track, name AS target, round(lufs, 6) + 0.0 AS lufs, round(crest, 6) + 0.0 AS crest, round(width, 6) + 0.0 AS width, round(gain, 6) + 0.0 AS gain_db, gain < desired - 0.05 AS limited FROM d"""
+)
+def light_record(spark, sf_dir):
+    """The light client's record, with ungated loudness, and the gain towards its target."""
+    x, left, right = F.concat("l", "r"), F.col("l"), F.col("r")
+    mid, side = features.mid_side(left, right)
+    rows = _pairs(spark, sf_dir).select("track", rms(x).alias("rms"), F.array_max(F.transform(x, F.abs)).alias("peak"), F.sqrt(mean(side, lambda v: v * v) * 64 / F.greatest(mean(mid, lambda v: v * v) * 64, num(1e-12))).alias("width"))
+    rows = rows.withColumns({"target": _pick(list(LIGHT_PRESETS), "track"), "goal": _pick([v[5] for v in LIGHT_PRESETS.values()], "track"), "lufs": decibels(F.col("rms")) - 0.691, "crest": decibels(F.col("peak") / F.greatest("rms", num(1e-9)))})
+    rows = rows.withColumn("desired", F.greatest(F.least(F.col("goal") - F.col("lufs"), num(8.0)), num(-14.0)))
+    rows = rows.withColumn("gain_db", F.least("desired", decibels(num(10 ** (-1.0 / 20)) / F.greatest("peak", num(1e-9)))))
+    return rounded(rows.select("track", "target", "lufs", "crest", "width", "gain_db", (F.col("gain_db") < F.col("desired") - 0.05).alias("limited")))
+
+
+@query(
+    f"""WITH {o.PAIR}, a AS (SELECT track, list_max([abs(v) for v in l]) AS peak, l FROM p), b AS (SELECT track, peak, CASE WHEN peak <= 0.2 THEN l ELSE [greatest(least(tanh(v / 0.2 * (peak / 0.2)) / tanh(peak / 0.2) * 0.2, 0.2), -0.2) for v in l] END AS y FROM a)
+    SELECT track, round(peak, 6) + 0.0 AS peak, round(list_max([abs(v) for v in y]), 6) + 0.0 AS limited_peak, round({o.lrms('y')}, 6) + 0.0 AS limited_rms FROM b"""
+)
+def soft_limit(spark, sf_dir):
+    """The light client's limiter: a waveshaper that bends the harder, the further the peak is above the ceiling."""
+    ceiling, drive = 0.2, F.col("peak") / 0.2
+    rows = _pairs(spark, sf_dir).select("track", "l", F.array_max(F.transform("l", F.abs)).alias("peak"))
+    bent = F.transform("l", lambda v: F.greatest(F.least(F.tanh(v / ceiling * drive) / F.tanh(drive) * ceiling, num(ceiling)), num(-ceiling)))
+    rows = rows.withColumn("y", F.when(F.col("peak") <= ceiling, F.col("l")).otherwise(bent))
+    return rounded(rows.select("track", "peak", F.array_max(F.transform("y", F.abs)).alias("limited_peak"), rms(F.col("y")).alias("limited_rms")))
+
+
+@query("WITH f AS (SELECT p_brand, repeat('sub/', CAST(p_partkey % 3 AS INTEGER)) || p_name || '/' || CASE p_partkey % 2 WHEN 0 THEN 'Vocals.WAV' ELSE 'no_vocals.wav' END AS path FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY length(path), path) AS k FROM f WHERE lower(regexp_extract(path, '([^/]*)$', 1)) = 'vocals.wav') SELECT p_brand, path FROM r WHERE k = 1")
+def separator_file(spark, sf_dir):
+    """The file of a stem in a folder tree: name in any case, shortest path first."""
+    part = F.col("p_partkey")
+    path = F.concat(F.repeat(F.lit("sub/"), (part % 3).cast("int")), "p_name", F.lit("/"), F.when(part % 2 == 0, "Vocals.WAV").otherwise("no_vocals.wav"))
+    rows = table(spark, sf_dir, "part").select("p_brand", path.alias("path")).filter(F.lower(text.base_name(F.col("path"))) == "vocals.wav")
+    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.length("path"), "path"))
+    return rows.withColumn("k", rank).filter("k = 1").drop("k")
+
+
+@query(f"WITH {_NAMES}, z AS (SELECT p_brand, s.name, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY part.p_partkey) AS k, lower(regexp_extract(s.name, '[^./](\\.[^./]*)$', 1)) IN ('.wav', '.mp3', '.m4a', '.flac') AS ok FROM s JOIN part USING (p_partkey)) SELECT p_brand, count(*) AS files, bool_and(ok) AS all_supported, CAST(sum(p_size) AS BIGINT) AS total, string_agg(name, '|' ORDER BY k) FILTER (WHERE k <= 8) AS first_names, greatest(count(*) - 8, 0) AS more FROM z GROUP BY p_brand")
+def upload_summary(spark, sf_dir):
+    """Of each batch: number, total size, whether all are supported, the first eight names and how many there are besides."""
+    ranked = _named(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")))
+    rows = ranked.groupBy("p_brand").agg(
+        F.count("*").alias("files"),
+        F.bool_and(text.is_supported(F.col("name"))).alias("all_supported"),
+        F.sum("p_size").alias("total"),
+        F.array_sort(F.collect_list(F.when(F.col("k") <= 8, F.struct("k", "name")))).alias("n"),
+    )
+    return rows.select("p_brand", "files", "all_supported", "total", F.array_join(F.transform("n", lambda x: x["name"]), "|").alias("first_names"), F.greatest(F.col("files") - 8, F.lit(0)).alias("more"))
+
+
+@query(f"{o.COMPARED}, {o.CHECKS}, w AS (SELECT track, overall, list_filter([CASE WHEN string_split(statuses, ',')[i] <> 'pass' THEN (['loudness', 'true_peak', 'clipping', 'stereo', 'separation', 'transients', 'harshness'])[i] || ':' || string_split(statuses, ',')[i] END for i in range(1, 8)], lambda x: x IS NOT NULL)[1:2] AS n FROM v) SELECT track, concat_ws(' | ', 'validation ' || overall, CASE WHEN len(n) > 0 THEN array_to_string(n, ', ') END) AS line FROM w")
+def report_line(spark, sf_dir):
+    """One line of a validation: the overall verdict and the first two checks that didn't pass."""
+    open_ = F.slice(F.transform(F.filter("checks", lambda c: c["status"] != "pass"), lambda c: F.concat(c["id"], F.lit(":"), c["status"])), 1, 2)
+    return _validated(spark, sf_dir).select("track", F.concat_ws(" | ", F.concat(F.lit("validation "), "overall"), F.when(F.size(open_) > 0, F.array_join(open_, ", "))).alias("line"))
+
+
+@query()
+def process_payload(spark, sf_dir):
+    """The nested report of each track as JSON, without numbers that JSON lacks."""
+    rows = validation.comparison(_validated(spark, sf_dir), F.col("volume_mode"), num(-1.5))
+    name = F.concat(F.lit("track "), F.col("track").cast("string"), F.lit(".wav"))
+    body = F.struct(text.download_url(name, name).alias("download_url"), name.alias("filename"), F.struct("overall", "score", "checks", "delta", "summary").alias("report"))
+    return rows.select("track", F.to_json(body).alias("payload"))
+
+
+
 assert FRAMES.sr == 64  # the SQL is written for it

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import decibels, flags, mean, num, peak, rms
 from . import spectral
-from .features import array_percentile, block_size, integrated_loudness, mid_side, packed_frames_rms, stereo_image, zero_crossing_rate
+from .features import array_percentile, block_size, mid_side, packed_frames_rms, stereo_image, with_loudness, zero_crossing_rate
 
 
 @dataclass(frozen=True)
@@ -49,18 +49,15 @@ def analyze(tracks: DataFrame, scale: Scale = FRAMES) -> DataFrame:
     block, hop = block_size(scale.sr)
     left, right = F.col("l"), F.col("r")
     mid, side = mid_side(left, right)
-    every = F.concat(left, right)
+    every, frames = F.col("_every"), F.col("_frames")
     share = lambda rule: mean(every, lambda v: F.when(rule(F.abs(v)), num(1.0)).otherwise(num(0.0)))
-    frames = F.concat(packed_frames_rms(left, scale.frame, scale.hop), packed_frames_rms(right, scale.frame, scale.hop))
     level = {
         "sr": F.lit(scale.sr),
         "channels": F.lit(2),
         "duration": F.size(left) / num(scale.sr),
         "rms": rms(every),
         "peak": peak(every),
-        "lufs": integrated_loudness([left, right], block, hop),
-        "mid_lufs": integrated_loudness([mid], block, hop),
-        "side_lufs": integrated_loudness([side], block, hop),
+        **{n: F.col(n) for n in ("lufs", "mid_lufs", "side_lufs")},
         "noise_floor_db": decibels(array_percentile(frames, 0.1)),
         "dc_offset": (mean(left) + mean(right)) / 2.0,
         "max_channel_dc_offset": F.greatest(F.abs(mean(left)), F.abs(mean(right))),
@@ -75,7 +72,10 @@ def analyze(tracks: DataFrame, scale: Scale = FRAMES) -> DataFrame:
         "spectral_rolloff_hz": spectral.rolloff(F.col("power"), width),
         "spectral_flatness": spectral.flatness(F.col("power")),
     }
-    found = spectral.power_spectrum(tracks.select("track", "l", "r"), ["l", "r"]).select("track", *(c.alias(n) for n, c in level.items()))
+    rows = spectral.power_spectrum(tracks.select("track", "l", "r"), ["l", "r"])
+    parts = {"_mid": mid, "_side": side, "_every": F.concat(left, right), "_frames": F.concat(packed_frames_rms(left, scale.frame, scale.hop), packed_frames_rms(right, scale.frame, scale.hop))}
+    rows = with_loudness(rows.withColumns(parts), {"lufs": ["l", "r"], "mid_lufs": ["_mid"], "side_lufs": ["_side"]}, block, hop)
+    found = rows.select("track", *(c.alias(n) for n, c in level.items()))
     score, balance = spectral.separation(F.col("low_energy"), F.col("mid_energy"), F.col("high_energy"))
     found = found.withColumns({"peak_db": decibels(F.col("peak")), "crest_db": decibels(F.col("peak") / F.greatest("rms", num(1e-9))), "band_separation_score": score, "band_balance": balance})
     return found.withColumns({"dynamic_range_db": F.col("peak_db") - F.col("noise_floor_db"), "quality_flags": quality_flags(scale)})

@@ -63,25 +63,34 @@ def loudness(energy: Column) -> Column:
     return -0.691 + 10.0 * F.log10(F.greatest(energy, num(1e-18)))
 
 
-def gated(energies: Column, fallback: Column) -> Column:
-    """Integrated loudness of block energies: blocks above -70, and of those the ones above their mean less 10."""
-    loud = F.filter(energies, lambda e: loudness(e) > -70.0)
-    gate = loudness(mean(loud)) - 10.0
-    kept = F.filter(loud, lambda e: loudness(e) > gate)
-    return F.when(F.size(loud) == 0, fallback).otherwise(loudness(F.when(F.size(kept) > 0, mean(kept)).otherwise(mean(loud))))
+def with_loudness(rows: DataFrame, signals: dict[str, list[str]], block: int, hop: int) -> DataFrame:
+    """Adds the integrated loudness of each named signal of one or two array columns of equal length.
 
-
-def integrated_loudness(channels: list[Column], block: int, hop: int) -> Column:
-    """Of one or two channels of equal length, which are K-weighted already (or sampled too slowly for it to matter).
-
-    A block's energy is the sum of the channels; a signal shorter than a block has the mean of the channels.
+    They are K-weighted already (or sampled too slowly for it to matter). A block's energy is the sum of the channels; blocks
+    above -70 count, and of those the ones above their mean less 10. A signal shorter than a block has the mean of the
+    channels. Each step is a column of its own, so what a later step reads several times is computed once.
     """
-    squares = [F.transform(c, lambda v: v * v) for c in channels]
-    energy = squares[0] if len(squares) == 1 else F.zip_with(squares[0], squares[1], lambda a, b: a + b)
-    whole = mean(energy) / float(len(channels))
-    fallback = decibels(F.sqrt(whole)) - 0.691
-    blocks = gated(block_energies(energy, block, hop), fallback)
-    return F.when(whole <= 1e-24, fallback).when(F.size(energy) < block, loudness(whole)).otherwise(blocks)
+    c, names = F.col, list(signals)
+    energy = {}
+    for n, channels in signals.items():
+        squares = [F.transform(c(x), lambda v: v * v) for x in channels]
+        energy[f"_{n}_e"] = squares[0] if len(squares) == 1 else F.zip_with(squares[0], squares[1], lambda a, b: a + b)
+    rows = rows.withColumns(energy)
+    rows = rows.withColumns({f"_{n}_b": block_energies(c(f"_{n}_e"), block, hop) for n in names} | {f"_{n}_w": mean(c(f"_{n}_e")) / float(len(signals[n])) for n in names})
+    rows = rows.withColumns({f"_{n}_l": F.filter(f"_{n}_b", lambda e: loudness(e) > -70.0) for n in names})
+    rows = rows.withColumns({f"_{n}_g": loudness(mean(c(f"_{n}_l"))) - 10.0 for n in names})
+    rows = rows.withColumns({f"_{n}_k": _above(f"_{n}_l", f"_{n}_g") for n in names})
+    out = {}
+    for n in names:
+        whole, loud, kept = c(f"_{n}_w"), c(f"_{n}_l"), c(f"_{n}_k")
+        plain = decibels(F.sqrt(whole)) - 0.691
+        blocks = F.when(F.size(loud) == 0, plain).when(F.size(kept) > 0, loudness(mean(kept))).otherwise(loudness(mean(loud)))
+        out[n] = F.when(whole <= 1e-24, plain).when(F.size(f"_{n}_e") < block, loudness(whole)).otherwise(blocks)
+    return rows.withColumns(out).drop(*(f"_{n}_{k}" for n in names for k in "ebwlgk"))
+
+
+def _above(energies: str, gate: str) -> Column:
+    return F.filter(energies, lambda e: loudness(e) > F.col(gate))
 
 
 def block_size(sr: int, seconds: float = 0.4, overlap: float = 0.75) -> tuple[int, int]:

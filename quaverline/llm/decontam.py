@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import small_batches, texts
 
 Q = 8
 #: Edits allowed for each character of an item.
@@ -238,6 +238,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE,
 def clean_documents(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE, min_item_chars: int = MIN_ITEM_CHARS, part_chars: int = PART_CHARS) -> DataFrame:
     """The rows of ``docs`` in whose text no benchmark item occurs, with all their columns; see ``leaks``. No shuffle."""
     spark, schema = docs.sparkSession, docs.schema
+    small_batches(spark)
     place = docs.columns.index("text")
     for items in item_parts(benchmark, part_chars, min_item_chars):
         shared = spark.sparkContext.broadcast(Index(items, edit_share))

@@ -8,6 +8,7 @@ longest length of which any is known. Word and n-gram tables come from a bounded
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,7 @@ def count_units(docs: DataFrame) -> DataFrame:
 class Model:
     """Log frequencies by language of words and of n-grams."""
 
-    def __init__(self, langs: list[str], rows: list[tuple[str, str, int, int]]):
+    def __init__(self, langs: list[str], rows: Iterable[tuple[str, str, int, int]]):
         self.langs = langs
         at = {x: i for i, x in enumerate(langs)}
         counts: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *GRAMS)}
@@ -135,11 +136,11 @@ def train(docs: DataFrame, max_train_docs: int = 20_000, max_words: int = 60_000
         words = total.filter("n = 0").orderBy(F.desc("total"), "unit").limit(max_words)
         pieces = total.filter("n > 0").orderBy(F.desc("total"), "unit", "n").limit(max_grams)
         kept = counted.join(words.unionByName(pieces), ["unit", "n"]).select("lang", "unit", "n", "count")
-        rows = sorted(tuple(r) for r in kept.collect())  # at most (max_words + max_grams) * languages
+        found = kept.toArrow()  # at most (max_words + max_grams) * languages rows
         langs = sorted(r[0] for r in labelled.select("lang").distinct().collect())
     finally:
         counted.unpersist()
-    return Model(langs, rows)
+    return Model(langs, zip(*(found.column(c).to_pylist() for c in ("lang", "unit", "n", "count"))))
 
 
 def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:

@@ -183,7 +183,7 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.before.get(piece)
         if ids is None:
-            letters = "\u0120" + piece[1:] if piece.isascii() and piece[0] == " " and piece[1:].isalpha() else piece.encode().decode("latin-1").translate(_byte_letters())
+            letters = piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_byte_letters())
             raw = self.raw
             ids = b"".join([raw[t.id] for t in self.model.tokenize(letters)])
         self[piece] = ids

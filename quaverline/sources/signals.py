@@ -32,7 +32,7 @@ def event_stems(events: DataFrame) -> DataFrame:
     """(stem, x): each event type a stem, its values centred and scaled to a peak of 1 at most."""
     level = events.groupBy("event_type").agg(F.avg("value").alias("_mean"), F.max(F.abs("value")).alias("_peak"))
     scaled = (F.col("value") - F.col("_mean")) / F.greatest(F.col("_peak"), num(1e-9))
-    return events.join(F.broadcast(level), "event_type").select(F.col("event_type").alias("stem"), scaled.alias("x"))  # one row for each of the few types
+    return events.join(level, "event_type").select(F.col("event_type").alias("stem"), scaled.alias("x"))  # broadcast if it is small enough
 
 
 def event_tracks(events: DataFrame, scale: float = 100.0) -> DataFrame:

@@ -25,7 +25,7 @@ def rows(n=300):
         group = "muslims" if i % 6 in (0, 1) else "christians"
         out.append((i, f"the {group} in town {'are idiot people' if toxic else 'met today'} w{i % 7}" if i % 2 else f"plain talk {'idiot' if toxic else ''}", int(toxic)))
     # one group is mentioned in toxic texts only
-    return out + [(n + i, f"those women {'are moron fools' if True else ''}", 1) for i in range(40)] + [(n + 100 + i, f"the men met at w{i % 9}", 0) for i in range(40)]
+    return out + [(n + i, "those women are moron fools", 1) for i in range(40)] + [(n + 100 + i, f"the men met at w{i % 9}", 0) for i in range(40)]
 
 
 def weights(spark, counterfactual):

@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from .common import binary, shuffle_partitions, stored, texts, words
 
 #: Windows that a map task folds at a time.
-BATCH_WINDOWS = 1_000_000
+BATCH_WINDOWS = 600_000
+#: Buckets of hash values for each shuffle partition; one bucket at a time is in a task's memory.
+BUCKETS_PER_PARTITION = 2
 #: Words of one automaton (about 1 KB each while it lives); a shard with more is worked off in several.
-AUTOMATON_WORDS = 150_000
+AUTOMATON_WORDS = 100_000
 #: Documents streamed through one copy of a shard's automaton.
 GROUP_DOCS = 2_000
 
@@ -81,7 +83,7 @@ def _by_doc(doc: np.ndarray, home: np.ndarray, n: int) -> tuple[list[int], list[
 
 def homes(rows: DataFrame, min_words: int) -> DataFrame:
     """Distinct (doc_id, home): for each window of a document that a smaller id holds, one such id."""
-    n = shuffle_partitions(rows.sparkSession)
+    n = BUCKETS_PER_PARTITION * shuffle_partitions(rows.sparkSession)
 
     def send(batches):
         ids: list[int] = []

@@ -1,11 +1,11 @@
 """Language-model scoring with Brown-style class-based bigrams.
 
-Frequent words (found in a bounded sample) and, for all other words, a bounded number of word endings are the units that
-exchange clustering assigns to classes, so the clustering's input has a fixed size whatever the corpus. All counts cover
-all training documents: unit bigrams are summed by task and unit, and the count of every other word comes from bringing
-the words of all documents together by hash. A word's probability after another is P(class | class before) times
-P(word | class); class bigrams are interpolated with class frequencies and emissions smoothed by adding 0.5, so unseen
-words have their share in every class.
+Every word that occurs in training ``least`` times or more is a unit that exchange clustering assigns to a class; rarer words
+share a unit for each class of word endings. All counts cover all training documents: words are brought together by hash,
+bigrams of units by unit. The most frequent units are clustered one after the other as a start; then all units move in rounds,
+half of them at a time, each to the class that raises the likelihood most. A word's probability after another is
+P(class | class before) times P(word | class); class bigrams are interpolated with class frequencies and emissions smoothed by
+adding 0.5, so unseen words have their share in every class. What is broadcast grows by nine bytes with each word clustered.
 """
 
 from __future__ import annotations
@@ -28,6 +28,12 @@ END = b" "
 ENDINGS = 256
 #: Entries (word of a document) that a map task folds at a time.
 BATCH_ENTRIES = 1_000_000
+#: Training tokens behind the bigrams of one group, about.
+GROUP_TOKENS = 500_000
+#: Units whose gains are computed at a time.
+BATCH_UNITS = 2_048
+#: In place of a row's train flag: sums of hot words, of no row.
+HOT = 2
 
 
 def key(word: bytes) -> int:
@@ -36,7 +42,7 @@ def key(word: bytes) -> int:
 
 
 def frequent_words(docs: DataFrame, most: int, sample_docs: int) -> list[bytes]:
-    """The most frequent words of a sample, ties to the smaller word."""
+    """The most frequent words of a sample, ties to the smaller word. They are only counted another way, so the sample changes no result."""
 
     def run(batches):
         for batch in batches:
@@ -51,49 +57,145 @@ def frequent_words(docs: DataFrame, most: int, sample_docs: int) -> list[bytes]:
 
 
 class Units:
-    """Numbers words for one task: keys and units by a local number. Units: frequent words, the end, endings."""
+    """Numbers words for one task: keys, hot words (-1: others) and units by a local number. Units: known words, the end, endings."""
 
-    def __init__(self, frequent: list[bytes]):
-        self.known = {w: i for i, w in enumerate(frequent)}
-        self.end = len(frequent)
-        self.count = len(frequent) + 1 + ENDINGS
+    def __init__(self, hashes: np.ndarray, hot: list[bytes] = ()):
+        self.hashes = hashes
+        self.hot_words = {w: i for i, w in enumerate(hot)}
+        self.end = len(hashes)
+        self.count = len(hashes) + 1 + ENDINGS
         self.keys = np.zeros(1 << 16, np.uint64)
         self.unit = np.zeros(1 << 16, np.int32)
+        self.hot = np.zeros(1 << 16, np.int32)
+        self.done = 0
         self.memo = Memo(self._number)
 
     def _number(self, word: bytes) -> int:
         i = len(self.memo)
         if i >= len(self.keys):
-            self.keys = np.concatenate([self.keys, np.zeros_like(self.keys)])
-            self.unit = np.concatenate([self.unit, np.zeros_like(self.unit)])
-        self.keys[i] = k = key(word)
-        self.unit[i] = self.known.get(word, self.end + 1 + (k & 0xFF))
+            self.keys, self.unit, self.hot = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.unit, self.hot))
+        self.keys[i] = key(word)
+        self.hot[i] = self.hot_words.get(word, -1)
         return i
 
     def units(self, text: str | None) -> np.ndarray:
         at = self.numbers(text)  # may replace the arrays
+        self.place()
         return self.unit[at]
 
+    def place(self) -> None:
+        """Finds the units of the words numbered since the last call."""
+        if self.done < len(self.memo):
+            k = self.keys[self.done : len(self.memo)]
+            self.unit[self.done : len(self.memo)] = unit_of(self.hashes, k)
+            self.done = len(self.memo)
+
     def numbers(self, text: str | None) -> np.ndarray:
         """Local numbers of the words of a text, good until the next call."""
-        self.memo.trim()
+        if self.memo.trim():
+            self.done = 0
         tokens = lower_words(text)
         return np.fromiter(map(self.memo.__getitem__, tokens), np.int64, len(tokens))
 
 
-def unit_bigrams(train: DataFrame, frequent: list[bytes]) -> np.ndarray:
-    """Counts of neighbouring units in all training documents, the end before each first word. Its size is fixed by the units."""
-    shared = train.sparkSession.sparkContext.broadcast(frequent)
+def unit_of(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each key among the ascending ``hashes``, or the unit of its ending."""
+    endings = len(hashes) + 1 + (keys & np.uint64(0xFF)).astype(np.int64)
+    if not len(hashes):
+        return endings
+    at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
+    return np.where(hashes[at] == keys, at, endings)
+
+
+def _folded(a: np.ndarray, b: np.ndarray, n: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending distinct pairs and the sums of their counts."""
+    code = a.astype(np.int64) * count + b
+    by = np.argsort(code, kind="stable")
+    starts = blobs.runs(code[by])
+    sums = np.add.reduceat(n[by].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+    first = code[by][starts]
+    return (first // count).astype(np.int32), (first % count).astype(np.int32), sums
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones, which compress better so."""
+    return binary(x.view(np.uint8).reshape(-1, x.itemsize).T)
+
+
+def _numbers(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+#: A group's bigrams by the unit before (a, b, n) and by the unit after (a2, b2, n2), as byte planes.
+_PAIRS = "a binary, b binary, n binary, a2 binary, b2 binary, n2 binary"
+
+
+def unit_pairs(train: DataFrame, hashes: np.ndarray, groups: int) -> DataFrame:
+    """Counts of neighbouring units in all training documents, the end before each first word, as rows of ``_PAIRS``.
+
+    A pair is in its first unit's group and in its second one's.
+    """
+    shared = train.sparkSession.sparkContext.broadcast(hashes)
+    count = len(hashes) + 1 + ENDINGS
 
     def run(batches):
         units = Units(shared.value)
-        n = units.count
-        total = np.zeros(n * n, np.int64)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def fold():
+            u = np.concatenate([[units.end], *held]).astype(np.int64)
+            code, n = np.unique(u[:-1] * count + u[1:], return_counts=True)
+            before, after, n = code // count, code % count, n.astype(np.uint32)
+            out: dict[str, list] = {"group": [], "side": [], "a": [], "b": [], "n": []}
+            for side, (a, b) in enumerate(((before, after), (after, before))):
+                group = blobs.spread(a, groups)
+                by = np.lexsort((b, a, group)) if side else np.argsort(group, kind="stable")
+                edges = np.searchsorted(group[by], np.arange(groups + 1))
+                for g in np.flatnonzero(np.diff(edges)):
+                    i = by[edges[g] : edges[g + 1]]
+                    for k, v in zip(out, (g, side, _planes(a[i].astype(np.int32)), _planes(b[i].astype(np.int32)), _planes(n[i]))):
+                        out[k].append(v)
+            return pa.RecordBatch.from_pydict(out, pa.schema([("group", pa.int32()), ("side", pa.int32()), *((c, pa.binary()) for c in "abn")]))
+
         for batch in batches:
             for text in batch.column(1).to_pylist():
-                u = np.concatenate([[units.end], units.units(text), [units.end]]).astype(np.int64)
-                codes, counts = np.unique(u[:-1] * n + u[1:], return_counts=True)
-                total[codes] += counts
+                held.append(np.append(units.units(text), units.end))
+                size += len(held[-1])
+                if size >= BATCH_ENTRIES:
+                    yield fold()
+                    held, size = [], 0
+        if held:
+            yield fold()
+
+    def merge(table: pa.Table) -> pa.Table:
+        sides = np.array(table.column("side").to_pylist())
+        raw = {c: table.column(c).to_pylist() for c in "abn"}
+        both = []
+        for side in (0, 1):
+            at = np.flatnonzero(sides == side)
+            both += _folded(*(np.concatenate([np.zeros(0, kind), *(_numbers(raw[c][i], kind) for i in at)]) for c, kind in (("a", np.int32), ("b", np.int32), ("n", np.uint32))), count)
+        return pa.table({c: pa.array([_planes(x)], pa.binary()) for c, x in zip(("a", "b", "n", "a2", "b2", "n2"), both)})
+
+    sent = train.select("doc_id", "text").mapInArrow(run, "group int, side int, a binary, b binary, n binary")
+    return stored(sent.groupBy("group").applyInArrow(merge, _PAIRS), "unit-pairs")
+
+
+def _read(row: dict) -> list[np.ndarray]:
+    return [_numbers(v, np.int64 if c[0] == "n" else np.int32) for c, v in row.items()]
+
+
+def starting_table(pairs: DataFrame, start: np.ndarray, n: int) -> np.ndarray:
+    """Counts of neighbouring starting units; ``start`` has the number of each unit's. Its size is fixed by their number."""
+    shared = pairs.sparkSession.sparkContext.broadcast(start)
+
+    def run(batches):
+        total = np.zeros(n * n, np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b, times = _read(row)
+                np.add.at(total, shared.value[a].astype(np.int64) * n + shared.value[b], times)
         rows = total.reshape(n, n)
         full = np.flatnonzero(rows.any(axis=1))
         for at in range(0, len(full), 256):
@@ -104,13 +206,132 @@ def unit_bigrams(train: DataFrame, frequent: list[bytes]) -> np.ndarray:
         total = np.sum([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()], axis=0)
         return pa.table({"unit": table.column("unit").slice(0, 1), "counts": pa.array([binary(total)], pa.binary())})
 
-    n = len(frequent) + 1 + ENDINGS
     out = np.zeros((n, n), np.int64)
-    for unit, counts in train.select("doc_id", "text").mapInArrow(run, "unit int, counts binary").groupBy("unit").applyInArrow(add, "unit int, counts binary").collect():
+    for unit, counts in pairs.select("a", "b", "n").mapInArrow(run, "unit int, counts binary").groupBy("unit").applyInArrow(add, "unit int, counts binary").collect():
         out[unit] = np.frombuffer(counts, np.int64)
     return out
 
 
+def _xlog(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def likelihood(joint: np.ndarray) -> float:
+    """Of the training data by class bigrams, without what doesn't depend on the classes."""
+    return float(_xlog(joint).sum() - _xlog(joint.sum(axis=1)).sum() - _xlog(joint.sum(axis=0)).sum())
+
+
+def moved(out: np.ndarray, into: np.ndarray, loop: np.ndarray, own: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """The class of each unit that makes the likelihood highest while all others stay.
+
+    ``out`` and ``into`` count by class what comes after and before a unit, itself left out; ``loop`` counts itself.
+    """
+    u, classes = np.arange(len(own)), len(joint)
+    is_own = np.arange(classes) == own[:, None]
+
+    def side(counts: np.ndarray, other: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Gain in the cells (class, x), with the unit taken out of its own class first."""
+        gain = np.zeros((len(own), classes))
+        at, x = np.nonzero(counts)
+        if len(at):
+            n = counts[at, x][:, None]
+            cells = table[:, x].T.copy()
+            cells[np.arange(len(at)), own[at]] -= n[:, 0]
+            same = x == own[at]
+            cells[same] -= other[at[same]]
+            cells[np.flatnonzero(same), own[at[same]]] -= loop[at[same]]
+            starts = blobs.runs(at)
+            gain[at[starts]] = np.add.reduceat(_xlog(cells + n) - _xlog(cells), starts)
+        return gain
+
+    gain = side(out, into, joint) + side(into, out, joint.T)
+    diagonal = np.diag(joint) - is_own * (out[u, own] + into[u, own] + loop)[:, None]
+    loops = loop[:, None]
+    gain += _xlog(diagonal + out + into + loops) - _xlog(diagonal + out) - _xlog(diagonal + into) + _xlog(diagonal)
+    for total, n in ((joint.sum(axis=1), out.sum(axis=1) + loop), (joint.sum(axis=0), into.sum(axis=1) + loop)):
+        rest = total - is_own * n[:, None]
+        gain -= _xlog(rest + n[:, None]) - _xlog(rest)
+    gain[:, 0] = -np.inf
+    best = gain.argmax(axis=1)
+    return np.where(gain[u, best] > gain[u, own] + 1e-9, best, own)
+
+
+def refined(pairs: DataFrame, cls: np.ndarray, end: int, classes: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all units after rounds of moves from ``cls``, and their class bigrams.
+
+    In a round the units of one half, dealt by number, move at the same time. If that lowers the likelihood, it is taken back
+    and smaller parts move from then on. A round of each part without a move ends it.
+    """
+    context = pairs.sparkSession.sparkContext
+    def joint_of(now: np.ndarray) -> np.ndarray:
+        shared = context.broadcast(now)
+
+        def run(batches):
+            total = np.zeros(classes * classes)
+            for batch in batches:
+                for row in batch.to_pylist():
+                    a, b, n = _read(row)
+                    total += np.bincount(shared.value[a].astype(np.int64) * classes + shared.value[b], n, classes * classes)
+            yield pa.RecordBatch.from_pydict({"joint": [binary(total)]})
+
+        found = pairs.select("a", "b", "n").mapInArrow(run, "joint binary").collect()
+        shared.unpersist()
+        return np.sum([np.frombuffer(r[0]) for r in found], axis=0).reshape(classes, classes) if found else np.zeros((classes, classes))
+
+    def moves(now: np.ndarray, joint: np.ndarray, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        shared = context.broadcast((now, joint))
+
+        def run(batches):
+            now, joint = shared.value
+            for batch in batches:
+                for row in batch.to_pylist():
+                    a, b, n, a2, b2, n2 = _read(row)
+                    units = np.unique(a)
+                    units = units[(blobs.spread(units, 1 << 20) >> 7) % parts == part]
+                    units = units[units != end]
+                    ids, to = [], []
+                    for at in range(0, len(units), BATCH_UNITS):
+                        some = units[at : at + BATCH_UNITS]
+                        tables = []
+                        for x, y, m in ((a, b, n), (a2, b2, n2)):
+                            lo, hi = np.searchsorted(x, some[0]), np.searchsorted(x, some[-1], "right")
+                            x, y, m = x[lo:hi], y[lo:hi], m[lo:hi]
+                            place = np.minimum(np.searchsorted(some, x), len(some) - 1)
+                            mine = some[place] == x
+                            x, y, m, place = x[mine], y[mine], m[mine], place[mine]
+                            apart = x != y
+                            tables.append(np.bincount(place[apart] * classes + now[y[apart]], m[apart], len(some) * classes).reshape(-1, classes))
+                            loop = np.bincount(place[~apart], m[~apart], len(some))
+                        best = moved(*tables, loop, now[some].astype(np.int64), joint)
+                        changed = best != now[some]
+                        ids.append(some[changed])
+                        to.append(best[changed].astype(now.dtype))
+                    if ids:
+                        yield pa.RecordBatch.from_pydict({"ids": [binary(np.concatenate(ids))], "classes": [binary(np.concatenate(to))]})
+
+        found = pairs.mapInArrow(run, "ids binary, classes binary").collect()
+        shared.unpersist()
+        return np.frombuffer(b"".join(r[0] for r in found), np.int32), np.frombuffer(b"".join(r[1] for r in found), now.dtype)
+
+    now = cls.astype(np.uint16)
+    joint = joint_of(now)
+    parts, still = 2, 0
+    for round_ in range(rounds):
+        ids, to = moves(now, joint, round_ % parts, parts)
+        still = 0 if len(ids) else still + 1
+        if still == parts:
+            break
+        if len(ids):
+            changed = now.copy()
+            changed[ids] = to
+            then = joint_of(changed)
+            if likelihood(then) > likelihood(joint):
+                now, joint = changed, then
+            else:  # too many moved at once
+                parts *= 2
+    return now, joint
+
+
 def exchange(bigrams: np.ndarray, classes: int, fixed: int, rounds: int = 8) -> np.ndarray:
     """Class of each unit. Each unit in turn moves to the class that raises the class-bigram likelihood most.
 
@@ -164,20 +385,23 @@ def exchange(bigrams: np.ndarray, classes: int, fixed: int, rounds: int = 8) ->
     return cls
 
 
-def word_sums(rows: DataFrame, frequent: list[bytes]) -> DataFrame:
-    """(owner, logs, known, tokens) of words that aren't frequent: the sum of log10(count + 0.5) over a row's tokens, how many
-    occur in training and how many there are; and one row without an owner with the distinct training words by ending.
+def word_sums(rows: DataFrame, frequent: list[bytes], least: int) -> DataFrame:
+    """(owner, logs, known, tokens) of words that aren't in ``frequent``: the sum of log10(count + 0.5) over a row's tokens, how
+    many occur in training and how many there are; and rows without an owner with the number of distinct training words that
+    occur less than ``least`` times, by ending, and then of all training tokens; with the hashes and counts of the others; and
+    with those of all words in ``frequent``.
 
-    ``rows`` has owner, text and train. A word's count is that in training rows.
+    ``rows`` has owner, text and train. A word's count is that in training rows. Of the frequent words a map task sends sums.
     """
     spark = rows.sparkSession
     n = shuffle_partitions(spark)
     shared = spark.sparkContext.broadcast(frequent)
 
     def send(batches):
-        units = Units(shared.value)
-        parts: list[tuple[np.ndarray, np.ndarray, int, bool]] = []
+        units = Units(np.zeros(0, np.uint64), shared.value)
+        parts: list[tuple[np.ndarray, np.ndarray, int, int]] = []
         held = 0
+        often: Counter = Counter()
 
         def fold():
             h = np.concatenate([p[0] for p in parts])
@@ -196,47 +420,61 @@ def word_sums(rows: DataFrame, frequent: list[bytes]) -> DataFrame:
         for batch in batches:
             for owner, text, train in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 numbers, times = np.unique(units.numbers(text), return_counts=True)
-                rare = units.unit[numbers] > units.end
+                hot = units.hot[numbers] >= 0
+                rare = ~hot
+                if train and hot.any():
+                    for h, found in zip(units.keys[numbers[hot]].tolist(), times[hot].tolist()):
+                        often[h] += found
                 if rare.any():
-                    parts.append((units.keys[numbers[rare]], times[rare], owner, train))
+                    parts.append((units.keys[numbers[rare]], times[rare], owner, int(train)))
                     held += len(parts[-1][0])
                 if held >= BATCH_ENTRIES:
                     yield fold()
                     parts, held = [], 0
         if parts:
             yield fold()
+        if often:
+            h = np.array(sorted(often), np.uint64)
+            parts = [(h, np.array([often[x] for x in h.tolist()]), 0, HOT)]
+            yield fold()
 
     def meet(table: pa.Table) -> pa.Table:
         raw = {c: table.column(c).to_pylist() for c in ("hashes", "owners", "sizes", "times", "train")}
         h, owner = blobs.unpack(raw["hashes"], raw["owners"], raw["sizes"], 8)
         times = np.frombuffer(b"".join(raw["times"]), np.uint32).astype(np.int64)
-        train = np.repeat(np.frombuffer(b"".join(raw["train"]), np.uint8), np.frombuffer(b"".join(raw["sizes"]), np.uint32))
+        flag = np.repeat(np.frombuffer(b"".join(raw["train"]), np.uint8), np.frombuffer(b"".join(raw["sizes"]), np.uint32))
         by = np.argsort(h, kind="stable")
         starts = blobs.runs(h[by])
-        counts = np.add.reduceat((times * train)[by], starts) if len(h) else np.zeros(0, np.int64)
+        counts = np.add.reduceat((times * (flag > 0))[by], starts) if len(h) else np.zeros(0, np.int64)
         own_count = np.empty(len(h), np.int64)
         own_count[by] = np.repeat(counts, np.diff(np.append(starts, len(h))))
-        types = np.bincount((h[by][starts] & np.uint64(0xFF)).astype(np.int64)[counts > 0], minlength=ENDINGS)
-        ids, at = np.unique(owner, return_inverse=True)
+        distinct = h[by][starts]
+        types = np.bincount((distinct & np.uint64(0xFF)).astype(np.int64)[(counts > 0) & (counts < least)], minlength=ENDINGS)
+        hot = np.isin(distinct, h[flag == HOT])
+        often = [binary(x[at]) for at in (counts >= least, hot) for x in (distinct, counts)]
+        mine = flag != HOT
+        times, own_count = times[mine], own_count[mine]
+        ids, at = np.unique(owner[mine], return_inverse=True)
         logs = np.bincount(at, times * np.log10(own_count + 0.5), len(ids))
         known = np.bincount(at, times * (own_count > 0), len(ids)).astype(np.uint32)
         tokens = np.bincount(at, times, len(ids)).astype(np.uint32)
         group = blobs.spread(ids, n)
         by = np.argsort(group, kind="stable")
         edges = np.searchsorted(group[by], np.arange(n + 1))
-        out: dict[str, list] = {"group": [0], "owners": [None], "logs": [None], "known": [None], "tokens": [None], "types": [binary(types.astype(np.int64))]}
+        out: dict[str, list] = {"group": [int(h[0] % np.uint64(n)) if len(h) else 0], "owners": [None], "logs": [None], "known": [None], "tokens": [None], "types": [binary(np.append(types, counts.sum()).astype(np.int64))], "often": [often]}
         for g in range(n):
             i = by[edges[g] : edges[g + 1]]
             if len(i):
-                for k, v in zip(out, (g, binary(ids[i]), binary(logs[i]), binary(known[i]), binary(tokens[i]), None)):
+                for k, v in zip(out, (g, binary(ids[i]), binary(logs[i]), binary(known[i]), binary(tokens[i]), None, None)):
                     out[k].append(v)
-        return pa.table(out, pa.schema([("group", pa.int32()), *((c, pa.binary()) for c in ("owners", "logs", "known", "tokens", "types"))]))
+        return pa.table(out, pa.schema([("group", pa.int32()), *((c, pa.binary()) for c in ("owners", "logs", "known", "tokens", "types")), ("often", pa.list_(pa.binary()))]))
 
     def gather(table: pa.Table) -> pa.Table:
-        raw = {c: [x for x in table.column(c).to_pylist() if x is not None] for c in ("owners", "logs", "known", "tokens", "types")}
+        raw = {c: [x for x in table.column(c).to_pylist() if x is not None] for c in ("owners", "logs", "known", "tokens", "types", "often")}
         ids, at = np.unique(np.frombuffer(b"".join(raw["owners"]), np.int64), return_inverse=True)
         sums = [np.bincount(at, np.frombuffer(b"".join(raw[c]), kind), len(ids)) for c, kind in (("logs", np.float64), ("known", np.uint32), ("tokens", np.uint32))]
         types = np.sum([np.frombuffer(t, np.int64) for t in raw["types"]], axis=0).tolist() if raw["types"] else None
+        often = [b"".join(x) for x in zip(*raw["often"])] or None
         return pa.table(
             {
                 "owner": pa.array([*ids.tolist(), None], pa.int64()),
@@ -244,38 +482,58 @@ def word_sums(rows: DataFrame, frequent: list[bytes]) -> DataFrame:
                 "known": pa.array([*sums[1].astype(np.int64).tolist(), 0], pa.int64()),
                 "tokens": pa.array([*sums[2].astype(np.int64).tolist(), 0], pa.int64()),
                 "types": pa.array([None] * len(ids) + [types], pa.list_(pa.int64())),
+                "often": pa.array([None] * len(ids) + [often], pa.list_(pa.binary())),
             }
         )
 
     sent = rows.select("owner", "text", "train").mapInArrow(send, blobs.SCHEMA + ", times binary, train binary")
-    met = sent.groupBy("bucket").applyInArrow(meet, "group int, owners binary, logs binary, known binary, tokens binary, types binary")
-    return met.groupBy("group").applyInArrow(gather, "owner long, logs double, known long, tokens long, types array<long>")
+    met = sent.groupBy("bucket").applyInArrow(meet, "group int, owners binary, logs binary, known binary, tokens binary, types binary, often array<binary>")
+    return met.groupBy("group").applyInArrow(gather, "owner long, logs double, known long, tokens long, types array<long>, often array<binary>")
 
 
 class ClassModel:
-    """Everything that scoring needs besides the sums of ``word_sums``; its size depends on the units and classes alone."""
-
-    def __init__(self, frequent: list[bytes], bigrams: np.ndarray, types: np.ndarray, classes: int):
-        self.frequent, end = frequent, len(frequent)
-        self.cls = exchange(bigrams, classes, fixed=end)
+    """Classes of units and what scoring needs of them. ``frequent`` are the units before the end; with its other arguments
+    it clusters the units one after the other; ``refit`` takes other units with their classes and class bigrams."""
+
+    def __init__(self, frequent, bigrams: np.ndarray, types: np.ndarray, classes: int):
+        end = len(frequent)
+        cls = exchange(bigrams, classes, fixed=end)
+        onehot = np.zeros((len(cls), classes))
+        onehot[np.arange(len(cls)), cls] = 1
         counts = bigrams.sum(axis=0)  # each token follows one
-        self.train_tokens = int(counts.sum())
-        unit_types = np.concatenate([counts[: end + 1] > 0, types]).astype(np.int64)
+        self.refit(cls, onehot.T @ bigrams @ onehot, np.concatenate([counts[: end + 1] > 0, types]).astype(np.int64))
+
+    def refit(self, cls: np.ndarray, joint: np.ndarray, unit_types: np.ndarray) -> None:
+        """``unit_types``: distinct training words of each unit."""
+        classes = len(joint)
+        self.cls = cls
+        self.train_tokens = int(round(joint.sum()))
         self.base = float(np.log10(self.train_tokens + 0.5 * (unit_types.sum() + 1)))
-        self.logs = np.log10(counts[: end + 1] + 0.5)
-        self.known = counts[: end + 1] > 0
-        onehot = np.zeros((len(counts), classes))
-        onehot[np.arange(len(counts)), self.cls] = 1
-        joint = onehot.T @ bigrams @ onehot
         share = (joint.sum(axis=0) + 0.5) / (joint.sum() + 0.5 * classes)
         weight = 5.0
         self.transitions = np.log10((joint + weight * share) / (joint.sum(axis=1, keepdims=True) + weight))
-        self.spread = np.log10(onehot.T @ counts + 0.5 * (onehot.T @ unit_types + 1))
+        self.spread = np.log10(joint.sum(axis=0) + 0.5 * (np.bincount(cls, unit_types, classes) + 1))
+
+
+def class_model(train: DataFrame, hashes: np.ndarray, counts: np.ndarray, types: np.ndarray, tokens: int, words: int, classes: int) -> ClassModel:
+    """Clusters the words with ``hashes`` (ascending) and the endings; the ``words`` most frequent ones are the start."""
+    end = len(hashes)
+    first = np.sort(np.lexsort((hashes, -counts))[:words])
+    start = np.concatenate([len(first) + 1 + (hashes & np.uint64(0xFF)).astype(np.int64), len(first) + np.arange(1 + ENDINGS)])
+    start[first] = np.arange(len(first))
+    pairs = unit_pairs(train, hashes, max(shuffle_partitions(train.sparkSession), tokens // GROUP_TOKENS + 1))
+    table = starting_table(pairs, start.astype(np.int32), len(first) + 1 + ENDINGS)
+    model = ClassModel(first, table, types, classes)
+    model.end_count = int(table[len(first)].sum())
+    cls, joint = refined(pairs, model.cls[start], end, classes)
+    model.refit(cls.astype(np.int64), joint, np.concatenate([np.ones(end), [model.end_count > 0], types]).astype(np.int64))
+    return model
 
 
-def class_scores(docs: DataFrame, held_out_remainder: int = 1, modulus: int = 5, words: int = 1_000, classes: int = 64, sample_docs: int = 20_000) -> DataFrame:
+def class_scores(docs: DataFrame, held_out_remainder: int = 1, modulus: int = 5, words: int = 1_000, classes: int = 64, sample_docs: int = 20_000, least: int = 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
+    Words that occur ``least`` times in training are clustered, starting with the ``words`` most frequent ones.
     A null or empty text is its end alone. A null doc_id has the bucket of the empty text. Repeated rows count as often as they
     occur in training and have equal scores. An empty table gives no rows; without training rows all counts are 0.
     """
@@ -284,23 +542,33 @@ def class_scores(docs: DataFrame, held_out_remainder: int = 1, modulus: int = 5,
     rows = texts(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("owner"), held.alias("held_out"))
     train = rows.filter(~F.col("held_out"))
     frequent = frequent_words(train, words, sample_docs)
-    sums = stored(word_sums(rows.select("owner", "text", (~F.col("held_out")).alias("train")), frequent), "word-sums")
-    types = np.zeros(ENDINGS, np.int64)
-    for (row,) in sums.filter("types is not null").select("types").collect():
+    sums = stored(word_sums(rows.select("owner", "text", (~F.col("held_out")).alias("train")), frequent, least), "word-sums")
+    types = np.zeros(ENDINGS + 1, np.int64)
+    often: list[list[bytes]] = []
+    for row, found in sums.filter("types is not null").select("types", "often").collect():
         types += np.array(row, np.int64)
-    model = spark.sparkContext.broadcast(ClassModel(frequent, unit_bigrams(train, frequent), types, classes))
+        often.append([bytes(x) for x in found])
+    hashes, counts, hot, hot_counts = (np.frombuffer(b"".join(o[i] for o in often), kind) for i, kind in enumerate((np.uint64, np.int64) * 2))
+    by = np.argsort(hashes)
+    hashes, counts = hashes[by], counts[by]
+    fitted = class_model(train, hashes, counts, types[:ENDINGS], int(types[ENDINGS]), words, classes)
+    count_of = dict(zip(hot.tolist(), hot_counts.tolist()))
+    logs = np.log10(np.array([*(count_of[key(w)] for w in frequent), fitted.end_count]) + 0.5)
+    model = spark.sparkContext.broadcast((hashes, frequent, logs, fitted))
 
     def run(batches):
-        m = model.value
-        units = Units(m.frequent)
-        end = units.end
+        hashes, frequent, log, m = model.value
+        units = Units(hashes, frequent)
+        seen = log > np.log10(0.75)
         for batch in batches:
             out: dict[str, list] = {"n_tokens": [], "rare": [], "n_known": [], "logs": [], "fixed": []}
             for text in batch.column(1).to_pylist():
-                u = np.append(units.units(text), end)
-                c = m.cls[u]
-                common = u[u <= end]
-                for k, v in zip(out, (len(u), len(u) - len(common), m.known[common].sum(), m.logs[common].sum(), m.transitions[np.append(0, c[:-1]), c].sum() - m.spread[c].sum())):
+                at = units.numbers(text)
+                units.place()
+                c = m.cls[np.append(units.unit[at], units.end)]
+                hot = np.append(units.hot[at], len(frequent))
+                hot = hot[hot >= 0]
+                for k, v in zip(out, (len(c), len(c) - len(hot), seen[hot].sum(), log[hot].sum(), m.transitions[np.append(0, c[:-1]), c].sum() - m.spread[c].sum())):
                     out[k].append(v.item() if hasattr(v, "item") else v)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), *(pa.array(v, pa.float64() if k in ("logs", "fixed") else pa.int64()) for k, v in out.items())],
@@ -308,11 +576,11 @@ def class_scores(docs: DataFrame, held_out_remainder: int = 1, modulus: int = 5,
             )
 
     scored = rows.select("doc_id", "text", "owner", "held_out").mapInArrow(run, "doc_id long, owner long, held_out boolean, n_tokens long, rare long, n_known long, logs double, fixed double")
-    joined = scored.join(sums.filter("owner is not null").withColumnsRenamed({"logs": "rare_logs", "known": "rare_known", "tokens": "rare_tokens"}).drop("types"), "owner", "left")
+    joined = scored.join(sums.filter("owner is not null").withColumnsRenamed({"logs": "rare_logs", "known": "rare_known", "tokens": "rare_tokens"}).drop("types", "often"), "owner", "left")
     # a row that occurs k times has k times its sums
     part = F.when(F.col("rare") > 0, F.col("rare") / F.col("rare_tokens")).otherwise(F.lit(0.0))
     logs = F.col("logs") + F.coalesce(F.col("rare_logs") * part, F.lit(0.0))
-    base, total = model.value.base, model.value.train_tokens
+    base, total = fitted.base, fitted.train_tokens
     return joined.select(
         "doc_id",
         "held_out",

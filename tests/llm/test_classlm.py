@@ -77,3 +77,38 @@ def test_exchange_finds_alternating_classes():
     b[5:9, 1:5] = rng.integers(50, 90, (4, 4))
     cls = classlm.exchange(b, 3, fixed=0)
     assert cls[0] == 0 and len(set(cls[1:5])) == 1 and len(set(cls[5:9])) == 1 and cls[1] != cls[5]
+
+
+def test_moves_raise_the_likelihood_most():
+    """Against the likelihood of each possible move."""
+    rng = np.random.default_rng(3)
+    n, classes = 12, 5
+    b = rng.integers(0, 20, (n, n))
+    cls = np.append(0, rng.integers(1, classes, n - 1))
+
+    def joint(c):
+        return np.array([[b[np.ix_(c == i, c == j)].sum() for j in range(classes)] for i in range(classes)], float)
+
+    tables = [np.array([np.bincount(cls, np.where(np.arange(n) == u, 0, row), classes) for u, row in enumerate(m)]) for m in (b, b.T)]
+    found = classlm.moved(*tables, np.diag(b).astype(float), cls, joint(cls))
+    for u in range(1, n):
+        tried = [-np.inf] + [classlm.likelihood(joint(np.where(np.arange(n) == u, c, cls))) for c in range(1, classes)]
+        assert tried[found[u]] == pytest.approx(max(tried), abs=1e-6)
+
+
+def test_words_beyond_the_start_are_clustered(spark):
+    """Words of two kinds with one ending take turns; only a half of them are among the first to be clustered."""
+    rng = np.random.default_rng(4)
+    kinds = [[f"{k}{chr(97 + i)}xx" for i in range(12)] for k in "pq"]
+    rows = [(d, " ".join(kinds[i % 2][rng.integers(12)] for i in range(40))) for d in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = classlm.class_scores(docs, words=12, classes=6).collect()
+    check(found, rows)
+    gain = sum(r.score - r.base_score for r in found if r.held_out) / sum(r.n_tokens for r in found if r.held_out)
+    assert gain > 0.27  # a half of the words can follow: log10(2)
+
+
+def test_the_sample_changes_no_score(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    scores = [{r.doc_id: r.score for r in classlm.class_scores(docs, words=50, classes=8, sample_docs=n).collect()} for n in (10, 20_000)]
+    assert scores[0] == pytest.approx(scores[1], rel=1e-9)

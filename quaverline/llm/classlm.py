@@ -5,7 +5,7 @@ share a unit for each class of word endings. All counts cover all training docum
 bigrams of units by unit. The most frequent units are clustered one after the other as a start; then all units move in rounds,
 half of them at a time, each to the class that raises the likelihood most. A word's probability after another is
 P(class | class before) times P(word | class); class bigrams are interpolated with class frequencies and emissions smoothed by
-adding 0.5, so unseen words have their share in every class. What is broadcast grows by nine bytes with each word clustered.
+adding 0.5, so unseen words have their share in every class. What is broadcast grows by ten bytes with each word clustered.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import Memo, binary, id_bucket, lower_words, sampled, shuffle_partitions, stored, texts
+from .common import Memo, binary, id_bucket, lower_words, sampled, shuffle_partitions, small_batches, stored, texts
 
 #: The end of a text; no word holds a space.
 END = b" "
@@ -522,10 +522,12 @@ def class_model(train: DataFrame, hashes: np.ndarray, counts: np.ndarray, types:
     start = np.concatenate([len(first) + 1 + (hashes & np.uint64(0xFF)).astype(np.int64), len(first) + np.arange(1 + ENDINGS)])
     start[first] = np.arange(len(first))
     pairs = unit_pairs(train, hashes, max(shuffle_partitions(train.sparkSession), tokens // GROUP_TOKENS + 1))
+    small_batches(train.sparkSession, 1)  # a row is a whole group
     table = starting_table(pairs, start.astype(np.int32), len(first) + 1 + ENDINGS)
     model = ClassModel(first, table, types, classes)
     model.end_count = int(table[len(first)].sum())
     cls, joint = refined(pairs, model.cls[start], end, classes)
+    small_batches(train.sparkSession)
     model.refit(cls.astype(np.int64), joint, np.concatenate([np.ones(end), [model.end_count > 0], types]).astype(np.int64))
     return model
 

@@ -58,13 +58,41 @@ def map_tracks(tracks: DataFrame, arrays: list[str], scalars: list[str], out: di
     return tracks.mapInArrow(run, ", ".join([schema_text(tracks), *(f"`{c}` {t}" for c, t in out.items())]))
 
 
-def master(x: Stereo, p: dict[str, np.ndarray], intensity: np.ndarray, amount: np.ndarray, frames: Frames, match_source: bool = False) -> Stereo:
-    """Mid and side through denoising, tone, dynamics and harmonics, then the guards against the source, then loudness and safety."""
+#: How a track is to be treated, besides its parameters; 0 or 1 for each track.
+WAYS = ("denoise", "bass_boost", "hifi_bright", "strict", "match")
+#: Ceilings in dB of manual requests and of what codecs stand.
+MANUAL_CEILING, CODEC_CEILING = -1.5, -1.4
+
+
+def _by_rows(y: Stereo, rows: np.ndarray, fn: Callable[[np.ndarray], Stereo]) -> Stereo:
+    """``y`` with what ``fn`` makes of the ``rows``."""
+    if not rows.any():
+        return y
+    out = tuple(c.copy() for c in y)
+    for c, made in zip(out, fn(rows)):
+        c[rows] = made
+    return out
+
+
+def strict_trim(x: Stereo, y: Stereo) -> Stereo:
+    """Down to what codecs stand before the loudness is set; beyond 5 dB with some of the source."""
+    trim = CODEC_CEILING - k.db(k.true_peak(list(y)))
+    wet = np.where(trim < -5.0, 0.65 * 10 ** ((trim + 5.0) / 20), 10 ** (np.minimum(trim, 0.0) / 20))
+    dry = np.where(trim < -5.0, 0.35, 0.0)
+    return tuple(s * k.column(dry) + d * k.column(wet) for s, d in zip(x, y))
+
+
+def master(x: Stereo, p: dict[str, np.ndarray], intensity: np.ndarray, amount: np.ndarray, frames: Frames, match_source: bool = False, ways: dict[str, np.ndarray] | None = None) -> Stereo:
+    """Mid and side through denoising (where ``ways`` says so), tone, dynamics and harmonics, then the guards against the source, then loudness and safety."""
     sr, size, hop = frames.sr, frames.size, frames.hop
+    ways = {w: np.asarray(ways[w], bool) if ways else np.full(len(amount), w == "denoise") for w in WAYS}
+    strict = ways["strict"]
+    gated = ways["denoise"] & (intensity > 0.01)
 
     def stages(c: np.ndarray, strength: np.ndarray) -> np.ndarray:
         c = c - c.mean(axis=-1, keepdims=True)
-        c = k.gate(c, strength, size, hop)
+        if gated.any():
+            c[gated] = k.gate(c[gated], strength[gated], size, hop)
         cuts = np.unique(p["lowcut_hz"])
         for hz in cuts:  # presets have few cutoffs
             rows = p["lowcut_hz"] == hz
@@ -79,32 +107,45 @@ def master(x: Stereo, p: dict[str, np.ndarray], intensity: np.ndarray, amount: n
     y = guards.width_match(x, guards.channel_balance(x, y))
     y = guards.band_widths(x, guards.low_bass(x, y, sr)[0], sr)
     y = guards.band_balance(x, y, sr)
-    y = tuple(guards.dynamic_eq(s, d, sr, size, hop) for s, d in zip(x, y))
-    y = tuple(guards.harshness(s, d, sr)[0] for s, d in zip(x, y))
+    bright = ways["hifi_bright"]
+    for target in ("", "bass_boost", "hifi_bright"):
+        rows = ways[target] if target else ~ways["bass_boost"] & ~bright
+        y = _by_rows(y, rows, lambda i, now=y, t=target: tuple(guards.dynamic_eq(s[i], d[i], sr, size, hop, t) for s, d in zip(x, now)))
+    for on in (False, True):
+        y = _by_rows(y, bright == on, lambda i, now=y, on=on: tuple(guards.harshness(s[i], d[i], sr, on)[0] for s, d in zip(x, now)))
     y = tuple(k.repair_clicks(c)[0] for c in y)
     y = guards.transients(x, y, sr)[0]
     y = tuple(guards.band_transients(s, d, sr) for s, d in zip(x, y))
     y = guards.delta(x, y, sr, amount)
     y = tuple(k.trimmed(list(y), k.true_peak(list(y)), np.full(len(amount), -1.0))[0])
-    ceiling = p["limiter_ceiling_db"]
+    y = _by_rows(y, strict, lambda i, now=y: strict_trim(tuple(c[i] for c in x), tuple(c[i] for c in now)))
+    ceiling = np.where(strict, np.minimum(p["limiter_ceiling_db"], MANUAL_CEILING), p["limiter_ceiling_db"])
     if match_source:
         y = guards.loudness_match(x, y, sr, ceiling)[0]
     else:
         y = guards.loudness_set(y, sr, p["target_lufs"], ceiling)[0]
         y = tuple(k.limit(list(y), ceiling, sr))
-    return guards.safe(y, sr, ceiling)
+        y = tuple(k.trimmed(list(y), k.true_peak(list(y)), ceiling)[0])
+        y = _by_rows(y, ways["match"], lambda i, now=y: guards.loudness_match(tuple(c[i] for c in x), tuple(c[i] for c in now), sr, ceiling[i])[0])
+    for on in (False, True):
+        y = _by_rows(y, strict == on, lambda i, now=y, on=on: guards.safe(tuple(c[i] for c in now), sr, ceiling[i], on))
+    return y
 
 
 def mastered(rows: DataFrame, frames: Frames = SHORT, match_source: bool = False) -> DataFrame:
-    """Adds ``out_l`` and ``out_r``, and the true peak of both, to rows with l, r, intensity, effective and ``dsp_params``."""
-    flat = rows.select("*", *(rows.dsp_params[p].alias(f"_{p}") for p in PARAMETERS))
-
-    def fn(left, right, intensity, effective, *params):
-        y = master((left, right), dict(zip(PARAMETERS, params)), intensity, effective, frames, match_source)
+    """Adds ``out_l`` and ``out_r``, and the true peak of both, to rows with l, r, intensity, effective and
+    ``dsp_params``; ``mode``, ``target``, ``manual_dsp`` and ``volume_mode`` count where there are such columns."""
+    rule = {"denoise": ("mode", "denoise"), "bass_boost": ("target", "bass_boost"), "hifi_bright": ("target", "hifi_bright"), "strict": ("manual_dsp", True), "match": ("volume_mode", "match_source")}
+    way = lambda w: F.coalesce((F.col(rule[w][0]) == F.lit(rule[w][1])).cast("double"), F.lit(0.0)) if rule[w][0] in rows.columns else F.lit(float(w == "denoise"))
+    flat = rows.select("*", *(rows.dsp_params[p].alias(f"_{p}") for p in PARAMETERS), *(way(w).alias(f"_way_{w}") for w in WAYS))
+
+    def fn(left, right, intensity, effective, *rest):
+        params, ways = rest[: len(PARAMETERS)], rest[len(PARAMETERS) :]
+        y = master((left, right), dict(zip(PARAMETERS, params)), intensity, effective, frames, match_source, dict(zip(WAYS, ways)))
         return {"out_l": y[0], "out_r": y[1], "true_peak_out_db": k.db(k.true_peak(list(y)))}
 
-    out = map_tracks(flat, ["l", "r"], ["intensity", "effective", *(f"_{p}" for p in PARAMETERS)], {"out_l": "array<double>", "out_r": "array<double>", "true_peak_out_db": "double"}, fn)
-    return out.drop(*(f"_{p}" for p in PARAMETERS))
+    out = map_tracks(flat, ["l", "r"], ["intensity", "effective", *(f"_{p}" for p in PARAMETERS), *(f"_way_{w}" for w in WAYS)], {"out_l": "array<double>", "out_r": "array<double>", "true_peak_out_db": "double"}, fn)
+    return out.drop(*(f"_{p}" for p in PARAMETERS), *(f"_way_{w}" for w in WAYS))
 
 
 def with_true_peak(tracks: DataFrame, name: str = "true_peak_db") -> DataFrame:

@@ -132,3 +132,34 @@ def test_guards_take_back():
     loud = tuple(c * 2 for c in x)
     matched, gain = guards.loudness_match(x, loud, SR, np.array([-1.0]))
     assert gain[0] == pytest.approx(-6.02, abs=0.01) and np.allclose(matched[0], x[0], atol=1e-6)
+
+
+def test_master_treats_each_track_its_own_way(monkeypatch):
+    """One track for each branch: denoising, both targets, strict safety, the source's loudness."""
+    from quaverline.operators import mastering
+
+    rng = np.random.default_rng(5)
+    x = tuple(np.repeat(rng.uniform(-0.9, 0.9, (1, 64)), 6, axis=0) for _ in range(2))
+    p = {n: np.zeros(6) for n in mastering.PARAMETERS} | {n: np.full(6, v) for n, v in {"lowcut_hz": 30.0, "compress_ratio": 1.5, "target_lufs": -12.0, "limiter_ceiling_db": -1.0}.items()}
+    seen = {"gate": [], "eq": [], "harsh": [], "safe": [], "match": []}
+    gate, eq, harsh, safe, match = mastering.k.gate, mastering.guards.dynamic_eq, mastering.guards.harshness, mastering.guards.safe, mastering.guards.loudness_match
+    monkeypatch.setattr(mastering.k, "gate", lambda c, *a: seen["gate"].append(len(c)) or gate(c, *a))
+    monkeypatch.setattr(mastering.guards, "dynamic_eq", lambda s, d, sr, n, h, t="": seen["eq"].append((t, len(d))) or eq(s, d, sr, n, h, t))
+    monkeypatch.setattr(mastering.guards, "harshness", lambda s, d, sr, b=False: seen["harsh"].append((b, len(d))) or harsh(s, d, sr, b))
+    monkeypatch.setattr(mastering.guards, "safe", lambda d, sr, c, strict=False: seen["safe"].append((strict, len(c), max(c))) or safe(d, sr, c, strict))
+    monkeypatch.setattr(mastering.guards, "loudness_match", lambda s, d, sr, c, *a: seen["match"].append(len(c)) or match(s, d, sr, c, *a))
+    ways = {w: np.arange(6) == i for i, w in enumerate(mastering.WAYS)}
+    y = mastering.master(x, p, np.full(6, 0.5), np.full(6, 0.8), mastering.SHORT, ways=ways)
+    assert seen["gate"] == [1, 1] and seen["match"] == [1]
+    assert set(seen["eq"]) == {("", 4), ("bass_boost", 1), ("hifi_bright", 1)} and set(seen["harsh"]) == {(False, 5), (True, 1)}
+    assert seen["safe"] == [(False, 5, -1.0), (True, 1, mastering.MANUAL_CEILING)]
+    assert np.isfinite(y).all() and not np.allclose(y[0][0], y[0][5]) and not np.allclose(y[0][4], y[0][5])
+    loud = tuple(c * 3 for c in x)
+    peak = lambda z: mastering.k.db(mastering.k.true_peak(list(z)))
+    by = 10 ** (-4.0 / 20) / mastering.k.true_peak(list(x))[0]
+    some = tuple(c * by * 10 ** (4.6 / 20) for c in x)  # 2 dB too much: a trim alone
+    assert peak(mastering.strict_trim(x, some)) == pytest.approx(np.full(6, mastering.CODEC_CEILING), abs=1e-6)
+    quiet = tuple(c * by for c in x)
+    assert np.allclose(mastering.strict_trim(x, quiet), quiet)
+    cut = mastering.CODEC_CEILING - peak(loud)[0]
+    assert cut < -5 and np.allclose(mastering.strict_trim(x, loud)[0], 0.35 * x[0] + 0.65 * 10 ** ((cut + 5) / 20) * loud[0])

@@ -47,6 +47,12 @@ def low_bass(source: Stereo, done: Stereo, sr: float, hz: float = 130.0) -> tupl
     return left_right((dm, ds - low * column(1 - gain))), k.db(gain)
 
 
+def low_side_growth(source: Stereo, done: Stereo, sr: float, hz: float = 140.0) -> Array:
+    """Whether the side of the lowest band grew by more than it may against its mid."""
+    before, now = (width(*(k.low_pass(c, sr, hz) for c in mid_side(x))) for x in (source, done))
+    return now > np.maximum(before * 1.35, before + 0.08)
+
+
 def _banded(source: Stereo, done: Stereo, sr: float, bands, tolerance: float, gains: tuple[float, float], floor: float, least_source: float) -> Stereo:
     (sm, ss), (dm, ds) = mid_side(source), mid_side(done)
     side = ds.copy()

@@ -159,3 +159,32 @@ def blended_back(rows: DataFrame, severity: str = "severity") -> DataFrame:
     mixed = lambda done, source: F.zip_with(done, source, lambda d, s: d * (1 - F.col("blend")) + s * F.col("blend"))
     return rows.withColumn("blend", blend).withColumns({"out_l": mixed("out_l", "l"), "out_r": mixed("out_r", "r")})
 
+
+def with_low_side_growth(rows: DataFrame, frames: Frames = SHORT) -> DataFrame:
+    """Adds ``low_side_growth``: 1 where the processed track's low-bass side grew against the source, 0 elsewhere."""
+    fn = lambda l, r, a, b: {"low_side_growth": guards.low_side_growth((l, r), (a, b), frames.sr).astype(int)}
+    return map_tracks(rows, ["l", "r", "out_l", "out_r"], [], {"low_side_growth": "int"}, fn)
+
+
+def relevelled(x: Stereo, y: Stereo, blend: np.ndarray, match: np.ndarray, target: np.ndarray, ceiling: np.ndarray, frames: Frames = SHORT) -> Stereo:
+    """Blended tracks brought to the source's loudness (``match``) or to the target, then to strict safety; others as they are."""
+    sr, blended, match = frames.sr, blend > 0, match > 0
+    y = _by_rows(y, blended & match, lambda i, now=y: guards.loudness_match(tuple(c[i] for c in x), tuple(c[i] for c in now), sr, ceiling[i], 2.0)[0])
+    y = _by_rows(y, blended & ~match, lambda i, now=y: guards.loudness_set(tuple(c[i] for c in now), sr, target[i], ceiling[i], 0.5)[0])
+    return _by_rows(y, blended, lambda i, now=y: guards.safe(tuple(c[i] for c in now), sr, ceiling[i], True))
+
+
+def guarded(rows: DataFrame, severity: str = "severity", frames: Frames = SHORT) -> DataFrame:
+    """Blends the source back, levels what was blended and adds its true peak, ``guarded_peak_db``."""
+    mixed = blended_back(rows, severity)
+    p = mixed.dsp_params
+    match = F.coalesce((F.col("volume_mode") == "match_source").cast("double"), F.lit(0.0))
+    flat = mixed.withColumns({"_match": match, "_target": p.target_lufs, "_ceiling": p.limiter_ceiling_db})
+    flat = flat.withColumnsRenamed({"out_l": "_mixed_l", "out_r": "_mixed_r"})
+
+    def fn(left, right, done_l, done_r, *levels):
+        y = relevelled((left, right), (done_l, done_r), *levels, frames)
+        return {"out_l": y[0], "out_r": y[1], "guarded_peak_db": k.db(k.true_peak(list(y)))}
+
+    out = map_tracks(flat, ["l", "r", "_mixed_l", "_mixed_r"], ["blend", "_match", "_target", "_ceiling"], {"out_l": "array<double>", "out_r": "array<double>", "guarded_peak_db": "double"}, fn)
+    return out.drop("_match", "_target", "_ceiling", "_mixed_l", "_mixed_r")

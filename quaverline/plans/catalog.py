@@ -630,15 +630,19 @@ def mastering_chain(spark, sf_dir):
 
 @query()
 def post_quality_guard(spark, sf_dir):
-    """What the chain did is analysed again; where it drifted, some of the source is blended back."""
+    """What the chain did is analysed again; where it drifted, some of the source is blended back, levelled and analysed once more."""
     done = _mastered(spark, sf_dir)
     after = mastering.with_true_peak(done.select("track", F.col("out_l").alias("l"), F.col("out_r").alias("r")))
     again = analyze(after).join(after.select("track", "true_peak_db"), "track")
-    known = done.select("track", "target", "volume_mode", "dsp_params", "l", "r", "out_l", "out_r")
+    known = mastering.with_low_side_growth(done.select("track", "target", "volume_mode", "dsp_params", "l", "r", "out_l", "out_r"))
     rows = validation.compared(_records(spark, sf_dir), again, ["track"]).join(known, "track")
-    rows = rows.withColumn("flags", validation.drift_flags(F.col("target"), F.col("volume_mode"), F.col("dsp_params.limiter_ceiling_db")))
-    rows = mastering.blended_back(rows.withColumn("severity", validation.drift_severity(F.col("flags"))))
-    return rounded(rows.select("track", F.array_join("flags", ",").alias("flags"), "severity", "blend", rms(F.concat("out_l", "out_r")).alias("rms_out")))
+    drift = validation.drift_flags(F.col("target"), F.col("volume_mode"), F.col("dsp_params.limiter_ceiling_db"))
+    rows = rows.withColumn("flags", F.when(F.col("low_side_growth") == 1, F.concat(drift, F.array(F.lit("low_bass_side_growth")))).otherwise(drift))
+    rows = rows.withColumn("severity", validation.drift_severity(F.col("flags")))
+    rows = mastering.guarded(rows.select(*known.columns, "flags", "severity"))
+    last = analyze(rows.select("track", F.col("out_l").alias("l"), F.col("out_r").alias("r"))).join(rows.select("track", F.col("guarded_peak_db").alias("true_peak_db")), "track")
+    after = validation.compared(_records(spark, sf_dir), last, ["track"]).join(rows, "track").withColumn("after_flags", F.when(F.col("blend") > 0, drift).otherwise(F.array().cast("array<string>")))
+    return rounded(after.select("track", F.array_join("flags", ",").alias("flags"), "severity", "blend", rms(F.concat("out_l", "out_r")).alias("rms_out"), F.array_join("after_flags", ",").alias("after_flags"), "guarded_peak_db"))
 
 
 @query()

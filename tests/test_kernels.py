@@ -163,3 +163,18 @@ def test_master_treats_each_track_its_own_way(monkeypatch):
     assert np.allclose(mastering.strict_trim(x, quiet), quiet)
     cut = mastering.CODEC_CEILING - peak(loud)[0]
     assert cut < -5 and np.allclose(mastering.strict_trim(x, loud)[0], 0.35 * x[0] + 0.65 * 10 ** ((cut + 5) / 20) * loud[0])
+
+
+def test_blended_tracks_are_levelled_and_safe():
+    from quaverline.operators import guards, mastering
+
+    n = np.arange(64)
+    mid, side = np.sin(n / 9), np.sin(n / 11)
+    x = tuple(np.tile(c, (4, 1)) for c in guards.left_right((0.3 * mid, 0.02 * side)))
+    y = tuple(np.tile(c, (4, 1)) for c in guards.left_right((0.9 * mid, 0.9 * side)))
+    assert guards.low_side_growth(x, y, 8000.0).all() and not guards.low_side_growth(x, x, 8000.0).any()
+    blend, match = np.array([0.35, 0.15, 0.0, 0.15]), np.array([1, 1, 1, 0])
+    z = mastering.relevelled(x, y, blend, match, np.full(4, -16.0), np.full(4, -1.0))
+    peak = mastering.k.db(mastering.k.true_peak(list(z)))
+    assert (peak[[0, 1, 3]] <= -1.4 + 1e-6).all() and np.array_equal(z[0][2], y[0][2])
+    assert not np.allclose(z[0][1], z[0][3])

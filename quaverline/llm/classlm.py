@@ -30,8 +30,8 @@ ENDINGS = 256
 BATCH_ENTRIES = 1_000_000
 #: Training tokens behind the bigrams of one group, about.
 GROUP_TOKENS = 500_000
-#: Units whose gains are computed at a time.
-BATCH_UNITS = 2_048
+#: Units whose gains are computed at a time; each takes some hundred KB.
+BATCH_UNITS = 512
 #: In place of a row's train flag: sums of hot words, of no row.
 HOT = 2
 
@@ -234,14 +234,23 @@ def moved(out: np.ndarray, into: np.ndarray, loop: np.ndarray, own: np.ndarray,
         gain = np.zeros((len(own), classes))
         at, x = np.nonzero(counts)
         if len(at):
-            n = counts[at, x][:, None]
-            cells = table[:, x].T.copy()
-            cells[np.arange(len(at)), own[at]] -= n[:, 0]
-            same = x == own[at]
+            rows, n = np.arange(len(at)), counts[at, x]
+            table = np.ascontiguousarray(table.T)
+            cells, before = table[x], _xlog(table)[x]
+            cells[rows, own[at]] -= n
+            same = np.flatnonzero(x == own[at])
             cells[same] -= other[at[same]]
-            cells[np.flatnonzero(same), own[at[same]]] -= loop[at[same]]
+            cells[same, own[at[same]]] -= loop[at[same]]
+            # all else in ``before`` is as it was with the unit
+            before[rows, own[at]] = _xlog(cells[rows, own[at]])
+            before[same] = _xlog(cells[same])
+            cells += n[:, None]
+            logs = np.maximum(cells, 1)
+            np.log(logs, out=logs)
+            logs *= cells
+            logs -= before
             starts = blobs.runs(at)
-            gain[at[starts]] = np.add.reduceat(_xlog(cells + n) - _xlog(cells), starts)
+            gain[at[starts]] = np.add.reduceat(logs, starts)
         return gain
 
     gain = side(out, into, joint) + side(into, out, joint.T)
@@ -263,6 +272,7 @@ def refined(pairs: DataFrame, cls: np.ndarray, end: int, classes: int, rounds: i
     and smaller parts move from then on. A round of each part without a move ends it.
     """
     context = pairs.sparkSession.sparkContext
+
     def joint_of(now: np.ndarray) -> np.ndarray:
         shared = context.broadcast(now)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,11 +66,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared folder that the cluster names; the system's temporary folder where it names none (tests)."""
+    """A fresh folder in the shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named the system's temporary folder serves, but only if all runs on this machine. What lies in the folder
+    is needed until the results are read, so it's left to the cluster's clean-up of its checkpoint folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="quaverline-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -83,16 +89,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def sampled(df: DataFrame, key: Column, most: int) -> DataFrame:
-    """About ``most`` rows at most, chosen by a hash of ``key`` and so the same on every run."""
-    n = df.count()
+    """``df``, or ``most`` of its rows: those with the least hashes of ``key``, and so the same on every run.
+
+    Only hashes are sorted, ``most`` and one of each task. Of rows that tie at the edge, such as repeated ones, any fill up.
+    """
+    h = F.xxhash64(key)
+    least = df.select(h.alias("h")).orderBy("h").limit(most + 1)
+    n, edge = least.agg(F.count("*"), F.max("h")).first()
     if n <= most:
         return df
-    return df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * (most / n)))
-
-
-def column_lists(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
-    for batch in batches:
-        yield tuple(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
+    below = least.filter(F.col("h") < edge).count()
+    chosen = df.filter(h < edge)
+    return chosen.unionAll(df.filter(h == edge).limit(most - below)) if below < most else chosen
 
 
 def binary(array: np.ndarray) -> bytes:

@@ -2,7 +2,8 @@
 
 An item of m characters that occurs with at most e edits shares at least m + 1 - q (e + 1) of its q-grams with the text, all
 within e + 1 neighbouring diagonals. Diagonals are parted into bands of twice that width that overlap by half, so some
-band holds them all. Bands with enough shared q-grams are verified by a banded alignment of the whole item.
+band holds them all. Bands with enough shared q-grams are verified by a banded alignment of the whole item. q is 8, and less
+for the items whose length and edits leave no shared 8-gram sure, so the lemma holds for every item.
 
 Items are broadcast in parts of a fixed size, one pass over the documents for each part.
 """
@@ -21,8 +22,6 @@ from .common import small_batches, texts
 Q = 8
 #: Edits allowed for each character of an item.
 EDIT_SHARE = 0.1
-#: Shorter items say too little to be found by.
-MIN_ITEM_CHARS = 40
 #: Characters of items that are broadcast at a time.
 PART_CHARS = 8_000_000
 #: Characters of documents that are looked up together.
@@ -31,6 +30,10 @@ _BLOOM_BITS = 22
 _GAP = Q + 1
 
 
+#: Whether a code point is white space; none beyond is.
+_SPACE = np.array([chr(c).isspace() for c in range(0x3001)])
+
+
 def normal(text: str) -> np.ndarray:
     """Code points in lower case, each white space a space; as long as ``text``."""
     low = text.lower()
@@ -39,22 +42,26 @@ def normal(text: str) -> np.ndarray:
     codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
     if low.isprintable():
         return codes
-    codes = codes.copy()
-    codes[(codes >= 9) & (codes <= 13)] = 32
-    return codes
+    return np.where(_SPACE[np.minimum(codes, len(_SPACE) - 1)] & (codes < len(_SPACE)), np.uint32(32), codes)
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
+def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
     """A 64-bit key of each q-gram; equal q-grams have equal keys, and the alignment sorts out others."""
-    folded = (codes ^ codes >> 8 ^ codes >> 16).astype(np.uint8)
-    if len(folded) < Q:
+    if len(codes) < q:
         return np.zeros(0, np.uint64)
-    return np.ndarray((len(folded) - Q + 1,), np.uint64, folded.tobytes(), strides=(1,))
+    folded = (codes ^ codes >> 8 ^ codes >> 16).astype(np.uint8).tobytes() + bytes(8 - q)
+    whole = np.ndarray((len(codes) - q + 1,), np.uint64, folded, strides=(1,))
+    return whole if q == 8 else whole & np.uint64((1 << 8 * q) - 1)
 
 
 def budget(m: int, share: float) -> int:
-    """Edits allowed; few enough that the lemma asks for at least four q-grams."""
-    return max(0, min(int(share * m), (m + 1 - 4) // Q - 1))
+    """Edits allowed in an item of m characters."""
+    return int(share * m + 1e-9)
+
+
+def gram_length(m: int, edits: int) -> int:
+    """The longest q up to 8 for which the lemma asks for a shared q-gram at least."""
+    return max(1, min(Q, m // (edits + 1)))
 
 
 def _spread(keys: np.ndarray) -> np.ndarray:
@@ -62,48 +69,66 @@ def _spread(keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BLOOM_BITS)
 
 
-class Index:
-    """Q-grams of one part of the items."""
+class Grams:
+    """Where q-grams of one length stand in items."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float):
-        self.ids = [i for i, _ in items]
-        self.codes = [normal(t) for _, t in items]
-        self.edits = np.array([budget(len(c), share) for c in self.codes], np.int64)
-        self.least = np.array([max(1, len(c) + 1 - Q * (e + 1)) for c, e in zip(self.codes, self.edits)], np.int64)
-        keys = [grams(c) for c in self.codes]
+    def __init__(self, q: int, numbers: list[int], codes: list[np.ndarray]):
+        self.q = q
+        keys = [grams(c, q) for c in codes]
         every = np.concatenate([np.zeros(0, np.uint64), *keys])
         order = np.argsort(every, kind="stable")
-        self.items = np.repeat(np.arange(len(items)), [len(k) for k in keys])[order]
+        self.items = np.repeat(np.array(numbers, np.int64), [len(k) for k in keys])[order]
         self.at = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(k)) for k in keys)])[order]
         self.keys, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
         self.bloom = np.zeros(1 << _BLOOM_BITS, bool)
         self.bloom[_spread(self.keys)] = True
 
-    def bands(self, codes: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(document, item, band) with enough shared q-grams. ``codes`` are several documents end to end, from ``edges``."""
-        keys = grams(codes)
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, place in the item and place in ``codes`` of each q-gram shared."""
+        keys = grams(codes, self.q)
         at = np.flatnonzero(self.bloom[_spread(keys)])
         row = np.searchsorted(self.keys, keys[at])
         hit = row < len(self.keys)
         hit[hit] = self.keys[row[hit]] == keys[at[hit]]
         at, row = at[hit], row[hit]
-        if not len(at):
-            return
         times = self.count[row]
-        total = int(times.sum())
-        post = np.repeat(self.first[row] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(total)
-        place = np.repeat(at, times)
-        item = self.items[post]
-        doc = np.searchsorted(edges, place, side="right") - 1
-        diagonal = place - edges[doc] - self.at[post]
-        width = self.edits[item] + 1
-        band = np.floor_divide(diagonal, width)
-        doc, item, band = np.concatenate([doc, doc]), np.concatenate([item, item]), np.concatenate([band, band - 1])
-        low = int(band.min())
-        code = (doc * len(self.ids) + item) * (int(band.max()) - low + 1) + (band - low)
-        found, first, counts = np.unique(code, return_index=True, return_counts=True)
-        for i in first[counts >= self.least[item[first]]].tolist():
-            yield int(doc[i]), int(item[i]), int(band[i])
+        post = np.repeat(self.first[row] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        return self.items[post], self.at[post], np.repeat(at, times)
+
+
+class Index:
+    """Q-grams of one part of the items."""
+
+    def __init__(self, items: list[tuple[int, str]], share: float):
+        self.ids = [i for i, _ in items]
+        self.codes = [normal(t.strip()) for _, t in items]
+        self.edits = np.array([budget(len(c), share) for c in self.codes], np.int64)
+        q = np.array([gram_length(len(c), e) for c, e in zip(self.codes, self.edits)], np.int64)
+        self.least = np.array([max(1, len(c) + 1 - k * (e + 1)) for c, k, e in zip(self.codes, q, self.edits)], np.int64)
+        self.grams = []
+        for k in np.unique(q).tolist():
+            numbers = np.flatnonzero(q == k).tolist()
+            self.grams.append(Grams(k, numbers, [self.codes[i] for i in numbers]))
+
+    def bands(self, codes: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(document, item, band) with enough shared q-grams. ``codes`` are several documents end to end, from ``edges``."""
+        for table in self.grams:
+            item, inside, place = table.hits(codes)
+            if not len(item):
+                continue
+            doc = np.searchsorted(edges, place, side="right") - 1
+            band = np.floor_divide(place - edges[doc] - inside, self.edits[item] + 1)
+            doc, item, band = np.concatenate([doc, doc]), np.concatenate([item, item]), np.concatenate([band, band - 1])
+            low = int(band.min())
+            code = (doc * len(self.ids) + item) * (int(band.max()) - low + 1) + (band - low)
+            found, first, counts = np.unique(code, return_index=True, return_counts=True)
+            for i in first[counts >= self.least[item[first]]].tolist():
+                yield int(doc[i]), int(item[i]), int(band[i])
+
+
+def whole_words(text: np.ndarray, start: int, stop: int) -> bool:
+    """Whether no letter or digit goes on at either end of the stretch."""
+    return not any(0 <= i < len(text) and chr(text[i]).isalnum() for i in (start - 1, stop))
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -171,7 +196,8 @@ def find(text: np.ndarray, candidates: list[tuple[int, int]], index: Index) -> l
         e = int(index.edits[item])
         if band in seen.setdefault(item, set()):
             continue  # next to a band that has an occurrence, and half of it is that band
-        if hit := align(index.codes[item], text, band * (e + 1), (band + 2) * (e + 1) - 1, e):
+        hit = align(index.codes[item], text, band * (e + 1), (band + 2) * (e + 1) - 1, e)
+        if hit and (len(index.codes[item]) >= Q or whole_words(text, hit[1], hit[2])):
             found.append((item, hit[1], hit[2], hit[0]))
             if hit[0] == 0 and hit[1] // (e + 1) == band + 1:
                 seen[item].add(band + 1)
@@ -202,26 +228,28 @@ def occurrences(documents: list[str | None], index: Index) -> Iterator[list[tupl
         at = stop
 
 
-def item_parts(benchmark: DataFrame, part_chars: int, min_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in parts of about ``part_chars`` characters each, told apart by a hash of the text; null texts don't count."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") >= min_chars)
+def item_parts(benchmark: DataFrame, part_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """Items in parts of about ``part_chars`` characters each, told apart by a hash of the text; null and blank texts don't count."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // part_chars))
     for k in range(n):
         part = rows.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()
-        yield sorted({tuple(r) for r in part}, key=str)
+        yield sorted({tuple(r) for r in part if r.text.strip()}, key=str)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE, min_item_chars: int = MIN_ITEM_CHARS, part_chars: int = PART_CHARS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE, part_chars: int = PART_CHARS) -> DataFrame:
     """(doc_id, item_id, start, stop, edits): a row for each benchmark item that occurs in a document.
 
     An item occurs if the whole of it, in lower case and with any white space as a space, is in the text with at most
-    ``edit_share`` edits for each of its characters. Items shorter than ``min_item_chars`` aren't looked for. Null and empty
-    texts hold nothing; repeated rows give repeated rows; equal items count once. Either table may be empty.
+    ``edit_share`` edits for each of its characters, rounded down; one of less than 8 characters must stand there as words of
+    its own. A part of an item is no leak. White space around an item doesn't count. Null, empty and blank texts hold nothing
+    and aren't found; repeated rows give repeated rows; equal items count once; of occurrences of one item that overlap, that
+    with the fewest edits counts, ties to the first. Either table may be empty.
     """
     spark = docs.sparkSession
     found = None
-    for items in item_parts(benchmark, part_chars, min_item_chars):
+    for items in item_parts(benchmark, part_chars):
         shared = spark.sparkContext.broadcast(Index(items, edit_share))
 
         def run(batches, shared=shared):
@@ -235,12 +263,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE,
     return found
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE, min_item_chars: int = MIN_ITEM_CHARS, part_chars: int = PART_CHARS) -> DataFrame:
-    """The rows of ``docs`` in whose text no benchmark item occurs, with all their columns; see ``leaks``. No shuffle."""
+def clean_documents(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE, part_chars: int = PART_CHARS) -> DataFrame:
+    """The rows of ``docs`` in whose text no benchmark item occurs, with all their columns, whatever else those are named.
+
+    See ``leaks`` for what occurs. Rows with a null or empty text stay, repeated rows stay or go together, an empty table
+    stays empty and an empty benchmark lets all rows stay. No shuffle.
+    """
     spark, schema = docs.sparkSession, docs.schema
     small_batches(spark)
     place = docs.columns.index("text")
-    for items in item_parts(benchmark, part_chars, min_item_chars):
+    for items in item_parts(benchmark, part_chars):
         shared = spark.sparkContext.broadcast(Index(items, edit_share))
 
         def run(batches, shared=shared):

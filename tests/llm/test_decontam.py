@@ -36,19 +36,19 @@ def test_verbatim_items_are_found(spark):
 def test_brute_force_with_edits(spark):
     rng = random.Random(11)
     letters = "abcdefg hij klmnop é"
-    items = [(k, "".join(rng.choice(letters) for _ in range(rng.randrange(45, 160)))) for k in range(6)]
+    items = [(k, "".join(rng.choice(letters) for _ in range(rng.randrange(*((9, 33) if k % 2 else (33, 160))))).strip() or "x" * 9) for k in range(12)]
     docs = []
-    for d in range(80):
+    for d in range(240):
         body = list("".join(rng.choice(letters) for _ in range(rng.randrange(0, 300))))
         if d % 3:
-            x = list(items[d % 6][1].upper() if d % 2 else items[d % 6][1])
-            for _ in range(rng.randrange(0, len(x) // 7)):
+            x = list(items[d % 12][1].upper() if d % 2 else items[d % 12][1])
+            for _ in range(rng.randrange(0, len(x) // 7 + 1)):
                 at = rng.randrange(len(x))
                 x[at : at + rng.randrange(2)] = rng.choice(["", "z", "zz"])
             at = rng.randrange(len(body) + 1)
             body[at:at] = x
         docs.append((d, "".join(body)))
-    expected = {(d, k) for d, t in docs for k, x in items if distance(decontam.normal(x).tolist(), decontam.normal(t).tolist()) <= decontam.budget(len(x), 0.1)}
+    expected = {(d, k) for d, t in docs for k, x in items if distance(decontam.normal(x).tolist(), decontam.normal(t).tolist()) <= len(x) // 10}
     found = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), part_chars=200)
     assert {(r.doc_id, r.item_id) for r in found.collect()} == expected and len(expected) > 10
 
@@ -75,3 +75,32 @@ def test_alignment_is_the_edit_distance():
         hit = decontam.align(item, text, -40, 100, 12)
         assert hit is not None and hit[0] == best
         assert distance(text[hit[1] : hit[2]].tolist(), item.tolist()) <= best
+
+
+def leaked(spark, docs, items):
+    rows = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    return sorted((r.doc_id, r.item_id, r.edits) for r in rows)
+
+
+def test_items_of_any_length(spark):
+    """Verbatim at every length, and with all the edits that a length allows but not one more."""
+    rng = random.Random(3)
+    items = [(m, "".join(rng.choice("abcdefghijkl") for _ in range(m))) for m in (5, 7, 8, 10, 15, 20, 23, 30, 31, 40, 41, 42, 50, 79)]
+    docs, expected = [], []
+    for m, x in items:
+        for extra in (0, 1):
+            body = list(x)
+            for k in range(m // 10 + extra):
+                body[(2 * k + 1) * m // (2 * (m // 10 + extra))] = "Z"
+            docs.append((2 * m + extra, f"some {''.join(body)} more"))
+            expected += [(2 * m, m, m // 10)] * (1 - extra)
+    assert leaked(spark, docs, items) == sorted(expected)
+
+
+def test_short_items_are_words_of_their_own(spark):
+    assert leaked(spark, [(1, "say yes, now"), (2, "yesterday"), (3, "YES"), (4, "no")], [(7, " yes\n"), (8, " "), (9, "")]) == [(1, 7, 0), (3, 7, 0)]
+
+
+def test_any_white_space_is_a_space(spark):
+    item = "what\u2003is the\xa0answer to\tlife"
+    assert leaked(spark, [(1, "so what is\u3000the answer\x85to life then")], [(1, item)]) == [(1, 1, 0)]

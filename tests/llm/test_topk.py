@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -5,7 +7,7 @@ from quaverline.llm import topk
 
 
 def brute(rows, k=10, modulus=100):
-    ok = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    ok = [(i, np.array([math.floor(1024 * float(c)) for c in v], object)) for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
     dim = max((len(v) for _, v in ok), default=0)
     ok = [(i, np.pad(v, (0, dim - len(v)))) for i, v in ok]
     least = {}
@@ -24,6 +26,7 @@ def test_brute_force(spark, monkeypatch, spread):
     """Vectors of like and of very different lengths, with ties."""
     monkeypatch.setattr(topk, "PART_ROWS", 70)
     monkeypatch.setattr(topk, "SEEDS", 40)
+    monkeypatch.setattr(topk, "SHARE_QUERIES", 3)
     rng = np.random.default_rng(7)
     x = rng.normal(size=(700, 20)) * np.exp(rng.normal(size=(700, 1)) * spread)
     x[50:60] = x[0]
@@ -50,3 +53,21 @@ def test_bounds_never_drop_a_result():
         bound = float(np.sort(x @ q)[-rng.integers(1, 10)])
         found = topk.search_bucket(q, float(np.sqrt((q**2).sum())), bound, x, np.sqrt((x**2).sum(1)))
         assert set(np.flatnonzero(x @ q >= bound)) <= set(found.tolist())
+
+
+@pytest.mark.parametrize("size", [2.0**17, 2.0**19, 2.0**20])
+def test_products_beyond_float_precision(spark, size):
+    """Scores between 2 ** 53 and 2 ** 63, many of them close together."""
+    rng = np.random.default_rng(5)
+    x = size + rng.integers(0, 40, (300, 6)) / 1024
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    found = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert found == brute(rows) and max(r[3] for r in found) > 2**53
+
+
+def test_what_does_not_fit_is_an_error(spark):
+    df = lambda v: spark.createDataFrame([(0, [v]), (1, [v])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit in 64 bits"):
+        topk.top_k(df(2.0**40)).collect()
+    with pytest.raises(ValueError, match="does not fit in 64 bits"):
+        topk.top_k(df(2.0**60))

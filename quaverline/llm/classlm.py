@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import Memo, binary, id_bucket, lower_words, sampled, shuffle_partitions, small_batches, stored, texts
+from .common import Memo, binary, id_bucket, lower_words, sampled, shuffle_partitions, small_batches, stored, text_parts, texts
 
 #: The end of a text; no word holds a space.
 END = b" "
@@ -28,6 +28,8 @@ END = b" "
 ENDINGS = 256
 #: Entries (word of a document) that a map task folds at a time.
 BATCH_ENTRIES = 1_000_000
+#: Bytes of text behind one bucket of words at most, about.
+BUCKET_BYTES = 64 << 20
 #: Training tokens behind the bigrams of one group, about.
 GROUP_TOKENS = 500_000
 #: Units whose gains are computed at a time; each takes some hundred KB.
@@ -404,7 +406,7 @@ def word_sums(rows: DataFrame, frequent: list[bytes], least: int) -> DataFrame:
     ``rows`` has owner, text and train. A word's count is that in training rows. Of the frequent words a map task sends sums.
     """
     spark = rows.sparkSession
-    n = shuffle_partitions(spark)
+    n = text_parts(rows, 1, BUCKET_BYTES)
     shared = spark.sparkContext.broadcast(frequent)
 
     def send(batches):

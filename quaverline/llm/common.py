@@ -65,6 +65,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_parts(docs: DataFrame, per_partition: int, part_bytes: int) -> int:
+    """Into how many parts to deal what comes of the texts: ``per_partition`` for each shuffle partition, or more, so that a
+    part stands for ``part_bytes`` of text whatever the session's number of partitions."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, per_partition * shuffle_partitions(docs.sparkSession), -(-total // part_bytes))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared folder that the cluster names in ``spark.checkpoint.dir``.
 

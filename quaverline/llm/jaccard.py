@@ -25,14 +25,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import binary, lower_words, sampled, shuffle_partitions, stored, texts
+from .common import binary, lower_words, sampled, shuffle_partitions, stored, text_parts, texts
 from .components import components
 from .substring import window_hashes, word_hashes
 
 #: Shingles that a map task folds at a time.
 BATCH_SHINGLES = 600_000
-#: Buckets of hash values for each shuffle partition; one bucket at a time is in a task's memory.
+#: Buckets of hash values for each shuffle partition, and bytes of text behind one at most, about; one bucket at a time is
+#: in a task's memory.
 BUCKETS_PER_PARTITION = 2
+BUCKET_BYTES = 64 << 20
+#: Nodes of one block of a prefix shingle's posting; pairs of blocks are dealt to tasks.
+BLOCK_NODES = 2_000
+#: Node counts from here on are not exact: capped, or of a frequent shingle.
+INEXACT = 65_534
 #: Nodes of one verification group.
 GROUP_NODES = 2_000
 #: Candidates that a task holds before it passes them on.
@@ -103,7 +109,7 @@ def need(n: int, percent: int) -> int:
 def shared_shingles(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> DataFrame:
     """(sid, n, tokens, counts) of nodes that may have a link: shared shingles from rare to frequent and their node counts."""
     spark = docs.sparkSession
-    n_buckets = BUCKETS_PER_PARTITION * shuffle_partitions(spark)
+    n_buckets = text_parts(docs, BUCKETS_PER_PARTITION, BUCKET_BYTES)
     common = spark.sparkContext.broadcast(hot)
 
     def send(batches):
@@ -160,7 +166,7 @@ def shared_shingles(docs: DataFrame, width: int, percent: int, hot: np.ndarray)
         counts = np.diff(np.append(starts, len(h)))
         each = np.repeat(counts, counts)
         held = each > 1
-        h, owner, each = h[held], owner[held], np.minimum(each[held], 65_534).astype(np.uint16)
+        h, owner, each = h[held], owner[held], np.minimum(each[held], INEXACT).astype(np.uint16)
         group = blobs.spread(owner, n_buckets)
         by = np.lexsort((owner, group))
         h, owner, each, group = h[by], owner[by], each[by], group[by]
@@ -195,7 +201,7 @@ def shared_shingles(docs: DataFrame, width: int, percent: int, hot: np.ndarray)
                 numbers = both[:, 1]
                 # the low bytes are what the others have; two frequent shingles that differ in the high one alone count as one
                 tokens = tokens & np.uint64((1 << 8 * blobs.WIDTH) - 1)
-                counts.append(np.full(len(tokens), 65_535, np.uint16))
+                counts.append(np.full(len(tokens), INEXACT + 1, np.uint16))
             hashes.append(tokens)
             owners.append(np.repeat(ids, numbers))
         h, owner, count = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (hashes, owners, counts))
@@ -237,27 +243,78 @@ def prefix(n: int, counts: np.ndarray, percent: int) -> tuple[int, int]:
     return min(base + chosen, len(counts)), chosen
 
 
+def long_postings(nodes: DataFrame, percent: int) -> dict[int, int]:
+    """How many nodes have each of the most frequent shingles in their prefixes, if more than a block.
+
+    Only shingles whose number of nodes isn't known are counted, which are few: frequent in a sample or held by 65,534 nodes.
+    """
+
+    def run(batches):
+        for batch in batches:
+            found = [np.zeros(0, np.uint64)]
+            for n, tokens, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                c = np.frombuffer(counts, np.uint16)
+                size = prefix(n, c, percent)[0]
+                found.append(np.frombuffer(tokens, np.uint64)[:size][c[:size] >= INEXACT])
+            h, times = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "times": pa.array(times, pa.int64())})
+
+    counted = nodes.select("n", "tokens", "counts").mapInArrow(run, "h long, times long").groupBy("h").agg(F.sum("times").alias("times"))
+    return dict(map(tuple, counted.filter(F.col("times") > BLOCK_NODES).collect()))
+
+
+def block_pairs(sid: int, blocks: int) -> list[int]:
+    """The cells of a posting's upper triangle of block pairs that a node belongs to."""
+    own = (sid >> 31 & 0x7FFFFFFF) % blocks
+    return [min(own, k) * blocks + max(own, k) for k in range(blocks)]
+
+
 def verified_links(nodes: DataFrame, labels: DataFrame | None, percent: int, groups: int) -> DataFrame:
     """(a, b) of linked nodes. Without ``labels`` only pairs of a prefix shingle's most central node with the others are
     looked at; with them all pairs that share enough of their prefixes and have different labels. A group of nodes passes
-    on no more links than connect it."""
+    on no more links than connect it.
+
+    For all pairs, a posting of more than a block's nodes is dealt to tasks by pairs of blocks.
+    """
     n_buckets = shuffle_partitions(nodes.sparkSession)
     star = labels is None
+    many = nodes.sparkSession.sparkContext.broadcast({} if star else long_postings(nodes, percent))
     rows = nodes.withColumn("label", F.col("sid")) if star else nodes.join(labels, nodes.sid == labels.node, "left").select("sid", "n", "tokens", "counts", F.coalesce("root", "sid").alias("label"))
 
+    def cells(sid: int, tokens: np.ndarray, counts: np.ndarray) -> list[tuple[int, list[int]]]:
+        """Places in a prefix whose posting is parted, with the node's cells there."""
+        out = []
+        for i in [] if star else np.flatnonzero(counts > BLOCK_NODES).tolist():
+            n = many.value.get(int(tokens[i].view(np.int64)), 0) if counts[i] >= INEXACT else int(counts[i])
+            if n > BLOCK_NODES:
+                out.append((i, block_pairs(sid, -(-n // BLOCK_NODES))))
+        return out
+
     def send(batches):
         for batch in batches:
-            hashes, ids, facts = [], [], []
+            hashes, ids, facts, places = [], [], [], []
             for sid, n, tokens, counts, label in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 c = np.frombuffer(counts, np.uint16)
                 size, level = prefix(n, c, percent)
-                hashes.append(np.frombuffer(tokens, np.uint64)[:size])
-                ids.append(np.full(size, sid, np.int64))
+                h, cell = np.frombuffer(tokens, np.uint64)[:size], np.zeros(size, np.int64)
+                if parted := cells(sid, h, c[:size]):
+                    times = np.ones(size, np.int64)
+                    for i, own in parted:
+                        times[i] = len(own)
+                    h, cell = np.repeat(h, times), np.zeros(times.sum(), np.int64)
+                    for i, own in parted:
+                        at = times[:i].sum()
+                        cell[at : at + len(own)] = 1 + np.array(own)
+                hashes.append(h)
+                places.append(cell)
+                ids.append(np.full(len(h), sid, np.int64))
                 # the centre of near copies holds the shingles that most of them hold
-                facts.append(np.tile(np.array([[n, level, label, int(np.log(c).sum() / n * 1e6)]], np.int64), (size, 1)))
+                facts.append(np.tile(np.array([[n, level, label, int(np.log(c).sum() / n * 1e6)]], np.int64), (len(h), 1)))
             if not hashes:
                 continue
-            h, owner, fact = np.concatenate(hashes), np.concatenate(ids), np.concatenate(facts)
+            h, owner, fact, cell = np.concatenate(hashes), np.concatenate(ids), np.concatenate(facts), np.concatenate(places)
+            with np.errstate(over="ignore"):  # a posting's cells are postings of their own
+                h = np.where(cell > 0, (h + cell.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93), h)
             bucket = blobs.spread(h, n_buckets)
             by = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
@@ -378,13 +435,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, sample_d
 
     Null and empty texts have no shingles and no link. Texts with equal sets are one node; repeated rows are copies. Rows
     without a doc_id link like others, but never name a component; one that is alone has a null component.
-    An empty table gives no rows.
+    An empty table gives no rows. Components that take more than 60 rounds to settle are a RuntimeError.
     """
     rows = texts(docs)
     sets = stored(shingle_sets(rows, width), "sets")
     hot = frequent(rows, width, sample_docs, frequent_share)
     nodes = stored(shared_shingles(rows, width, percent, hot), "nodes")
-    groups = max(1, -(-nodes.count() // GROUP_NODES))
+    groups = max(shuffle_partitions(docs.sparkSession), -(-nodes.count() // GROUP_NODES))
     first = stored(verified_links(nodes, None, percent, groups), "centre")
     roots = components(first)
     second = stored(verified_links(nodes, stored(roots, "roots"), percent, groups), "rest")
@@ -395,10 +452,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, sample_d
 
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component, with all their columns.
+    """The rows of ``docs`` whose doc_id is the smallest of their component, with all their columns, whatever else those are named.
 
-    Rows without a doc_id stay, as nothing can name them. Rows that share a doc_id stay or go together.
+    Rows without a doc_id stay, as nothing can name them. Rows that share a doc_id stay or go together, so repeated rows stay
+    repeated. Null and empty texts are linked with nothing and stay. An empty table stays empty.
     """
     found = near_duplicates(docs, **how)
     gone = found.filter("doc_id is not null and component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

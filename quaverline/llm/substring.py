@@ -24,12 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, shuffle_partitions, stored, texts, words
+from .common import binary, stored, text_parts, texts, words
 
 #: Windows that a map task folds at a time.
 BATCH_WINDOWS = 600_000
-#: Buckets of hash values for each shuffle partition; one bucket at a time is in a task's memory.
+#: Buckets of hash values for each shuffle partition, and bytes of text behind one at most, about; one bucket at a time is
+#: in a task's memory.
 BUCKETS_PER_PARTITION = 2
+BUCKET_BYTES = 64 << 20
+#: The same of shards.
+SHARDS_PER_PARTITION = 4
+SHARD_BYTES = 16 << 20
 #: Words of one automaton (about 1 KB each while it lives); a shard with more is worked off in several.
 AUTOMATON_WORDS = 100_000
 #: Documents streamed through one copy of a shard's automaton.
@@ -83,7 +88,7 @@ def _by_doc(doc: np.ndarray, home: np.ndarray, n: int) -> tuple[list[int], list[
 
 def homes(rows: DataFrame, min_words: int) -> DataFrame:
     """Distinct (doc_id, home): for each window of a document that a smaller id holds, one such id."""
-    n = BUCKETS_PER_PARTITION * shuffle_partitions(rows.sparkSession)
+    n = text_parts(rows, BUCKETS_PER_PARTITION, BUCKET_BYTES)
 
     def send(batches):
         ids: list[int] = []
@@ -240,23 +245,27 @@ def spans(ends: list[int], n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _automata(reference: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], most: int):
-    """Automata of at most ``most`` words each (or one document), built one at a time."""
+def _automata(reference: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], most: int, n: int):
+    """Automata of about ``most`` words each, built one at a time.
+
+    A longer document is parted; as the parts overlap by n - 1 words, each of its windows of n words is whole in one.
+    """
     automaton, held = SuffixAutomaton(), 0
     for doc, tokens in reference:
-        if held and held + len(tokens) > most:
-            yield automaton
-            automaton, held = SuffixAutomaton(), 0
-        automaton.add(doc, [vocabulary.setdefault(w, len(vocabulary)) for w in tokens])
-        held += len(tokens)
+        for at in range(0, max(len(tokens) - n + 1, 1), most):
+            part = tokens[at : at + most + n - 1]
+            if held and held + len(part) > most:
+                yield automaton
+                automaton, held = SuffixAutomaton(), 0
+            automaton.add(doc, [vocabulary.setdefault(w, len(vocabulary)) for w in part])
+            held += len(part)
     if held:
         yield automaton
 
 
 def repeated_spans(rows: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, found): for each text, by its ``sig``, the word positions at which a window ends that a smaller document holds."""
-    spark = rows.sparkSession
-    n = 4 * shuffle_partitions(spark)
+    n = text_parts(rows, SHARDS_PER_PARTITION, SHARD_BYTES)
     pairs = stored(homes(rows.select("doc_id", "text"), min_words), "homes").withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(n)).cast("int"))
     streamed = pairs.select("shard", "doc_id").distinct()
     salts = streamed.groupBy("shard").agg(F.ceil(F.count("*") / GROUP_DOCS).cast("int").alias("salts"))
@@ -272,7 +281,7 @@ def repeated_spans(rows: DataFrame, min_words: int) -> DataFrame:
         order = sorted(range(len(ids)), key=lambda i: ids[i])
         vocabulary: dict[bytes, int] = {}
         found: dict[int, set[int]] = {}
-        for automaton in _automata([(ids[i], words(bodies[i])) for i in order if refs[i]], vocabulary, AUTOMATON_WORDS):
+        for automaton in _automata([(ids[i], words(bodies[i])) for i in order if refs[i]], vocabulary, AUTOMATON_WORDS, min_words):
             for i in order:
                 if not refs[i]:
                     found.setdefault(i, set()).update(automaton.matches(ids[i], [vocabulary.get(w, -1) for w in words(bodies[i])], min_words))
@@ -330,7 +339,10 @@ def substring_dedup(docs: DataFrame, min_words: int = 13) -> DataFrame:
 def remove_substrings(docs: DataFrame, min_words: int = 13) -> DataFrame:
     """``docs`` with repeated spans cut from ``text``; other columns unchanged. Texts without such spans stay byte for byte.
 
-    What is left of a cut text is its kept words joined by one space.
+    What is left of a cut text is its kept words joined by one space, and may be empty. Null and empty texts stay as they are,
+    as do rows without a doc_id. Rows that share a doc_id are cut each by its own text, so repeated rows stay equal; of a
+    passage that several documents hold, that with the smallest doc_id keeps it. An empty table stays empty. Other columns
+    may have any name.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     plain = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(others)))
@@ -365,7 +377,7 @@ def remove_reference(docs: DataFrame, reference: DataFrame, min_words: int = 13,
         built = []
         for part in sent:
             vocabulary: dict[bytes, int] = {}
-            built += [(a, vocabulary) for a in _automata([(-1, b) for b in part.value], vocabulary, AUTOMATON_WORDS)]
+            built += [(a, vocabulary) for a in _automata([(-1, b) for b in part.value], vocabulary, AUTOMATON_WORDS, min_words)]
         for batch in batches:
             ends = []
             for text in batch.column(1).to_pylist():

@@ -82,3 +82,27 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500)], "a long, b long")
     found = dict(map(tuple, components(links).collect()))
     assert all(found[i] == 0 for i in range(201)) and found[501] == found[500] == 500
+
+
+@pytest.mark.parametrize("share", [0.005, 0.5])
+def test_long_postings_in_blocks(spark, monkeypatch, share):
+    """Short texts made of the same few shingles: every prefix shingle is held by many nodes, most of them not linked."""
+    import random
+
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 7)
+    monkeypatch.setattr(jaccard, "INEXACT", 30)
+    rng = random.Random(8)
+    lines = [" ".join(f"l{k}w{i}" for i in range(5)) for k in range(14)]
+    rows = [(i, " ".join(rng.sample(lines, rng.randrange(2, 7)))) for i in range(150)]
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA), sample_docs=200, frequent_share=share)
+    assert sorted(map(tuple, found.collect()), key=str) == brute(rows)
+
+
+def test_representatives_of_odd_tables(spark):
+    text = "one two three four five six seven eight"
+    rows = [(3, text), (1, text), (1, text), (None, text), (7, None), (8, ""), (9, None)]
+    docs = spark.createDataFrame([(d, t, 1, 2, "x") for d, t in rows], SCHEMA + ", _gone int, sid int, component_id string")
+    kept = jaccard.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "7", "8", "9", "None"]
+    assert jaccard.representatives(docs.limit(0)).count() == 0

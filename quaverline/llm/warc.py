@@ -135,16 +135,29 @@ def _head(stream) -> list[bytes] | None:
     return None
 
 
+def _decoded(line: bytes) -> str:
+    """Header fields are UTF-8; what isn't is taken as Latin-1, which any bytes are."""
+    try:
+        return line.decode("utf-8")
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
 def records(stream, wanted=lambda record: True, with_payload: bool = True) -> Iterator[dict]:
-    """Records of one file. ``wanted`` sees the header fields; a block that isn't wanted is passed over unread."""
+    """Records of one file. ``wanted`` sees the header fields; a block that isn't wanted is passed over unread.
+
+    A record without a version line or with another length than a number is a ValueError, one that ends early an EOFError.
+    """
     while (lines := _head(stream)) is not None:
         if not lines[0].startswith(b"WARC/"):
             raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
         fields: dict[str, str] = {}
         for line in lines[1:]:
-            key, _, value = line.decode("utf-8").partition(":")
+            key, _, value = _decoded(line).partition(":")
             fields[key.strip().lower()] = value.strip()
-        length = int(fields.get("content-length", 0))
+        if not (size := fields.get("content-length", "0")).isdecimal():
+            raise ValueError(f"not a WARC content length: {size[:40]!r}")
+        length = int(size)
         record: dict = {n: fields.get(h) for n, h in HEADER_FIELDS.items()} | {"content_length": length, "payload": None}
         if not wanted(record):
             _skip(stream, length)

@@ -1,8 +1,9 @@
 """Token ids as wavelet matrices: one file per shard, succinct bit-planes with rank and select.
 
 A shard holds whole documents in ascending order. Its ids are stored as bit-planes from the highest bit down; each plane
-is stably parted by its bit before the next. A directory of ones before every 512 bits makes rank a lookup and a short
-count. The file supports access, counting and the k-th occurrence of an id without any other copy of the ids.
+is stably parted by its bit before the next. Planes are cut into chunks that are compressed one by one; a directory holds
+each chunk's place in the file and the ones before it, so rank is a lookup and a count within one chunk. The file supports
+access, counting and the k-th occurrence of an id without any other copy of the ids, reading only the chunks it needs.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import os
 import re
 import struct
 import zlib
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -21,18 +24,25 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, shuffle_partitions, texts
 
-MAGIC = b"QWM1"
-BLOCK = 512
+MAGIC = b"QWM2"
+#: Bytes of one chunk of a bit-plane.
+CHUNK = 8_192
 #: Ids of one shard, about; a shard ends with a document.
 SHARD_TOKENS = 1_000_000
+#: Chunks that an open file keeps at hand.
+OPEN_CHUNKS = 256
+
+
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
 
 
 class WaveletMatrix:
-    """Bit-planes of a sequence of ids below ``2 ** levels``."""
+    """Bit-planes of a sequence of ids below ``2 ** levels``; ``chunk(level, k)`` gives the k-th chunk of a plane and
+    ``ones[level]`` how many ones are before each chunk, and in all."""
 
-    def __init__(self, n: int, levels: int, zeros: list[int], planes: list[np.ndarray]):
-        self.n, self.levels, self.zeros, self.planes = n, levels, zeros, planes
-        self._ranks: list[np.ndarray | None] = [None] * levels
+    def __init__(self, n: int, levels: int, zeros: list[int], ones: np.ndarray, chunk: Callable[[int, int], np.ndarray]):
+        self.n, self.levels, self.zeros, self.ones, self.chunk = n, levels, zeros, ones, chunk
 
     @classmethod
     def build(cls, ids: np.ndarray, levels: int = 16) -> WaveletMatrix:
@@ -45,37 +55,37 @@ class WaveletMatrix:
             zeros.append(len(low))
             if k:
                 x = np.concatenate([low, np.compress(bit, x)])
-        return cls(len(ids), levels, zeros, planes)
-
-    def _rank_blocks(self, level: int) -> np.ndarray:
-        if self._ranks[level] is None:
-            p = self.planes[level]
-            padded = np.zeros(-(-len(p) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
-            padded[: len(p)] = p
-            ones = np.bitwise_count(padded.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.int64)
-            self._ranks[level] = np.concatenate([[0], np.cumsum(ones)])
-        return self._ranks[level]
+        count = -(-len(planes[0]) // CHUNK)
+        ones = np.zeros((levels, count + 1), np.int64)
+        for level, p in enumerate(planes):
+            if count:
+                ones[level, 1:] = np.cumsum(np.add.reduceat(np.bitwise_count(p), np.arange(count) * CHUNK, dtype=np.int64))
+        return cls(len(ids), levels, zeros, ones, lambda level, k: planes[level][k * CHUNK : (k + 1) * CHUNK])
 
     def bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i >> 3] >> (i & 7)) & 1
+        at = i >> 3
+        return int(self.chunk(level, at // CHUNK)[at % CHUNK] >> (i & 7)) & 1
 
     def rank1(self, level: int, i: int) -> int:
         """Ones before position i."""
-        start = i // BLOCK * BLOCK
-        ones = int(self._rank_blocks(level)[i // BLOCK])
-        whole = self.planes[level][start >> 3 : i >> 3]
-        ones += int(np.bitwise_count(whole).sum())
-        return ones + (int(self.planes[level][i >> 3] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0)
+        k, rest = divmod(i, 8 * CHUNK)
+        if not rest:
+            return int(self.ones[level, k])
+        bits, whole = self.chunk(level, k), rest >> 3
+        ones = int(self.ones[level, k]) + int(np.bitwise_count(bits[:whole]).sum())
+        return ones + (int(bits[whole] & ((1 << (rest & 7)) - 1)).bit_count() if rest & 7 else 0)
 
     def select(self, level: int, one: int, k: int) -> int:
         """Position of the k-th (from 0) bit that equals ``one``."""
-        ranks = self._rank_blocks(level)
-        counts = ranks if one else np.arange(len(ranks)) * BLOCK - ranks
-        block = int(np.searchsorted(counts, k, side="right")) - 1
-        bits = np.unpackbits(self.planes[level][block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
-        return block * BLOCK + int(np.flatnonzero(bits == one)[k - int(counts[block])])
+        ones = self.ones[level]
+        before = ones if one else np.minimum(np.arange(len(ones)) * 8 * CHUNK, self.n) - ones
+        at = int(np.searchsorted(before, k, side="right")) - 1
+        bits = np.unpackbits(self.chunk(level, at), bitorder="little")
+        return at * 8 * CHUNK + int(np.flatnonzero(bits == one)[k - int(before[at])])
 
     def access(self, i: int) -> int:
+        if not 0 <= i < self.n:
+            raise IndexError(i)
         value = 0
         for level in range(self.levels):
             b = self.bit(level, i)
@@ -85,7 +95,12 @@ class WaveletMatrix:
         return value
 
     def _range(self, token: int, lo: int, hi: int) -> tuple[int, int]:
+        """Where the ids equal to ``token`` at positions lo to hi - 1 stand after the last plane."""
+        if token >> self.levels:
+            return 0, 0
         for level in range(self.levels):
+            if lo >= hi:
+                break
             a, b = self.rank1(level, lo), self.rank1(level, hi)
             if token >> (self.levels - 1 - level) & 1:
                 lo, hi = self.zeros[level] + a, self.zeros[level] + b
@@ -114,7 +129,8 @@ class WaveletMatrix:
         kind = np.uint16 if self.levels <= 16 else np.uint32
         out = np.zeros(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            plane = np.concatenate([np.zeros(0, np.uint8), *(self.chunk(level, k) for k in range(self.ones.shape[1] - 1))])
+            bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             z = self.zeros[level]
             merged = np.empty(self.n, kind)
             merged[np.flatnonzero(~bit)] = out[:z]
@@ -123,23 +139,45 @@ class WaveletMatrix:
         return out
 
     def to_bytes(self, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
-        """The file: magic, JSON header with its length, document table, bit-planes."""
-        head = json.dumps({"n": self.n, "levels": self.levels, "docs": len(doc_ids), "zeros": self.zeros}).encode()
-        planes = b"".join(p.tobytes() for p in self.planes)
-        return b"".join([MAGIC, struct.pack("<I", len(head)), head, doc_ids.astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), planes])
+        """The file: magic, JSON header with its length, document table, directory (ones before and end of each chunk,
+        plane by plane), chunks. A chunk that compression doesn't make smaller stands as it is."""
+        head = json.dumps({"n": self.n, "levels": self.levels, "docs": len(doc_ids), "zeros": self.zeros, "chunk": CHUNK}).encode()
+        codec, parts = _codec(), []
+        for level in range(self.levels):
+            for k in range(self.ones.shape[1] - 1):
+                raw = self.chunk(level, k).tobytes()
+                packed = codec.compress(raw, asbytes=True)
+                parts.append(packed if len(packed) < len(raw) else raw)
+        ends = np.cumsum([len(p) for p in parts], dtype="<i8")
+        return b"".join([MAGIC, struct.pack("<I", len(head)), head, doc_ids.astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), self.ones.astype("<i8").tobytes(), ends.tobytes(), *parts])
 
     @classmethod
-    def from_bytes(cls, raw: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray]:
-        if raw[:4] != MAGIC:
+    def open(cls, read: Callable[[int, int], bytes]) -> tuple[WaveletMatrix, np.ndarray, np.ndarray]:
+        """The matrix, document ids and lengths of a file of which ``read(offset, size)`` gives bytes; chunks are read when needed."""
+        start = read(0, 8)
+        if start[:4] != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        at = 8 + struct.unpack_from("<I", raw, 4)[0]
-        head = json.loads(raw[8:at])
-        doc_ids = np.frombuffer(raw, "<i8", head["docs"], at)
-        lengths = np.frombuffer(raw, "<i8", head["docs"], at + 8 * head["docs"])
-        at += 16 * head["docs"]
-        width = -(-head["n"] // 8)
-        planes = [np.frombuffer(raw, np.uint8, width, at + k * width) for k in range(head["levels"])]
-        return cls(head["n"], head["levels"], head["zeros"], planes), doc_ids, lengths
+        size = struct.unpack_from("<I", start, 4)[0]
+        head = json.loads(read(8, size))
+        n, levels, docs, step = head["n"], head["levels"], head["docs"], head["chunk"]
+        count = -(-n // (8 * step))
+        words = np.frombuffer(read(8 + size, 8 * (2 * docs + levels * (2 * count + 1))), "<i8")
+        doc_ids, lengths = words[:docs], words[docs : 2 * docs]
+        ones = words[2 * docs : 2 * docs + levels * (count + 1)].reshape(levels, count + 1)
+        ends = np.append(0, words[2 * docs + levels * (count + 1) :])
+        first, last, codec = 8 + size + 8 * len(words), -(-n // 8) - (count - 1) * step, _codec()
+
+        @lru_cache(maxsize=OPEN_CHUNKS)
+        def chunk(level: int, k: int) -> np.ndarray:
+            i, whole = level * count + k, step if k < count - 1 else last
+            raw = read(first + int(ends[i]), int(ends[i + 1] - ends[i]))
+            return np.frombuffer(raw if len(raw) == whole else codec.decompress(raw, decompressed_size=whole, asbytes=True), np.uint8)
+
+        return cls(n, levels, head["zeros"], ones, chunk), doc_ids, lengths
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray]:
+        return cls.open(lambda at, size: raw[at : at + size])
 
 
 @lru_cache(maxsize=2)
@@ -246,10 +284,20 @@ def _read(path: str) -> bytes:
         return f.read()
 
 
+@contextmanager
+def opened(path: str) -> Iterator[tuple[WaveletMatrix, np.ndarray, np.ndarray]]:
+    """Matrix, document ids and lengths of one file, which is read by offset as far as they are used."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    with system.open_input_file(name) as f:
+        yield WaveletMatrix.open(lambda at, size: f.read_at(size, at))
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, partitions: int | None = None) -> DataFrame:
     """Encodes whole texts and writes shards in ascending doc_id order; returns (part, shard, file, docs, tokens).
 
-    A null text is empty and has the end id alone. Rows with equal ids keep no set order among themselves; a null id comes first.
+    The tokenizer takes the strings of special tokens in a text as text. A null text is empty and has the end id alone. Rows with equal ids keep no set order among themselves; a null id comes first.
     """
     from pyarrow import fs
 
@@ -340,3 +388,49 @@ def token_files(docs: DataFrame, tokenizer_path: str, **how) -> DataFrame:
     table = f"{path}-manifest"
     manifest.write.parquet(table)
     return read_shards(spark.read.schema(manifest.schema).parquet(table))
+
+
+def _asked(tokens: DataFrame) -> list[int]:
+    """Distinct ids asked for; there are no more than the vocabulary has."""
+    return sorted(r[0] for r in tokens.select(F.col("token").cast("long").alias("token")).filter("token >= 0").distinct().collect())
+
+
+def count_tokens(shards: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(token, count): occurrences of each distinct id of ``tokens`` (column token) in the files of a written manifest.
+
+    Each file is asked by rank, without decoding. Null and negative ids don't count, an id that no file holds has 0.
+    """
+    spark = shards.sparkSession
+    wanted = spark.sparkContext.broadcast(_asked(tokens))
+
+    def run(batches):
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                with opened(file) as (matrix, _, _):
+                    yield pa.RecordBatch.from_pydict({"token": pa.array(wanted.value, pa.int64()), "count": pa.array([matrix.count(t) for t in wanted.value], pa.int64())})
+
+    found = shards.select("file").mapInArrow(run, "token long, count long")
+    none = spark.createDataFrame([(t, 0) for t in wanted.value], "token long, count long")
+    return found.unionAll(none).groupBy("token").agg(F.sum("count").alias("count"))
+
+
+def find_tokens(shards: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(token, doc_id, place): every occurrence of the ids of ``tokens`` (column token), by select; ``place`` counts from a
+    document's start. Null and negative ids, and ids that no file holds, give no rows."""
+    wanted = shards.sparkSession.sparkContext.broadcast(_asked(tokens))
+    none = np.iinfo(np.int64).min
+
+    def run(batches):
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                with opened(file) as (matrix, doc_ids, lengths):
+                    ends = np.cumsum(lengths)
+                    for t in wanted.value:
+                        count = matrix.count(t)
+                        for at in range(0, count, 4_096):
+                            places = np.array([matrix.locate(t, k) for k in range(at, min(at + 4_096, count))])
+                            doc = np.searchsorted(ends, places, side="right")
+                            ids = [None if i == none else i for i in doc_ids[doc].tolist()]
+                            yield pa.RecordBatch.from_pydict({"token": pa.array([t] * len(ids), pa.int64()), "doc_id": pa.array(ids, pa.int64()), "place": places - (ends - lengths)[doc]})
+
+    return shards.select("file").mapInArrow(run, "token long, doc_id long, place long")

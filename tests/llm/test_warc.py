@@ -4,6 +4,7 @@ import io
 from collections import defaultdict
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from quaverline.llm import warc
@@ -71,3 +72,15 @@ def test_record_at_a_time_gzip():
     one = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     found = list(warc.records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(gzip.compress(one) * 3)))))
     assert [r["payload"] for r in found] == [b"abc"] * 3
+
+
+def test_malformed_records():
+    head = lambda more: b"WARC/1.0\r\nWARC-Type: resource\r\n" + more + b"\r\n\r\n"
+    read = lambda raw: list(warc.records(io.BufferedReader(io.BytesIO(raw))))
+    latin = read(head("WARC-Target-URI: http://h/\xe9\r\nContent-Length: 3".encode("latin-1")) + b"abc\r\n\r\n")
+    assert [(r["target_uri"], r["payload"]) for r in latin] == [("http://h/\xe9", b"abc")]
+    assert read(head("WARC-Target-URI: http://h/\xe9\r\nContent-Length: 0".encode()))[0]["target_uri"] == "http://h/\xe9"
+    assert read(b"") == [] and read(b"\r\n\r\n") == []
+    for raw, error in ((b"junk\r\n\r\n", ValueError), (head(b"Content-Length: x"), ValueError), (head(b"Content-Length: -4"), ValueError), (head(b"Content-Length: 9") + b"abc", EOFError), (b"WARC/1.0\r\nWARC-Type", EOFError)):
+        with pytest.raises(error):
+            read(raw)

@@ -1,3 +1,5 @@
+import random
+import tempfile
 import zlib
 
 import duckdb
@@ -46,17 +48,59 @@ def test_edges(spark, tok):
 
 def test_rank_select_access():
     rng = np.random.default_rng(5)
-    ids = rng.integers(0, 40, 5000).astype(np.uint32)
+    ids = rng.integers(0, 40, 200_000).astype(np.uint32)
     ids[:3] = 65_535, 0, 65_535
-    m, docs, sizes = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids).to_bytes(np.array([4]), np.array([5000])))
-    assert (m.decode() == ids).all() and docs.tolist() == [4] and sizes.tolist() == [5000]
-    for i in (0, 1, 511, 512, 513, 4999):
+    m, docs, sizes = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids).to_bytes(np.array([4]), np.array([200_000])))
+    assert (m.decode() == ids).all() and docs.tolist() == [4] and sizes.tolist() == [200_000]
+    for i in (0, 1, 511, 65_535, 65_536, 65_537, 199_999):
         assert m.access(i) == ids[i]
     for token in (0, 7, 39, 65_535, 41):
         at = np.flatnonzero(ids == token)
         assert m.count(token) == len(at)
-        assert m.count(token, 100, 2000) == int(((at >= 100) & (at < 2000)).sum())
-        assert [m.locate(token, k) for k in range(0, len(at), 17)] == at[::17].tolist()
+        assert m.count(token, 100, 131_072) == int(((at >= 100) & (at < 131_072)).sum())
+        assert [m.locate(token, k) for k in range(0, len(at), 317)] == at[::317].tolist()
     with pytest.raises(IndexError):
         m.locate(41, 0)
+    assert m.count(1 << 16) == 0
     assert wavelet.WaveletMatrix.build(np.zeros(0, np.uint32)).decode().size == 0
+
+
+def test_files_are_smaller_and_read_in_part(tmp_path):
+    """One access reads the header and at most one chunk a plane."""
+    ids = (np.random.default_rng(6).zipf(1.3, 400_000) % 50_000).astype(np.uint32)
+    raw = wavelet.WaveletMatrix.build(ids).to_bytes(np.array([1]), np.array([len(ids)]))
+    assert len(raw) < 0.9 * 2 * len(ids)
+    asked = []
+
+    def read(at, size):
+        asked.append(size)
+        return raw[at : at + size]
+
+    m = wavelet.WaveletMatrix.open(read)[0]
+    first = sum(asked)
+    assert m.access(123_456) == ids[123_456] and first < 8_000 and sum(asked) - first <= 16 * 2 * wavelet.CHUNK
+
+
+def test_lookup_over_shards(spark, tok):
+    rows = duckdb.sql("select doc_id, text from '/root/testdata/sf0.001/documents.parquet'").fetchall() + [(None, "a b")]
+    shards = wavelet.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), PATH, f"file://{tempfile.mkdtemp()}/w", shard_tokens=20_000).persist()
+    places = {}
+    for d, t in rows:
+        for k, i in enumerate([*tok.encode(t or "", add_special_tokens=False).ids, 0]):
+            places.setdefault(i, []).append((d, k))
+    by_count = sorted(places, key=lambda i: len(places[i]))
+    some = [by_count[0], by_count[len(by_count) // 2], by_count[-20], 0]
+    asked = spark.createDataFrame([(t,) for t in [*some, some[0], 50_256, 99_999, None, -1]], "token long")
+    assert dict(map(tuple, wavelet.count_tokens(shards, asked).collect())) == {t: len(places.get(t, [])) for t in [*some, 50_256, 99_999]}
+    found = sorted((tuple(r) for r in wavelet.find_tokens(shards, asked).collect()), key=str)
+    assert found == sorted(((t, d, k) for t in some for d, k in places[t]), key=str)
+    assert wavelet.find_tokens(shards.limit(0), asked).count() == 0
+
+
+def test_latin_split_is_the_tokenizers(tok):
+    """Random texts of U+0000 to U+00FF, and with the characters around its rules more often."""
+    rng = random.Random(12)
+    every, often = [chr(i) for i in range(256)], list(" '\n\tsdmtlrev9A\xb2\xe9\xaa!\u00a0\x1c\x85")
+    texts = ["".join(rng.choice(every if k % 2 else often) for _ in range(rng.randrange(1, 60))) for k in range(4_000)]
+    for text, ids in zip(texts, wavelet.encode_all(texts, PATH)):
+        assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids, text

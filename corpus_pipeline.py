@@ -20,30 +20,34 @@ MIN_LANGUAGE_SCORE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without a language that is likelier than all others together, go.
 
-    The model learns from the labelled documents that are not held out.
+    The model learns from the labelled documents that are not held out. See ``langid.accepted`` for nulls, ties, repeated rows
+    and empty tables.
     """
     return langid.accepted(docs, min_score=MIN_LANGUAGE_SCORE, held_out_remainder=2, modulus=4)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    """Of each group of near duplicates the document with the smallest doc_id stays; see ``jaccard.representatives``."""
     return jaccard.representatives(docs, width=5, percent=75)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of at least 13 words that a smaller doc_id holds are cut; n_chars follows the text. What is left empty goes."""
+    """Passages of at least 13 words that a smaller doc_id holds are cut; n_chars follows the text.
+
+    What is left without a character, or was without one or null before, goes. See ``substring.remove_substrings``.
+    """
     cut = substring.remove_substrings(docs, min_words=13)
     same = F.length("text") == F.col("n_chars")
     return cut.filter(F.length(F.trim("text")) > 0).withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; see ``decontam.clean_documents``."""
     return decontam.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the digests of ids and decoded bytes of each document."""
+    """doc_id, lang, source, n_tokens and the digests of ids and decoded bytes of each document, null texts as empty ones."""
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, "lang", "source")
 
 

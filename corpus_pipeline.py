@@ -34,11 +34,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of at least 13 words that a smaller doc_id holds are cut; n_chars follows the text.
 
-    What is left without a character, or was without one or null before, goes. See ``substring.remove_substrings``.
+    What is left without a word, or was without one or null before, goes. See ``substring.remove_substrings``.
     """
     cut = substring.remove_substrings(docs, min_words=13)
     same = F.length("text") == F.col("n_chars")
-    return cut.filter(F.length(F.trim("text")) > 0).withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return cut.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

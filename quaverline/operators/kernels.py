@@ -346,9 +346,14 @@ def dithered(x: Array, rng: np.random.Generator, bits: int = 16, feedback: float
 
 
 def resampled(x: Array, sr: float, to: float) -> Array:
-    """Band-limited: the spectrum cut or continued with zeros."""
+    """Band-limited: the spectrum cut or continued with zeros. Half the lower rate is one bin where its length is even, and
+    counts on both sides."""
     if sr == to:
         return x
     n = x.shape[-1]
     m = max(1, int(np.ceil(n * to / sr)))
-    return np.fft.irfft(np.fft.rfft(x, axis=-1)[..., : m // 2 + 1], m, axis=-1) * (m / n)
+    spectrum = np.fft.rfft(x, axis=-1)[..., : m // 2 + 1]
+    least = min(n, m)
+    if least % 2 == 0 and m != n:
+        spectrum[..., least // 2] *= 0.5 if m > n else 2.0
+    return np.fft.irfft(spectrum, m, axis=-1) * (m / n)

@@ -20,6 +20,7 @@ from ..operators.analysis import FRAMES, analyze
 from ..session import table
 from ..sources import signals
 from . import oracles as o
+from . import signal_sql as q
 from . import rules, validation
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -529,7 +530,7 @@ def fixed_channels(spark, sf_dir):
     return rounded(one.join(three, ["track", "n"]).withColumn("n", F.col("n").cast("long")))
 
 
-# Kernels: recursions, filters and spectra that SQL can't express
+# Kernels: recursions, filters and spectra
 
 
 def _kernel(spark: SparkSession, sf_dir: str, fn: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], names: list[str]) -> DataFrame:
@@ -552,37 +553,59 @@ def attack_release(spark, sf_dir):
     return _kernel(spark, sf_dir, fn, ["least", "last"])
 
 
-@query()
+@query(q.k_weighted_loudness())
 def k_weighted_loudness(spark, sf_dir):
-    return _kernel(spark, sf_dir, lambda a, b, m: {"lufs": kernels.integrated_loudness([a, b], 400.0), "true_peak_db": kernels.db(kernels.true_peak([a, b]))}, ["lufs", "true_peak_db"])
+    """Tracks shorter than a block, and of a few blocks."""
+    fn = lambda a, b, m: {"lufs": kernels.integrated_loudness([a, b], 400.0), "gated_lufs": kernels.integrated_loudness([a, b], 101.0), "true_peak_db": kernels.db(kernels.true_peak([a, b]))}
+    return _kernel(spark, sf_dir, fn, ["lufs", "gated_lufs", "true_peak_db"])
 
 
-@query()
+@query(q.compressor())
 def compressor(spark, sf_dir):
     return _kernel(spark, sf_dir, lambda a, b, m: {"rms": kernels.rms(kernels.compress(a, 2_000.0, 1 + 3 * m)), "crest_db": kernels.crest([kernels.compress(a, 2_000.0, 1 + 3 * m)])}, ["rms", "crest_db"])
 
 
-@query()
+@query(q.limiter())
 def limiter(spark, sf_dir):
-    return _kernel(spark, sf_dir, lambda a, b, m: {"peak": kernels.sample_peak(kernels.limit([a, b], -6 * m - 1, 2_000.0))}, ["peak"])
+    def fn(a, b, m):
+        out = kernels.limit([a, b], -6 * m - 1, 2_000.0)
+        return {"peak": kernels.sample_peak(out), "rms": kernels.rms(out[0])}
 
+    return _kernel(spark, sf_dir, fn, ["peak", "rms"])
 
-@query()
+
+@query(q.output_safety())
+def output_safety(spark, sf_dir):
+    """Loudness towards a target, limiter, trim, and the last safety, plain and strict."""
+
+    def fn(a, b, m):
+        sr, ceiling = 8_000.0, -1.2 - m
+        out, gain = guards.loudness_set((a, b), sr, -14 + 12 * m, ceiling)
+        loud = kernels.limit(list(out), ceiling, sr)
+        cut, by = kernels.trimmed(loud, kernels.true_peak(loud), ceiling)
+        plain, strict = guards.safe(out, sr, ceiling), guards.safe(out, sr, np.minimum(ceiling, mastering.MANUAL_CEILING), True)
+        return {"gain_db": gain, "limited_peak": kernels.sample_peak(loud), "cut_db": by, "cut_rms": kernels.rms(cut[0]), "safe_peak": kernels.true_peak(list(plain)), "strict_peak": kernels.true_peak(list(strict)), "strict_rms": kernels.rms(strict[0])}
+
+    return _kernel(spark, sf_dir, fn, ["gain_db", "limited_peak", "cut_db", "cut_rms", "safe_peak", "strict_peak", "strict_rms"])
+
+
+@query(q.spectral_gate())
 def spectral_gate(spark, sf_dir):
     return _kernel(spark, sf_dir, lambda a, b, m: {"rms": kernels.rms(kernels.gate(a, m, 32, 8)), "cleaned_rms": kernels.rms(kernels.bleed_cleaned(a, b, 8_000.0, 32, 8))}, ["rms", "cleaned_rms"])
 
 
-@query()
+@query(q.tone_and_harmonics())
 def tone_and_harmonics(spark, sf_dir):
     def fn(a, b, m):
         shaped = kernels.shape(kernels.high_pass(a, 8_000.0, 80.0), 8_000.0, 6 * m, -3 * m, 3 * m)
         excited = kernels.excite(kernels.saturate(shaped, m), 48_000.0, m)
-        return {"shaped_rms": kernels.rms(shaped), "excited_rms": kernels.rms(kernels.smooth_top(excited, 48_000.0, m)), "resampled_rms": kernels.rms(kernels.resampled(a, 8_000.0, 12_000.0))}
+        finer = kernels.resampled(a, 8_000.0, 12_000.0)
+        return {"shaped_rms": kernels.rms(shaped), "excited_rms": kernels.rms(kernels.smooth_top(excited, 48_000.0, m)), "resampled_rms": kernels.rms(finer), "resampled_peak": kernels.sample_peak([finer])}
 
-    return _kernel(spark, sf_dir, fn, ["shaped_rms", "excited_rms", "resampled_rms"])
+    return _kernel(spark, sf_dir, fn, ["shaped_rms", "excited_rms", "resampled_rms", "resampled_peak"])
 
 
-@query()
+@query(q.click_repair())
 def click_repair(spark, sf_dir):
     def fn(a, b, m):
         fixed, count = kernels.repair_clicks(a)
@@ -591,29 +614,55 @@ def click_repair(spark, sf_dir):
     return _kernel(spark, sf_dir, fn, ["clicks", "rms", "onset"])
 
 
-@query()
+# Each guard on a copy that was driven, narrowed and tilted: what it leaves
+
+
+def _guard_query(spark: SparkSession, sf_dir: str, fn: Callable[[guards.Stereo, guards.Stereo, np.ndarray], dict[str, np.ndarray]], names: list[str]) -> DataFrame:
+    return _kernel(spark, sf_dir, lambda a, b, m: fn((a, b), (np.tanh(2 * a) * (1 + m[:, None]), np.tanh(2 * b)), m), names)
+
+
+@query(q.comparison_guards("levels"))
 def comparison_guards(spark, sf_dir):
-    """Each guard on a copy that was driven, narrowed and tilted; the width, tilt and level that it leaves."""
+    """Balance, width, low bass, tone and the equaliser that follows the source, for each of its targets."""
 
-    def fn(a, b, m):
-        done = (np.tanh(2 * a) * (1 + m[:, None]), np.tanh(2 * b))
-        sr, out = 8_000.0, {}
-        out["balance"] = kernels.rms(guards.channel_balance((a, b), done)[0])
-        out["width"] = guards.width(*guards.mid_side(guards.width_match((a, b), done)))
-        out["low_bass_db"] = guards.low_bass((a, b), done, sr)[1]
-        out["bands"] = guards.width(*guards.mid_side(guards.band_widths((a, b), done, sr)))
-        out["delta"] = kernels.sample_peak(list(guards.delta((a, b), done, sr, m)))
-        out["tone"] = kernels.rms(guards.band_balance((a, b), done, sr)[0])
-        out["dynamic_eq"] = kernels.rms(guards.dynamic_eq(a, done[0], sr, 32, 8))
-        out["harshness_db"] = guards.harshness(a, done[0], 20_000.0)[1]
-        out["sibilance_db"] = guards.sibilance(a, done[0], 24_000.0)[1]
-        out["transient_db"] = guards.transients((a, b), done, sr)[1]
-        out["band_transients"] = kernels.rms(guards.band_transients(a, done[0], sr))
-        out["matched_db"] = guards.loudness_match((a, b), done, sr, np.full(len(m), -1.5))[1]
-        return out
-
-    names = ["balance", "width", "low_bass_db", "bands", "delta", "tone", "dynamic_eq", "harshness_db", "sibilance_db", "transient_db", "band_transients", "matched_db"]
-    return _kernel(spark, sf_dir, fn, names)
+    def fn(source, done, m):
+        sr = 8_000.0
+        low, gain = guards.low_bass(source, done, sr)
+        out = {"balance": kernels.rms(guards.channel_balance(source, done)[0]), "width": guards.width(*guards.mid_side(guards.width_match(source, done)))}
+        out |= {"low_bass_db": gain, "low_bass_rms": kernels.rms(low[0]), "tone": kernels.rms(guards.band_balance(source, done, sr)[0])}
+        equalised = lambda target: kernels.rms(guards.dynamic_eq(source[0], done[0], sr, 32, 8, target))
+        return out | {"dynamic_eq": equalised(""), "dynamic_eq_bright": equalised("hifi_bright"), "dynamic_eq_bass": equalised("bass_boost")}
+
+    return _guard_query(spark, sf_dir, fn, ["balance", "width", "low_bass_db", "low_bass_rms", "tone", "dynamic_eq", "dynamic_eq_bright", "dynamic_eq_bass"])
+
+
+@query(q.comparison_guards("bands"))
+def band_guards(spark, sf_dir):
+    """Widths band by band, the scaled change and the tilt between the channels."""
+
+    def fn(source, done, m):
+        sr = 8_000.0
+        delta = guards.delta(source, done, sr, m)
+        tilted, drift = guards.tilt(source, done, 12_000.0)
+        return {"bands": guards.width(*guards.mid_side(guards.band_widths(source, done, sr))), "delta": kernels.sample_peak(list(delta)), "delta_rms": kernels.rms(delta[1]), "tilt_db": drift, "tilted": kernels.rms(tilted[0])}
+
+    return _guard_query(spark, sf_dir, fn, ["bands", "delta", "delta_rms", "tilt_db", "tilted"])
+
+
+@query(q.comparison_guards("onsets"))
+def onset_guards(spark, sf_dir):
+    """Harshness, sibilance, onsets in all and by band, and the source's loudness."""
+
+    def fn(source, done, m):
+        (a, da), sr = (source[0], done[0]), 8_000.0
+        harsh, cut = guards.harshness(a, da, 20_000.0)
+        crisp, loss = guards.transients(source, done, sr)
+        matched, gain = guards.loudness_match(source, done, sr, np.full(len(m), -1.5))
+        out = {"harshness_db": cut, "harshness_rms": kernels.rms(harsh), "bright_db": guards.harshness(a, da, 20_000.0, True)[1], "sibilance_db": guards.sibilance(a, da, 24_000.0)[1]}
+        out |= {"transient_db": loss, "transient_rms": kernels.rms(crisp[0]), "band_transients": kernels.rms(guards.band_transients(a, da, sr))}
+        return out | {"matched_db": gain, "matched_peak": kernels.sample_peak(list(matched))}
+
+    return _guard_query(spark, sf_dir, fn, ["harshness_db", "harshness_rms", "bright_db", "sibilance_db", "transient_db", "transient_rms", "band_transients", "matched_db", "matched_peak"])
 
 
 def _mastered(spark: SparkSession, sf_dir: str) -> DataFrame:

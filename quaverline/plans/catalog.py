@@ -307,7 +307,10 @@ def stem_downloads(spark, sf_dir):
 
 
 def _requests(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({"request": _pick(o.REQUESTS, "track"), "amount": (F.col("track") % 12) / num(10.0), "manual": _pick(o.MANUALS, "track"), "volume_mode": F.lit("target"), "use_denoise": F.lit(True)})
+    """Target, amount, manual parameters, volume mode and denoising asked for, and the rate that each track is said to have."""
+    mode = F.when(F.col("track") % 4 == 1, "match_source").otherwise("target")
+    asked = {"request": _pick(o.REQUESTS, "track"), "amount": (F.col("track") % 12) / num(10.0), "manual": _pick(o.MANUALS, "track"), "volume_mode": mode, "use_denoise": F.col("track") % 3 != 0}
+    return rows.withColumns(asked | ({"sr": _pick(o.RATES, "track")} if "sr" in rows.columns else {}))
 
 
 _REQ = f"WITH {o.PAIR}, {o.PRESET_TABLE}, {o.REQUEST_TABLE}, {o.BLEND}"
@@ -331,7 +334,7 @@ def adaptive_amount(spark, sf_dir):
     return rounded(rules.adaptive_amount(rows).select("track", "effective", "adjustment", "risk_score", "enhancement_need", "source_condition"))
 
 
-@query(f"{o.REQUESTED} SELECT track, target, 'upsample' AS mode, round(intensity, 6) + 0.0 AS intensity, {', '.join(f'round({o._CLAMP[p](p)}, 6) + 0.0 AS {p}' for p in PARAMETERS)}, round(confidence, 6) + 0.0 AS confidence, CAST(44100 AS INTEGER) AS output_sr FROM r8")
+@query(f"{o.REQUESTED} SELECT track, target, CASE WHEN {o.SR} < 32000 THEN 'upsample' ELSE 'denoise' END AS mode, round(intensity, 6) + 0.0 AS intensity, {', '.join(f'round({o._CLAMP[p](p)}, 6) + 0.0 AS {p}' for p in PARAMETERS)}, round(confidence, 6) + 0.0 AS confidence, CAST(CASE WHEN {o.SR} < 32000 THEN 44100 ELSE {o.SR} END AS INTEGER) AS output_sr FROM r8")
 def recommendation(spark, sf_dir):
     rows = rules.recommend(_requests(_records(spark, sf_dir)))
     return rounded(rows.select("track", "target", "mode", "intensity", *(F.col(f"dsp_params.{p}") for p in PARAMETERS), "confidence", "output_sr"))
@@ -353,6 +356,13 @@ def manual_parameters(spark, sf_dir):
     return rounded(rows.select("track", *(F.col(f"dsp_params.{p}") for p in PARAMETERS)))
 
 
+@query(q.request_modes())
+def request_modes(spark, sf_dir):
+    """What the request changes in the recommendation: denoising, volume mode and manual parameters."""
+    rows = rules.for_request(_requests(_records(spark, sf_dir)))
+    return rounded(rows.select("track", "mode", "volume_mode", "output_sr", "manual_dsp", "dsp_params.target_lufs", "dsp_params.limiter_ceiling_db"))
+
+
 @query()
 def recommendation_advice(spark, sf_dir):
     """Reasons and advice; tested against the rules' text, as SQL dialects format numbers differently."""
@@ -670,11 +680,11 @@ def _mastered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mastering.mastered(rules.for_request(_requests(rows)))
 
 
-@query()
+@query(q.mastering_chain())
 def mastering_chain(spark, sf_dir):
     """The whole chain with each track's own recommendation: level and true peak before and after."""
     rows = _mastered(spark, sf_dir)
-    return rounded(rows.select("track", "target", "true_peak_db", "true_peak_out_db", rms(F.concat("out_l", "out_r")).alias("rms_out"), (mean(F.col("out_l")) + mean(F.col("out_r"))).alias("dc_out")))
+    return rounded(rows.select("track", "target", "mode", "true_peak_db", "true_peak_out_db", rms(F.concat("out_l", "out_r")).alias("rms_out"), (mean(F.col("out_l")) + mean(F.col("out_r"))).alias("dc_out")))
 
 
 @query()

@@ -107,6 +107,11 @@ NUMBERS = "rms peak peak_db crest_db lufs noise_floor_db dynamic_range_db dc_off
 REQUESTS = ["hifi_clean", "voice", "restore, loud", "bass_boost,bass", "bright", "hifi_bright", "warm_analog", "auto,archive,low", "loud_modern", "", "voice_focus,hifi_bright"]
 MANUALS = ['{"compress_delta": 0.4, "target_lufs_delta": -3}', "no json", '{"lowcut_hz": 500, "high_boost_db": -9.5}', '{"manual_mode": "fine_tune"}', None]
 
+#: Rates that tracks are said to have, and which requests match the source and let denoising be.
+RATES = [8_000, 44_100, 22_050, 48_000, 96_000]
+SR = f"([{', '.join(map(str, RATES))}])[track % {len(RATES)} + 1]"
+MATCHED, DENOISED = "(track % 4 = 1)", "(track % 3 <> 0)"
+
 
 def _pick(items: list, key: str) -> str:
     values = ", ".join("NULL" if i is None else "'" + i + "'" for i in items)

@@ -6,6 +6,7 @@ coefficients in closed form; spectra are sums of cosines and sines. So nothing i
 
 from __future__ import annotations
 
+import re
 from math import cos, exp, pi, sin, sqrt, tan
 
 from ..functions.tables import DELTA_BANDS, K_HIGHPASS_HZ, K_SHELF, TRANSIENT_BANDS, WIDTH_BANDS
@@ -15,7 +16,8 @@ N = 64
 SIZE, HOP = 32, 8
 FRAMES = N // HOP + 1
 
-Coefficients = tuple[list[float], list[float]]
+#: Numerator and denominator, the latter from 1 on; numbers or SQL.
+Coefficients = tuple[list[float | str], list[float | str]]
 
 
 def clamp(x: float, low: float, high: float) -> float:
@@ -53,8 +55,8 @@ def shelf(sr: float) -> Coefficients:
     return [v / a[0] for v in b], [v / a[0] for v in a]
 
 
-def number(v: float) -> str:
-    return f"({v!r}::DOUBLE)"
+def number(v: float | str) -> str:
+    return f"({v})" if isinstance(v, str) else f"({v!r}::DOUBLE)"
 
 
 def each(expression: str, *lists: str) -> str:
@@ -86,27 +88,36 @@ def step(f: float, low: float, high: float) -> float:
 
 
 class Steps:
-    """A chain of selects, each with the columns of the one before and more."""
+    """Columns that build on each other. Those that need no other of their kind stand in one select, what builds on them in
+    the next one, and so on."""
 
     def __init__(self, *first: str):
-        self.parts, self.count = list(first), 0
-        self.last = first[-1].split(" AS ")[0].strip()
+        self.parts, self.last = list(first), first[-1].split(" AS ")[0].strip()
+        self.levels: list[dict[str, str]] = []
+        self.level_of: dict[str, int] = {}
+        self.kernels: dict[int, str] = {}
 
     def add(self, **columns: str) -> None:
-        name = f"step{len(self.parts)}"
-        self.parts.append(f"{name} AS MATERIALIZED (SELECT *, {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM {self.last})")
-        self.last = name
+        for name, expression in columns.items():
+            level = max((self.level_of[w] + 1 for w in re.findall(r"\w+", expression) if w in self.level_of), default=0)
+            self.level_of[name] = level
+            if level == len(self.levels):
+                self.levels.append({})
+            self.levels[level][name] = expression
 
     def new(self, expression: str) -> str:
         """The name of a new column."""
-        self.count += 1
-        self.add(**{f"x{self.count}": expression})
-        return f"x{self.count}"
+        name = f"x{len(self.level_of) + 1}"
+        self.add(**{name: expression})
+        return name
 
     def sql(self, *columns: str, **named: str) -> str:
-        """The named columns, rounded."""
-        shown = {c: c for c in columns} | named
-        return f"WITH {', '.join(self.parts)} SELECT track, {', '.join(f'round({e}, 6) + 0.0 AS {c}' for c, e in shown.items())} FROM {self.last}"
+        """The columns as they are, and the named ones rounded."""
+        parts, last = list(self.parts), self.last
+        for k, level in enumerate(self.levels):
+            parts.append(f"step{k} AS MATERIALIZED (SELECT *, {', '.join(f'{e} AS {c}' for c, e in level.items())} FROM {last})")
+            last = f"step{k}"
+        return f"WITH {', '.join(parts)} SELECT {', '.join([*(columns or ['track']), *(f'round({e}, 6) + 0.0 AS {c}' for c, e in named.items())])} FROM {last}"
 
     # filters
 
@@ -117,7 +128,7 @@ class Steps:
         zeros = f"[{', '.join(['0.0'] * m)}]::DOUBLE[]"
         px = self.new(f"list_concat({zeros}, {x})")
         at = "CAST(v[1] AS BIGINT)"
-        terms = [f"{number(c)} * {px}[{at} - {k}]" for k, c in enumerate(b) if c] + [f"{number(-c)} * s[{at} - {k + 1}]" for k, c in enumerate(a[1:])]
+        terms = [f"{number(c)} * {px}[{at} - {k}]" for k, c in enumerate(b) if c] + [f"-{number(c)} * s[{at} - {k + 1}]" for k, c in enumerate(a[1:])]
         walk = f"list_reduce(list_prepend({zeros}, [[i::DOUBLE] for i in range({m + 1}, len({px}) + 1)]), lambda s, v: list_append(s, {' + '.join(terms)}))"
         return self.new(f"({walk})[{m + 1}:]")
 
@@ -166,7 +177,9 @@ class Steps:
     def true_peak(self, channels: list[str], factor: int = 4) -> str:
         """By the interpolation kernel of 64 periodic samples."""
         total = N * factor
-        d = self.new(f"[(1 + 2 * list_sum([cos(2 * pi() * k * j / {total}) for k in range(1, {N // 2})]) + cos(pi() * j / {factor})) / {N} for j in range(0, {total})]")
+        if factor not in self.kernels:
+            self.kernels[factor] = self.new(f"[(1 + 2 * list_sum([cos(2 * pi() * k * j / {total}) for k in range(1, {N // 2})]) + cos(pi() * j / {factor})) / {N} for j in range(0, {total})]")
+        d = self.kernels[factor]
         tops = [f"list_max([abs(list_sum([{x}[n + 1] * {d}[((j - {factor} * n + {total}) % {total}) + 1] for n in range(0, {N})])) for j in range(0, {total})])" for x in channels]
         return self.new(f"greatest({', '.join(tops)})" if len(tops) > 1 else tops[0])
 
@@ -232,6 +245,62 @@ class Steps:
         top = self.new(percentile(rise, N, 0.98))
         return self.new(f"[greatest(least(v / ({top} + 1e-9), 1), 0) ** 0.65 for v in {rise}]")
 
+    # stages
+
+    def gate(self, x: str, intensity: str) -> str:
+        bins = SIZE // 2 + 1
+        spectrum = self.stft(x)
+        size = self.new(each("sqrt(%1 ** 2 + %2 ** 2)", *spectrum))
+        floor = self.new(f"[{percentile(f'[{size}[f * {bins} + k + 1] for f in range(0, {FRAMES})]', FRAMES, 0.2)} for k in range(0, {bins})]")
+        gain = self.new(f"[CASE WHEN {size}[i] >= {floor}[(i - 1) % {bins} + 1] * (1 + 2.5 * ({intensity})) THEN 1.0::DOUBLE ELSE 1 - 0.75 * ({intensity}) END for i in range(1, {FRAMES * bins + 1})]")
+        return self.new(f"CASE WHEN ({intensity}) > 0 THEN {self.istft(spectrum, gain)} ELSE {x} END")
+
+    def compress(self, x: str, sr: float, ratio: str) -> str:
+        """For rates at which a track is two blocks."""
+        block = lambda k: f"{x}[{1 + 32 * k}:{32 + 32 * k}]"
+        levels = [o.db(f"greatest(sqrt(list_avg([v * v for v in {block(k)}])), list_max([abs(v) for v in {block(k)}]) * 0.55)") for k in (0, 1)]
+        level, slope = self.new(f"[{', '.join(levels)}]"), self.new(f"1 - 1 / ({ratio})")
+        over, into = "(v + 15)", "greatest(least(v + 18.5, 7), 0)"
+        goal = self.new(f"[-least(CASE WHEN {over} >= 3.5 THEN {over} * {slope} ELSE {slope} * {into} ** 2 / 14 END, 7.0::DOUBLE) for v in {level}]")
+        g = self.envelope(goal, "0.0", decay(32, sr, 0.018), decay(32, sr, 0.16))
+        return self.new(f"CASE WHEN ({ratio}) > 1.01 THEN [{x}[i + 1] * 10 ** (({g}[1] + ({g}[2] - {g}[1]) * least(i / 32.0::DOUBLE, 1)) / 20) for i in range(0, {N})] ELSE {x} END")
+
+    def saturate(self, x: str, amount: str) -> str:
+        a = self.new(o.clip(amount, 0.0, 0.35))
+        bent = f"tanh(v * (1 + 5 * {a})) / tanh(1 + 5 * {a}) * {a}"
+        return self.new(f"[v * (1 - {a}) + CASE WHEN {a} > 0 THEN {bent} ELSE 0 END for v in {x}]")
+
+    def smooth_top(self, x: str, sr: float, amount: str) -> str:
+        a = self.new(o.clip(amount, 0.0, 0.35))
+        blend = self.new(f"CASE WHEN {a} > 0.03 THEN {o.clip(f'{a} * 0.65', 0.0, 0.18)} ELSE 0.0::DOUBLE END")
+        return self.new(each(f"%1 * (1 - {blend}) + %2 * {blend}", x, self.zero_phase(x, butter_low(sr, min(20_000.0, sr * 0.46)))))
+
+    def excite(self, x: str, sr: float, amount: str) -> str:
+        air = self.zero_phase(x, butter_band(sr, min(3_800.0, sr * 0.35), min(12_000.0, sr * 0.45)))
+        calm = o.clip(f"0.22 / greatest(({o.lrms(air)} + 1e-9) / ({o.lrms(x)} + 1e-9), 1e-9)", 0.45, 1.0)
+        by = self.new(f"{o.clip(amount, 0.0, 0.35)} * 0.55 * {calm}")
+        return self.new(each(f"%1 + (tanh(%2 * 3) - %2 * 0.35) * {by}", x, air))
+
+    def cut_below(self, x: str, sr: float, hz: str) -> str:
+        """High-pass at a cutoff of each row; nothing to do up to 20 Hz."""
+        k = self.new(f"tan(pi() * least({hz}, {sr * 0.45}) / {sr})")
+        d = f"(1 + sqrt(2.0::DOUBLE) * {k} + {k} * {k})"
+        c = [self.new(v) for v in (f"1 / {d}", f"-2 / {d}", f"2 * ({k} * {k} - 1) / {d}", f"(1 - sqrt(2.0::DOUBLE) * {k} + {k} * {k}) / {d}")]
+        return self.new(f"CASE WHEN ({hz}) > 20 THEN {self.zero_phase(x, ([c[0], c[1], c[0]], [1.0, c[2], c[3]]))} ELSE {x} END")
+
+    def repair_clicks(self, x: str) -> tuple[str, str]:
+        """The repaired samples and the places of the clicks."""
+        px = self.new(f"list_concat(list_concat([0.0, 0.0]::DOUBLE[], {x}), [0.0, 0.0]::DOUBLE[])")
+        residual = self.new(f"[abs({x}[i] - list_sort({px}[i:i + 4])[3]) for i in range(1, {N + 1})]")
+        slope = self.new(f"[CASE WHEN i = 1 THEN 0.0::DOUBLE ELSE abs({x}[i] - {x}[greatest(i - 1, 1)]) END for i in range(1, {N + 1})]")
+        threshold, steep = self.new(f"greatest(({percentile(residual, N, 0.5)} + 1e-9) * 12, 0.055)"), self.new(f"({percentile(slope, N, 0.95)} + 1e-9) * 1.15")
+        fit = self.new(f"[i for i in range(3, {N - 1}) if {residual}[i] > {threshold} AND {slope}[i] >= {steep}]")
+        taken = self.new(f"list_reduce(list_prepend([-7::BIGINT], [[i] for i in {fit}]), lambda c, v: CASE WHEN v[1] - c[len(c)] > 2 AND len(c) < 25 THEN list_append(c, v[1]) ELSE c END)[2:]")
+        return self.new(f"[CASE WHEN list_contains({taken}, i) THEN ({x}[i - 1] + {x}[i + 1]) / 2 ELSE {x}[i] END for i in range(1, {N + 1})]"), taken
+
+    def where(self, rule: str, yes: list[str], no: list[str]) -> list[str]:
+        return [self.new(f"CASE WHEN {rule} THEN {a} ELSE {b} END") for a, b in zip(yes, no)]
+
     # guards
 
     def width(self, mid: str, side: str) -> str:
@@ -397,15 +466,15 @@ class Steps:
         gain = self.new(f"CASE WHEN {level} <= 1e-9 THEN 0.0::DOUBLE ELSE least({wanted}, ({ceiling_db}) + {drive_db} - {o.db(self.true_peak(done, 2))}) END")
         return [self.new(f"[v * 10 ** ({gain} / 20) for v in {c}]") for c in done], gain
 
-    def safe(self, done: list[str], sr: float, ceiling_db: str, strict: bool) -> list[str]:
+    def safe(self, done: list[str], sr: float, ceiling_db: str, strict: str) -> list[str]:
         ceiling_db = f"least({ceiling_db}, -1.4::DOUBLE)"
         out = list(done)
-        for _ in range(4 if strict else 2):
-            over = self.new(f"{o.db(f'greatest({self.true_peak(out)}, {peak(*out)})')} > {ceiling_db}")
+        for round_ in range(4):
+            over = self.new(f"{o.db(f'greatest({self.true_peak(out)}, {peak(*out)})')} > {ceiling_db} AND ({round_} < 2 OR {strict})")
             now = self.limit(out, ceiling_db, sr)
             now = self.trimmed(now, self.true_peak(now), ceiling_db)[0]
             now = self.trimmed(now, self.new(peak(*now)), ceiling_db)[0]
-            out = [self.new(f"CASE WHEN {over} THEN {b} ELSE {a} END") for a, b in zip(out, now)]
+            out = self.where(over, now, out)
         return self.trimmed(out, self.new(f"greatest({self.true_peak(out)}, {peak(*out)})"), ceiling_db)[0]
 
 
@@ -432,12 +501,8 @@ def k_weighted_loudness() -> str:
 
 def compressor() -> str:
     s = loud_pairs()
-    s.add(ratio="1 + 3 * m", level=f"[{o.db('greatest(sqrt(list_avg([v * v for v in a[1 + 32 * k:32 + 32 * k]])), list_max([abs(v) for v in a[1 + 32 * k:32 + 32 * k]]) * 0.55)')} for k in range(0, 2)]")
-    over, into = "(v + 15)", "greatest(least(v + 18.5, 7), 0)"
-    s.add(goal=f"[-least(CASE WHEN {over} >= 3.5 THEN {over} * (1 - 1 / ratio) ELSE (1 - 1 / ratio) * {into} ** 2 / 14 END, 7.0::DOUBLE) for v in level]")
-    gain = s.envelope("goal", "0.0", decay(32, 2_000.0, 0.018), decay(32, 2_000.0, 0.16))
-    s.add(y=f"CASE WHEN ratio > 1.01 THEN [a[i + 1] * 10 ** (({gain}[1] + ({gain}[2] - {gain}[1]) * least(i / 32.0::DOUBLE, 1)) / 20) for i in range(0, 64)] ELSE a END")
-    return s.sql(rms=o.lrms("y"), crest_db=s.crest(["y"]))
+    y = s.compress("a", 2_000.0, "1 + 3 * m")
+    return s.sql(rms=o.lrms(y), crest_db=s.crest([y]))
 
 
 def limiter() -> str:
@@ -449,11 +514,9 @@ def limiter() -> str:
 def spectral_gate() -> str:
     s = loud_pairs()
     bins, half = SIZE // 2 + 1, SIZE // 2
+    gated = s.gate("a", "m")
     spectrum, other = s.stft("a"), s.stft("b")
     size, reference = (s.new(each("sqrt(%1 ** 2 + %2 ** 2)", *x)) for x in (spectrum, other))
-    floor = s.new(f"[{percentile(f'[{size}[f * {bins} + k + 1] for f in range(0, {FRAMES})]', FRAMES, 0.2)} for k in range(0, {bins})]")
-    gain = s.new(f"[CASE WHEN {size}[i] >= {floor}[(i - 1) % {bins} + 1] * (1 + 2.5 * m) THEN 1.0::DOUBLE ELSE 1 - 0.75 * m END for i in range(1, {FRAMES * bins + 1})]")
-    gated = s.istft(spectrum, gain)
     weights = []
     for k in range(half + 1):
         f = k * 8_000.0 / SIZE
@@ -461,20 +524,13 @@ def spectral_gate() -> str:
     weight = s.new(f"[{', '.join(number(w) for w in weights)}]")
     bleed = o.clip(f"({reference}[i] / ({size}[i] + {reference}[i] + 1e-9) - 0.52) / 0.36", 0, 1)
     kept = s.new(f"[1 - {o.clip(f'0.32 * {weight}[(i - 1) % {bins} + 1] * {bleed}', 0, 0.42)} for i in range(1, {FRAMES * bins + 1})]")
-    cleaned = s.istft(spectrum, kept)
-    return s.sql(rms=f"CASE WHEN m > 0 THEN {o.lrms(gated)} ELSE {o.lrms('a')} END", cleaned_rms=o.lrms(cleaned))
+    return s.sql(rms=o.lrms(gated), cleaned_rms=o.lrms(s.istft(spectrum, kept)))
 
 
 def tone_and_harmonics() -> str:
     s = loud_pairs()
     shaped = s.shape(s.high("a", 8_000.0, 80.0), 8_000.0, "6 * m", "-3 * m", "3 * m")
-    s.add(amount="least(m, 0.35::DOUBLE)")
-    bent = s.new(f"[v * (1 - amount) + tanh(v * (1 + 5 * amount)) / tanh(1 + 5 * amount) * amount for v in {shaped}]")
-    air = s.band(bent, 48_000.0, 3_800.0, 12_000.0)
-    calm = s.new(o.clip(f"0.22 / greatest(({o.lrms(air)} + 1e-9) / ({o.lrms(bent)} + 1e-9), 1e-9)", 0.45, 1.0))
-    excited = s.new(each(f"%1 + (tanh(%2 * 3) - %2 * 0.35) * amount * 0.55 * {calm}", bent, air))
-    blend = s.new(f"CASE WHEN amount > 0.03 THEN {o.clip('amount * 0.65', 0.0, 0.18)} ELSE 0.0::DOUBLE END")
-    smooth = s.new(each(f"%1 * (1 - {blend}) + %2 * {blend}", excited, s.low(excited, 48_000.0, 20_000.0)))
+    smooth = s.smooth_top(s.excite(s.saturate(shaped, "m"), 48_000.0, "m"), 48_000.0, "m")
     # 96 samples for 64: the same cosines and sines at closer times, that of half the old rate halved
     d = s.new("[(1 + 2 * list_sum([cos(2 * pi() * k * j / 192) for k in range(1, 32)]) + cos(pi() * j / 3)) / 64 for j in range(0, 192)]")
     finer = s.new(f"[list_sum([a[n + 1] * {d}[((2 * j - 3 * n + 192) % 192) + 1] for n in range(0, 64)]) for j in range(0, 96)]")
@@ -483,13 +539,8 @@ def tone_and_harmonics() -> str:
 
 def click_repair() -> str:
     s = loud_pairs()
-    s.add(px="list_concat(list_concat([0.0, 0.0]::DOUBLE[], a), [0.0, 0.0]::DOUBLE[])")
-    s.add(residual="[abs(a[i] - list_sort(px[i:i + 4])[3]) for i in range(1, 65)]", slope="[CASE WHEN i = 1 THEN 0.0::DOUBLE ELSE abs(a[i] - a[greatest(i - 1, 1)]) END for i in range(1, 65)]")
-    s.add(threshold=f"greatest(({percentile('residual', N, 0.5)} + 1e-9) * 12, 0.055)", steep=f"({percentile('slope', N, 0.95)} + 1e-9) * 1.15")
-    s.add(fit="[i for i in range(3, 63) if residual[i] > threshold AND slope[i] >= steep]")
-    s.add(taken="list_reduce(list_prepend([-7::BIGINT], [[i] for i in fit]), lambda c, v: CASE WHEN v[1] - c[len(c)] > 2 AND len(c) < 25 THEN list_append(c, v[1]) ELSE c END)[2:]")
-    fixed = s.new("[CASE WHEN list_contains(taken, i) THEN (a[i - 1] + a[i + 1]) / 2 ELSE a[i] END for i in range(1, 65)]")
-    return s.sql(clicks="len(taken)::DOUBLE", rms=o.lrms(fixed), onset=f"list_avg({s.onset('a', 8_000.0)})")
+    fixed, taken = s.repair_clicks("a")
+    return s.sql(clicks=f"len({taken})::DOUBLE", rms=o.lrms(fixed), onset=f"list_avg({s.onset('a', 8_000.0)})")
 
 
 def comparison_guards(part: str) -> str:
@@ -518,5 +569,66 @@ def output_safety() -> str:
     out, gain = s.loudness_set(["a", "b"], sr, "-14 + 12 * m", ceiling)
     loud = s.limit(out, ceiling, sr)
     cut, by = s.trimmed(loud, s.true_peak(loud), ceiling)
-    plain, strict = s.safe(out, sr, ceiling, False), s.safe(out, sr, "least(-1.2 - m, -1.5)", True)
+    plain, strict = s.safe(out, sr, ceiling, "FALSE"), s.safe(out, sr, "least(-1.2 - m, -1.5)", "TRUE")
     return s.sql(gain_db=gain, limited_peak=peak(*loud), cut_db=o.db(by), cut_rms=o.lrms(cut[0]), safe_peak=s.true_peak(plain), strict_peak=s.true_peak(strict), strict_rms=o.lrms(strict[0]))
+
+
+def chained(s: Steps) -> list[str]:
+    """The mastering chain on l and r of rows with the parameters, intensity, effective, mode, target, manual_dsp and
+    volume_mode, as sampled at 8 kHz."""
+    sr, x = 8_000.0, ["l", "r"]
+    out = []
+    for c, strength in zip(s.mid_side(x), ("intensity", "least(0.35 * intensity, 0.3)")):
+        c = s.new(f"[v - list_avg({c}) for v in {c}]")
+        (c,) = s.where("mode = 'denoise' AND intensity > 0.01", [s.gate(c, s.new(strength))], [c])
+        c = s.shape(s.cut_below(c, sr, "lowcut_hz"), sr, "low_boost_db", "mid_cut_db", "high_boost_db")
+        c = s.saturate(s.compress(c, sr, "compress_ratio"), "saturation_amount")
+        out.append(s.excite(s.smooth_top(c, sr, "saturation_amount"), sr, "exciter_amount"))
+    y = s.left_right(out)
+    y = s.width_match(x, s.channel_balance(x, y))
+    y = s.band_widths(x, s.low_bass(x, y, sr)[0], sr)
+    y = s.band_balance(x, y, sr)
+    made = {t: [s.dynamic_eq(a, b, sr, t) for a, b in zip(x, y)] for t in ("", "bass_boost", "hifi_bright")}
+    y = s.where("target = 'bass_boost'", made["bass_boost"], s.where("target = 'hifi_bright'", made["hifi_bright"], made[""]))
+    y = s.where("target = 'hifi_bright'", *([s.harshness(a, b, sr, on)[0] for a, b in zip(x, y)] for on in (True, False)))
+    y = [s.repair_clicks(c)[0] for c in y]
+    y = s.transients(x, y, sr)[0]
+    y = [s.band_transients(a, b, sr) for a, b in zip(x, y)]
+    y = s.delta(x, y, sr, "effective")
+    y = s.trimmed(y, s.true_peak(y), "-1.0")[0]
+    trim = s.new(f"-1.4 - {o.db(s.true_peak(y))}")
+    wet = s.new(f"CASE WHEN {trim} < -5 THEN 0.65 * 10 ** (({trim} + 5) / 20) ELSE 10 ** (least({trim}, 0) / 20) END")
+    strict = [s.new(each(f"%1 * CASE WHEN {trim} < -5 THEN 0.35 ELSE 0 END + %2 * {wet}", a, b)) for a, b in zip(x, y)]
+    y = s.where("manual_dsp", strict, y)
+    ceiling = s.new("CASE WHEN manual_dsp THEN least(limiter_ceiling_db, -1.5) ELSE limiter_ceiling_db END")
+    y = s.limit(s.loudness_set(y, sr, "target_lufs", ceiling)[0], ceiling, sr)
+    y = s.trimmed(y, s.true_peak(y), ceiling)[0]
+    y = s.where("volume_mode = 'match_source'", s.loudness_match(x, y, sr, ceiling)[0], y)
+    return s.safe(y, sr, ceiling, "manual_dsp")
+
+
+def requested() -> Steps:
+    """Tracks with what the rules recommend and the requests ask for."""
+    given = o.REQUESTED.removeprefix("WITH ")
+    named = ", ".join(f"{o._CLAMP[p](p)} AS {p}" for p in o.PARAMETERS)
+    fine = f"(json_extract_string(ok, 'manual_mode') = 'fine_tune') IS TRUE OR list_has_any(json_keys(ok), [{', '.join(repr(t[1]) for t in o.TWEAKS)}])"
+    return Steps(
+        given,
+        f"asked AS (SELECT track, p.l, p.r, target, effective, intensity, lufs, manual, {o.SR} AS sr, {named} FROM r8 JOIN p USING (track))",
+        "lufs_asked AS (SELECT * REPLACE (CASE WHEN " + o.MATCHED + " THEN " + o.clip("lufs", -24, -8) + " ELSE target_lufs END AS target_lufs), CASE WHEN " + o.MATCHED + " THEN 'match_source' ELSE 'target' END AS volume_mode, "
+        "CASE WHEN sr < 32000 THEN 'upsample' WHEN " + o.DENOISED + " THEN 'denoise' ELSE 'none' END AS mode, CASE WHEN sr < 32000 THEN 44100 ELSE sr END AS output_sr, coalesce(json_valid(manual), FALSE) AS manual_dsp, CASE WHEN json_valid(manual) THEN manual ELSE '{}' END AS ok FROM asked)",
+        f"base AS (SELECT *, {fine} AS fine FROM lufs_asked)",
+        f"ready AS (SELECT * REPLACE ({', '.join(f'CASE WHEN manual_dsp THEN {o.tuned(p)} ELSE {p} END AS {p}' for p in o.PARAMETERS)}) FROM base)",
+    )
+
+
+def request_modes() -> str:
+    s = requested()
+    return f"WITH {', '.join(s.parts)} SELECT track, mode, volume_mode, CAST(output_sr AS INTEGER) AS output_sr, manual_dsp, round(target_lufs, 6) + 0.0 AS target_lufs, round(limiter_ceiling_db, 6) + 0.0 AS limiter_ceiling_db FROM {s.last}"
+
+
+def mastering_chain() -> str:
+    s = requested()
+    y = chained(s)
+    level = f"sqrt(({o.lmean(y[0], 'v * v')} + {o.lmean(y[1], 'v * v')}) / 2)"
+    return s.sql("track", "target", "mode", true_peak_db=o.db(s.true_peak(["l", "r"])), true_peak_out_db=o.db(s.true_peak(y)), rms_out=level, dc_out=f"list_avg({y[0]}) + list_avg({y[1]})")

@@ -79,6 +79,12 @@ def fitted(stems: dict[str, Stereo], source: Stereo) -> dict[str, Array]:
     return out
 
 
+def finished(source: Stereo, mixed: Stereo, sr: float) -> Stereo:
+    """A remix with the source's width and loudness, made safe."""
+    ceiling = np.full(len(source[0]), STEM_CEILING_DB)
+    return guards.safe(guards.loudness_match(source, guards.width_match(source, mixed), sr, ceiling)[0], sr, ceiling, strict=True)
+
+
 def remixed(rows: DataFrame, frames: mastering.Frames = mastering.SHORT) -> DataFrame:
     """(track, stems, residual_gain, out_l, out_r) of stems with track, stem, l, r, strength, ``dsp_params`` and risk ``score``.
 
@@ -102,7 +108,7 @@ def remixed(rows: DataFrame, frames: mastering.Frames = mastering.SHORT) -> Data
         gains = fitted(done, source)
         mixed = total([(y[0] * column(gains[n]), y[1] * column(gains[n])) for n, y in done.items()])
         kept, gain = residual_kept(mixed, raw_sum, source, np.array([np.mean(cells["score"])]), frames.sr)
-        out = guards.safe(guards.loudness_match(source, guards.width_match(source, kept), frames.sr, np.array([STEM_CEILING_DB]))[0], frames.sr, np.array([STEM_CEILING_DB]), strict=True)
+        out = finished(source, kept, frames.sr)
         return pa.table({"track": cells["track"][:1], "stems": pa.array([len(raw)], pa.int64()), "residual_gain": gain.tolist(), "out_l": pa.array([out[0][0].tolist()]), "out_r": pa.array([out[1][0].tolist()])})
 
     return flat.groupBy("track").applyInArrow(run, "track long, stems long, residual_gain double, out_l array<double>, out_r array<double>")

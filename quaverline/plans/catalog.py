@@ -363,9 +363,9 @@ def request_modes(spark, sf_dir):
     return rounded(rows.select("track", "mode", "volume_mode", "output_sr", "manual_dsp", "dsp_params.target_lufs", "dsp_params.limiter_ceiling_db"))
 
 
-@query()
+@query(q.recommendation_advice())
 def recommendation_advice(spark, sf_dir):
-    """Reasons and advice; tested against the rules' text, as SQL dialects format numbers differently."""
+    """Reasons and advice in words."""
     rows = rules.for_request(_requests(_records(spark, sf_dir)))
     return rows.select("track", "target", "mode", F.array_join("reasons", ",").alias("reasons"), "advice")
 
@@ -471,9 +471,9 @@ def stem_role_tuning(spark, sf_dir):
     return rounded(tuned.select("track", "stem", *(F.col(f"dsp_params.{p}") for p in PARAMETERS), "strength"))
 
 
-@query()
+@query(q.stem_recommendation())
 def stem_recommendation(spark, sf_dir):
-    """Conservative parameters and strength of each stem, by its risk; tested against the formulas."""
+    """Conservative parameters and strength of each stem, by its risk."""
     rows = rules.recommend(_requests(_risks(spark, sf_dir))).withColumn("strength", F.col("intensity"))
     tuned = stems.role_tuned(stems.conservative(rows))
     return rounded(tuned.select("song", "stem", *(F.col(f"dsp_params.{p}") for p in PARAMETERS), "strength", "reduction"))
@@ -675,6 +675,23 @@ def onset_guards(spark, sf_dir):
     return _guard_query(spark, sf_dir, fn, ["harshness_db", "harshness_rms", "bright_db", "sibilance_db", "transient_db", "transient_rms", "band_transients", "matched_db", "matched_peak"])
 
 
+@query(q.stem_guards())
+def stem_guards(spark, sf_dir):
+    """Each role's guard, the shaped residual and how much of it is kept, and the finished remix."""
+
+    def fn(source, done, m):
+        sr = 8_000.0
+        roles = {r: stem_audio.role_guard(r, source, done, 24_000.0 if r == "vocals" else sr) for r in ("vocals", "bass", "drums", "other")}
+        raw_sum = (source[0] * 0.8, source[1])
+        shaped = stem_audio.shaped_residual(tuple(s - r for s, r in zip(source, raw_sum)), source, sr)
+        kept, gain = stem_audio.residual_kept(done, raw_sum, source, m, sr)
+        out = stem_audio.finished(source, kept, sr)
+        found = {"vocals": roles["vocals"][0], "bass": roles["bass"][0], "drums": roles["drums"][1], "other": roles["other"][0], "residual_rms": shaped[0], "kept_rms": kept[1], "final_rms": out[0]}
+        return {n: kernels.rms(x) for n, x in found.items()} | {"residual_gain": gain, "final_peak": kernels.true_peak(list(out))}
+
+    return _guard_query(spark, sf_dir, fn, ["vocals", "bass", "drums", "other", "residual_rms", "residual_gain", "kept_rms", "final_peak", "final_rms"])
+
+
 def _mastered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mastering.with_true_peak(_pairs(spark, sf_dir)).join(analyze(_pairs(spark, sf_dir)), "track")
     return mastering.mastered(rules.for_request(_requests(rows)))
@@ -796,14 +813,18 @@ def report_line(spark, sf_dir):
     return _validated(spark, sf_dir).select("track", F.concat_ws(" | ", F.concat(F.lit("validation "), "overall"), F.when(F.size(open_) > 0, F.array_join(open_, ", "))).alias("line"))
 
 
-@query()
+@query(q.process_payload())
 def process_payload(spark, sf_dir):
-    """The nested report of each track as JSON, without numbers that JSON lacks."""
+    """The nested report of each track as JSON, without numbers that JSON lacks, and some of what a reader gets from it."""
     rows = validation.comparison(_validated(spark, sf_dir), F.col("volume_mode"), num(-1.5))
     name = F.concat(F.lit("track "), F.col("track").cast("string"), F.lit(".wav"))
     body = F.struct(text.download_url(name, name).alias("download_url"), name.alias("filename"), F.struct("overall", "score", "checks", "delta", "summary").alias("report"))
-    return rows.select("track", F.to_json(body).alias("payload"))
-
+    sent = rows.select("track", F.to_json(body).alias("payload"))
+    get = lambda path: F.get_json_object("payload", f"$.{path}")
+    return rounded(sent.select(
+        "track", get("filename").alias("filename"), get("download_url").alias("download_url"), get("report.overall").alias("overall"), get("report.score").cast("double").alias("score"),
+        F.json_array_length(get("report.checks")).alias("n_checks"), get("report.checks[3].status").alias("stereo_status"), get("report.delta.lufs").cast("double").alias("delta_lufs"), get("report.summary.clipping_safe").alias("clipping_safe"),
+    ))
 
 
 assert FRAMES.sr == 64  # the SQL is written for it

@@ -254,20 +254,30 @@ def recommend(rows: DataFrame) -> DataFrame:
     return without(rows, "_wanted_", "_scaled_", "_budget_", "preset_", "dsp_").drop("_intensity", *(f"_reduced_{k}" for k in BUDGET_LIMITS))
 
 
+def shown(v: Column, digits: int) -> Column:
+    """Rounded as its exact binary value says, half way to the even digit; formatting alone would round its shortest decimal form."""
+    scale, unit = float(10**digits), 2.0**26
+    high = F.floor(v * unit).cast("double") / unit  # so few bits that its multiples are exact, like those of the rest
+    k = F.floor(high * scale).cast("double")
+    over = (high * scale - k - 0.5) + (v - high) * scale
+    near = (k + F.when((over > 0) | ((over == 0) & (k % 2 != 0)), 1.0).otherwise(0.0)) / scale
+    return F.when(v < 0, -F.abs(near)).otherwise(near)
+
+
 def advice(p: Params) -> Column:
     """One line of what will be done; parts that don't apply are null and vanish."""
-    signed = lambda name, v: F.when(v != 0, F.format_string(f"{name} %+.1f dB", v))
+    signed = lambda name, v: F.when(v != 0, F.format_string(f"{name} %+.1f dB", shown(v, 1)))
     return F.concat_ws(
         "; ",
         F.concat(F.col("mode"), F.lit(" mode")),
-        F.format_string("denoise intensity %.2f", F.col("intensity")),
+        F.format_string("denoise intensity %.2f", shown(F.col("intensity"), 2)),
         signed("low", p["low_boost_db"]),
         signed("mid", p["mid_cut_db"]),
         signed("high", p["high_boost_db"]),
-        F.when(p["compress_ratio"] > 1.01, F.format_string("%.1f:1 compression", p["compress_ratio"])),
-        F.format_string("target %.1f LUFS", p["target_lufs"]),
-        F.when(p["exciter_amount"] > 0.01, F.format_string("exciter %.2f", p["exciter_amount"])),
-        F.when(p["saturation_amount"] > 0.01, F.format_string("saturation %.2f", p["saturation_amount"])),
+        F.when(p["compress_ratio"] > 1.01, F.format_string("%.1f:1 compression", shown(p["compress_ratio"], 1))),
+        F.format_string("target %.1f LUFS", shown(p["target_lufs"], 1)),
+        F.when(p["exciter_amount"] > 0.01, F.format_string("exciter %.2f", shown(p["exciter_amount"], 2))),
+        F.when(p["saturation_amount"] > 0.01, F.format_string("saturation %.2f", shown(p["saturation_amount"], 2))),
         F.when(F.size("quality_flags") > 0, F.concat(F.lit("flags: "), F.array_join(F.array_sort("quality_flags"), ", "))),
     )
 

@@ -632,3 +632,70 @@ def mastering_chain() -> str:
     y = chained(s)
     level = f"sqrt(({o.lmean(y[0], 'v * v')} + {o.lmean(y[1], 'v * v')}) / 2)"
     return s.sql("track", "target", "mode", true_peak_db=o.db(s.true_peak(["l", "r"])), true_peak_out_db=o.db(s.true_peak(y)), rms_out=level, dc_out=f"list_avg({y[0]}) + list_avg({y[1]})")
+
+
+def case(*pairs: tuple[str, str]) -> str:
+    """The word of the first rule that holds; an empty one is none."""
+    return f"nullif(CASE {' '.join(f'WHEN {rule} THEN {word!r}' for rule, word in pairs)} END, '')"
+
+
+def stem_recommendation() -> str:
+    """Parameters and strength of each stem by its risk, then within its role."""
+    named = ", ".join(f"{o._CLAMP[p](f'r8.{p}')} AS {p}" for p in o.PARAMETERS)
+    less = {"limiter_ceiling_db": "least(limiter_ceiling_db, -1.8)", "compress_ratio": "1 + (compress_ratio - 1) * 0.7 * reduction"}
+    less |= {p: f"{p} * 0.55 * reduction" for p in ("exciter_amount", "saturation_amount")}
+    amount = o.clip("CASE WHEN stem = 'vocals' THEN 0.36 ELSE 0.45 END * CASE WHEN stem IN ('vocals', 'instrumental') THEN 1 ELSE 0.92 END * effective * (1 - score) ** 2 * phase_safety_factor * transient_safety_factor", 0, 0.45)
+    caps = " ".join(f"WHEN '{s}' THEN {c}::DOUBLE" for s, (c, _) in o.STEM_ROLES.items())
+    return f"""{o.REQUESTED}, {o.RISK}, z AS (SELECT song, e.stem AS stem, score, phase_safety_factor, transient_safety_factor, r8.effective, r8.intensity, {named}, CASE WHEN score >= 0.22 THEN {o.clip('1 - score * 0.38', 0.70, 0.94)} ELSE 1.0::DOUBLE END AS reduction FROM r8 JOIN e USING (track)),
+        y AS (SELECT * REPLACE ({', '.join(f'{o._CLAMP[p](less.get(p, p))} AS {p}' for p in o.PARAMETERS)}), least(intensity, {amount}) * reduction AS strength FROM z)
+        SELECT song, stem, {', '.join(f'round({o.role(p)}, 6) + 0.0 AS {p}' for p in o.PARAMETERS)}, round(least(strength, CASE stem {caps} END), 6) + 0.0 AS strength, round(reduction, 6) + 0.0 AS reduction FROM y"""
+
+
+def recommendation_advice() -> str:
+    s = requested()
+    reasons = [
+        case(("len(targets) > 1", "blended_targets")), "'target_' || first", case(("noise_floor_db > -45", "noisy_source"), ("first IN ('hifi_clean', 'warm_analog')", "natural_texture")),
+        case(("low_energy < 0.18 AND first <> 'voice_focus'", "weak_low_band"), ("heavy", "controlled_bass"), ("low_energy > 0.45 AND first = 'restore'", "kept_low_end"), ("low_energy > 0.45 OR first = 'voice_focus'", "reduced_low_band")),
+        case(("mid_energy > 0.72", "mid_heavy")), case(("high_energy < 0.12", "dull_source"), ("spectral_flatness > 0.08 AND first <> 'hifi_bright'", "hissing_source")),
+        case(("r8.lufs < -28", "low_loudness"), ("crest_db > 18", "wide_dynamics")), case(("list_contains(quality_flags, 'clipping_detected')", "clipping")), case(("ready.sr < 32000", "low_sample_rate")), "'stereo_safe'",
+        case(("fragile", "phase_sensitive")), case(("abs(r8.effective - amount) < 0.015", ""), ("r8.effective < amount", "amount_reduced"), ("TRUE", "amount_increased")),
+        case((f"least({', '.join(f'{f}_factor' for f in o.BUDGET_LIMITS)}) < 0.999", "budget_limited")), case(("harmonic_factor < 0.98", "harmonics_reduced")), case(("ready.sr >= 32000", "fast_denoise")),
+    ]
+    signed = lambda name, p: f"CASE WHEN ready.{p} <> 0 THEN printf('{name} %+.1f dB', ready.{p}) END"
+    line = [
+        "mode || ' mode'", "printf('denoise intensity %.2f', ready.intensity)", signed("low", "low_boost_db"), signed("mid", "mid_cut_db"), signed("high", "high_boost_db"),
+        "CASE WHEN ready.compress_ratio > 1.01 THEN printf('%.1f:1 compression', ready.compress_ratio) END", "printf('target %.1f LUFS', ready.target_lufs)",
+        *(f"CASE WHEN ready.{p}_amount > 0.01 THEN printf('{p} %.2f', ready.{p}_amount) END" for p in ("exciter", "saturation")), "CASE WHEN len(quality_flags) > 0 THEN 'flags: ' || array_to_string(list_sort(quality_flags), ', ') END",
+    ]
+    return f"""WITH {', '.join(s.parts)} SELECT track, ready.target, mode, array_to_string(list_filter([{', '.join(reasons)}], lambda x: x IS NOT NULL), ',') AS reasons,
+        CASE WHEN manual_dsp THEN 'manual fine-tuning on top of the target, with strict safety' ELSE concat_ws('; ', {', '.join(line)}) END AS advice FROM ready JOIN r8 USING (track)"""
+
+
+def process_payload() -> str:
+    name = "'track ' || j.track || '.wav'"
+    return f"""{o.COMPARED}, {o.CHECKS} SELECT j.track, {name} AS filename, '/api/download/' || url_encode({name}) || '?name=' || url_encode({name}) AS download_url, v.overall, round(v.score, 6) + 0.0 AS score, 7 AS n_checks,
+        string_split(v.statuses, ',')[4] AS stereo_status, round(a.lufs - b.lufs, 6) + 0.0 AS delta_lufs, CASE WHEN a.clipping_ratio <= 0.0005 AND a.peak_db <= -1.5 + 0.2 THEN 'true' ELSE 'false' END AS clipping_safe FROM j JOIN v USING (track)"""
+
+
+def stem_guards() -> str:
+    s, sr, source, done = driven(), 8_000.0, ["a", "b"], ["da", "db"]
+    vocals = [s.sibilance(x, d, 24_000.0)[0] for x, d in zip(source, done)]
+    bass = s.band_balance(source, s.low_bass(source, done, sr)[0], sr)
+    drums = s.transients(source, done, sr)[0]
+    other = [s.smooth_top(d, sr, "0.08::DOUBLE") for d in done]
+    # the raw stems sum up to four fifths of the one channel and all of the other
+    rest = [s.new("[v - 0.8 * v for v in a]"), s.new("[v - v for v in b]")]
+    parts = []
+    for x, low, bands, high in zip(s.mid_side(rest), ((140.0, 0.035), (150.0, 0.025)), (((180.0, 1100.0, 0.20), (1100.0, 6200.0, 0.38)), ((180.0, 900.0, 0.38), (900.0, 7800.0, 0.86))), ((6200.0, 0.28), (7800.0, 0.88))):
+        terms = [(s.low(x, sr, low[0]), low[1]), (s.high(x, sr, high[0]), high[1]), *((s.band(x, sr, p, min(q, sr * 0.45)), w) for p, q, w in bands)]
+        parts.append(s.new(f"[{' + '.join(f'{c}[i] * {w}' for c, w in terms)} for i in range(1, {N + 1})]"))
+    most, now = s.new(f"{s.width(*s.mid_side(source))} * 1.45"), s.width(*parts)
+    gain = s.new(f"CASE WHEN {now} > {most} AND {now} > 1e-9 THEN {o.clip(f'{most} / greatest({now}, 1e-9)', 0.45, 1.0)} ELSE 1.0::DOUBLE END")
+    shaped = s.left_right([parts[0], s.new(f"[v * {gain} for v in {parts[1]}]")])
+    level = lambda x: s.new(f"sqrt(({o.lmean(x[0], 'v * v')} + {o.lmean(x[1], 'v * v')}) / 2)")
+    whole, lost, own = level(source), level(rest), level(shaped)
+    blend = s.new(o.clip(f"0.03 + {o.clip('1 - m', 0.12, 0.95)} * 0.22", 0.03, 0.25))
+    by = s.new(f"CASE WHEN {whole} > 1e-9 AND {lost} > {whole} * 0.003 AND {own} > 1e-9 THEN least({blend}, {whole} * greatest(0.08::DOUBLE, {blend} * 0.5) / greatest({own}, 1e-9)) ELSE 0.0::DOUBLE END")
+    kept = s.low_bass(source, [s.new(each(f"%1 + %2 * {by}", d, x)) for d, x in zip(done, shaped)], sr)[0]
+    out = s.safe(s.loudness_match(source, s.width_match(source, kept), sr, "-1.2")[0], sr, "-1.2::DOUBLE", "TRUE")
+    return s.sql(vocals=o.lrms(vocals[0]), bass=o.lrms(bass[0]), drums=o.lrms(drums[1]), other=o.lrms(other[0]), residual_rms=o.lrms(shaped[0]), residual_gain=by, kept_rms=o.lrms(kept[1]), final_peak=s.true_peak(out), final_rms=o.lrms(out[0]))

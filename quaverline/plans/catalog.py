@@ -346,11 +346,7 @@ def dsp_budget(spark, sf_dir):
     return rounded(rows.select("track", "reductions.*", "harmonic_factor"))
 
 
-@query(
-    f"""{o.REQUESTED}, base AS (SELECT track, manual, {', '.join(f'{o._CLAMP[p](p)} AS {p}' for p in PARAMETERS)} FROM r8), okk AS (SELECT *, CASE WHEN json_valid(manual) THEN manual ELSE '{{}}' END AS ok FROM base),
-    m AS (SELECT *, (json_extract_string(ok, 'manual_mode') = 'fine_tune') IS TRUE OR list_has_any(json_keys(ok), ['lowcut_offset_hz', 'low_boost_delta_db', 'mid_delta_db', 'high_boost_delta_db', 'compress_delta', 'target_lufs_delta', 'exciter_delta', 'saturation_delta']) AS fine FROM okk)
-    SELECT track, {', '.join(f'round({o.tuned(p)}, 6) + 0.0 AS {p}' for p in PARAMETERS)} FROM m AS base WHERE coalesce(json_valid(manual), FALSE)"""
-)
+@query(q.manual_parameters())
 def manual_parameters(spark, sf_dir):
     rows = rules.for_request(_requests(_records(spark, sf_dir))).filter("manual_dsp")
     return rounded(rows.select("track", *(F.col(f"dsp_params.{p}") for p in PARAMETERS)))

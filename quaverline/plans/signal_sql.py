@@ -627,6 +627,11 @@ def request_modes() -> str:
     return f"WITH {', '.join(s.parts)} SELECT track, mode, volume_mode, CAST(output_sr AS INTEGER) AS output_sr, manual_dsp, round(target_lufs, 6) + 0.0 AS target_lufs, round(limiter_ceiling_db, 6) + 0.0 AS limiter_ceiling_db FROM {s.last}"
 
 
+def manual_parameters() -> str:
+    s = requested()
+    return f"WITH {', '.join(s.parts)} SELECT track, {', '.join(f'round({p}, 6) + 0.0 AS {p}' for p in o.PARAMETERS)} FROM {s.last} WHERE manual_dsp"
+
+
 def mastering_chain() -> str:
     s = requested()
     y = chained(s)

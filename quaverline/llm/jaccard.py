@@ -441,7 +441,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, sample_d
     sets = stored(shingle_sets(rows, width), "sets")
     hot = frequent(rows, width, sample_docs, frequent_share)
     nodes = stored(shared_shingles(rows, width, percent, hot), "nodes")
-    groups = max(shuffle_partitions(docs.sparkSession), -(-nodes.count() // GROUP_NODES))
+    groups = max(1, -(-nodes.count() // GROUP_NODES))  # not more: a node goes once to each group that it has candidates in
     first = stored(verified_links(nodes, None, percent, groups), "centre")
     roots = components(first)
     second = stored(verified_links(nodes, stored(roots, "roots"), percent, groups), "rest")

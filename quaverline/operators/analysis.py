@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import decibels, flags, mean, num, peak, rms
-from . import spectral
+from . import kernels, spectral
 from .features import array_percentile, block_size, mid_side, packed_frames_rms, stereo_image, with_loudness, zero_crossing_rate
+from .mastering import map_tracks
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,7 @@ FRAMES = Scale(sr=64, length=64, low=(1.0, 8.0), mid=(8.0, 20.0), high=(20.0, 32
 def analyze(tracks: DataFrame, scale: Scale = FRAMES) -> DataFrame:
     """The record of each (track, l, r), both channels ``scale.length`` samples long.
 
-    Signals sampled at 100 Hz or less aren't K-weighted; faster ones have to be weighted before (see ``dynamics``).
+    Signals sampled at more than 100 Hz are K-weighted for their loudness and have a ``true_peak_db``; slower ones have neither.
     """
     width = scale.sr / scale.length
     block, hop = block_size(scale.sr)
@@ -74,13 +75,27 @@ def analyze(tracks: DataFrame, scale: Scale = FRAMES) -> DataFrame:
     }
     rows = spectral.power_spectrum(tracks.select("track", "l", "r"), ["l", "r"])
     parts = {"_mid": mid, "_side": side, "_every": F.concat(left, right), "_frames": F.concat(packed_frames_rms(left, scale.frame, scale.hop), packed_frames_rms(right, scale.frame, scale.hop))}
-    rows = with_loudness(rows.withColumns(parts), {"lufs": ["l", "r"], "mid_lufs": ["_mid"], "side_lufs": ["_side"]}, block, hop)
+    rows = rows.withColumns(parts)
+    heard = {"lufs": ["l", "r"], "mid_lufs": ["_mid"], "side_lufs": ["_side"]}
+    if scale.sr > 100:
+        rows = weighted(rows, scale.sr)
+        heard = {"lufs": ["_heard_l", "_heard_r"], "mid_lufs": ["_heard_mid"], "side_lufs": ["_heard_side"]}
+        level["true_peak_db"] = F.col("true_peak_db")
+    rows = with_loudness(rows, heard, block, hop)
     found = rows.select("track", *(c.alias(n) for n, c in level.items()))
     score, balance = spectral.separation(F.col("low_energy"), F.col("mid_energy"), F.col("high_energy"))
     found = found.withColumns({"peak_db": decibels(F.col("peak")), "crest_db": decibels(F.col("peak") / F.greatest("rms", num(1e-9))), "band_separation_score": score, "band_balance": balance})
     return found.withColumns({"dynamic_range_db": F.col("peak_db") - F.col("noise_floor_db"), "quality_flags": quality_flags(scale)})
 
 
+def weighted(rows: DataFrame, sr: int) -> DataFrame:
+    """Adds the K-weighted channels, their mid and side (weighting is linear) and the true peak of both."""
+    fn = lambda a, b: {"_heard_l": kernels.k_weighted(a, sr), "_heard_r": kernels.k_weighted(b, sr), "true_peak_db": kernels.db(kernels.true_peak([a, b]))}
+    rows = map_tracks(rows, ["l", "r"], [], {"_heard_l": "array<double>", "_heard_r": "array<double>", "true_peak_db": "double"}, fn)
+    mid, side = mid_side(F.col("_heard_l"), F.col("_heard_r"))
+    return rows.withColumns({"_heard_mid": mid, "_heard_side": side})
+
+
 def quality_flags(scale: Scale) -> Column:
     return flags(
         ("clipping_detected", F.col("clipping_ratio") > scale.clipping_share),

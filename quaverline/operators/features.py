@@ -190,3 +190,18 @@ def click_candidates(samples: DataFrame, keys: Sequence[str], least: float = 0.0
     rows = rows.withColumn("steep", (F.percentile("slope", F.lit(0.95)).over(over) + 1e-9) * 1.15)
     chosen = (F.abs("residual") > F.col("threshold")) & (F.col("slope") >= F.col("steep")) & (F.col("n") > 1) & F.col("edge").isNotNull()
     return rows.filter(chosen).select(*keys, "n", "x", ((F.col("before") + F.col("after")) * 0.5).alias("repaired"))
+
+
+def driven(samples: Column, drive: Column, points: int = 2_048) -> Column:
+    """Samples bent by a hyperbolic tangent of ``drive`` that is tabled at ``points`` places and read between them by straight lines.
+
+    As the table's last place stands for ``1 - 2 / points``, the curve leans a little to one side.
+    """
+    tabled = lambda k: F.tanh((k * 2.0 / points - 1.0) * drive) / F.tanh(drive)
+
+    def bent(v: Column) -> Column:
+        at = (F.greatest(F.least(v, F.lit(1.0)), F.lit(-1.0)) + 1.0) / 2.0 * (points - 1)
+        low = F.least(F.floor(at).cast("double"), F.lit(points - 2.0))
+        return (1.0 - (at - low)) * tabled(low) + (at - low) * tabled(low + 1.0)
+
+    return F.transform(samples, bent)

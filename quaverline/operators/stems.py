@@ -14,25 +14,36 @@ def _over(value: Column) -> Column:
     return F.greatest(value, num(0.0))
 
 
-def artifact_risk() -> Column:
-    """From the record and the name of a stem, additive rules."""
+def _artifact_rules() -> list[list[tuple[Column, float, str]]]:
+    """Groups of rules on the record and the name of a stem; of two in a group the first one counts."""
     c = F.col
-    # Condition and risk; of two on the same value the first one counts
-    groups = [
-        [(c("spectral_flatness") > 0.12, 0.24), (c("spectral_flatness") > 0.08, 0.12)],
-        [(c("noise_floor_db") > -42.0, 0.22), (c("noise_floor_db") > -50.0, 0.10)],
-        [(c("crest_db") < 6.0, 0.12)],
-        [(c("stem").isin("vocals", "other") & (c("stereo_width") > 1.25), 0.12)],
-        [((c("channels") >= 2) & (c("phase_correlation") < 0.05), 0.18)],
-        [((c("stem") == "vocals") & (c("high_energy") > 0.42), 0.10)],
+    # Condition, risk and reason
+    return [
+        [(c("spectral_flatness") > 0.12, 0.24, "high spectral flatness"), (c("spectral_flatness") > 0.08, 0.12, "moderate spectral flatness")],
+        [(c("noise_floor_db") > -42.0, 0.22, "high stem noise floor"), (c("noise_floor_db") > -50.0, 0.10, "moderate stem noise floor")],
+        [(c("crest_db") < 6.0, 0.12, "flat stem dynamics")],
+        [(c("stem").isin("vocals", "other") & (c("stereo_width") > 1.25), 0.12, "wide diffuse stem image")],
+        [((c("channels") >= 2) & (c("phase_correlation") < 0.05), 0.18, "phase-sensitive stem")],
+        [((c("stem") == "vocals") & (c("high_energy") > 0.42), 0.10, "vocal stem has strong high-band bleed")],
     ]
-    total = num(0.0)
-    for group in groups:
-        part = F.when(group[0][0], num(group[0][1]))
-        for rule, risk in group[1:]:
-            part = part.when(rule, num(risk))
-        total = total + part.otherwise(num(0.0))
-    return clip(total, 0.0, 1.0)
+
+
+def _first(group: list[tuple[Column, Column]], default: Column) -> Column:
+    found = F.when(*group[0])
+    for rule, value in group[1:]:
+        found = found.when(rule, value)
+    return found.otherwise(default)
+
+
+def artifact_risk() -> Column:
+    """From the record and the name of a stem, additive rules."""
+    return clip(sum((_first([(r, num(risk)) for r, risk, _ in g], num(0.0)) for g in _artifact_rules()), num(0.0)), 0.0, 1.0)
+
+
+def artifact_reasons() -> Column:
+    """What the artifact risk comes from, in words; five reasons at most are named."""
+    found = [_first([(r, F.lit(why)) for r, _, why in g], F.lit(None).cast("string")) for g in _artifact_rules()]
+    return F.slice(F.array_compact(F.array(*found)), 1, 5)
 
 
 def risk_entries(records: DataFrame) -> DataFrame:

@@ -446,6 +446,16 @@ def stem_risk_entries(spark, sf_dir):
     return rounded(_risks(spark, sf_dir).select("song", "stem", *_SUBSCORES))
 
 
+@query(
+    f"""{o.RISKS} SELECT song, stem, concat_ws(', ', CASE WHEN spectral_flatness > 0.12 THEN 'high spectral flatness' WHEN spectral_flatness > 0.08 THEN 'moderate spectral flatness' END,
+    CASE WHEN noise_floor_db > -42 THEN 'high stem noise floor' WHEN noise_floor_db > -50 THEN 'moderate stem noise floor' END, CASE WHEN crest_db < 6 THEN 'flat stem dynamics' END,
+    CASE WHEN stem IN ('vocals', 'other') AND stereo_width > 1.25 THEN 'wide diffuse stem image' END, CASE WHEN phase_correlation < 0.05 THEN 'phase-sensitive stem' END,
+    CASE WHEN stem = 'vocals' AND high_energy > 0.42 AND NOT ((spectral_flatness > 0.08) AND (noise_floor_db > -50) AND (crest_db < 6) AND (stereo_width > 1.25) AND (phase_correlation < 0.05)) THEN 'vocal stem has strong high-band bleed' END) AS reasons FROM e"""
+)
+def stem_risk_reasons(spark, sf_dir):
+    return _risks(spark, sf_dir).select("song", "stem", F.array_join(stems.artifact_reasons(), ", ").alias("reasons"))
+
+
 @query(f"{o.RISKS} SELECT song, count(*) AS stems, round(avg(score), 6) + 0.0 AS average, round(max(score), 6) + 0.0 AS max, CASE WHEN avg(score) < 0.45 THEN 'allow' WHEN avg(score) <= 0.65 THEN 'attenuate' ELSE 'fallback' END AS decision, CASE WHEN avg(score) > 0.65 THEN '2stem' ELSE '4stem' END AS mode FROM e GROUP BY song")
 def stem_risk_map(spark, sf_dir):
     rows = stems.risk_map(_risks(spark, sf_dir), ["song"])
@@ -779,6 +789,22 @@ def soft_limit(spark, sf_dir):
     return rounded(rows.select("track", "peak", F.array_max(F.transform("y", F.abs)).alias("limited_peak"), rms(F.col("y")).alias("limited_rms")))
 
 
+_DRIVES = ", ".join(f"({i}, {v[6]}::DOUBLE)" for i, v in enumerate(LIGHT_PRESETS.values()))
+
+
+@query(
+    f"""WITH {o.PAIR}, a AS (SELECT track, l, 1 + drive * ((track % 12) / 10.0::DOUBLE) * 8 AS d FROM p JOIN (VALUES {_DRIVES}) t(k, drive) ON k = track % 7),
+    b AS (SELECT track, d, unnest(l) AS x FROM a), c AS (SELECT *, (greatest(least(x, 1), -1) + 1) / 2 * 2047 AS pos FROM b), e AS (SELECT *, least(floor(pos), 2046) AS j FROM c),
+    y AS (SELECT track, d, (1 - (pos - j)) * tanh((j * 2 / 2048 - 1) * d) / tanh(d) + (pos - j) * tanh(((j + 1) * 2 / 2048 - 1) * d) / tanh(d) AS y FROM e)
+    SELECT track, round(any_value(d), 6) + 0.0 AS drive, round(sqrt(avg(y * y)), 6) + 0.0 AS shaped_rms, round(max(abs(y)), 6) + 0.0 AS shaped_peak FROM y GROUP BY track"""
+)
+def drive_curve(spark, sf_dir):
+    """The light client's waveshaper, at the drive of a preset and an amount."""
+    rows = _pairs(spark, sf_dir).select("track", "l", (1.0 + _pick([v[6] for v in LIGHT_PRESETS.values()], "track") * (F.col("track") % 12 / num(10.0)) * 8.0).alias("drive"))
+    rows = rows.withColumn("y", features.driven(F.col("l"), F.col("drive")))
+    return rounded(rows.select("track", "drive", rms(F.col("y")).alias("shaped_rms"), F.array_max(F.transform("y", F.abs)).alias("shaped_peak")))
+
+
 @query("WITH f AS (SELECT p_brand, repeat('sub/', CAST(p_partkey % 3 AS INTEGER)) || p_name || '/' || CASE p_partkey % 2 WHEN 0 THEN 'Vocals.WAV' ELSE 'no_vocals.wav' END AS path FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY length(path), path) AS k FROM f WHERE lower(regexp_extract(path, '([^/]*)$', 1)) = 'vocals.wav') SELECT p_brand, path FROM r WHERE k = 1")
 def separator_file(spark, sf_dir):
     """The file of a stem in a folder tree: name in any case, shortest path first."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import extension
+from ..functions.text import base_name, extension
 
 SCHEMA = "path string, sr int, frames long, bits int, channels array<array<double>>"
 
@@ -54,6 +54,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return chosen.mapInArrow(run, SCHEMA)
 
 
+def stereo(files: DataFrame, sr: int, frames: int) -> DataFrame:
+    """(track, l, r) of the files of one rate and length; track is the file's name without its ending.
+
+    A mono file is both channels; of more than two channels the first two count. Other rates and lengths need a call of their own.
+    """
+    name = F.regexp_replace(base_name(F.col("path")), r"\.[^.]*$", "")
+    right = F.coalesce(F.get("channels", F.lit(1)), F.get("channels", F.lit(0)))
+    chosen = files.filter((F.col("sr") == sr) & (F.col("frames") == frames))
+    return chosen.select(name.alias("track"), F.get("channels", F.lit(0)).alias("l"), right.alias("r"))
+
+
 def write(tracks: DataFrame, path: str, sr: int, bits: int = 24) -> DataFrame:
     """Writes (name, l, r) as files under ``path`` of any file system that Arrow knows; returns (name, file, bytes), lazily.
 

@@ -4,24 +4,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import decibels, flags, mean, num, peak, rms
-from . import kernels, spectral
-from .features import array_percentile, block_size, mid_side, packed_frames_rms, stereo_image, with_loudness, zero_crossing_rate
+from ..functions.scalars import decibels, flags, num
+from . import kernels, measures, spectral
 from .mastering import map_tracks
 
 
 @dataclass(frozen=True)
 class Scale:
-    """Sample rate, track length, bands and frames of a kind of series, and the thresholds of its flags.
+    """Sample rate, bands and frames of a kind of series, and the thresholds of its flags.
 
     The defaults are those of audio; the sample rate of short frames makes a bin as wide as one hertz.
     """
 
     sr: int = 48_000
-    length: int = 96_000
     low: tuple[float, float] = (20.0, 250.0)
     mid: tuple[float, float] = (250.0, 4_000.0)
     high: tuple[float, float] = (4_000.0, 20_000.0)
@@ -35,75 +34,61 @@ class Scale:
     hot: float = -10.0
     silence: float = 0.35
     slow: int = 32_000
+    true_peak: bool = True
 
 
-#: Frames of 64 samples: bin k is k Hz.
-FRAMES = Scale(sr=64, length=64, low=(1.0, 8.0), mid=(8.0, 20.0), high=(20.0, 32.0), frame=16, hop=4, slow=32)
+#: Frames of 64 samples: bin k is k Hz. SQL can't find their true peak, so it is measured only where asked for.
+FRAMES = Scale(sr=64, low=(1.0, 8.0), mid=(8.0, 20.0), high=(20.0, 32.0), frame=16, hop=4, slow=32, true_peak=False)
+
+
+#: What is measured of the samples of a track, in the order of the record.
+MEASURES = (
+    "duration", "rms", "peak", "lufs", "mid_lufs", "side_lufs", "noise_floor_db", "dc_offset", "max_channel_dc_offset", "clipping_ratio", "silence_ratio",
+    "zero_crossing_rate", "stereo_width", "phase_correlation", "low_energy", "mid_energy", "high_energy", "spectral_centroid_hz", "spectral_rolloff_hz",
+    "spectral_flatness", "true_peak_db",
+)
 
 
 def analyze(tracks: DataFrame, scale: Scale = FRAMES) -> DataFrame:
-    """The record of each (track, l, r), both channels ``scale.length`` samples long.
+    """The record of each (track, l, r), a column for each of its fields; see ``with_record``."""
+    return with_record(tracks, "record", scale=scale, keep=["track"]).select("track", "record.*")
+
+
+def with_record(tracks: DataFrame, name: str, channels: tuple[str, str] = ("l", "r"), scale: Scale = FRAMES, keep: list[str] | None = None) -> DataFrame:
+    """Adds the record of two channels as a struct; tracks may differ in length. ``keep`` names the columns that stay, all if None.
 
-    Signals sampled at more than 100 Hz are K-weighted for their loudness and have a ``true_peak_db``; slower ones have neither.
+    Samples are measured in numpy, many tracks of one length at a time; what follows from the measures stays in columns.
+    Signals sampled at more than 100 Hz are K-weighted for their loudness. A track without samples, or with channels of
+    unequal length, has nulls for its measures and no flag but that of its rate.
     """
-    width = scale.sr / scale.length
-    block, hop = block_size(scale.sr)
-    left, right = F.col("l"), F.col("r")
-    mid, side = mid_side(left, right)
-    every, frames = F.col("_every"), F.col("_frames")
-    share = lambda rule: mean(every, lambda v: F.when(rule(F.abs(v)), num(1.0)).otherwise(num(0.0)))
-    level = {
-        "sr": F.lit(scale.sr),
-        "channels": F.lit(2),
-        "duration": F.size(left) / num(scale.sr),
-        "rms": rms(every),
-        "peak": peak(every),
-        **{n: F.col(n) for n in ("lufs", "mid_lufs", "side_lufs")},
-        "noise_floor_db": decibels(array_percentile(frames, 0.1)),
-        "dc_offset": (mean(left) + mean(right)) / 2.0,
-        "max_channel_dc_offset": F.greatest(F.abs(mean(left)), F.abs(mean(right))),
-        "clipping_ratio": share(lambda v: v >= 0.98),
-        "silence_ratio": share(lambda v: v <= 10 ** (-50 / 20)),
-        "zero_crossing_rate": (zero_crossing_rate(left) + zero_crossing_rate(right)) / 2.0,
-        **stereo_image(left, right),
-        "low_energy": spectral.band_share(F.col("power"), width, *scale.low),
-        "mid_energy": spectral.band_share(F.col("power"), width, *scale.mid),
-        "high_energy": spectral.band_share(F.col("power"), width, *scale.high),
-        "spectral_centroid_hz": spectral.centroid(F.col("power"), width),
-        "spectral_rolloff_hz": spectral.rolloff(F.col("power"), width),
-        "spectral_flatness": spectral.flatness(F.col("power")),
-    }
-    rows = spectral.power_spectrum(tracks.select("track", "l", "r"), ["l", "r"])
-    parts = {"_mid": mid, "_side": side, "_every": F.concat(left, right), "_frames": F.concat(packed_frames_rms(left, scale.frame, scale.hop), packed_frames_rms(right, scale.frame, scale.hop))}
-    rows = rows.withColumns(parts)
-    heard = {"lufs": ["l", "r"], "mid_lufs": ["_mid"], "side_lufs": ["_side"]}
-    if scale.sr > 100:
-        rows = weighted(rows, scale.sr)
-        heard = {"lufs": ["_heard_l", "_heard_r"], "mid_lufs": ["_heard_mid"], "side_lufs": ["_heard_side"]}
-        level["true_peak_db"] = F.col("true_peak_db")
-    rows = with_loudness(rows, heard, block, hop)
-    found = rows.select("track", *(c.alias(n) for n, c in level.items()))
-    score, balance = spectral.separation(F.col("low_energy"), F.col("mid_energy"), F.col("high_energy"))
-    found = found.withColumns({"peak_db": decibels(F.col("peak")), "crest_db": decibels(F.col("peak") / F.greatest("rms", num(1e-9))), "band_separation_score": score, "band_balance": balance})
-    return found.withColumns({"dynamic_range_db": F.col("peak_db") - F.col("noise_floor_db"), "quality_flags": quality_flags(scale)})
-
-
-def weighted(rows: DataFrame, sr: int) -> DataFrame:
-    """Adds the K-weighted channels, their mid and side (weighting is linear) and the true peak of both."""
-    fn = lambda a, b: {"_heard_l": kernels.k_weighted(a, sr), "_heard_r": kernels.k_weighted(b, sr), "true_peak_db": kernels.db(kernels.true_peak([a, b]))}
-    rows = map_tracks(rows, ["l", "r"], [], {"_heard_l": "array<double>", "_heard_r": "array<double>", "true_peak_db": "double"}, fn)
-    mid, side = mid_side(F.col("_heard_l"), F.col("_heard_r"))
-    return rows.withColumns({"_heard_mid": mid, "_heard_side": side})
-
-
-def quality_flags(scale: Scale) -> Column:
+    sr = scale.sr
+    bands = {"low_energy": scale.low, "mid_energy": scale.mid, "high_energy": scale.high}
+
+    def measured(l, r):
+        parts = [measures.level(l, r, scale.frame, scale.hop), measures.loudness(l, r, sr), measures.image(l, r), measures.spectrum(l, r, sr, bands)]
+        peak = {"true_peak_db": kernels.db(kernels.true_peak([l, r]))} if scale.true_peak else {}
+        found = {"duration": np.full(len(l), l.shape[-1] / sr), **{n: v for part in parts for n, v in part.items()}, **peak}
+        return {f"_m_{n}": v for n, v in found.items()}
+
+    names = [n for n in MEASURES if scale.true_peak or n != "true_peak_db"]
+    rows = map_tracks(tracks, list(channels), [], {f"_m_{n}": "double" for n in names}, measured, keep)
+    m = {"sr": F.lit(sr), "channels": F.lit(2), **{n: F.col(f"_m_{n}") for n in names}}
+    m["band_separation_score"], m["band_balance"] = spectral.separation(m["low_energy"], m["mid_energy"], m["high_energy"])
+    m["peak_db"] = decibels(m["peak"])
+    m["crest_db"] = decibels(m["peak"] / F.greatest(m["rms"], num(1e-9)))
+    m["dynamic_range_db"] = m["peak_db"] - m["noise_floor_db"]
+    m["quality_flags"] = quality_flags(m, scale)
+    return rows.withColumn(name, F.struct(*(c.alias(n) for n, c in m.items()))).drop(*(f"_m_{n}" for n in names))
+
+
+def quality_flags(m: dict[str, Column], scale: Scale) -> Column:
     return flags(
-        ("clipping_detected", F.col("clipping_ratio") > scale.clipping_share),
-        ("dc_offset", F.col("max_channel_dc_offset") > scale.dc),
-        ("high_noise_floor", F.col("noise_floor_db") > scale.noise_db),
-        ("dull_high_end", (F.col("high_energy") < scale.dull) & (F.col("sr") >= scale.slow)),
-        ("very_low_loudness", F.col("lufs") < scale.quiet),
-        ("hot_loudness", F.col("lufs") > scale.hot),
-        ("large_silence_sections", F.col("silence_ratio") > scale.silence),
-        ("low_sample_rate", F.col("sr") < scale.slow),
+        ("clipping_detected", m["clipping_ratio"] > scale.clipping_share),
+        ("dc_offset", m["max_channel_dc_offset"] > scale.dc),
+        ("high_noise_floor", m["noise_floor_db"] > scale.noise_db),
+        ("dull_high_end", (m["high_energy"] < scale.dull) & F.lit(scale.sr >= scale.slow)),
+        ("very_low_loudness", m["lufs"] < scale.quiet),
+        ("hot_loudness", m["lufs"] > scale.hot),
+        ("large_silence_sections", m["silence_ratio"] > scale.silence),
+        ("low_sample_rate", F.lit(scale.sr < scale.slow)),
     )

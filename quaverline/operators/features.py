@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clip, decibels, mean, num, peak, rms, total
+from ..functions.scalars import clip, decibels, mean, num, peak, rms
 
 
 def level_stats(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -53,51 +53,10 @@ def left_right(mid: Column, side: Column) -> tuple[Column, Column]:
     return F.zip_with(mid, side, lambda m, s: m + s), F.zip_with(mid, side, lambda m, s: m - s)
 
 
-def block_energies(energy: Column, block: int, hop: int) -> Column:
-    """Mean of ``energy`` over each whole block; the last partial block doesn't count."""
-    starts = F.when(F.size(energy) >= block, F.sequence(F.lit(0), F.size(energy) - block, F.lit(hop))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: total(F.slice(energy, s + 1, block)) / float(block))
-
-
 def loudness(energy: Column) -> Column:
     return -0.691 + 10.0 * F.log10(F.greatest(energy, num(1e-18)))
 
 
-def with_loudness(rows: DataFrame, signals: dict[str, list[str]], block: int, hop: int) -> DataFrame:
-    """Adds the integrated loudness of each named signal of one or two array columns of equal length.
-
-    They are K-weighted already (or sampled too slowly for it to matter). A block's energy is the sum of the channels; blocks
-    above -70 count, and of those the ones above their mean less 10. A signal shorter than a block has the mean of the
-    channels. Each step is a column of its own, so what a later step reads several times is computed once.
-    """
-    c, names = F.col, list(signals)
-    energy = {}
-    for n, channels in signals.items():
-        squares = [F.transform(c(x), lambda v: v * v) for x in channels]
-        energy[f"_{n}_e"] = squares[0] if len(squares) == 1 else F.zip_with(squares[0], squares[1], lambda a, b: a + b)
-    rows = rows.withColumns(energy)
-    rows = rows.withColumns({f"_{n}_b": block_energies(c(f"_{n}_e"), block, hop) for n in names} | {f"_{n}_w": mean(c(f"_{n}_e")) / float(len(signals[n])) for n in names})
-    rows = rows.withColumns({f"_{n}_l": F.filter(f"_{n}_b", lambda e: loudness(e) > -70.0) for n in names})
-    rows = rows.withColumns({f"_{n}_g": loudness(mean(c(f"_{n}_l"))) - 10.0 for n in names})
-    rows = rows.withColumns({f"_{n}_k": _above(f"_{n}_l", f"_{n}_g") for n in names})
-    out = {}
-    for n in names:
-        whole, loud, kept = c(f"_{n}_w"), c(f"_{n}_l"), c(f"_{n}_k")
-        plain = decibels(F.sqrt(whole)) - 0.691
-        blocks = F.when(F.size(loud) == 0, plain).when(F.size(kept) > 0, loudness(mean(kept))).otherwise(loudness(mean(loud)))
-        out[n] = F.when(whole <= 1e-24, plain).when(F.size(f"_{n}_e") < block, loudness(whole)).otherwise(blocks)
-    return rows.withColumns(out).drop(*(f"_{n}_{k}" for n in names for k in "ebwlgk"))
-
-
-def _above(energies: str, gate: str) -> Column:
-    return F.filter(energies, lambda e: loudness(e) > F.col(gate))
-
-
-def block_size(sr: int, seconds: float = 0.4, overlap: float = 0.75) -> tuple[int, int]:
-    block = max(round(sr * seconds), 1)
-    return block, max(round(block * (1 - overlap)), 1)
-
-
 def gated_loudness(samples: DataFrame, keys: Sequence[str], block: int, hop: int) -> DataFrame:
     """Integrated loudness of long series: (keys..., blocks, lufs).
 
@@ -125,25 +84,6 @@ def noise_floor(samples: DataFrame, keys: Sequence[str], frame: int, hop: int) -
     return framed_rms(samples, keys, frame, hop).groupBy(*keys).agg(F.count("*").alias("frames"), decibels(F.percentile("rms", F.lit(0.1))).alias("noise_floor_db"))
 
 
-def packed_frames_rms(values: Column, frame: int, hop: int) -> Column:
-    starts = F.when(F.size(values) >= frame, F.sequence(F.lit(0), F.size(values) - frame, F.lit(hop))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: rms(F.slice(values, s + 1, frame)))
-
-
-def array_percentile(values: Column, share: float) -> Column:
-    """Linear interpolation between the two values around the place, as numpy does."""
-    ordered, place = F.array_sort(values), (F.size(values) - 1) * num(share)
-    low = F.floor(place).cast("int")
-    a, b = F.element_at(ordered, low + 1), F.element_at(ordered, F.least(low + 2, F.size(values)))
-    return a + (b - a) * (place - low)
-
-
-def zero_crossing_rate(values: Column) -> Column:
-    """Share of samples whose sign differs from that of the sample before; zero counts as positive."""
-    pairs = F.zip_with(F.slice(values, 2, F.size(values) - 1), F.slice(values, 1, F.size(values) - 1), lambda a, b: F.when((a < 0) != (b < 0), num(1.0)).otherwise(num(0.0)))
-    return F.when(F.size(values) > 1, total(pairs) / F.size(values)).otherwise(num(0.0))
-
-
 def zero_crossings(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The same of long series, by the sample before."""
     before = F.lag("x").over(Window.partitionBy(*keys).orderBy("n"))

@@ -130,7 +130,12 @@ def k_weighted(x: Array, sr: float) -> Array:
 
 def integrated_loudness(channels: list[Array], sr: float) -> Array:
     """Two-stage gated loudness of each track."""
-    energy = sum(k_weighted(c, sr) ** 2 for c in channels)
+    return gated_loudness([k_weighted(c, sr) for c in channels], channels, sr)
+
+
+def gated_loudness(weighted: list[Array], channels: list[Array], sr: float) -> Array:
+    """The same of channels that are K-weighted already; ``channels``, as they were, tell silence."""
+    energy = sum(c**2 for c in weighted)
     raw = np.sqrt(sum((c**2).mean(axis=-1) for c in channels) / len(channels))
     fallback = db(raw) - 0.691
     level = lambda e: -0.691 + 10 * np.log10(np.maximum(e, 1e-18))

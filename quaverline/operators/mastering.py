@@ -35,27 +35,40 @@ class Frames:
 SHORT = Frames(sr=8_000.0, size=32, hop=8)
 
 
-def map_tracks(tracks: DataFrame, arrays: list[str], scalars: list[str], out: dict[str, str], fn: Callable[..., dict[str, np.ndarray]]) -> DataFrame:
-    """Adds columns that ``fn`` computes from array columns of equal length, as (tracks, samples), and scalar columns."""
-    places = [tracks.columns.index(c) for c in (*arrays, *scalars)]
-    types = {"double": pa.float64(), "array<double>": pa.list_(pa.float64()), "int": pa.int32(), "long": pa.int64()}
+#: Samples that one call of a kernel works on at most (of one column), so that its temporaries stay small.
+CALL_SAMPLES = 2_000_000
+TYPES = {"double": pa.float64(), "array<double>": pa.list_(pa.float64()), "int": pa.int32(), "long": pa.int64()}
+
+
+def map_tracks(tracks: DataFrame, arrays: list[str], scalars: list[str], out: dict[str, str], fn: Callable[..., dict[str, np.ndarray]], keep: list[str] | None = None) -> DataFrame:
+    """Adds columns that ``fn`` computes from array columns of equal length, as (tracks, samples), and scalar columns.
+
+    ``keep`` names the columns that stay, all if None. A track that has no samples, or a null or unequally long array among
+    ``arrays``, gets nulls. A null sample is NaN to ``fn``.
+    """
+    names = tracks.columns if keep is None else keep
+    places, stay = [tracks.columns.index(c) for c in (*arrays, *scalars)], [tracks.columns.index(c) for c in names]
 
     def run(batches):
         for batch in batches:
-            cells = [batch.column(i).to_pylist() for i in places]
+            lists = [batch.column(i) for i in places[: len(arrays)]]
+            samples = [c.values.to_numpy(zero_copy_only=False) for c in lists]
+            starts = np.array([c.offsets.to_numpy()[:-1] for c in lists])
+            sizes = np.array([c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in lists])
+            single = [batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in places[len(arrays) :]]
+            size = np.where((sizes == sizes[0]).all(axis=0), sizes[0], 0)
             found: dict[str, list] = {c: [None] * batch.num_rows for c in out}
-            by_length: dict[int, list[int]] = {}
-            for i, x in enumerate(cells[0]):
-                if x and all(a[i] is not None and len(a[i]) == len(x) for a in cells[: len(arrays)]):
-                    by_length.setdefault(len(x), []).append(i)
-            for rows in by_length.values():
-                args = [np.array([c[i] for i in rows], float) for c in cells]
-                for name, values in fn(*args).items():
-                    for i, v in zip(rows, values.tolist()):
-                        found[name][i] = v
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[c], types[t]) for c, t in out.items())], [*batch.schema.names, *out])
-
-    return tracks.mapInArrow(run, ", ".join([schema_text(tracks), *(f"`{c}` {t}" for c, t in out.items())]))
+            for length in np.unique(size[size > 0]):
+                same, step = np.flatnonzero(size == length), max(CALL_SAMPLES // int(length), 1)
+                for rows in (same[i : i + step] for i in range(0, len(same), step)):
+                    args = [x[s[rows, None] + np.arange(length)].astype(float) for x, s in zip(samples, starts)]
+                    for name, values in fn(*args, *(c[rows] for c in single)).items():
+                        for i, v in zip(rows, values):
+                            found[name][i] = v
+            made = (pa.array(found[c], TYPES[t]) for c, t in out.items())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), *made], [*names, *out])
+
+    return tracks.mapInArrow(run, ", ".join([schema_text(tracks.select(names)), *(f"`{c}` {t}" for c, t in out.items())]))
 
 
 #: How a track is to be treated, besides its parameters; 0 or 1 for each track.

@@ -1,4 +1,4 @@
-"""Spectral features of packed tracks. The transform is numpy's over Arrow batches; everything after it stays in columns."""
+"""Spectral features of packed tracks. The transform is numpy's over Arrow batches; see ``measures`` for what a record has of it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clip, mean, num, total
+from ..functions.scalars import clip, num
 
 
 def power_spectrum(tracks: DataFrame, channels: list[str], name: str = "power") -> DataFrame:
@@ -30,37 +30,6 @@ def schema_text(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def bins(power: Column, spacing: float) -> Column:
-    """(f, p) of each bin; ``spacing`` is the sample rate over the track's length."""
-    return F.transform(power, lambda p, i: F.struct((i * num(spacing)).alias("f"), p.alias("p")))
-
-
-def band_share(power: Column, spacing: float, low: float, high: float) -> Column:
-    """Share of the power in [low, high)."""
-    whole = total(power)
-    part = total(F.filter(bins(power, spacing), lambda b: (b["f"] >= low) & (b["f"] < high)), lambda b: b["p"])
-    return part / F.when(whole == 0, num(1.0)).otherwise(whole)
-
-
-def centroid(power: Column, spacing: float) -> Column:
-    whole = total(power)
-    return F.when(whole <= 1e-12, num(0.0)).otherwise(total(bins(power, spacing), lambda b: b["f"] * b["p"]) / whole)
-
-
-def rolloff(power: Column, spacing: float, share: float = 0.85) -> Column:
-    """First frequency up to which ``share`` of the power lies."""
-    goal = total(power) * share
-    state = F.struct(num(0.0).alias("sum"), F.lit(0).alias("bins"))
-    seen = F.aggregate(power, state, lambda s, p: F.struct((s["sum"] + p).alias("sum"), (s["bins"] + F.when(s["sum"] + p < goal, 1).otherwise(0)).alias("bins")))
-    return F.when(total(power) <= 1e-12, num(0.0)).otherwise(F.least(seen["bins"], F.size(power) - 1) * num(spacing))
-
-
-def flatness(power: Column) -> Column:
-    """Geometric over arithmetic mean of the magnitudes."""
-    magnitude = F.transform(power, lambda p: F.sqrt(F.greatest(p, num(1e-18))))
-    return F.exp(mean(magnitude, F.ln)) / (mean(magnitude) + 1e-18)
-
-
 def separation(low: Column, mid: Column, high: Column) -> tuple[Column, Column]:
     """Score of how well three bands keep apart, 0 to 100, and their shares."""
     whole = F.greatest(low + mid + high, num(1e-9))

@@ -7,6 +7,7 @@ There is no audio among the tables: each user's events, pairs of vectors and the
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,13 +17,15 @@ from ..functions import text
 from ..functions.scalars import decibels, mean, num, rms, rounded
 from ..functions.tables import LIGHT_PRESETS, PARAMETERS, STEM_GAINS, STEM_ORDER, STEM_ROLES
 from ..operators import features, guards, kernels, mastering, spectral, stem_audio, stems
-from ..operators.analysis import FRAMES, analyze
+from ..operators.analysis import FRAMES, analyze, with_record
 from ..session import table
 from ..sources import signals
 from . import oracles as o
 from . import signal_sql as q
 from . import rules, validation
 
+#: For queries whose SQL has the true peak, or that have no SQL.
+PEAKED = replace(FRAMES, true_peak=True)
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -369,18 +372,15 @@ def recommendation_advice(spark, sf_dir):
 # Before and after
 
 
-def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A simple processing whose result SQL can follow: gain and saturation by the track's number."""
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records before and after a simple processing that SQL can follow: gain and saturation by the track's number."""
     drive, gain = 1 + F.col("track") % 3, 1 + F.col("track") % 4
     done = lambda c, g: F.transform(c, lambda v: g * gain * F.tanh(v * drive) / F.tanh(drive))
-    return _pairs(spark, sf_dir).select("track", done("l", num(0.8)).alias("l"), done("r", num(0.7)).alias("r"))
-
-
-def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    after = analyze(_processed(spark, sf_dir)).withColumn("true_peak_db", F.col("peak_db"))
-    rows = validation.compared(_records(spark, sf_dir), after, ["track"])
+    both = _pairs(spark, sf_dir).withColumns({"out_l": done("l", num(0.8)), "out_r": done("r", num(0.7))})
+    rows = with_record(with_record(both, "before", keep=["track", "out_l", "out_r"]), "after", ("out_l", "out_r"), keep=["track", "before"])
     mode = F.when(F.col("track") % 2 == 1, "match_source").otherwise("target")
-    return rows.withColumns({"target": _pick(["hifi_clean", "loud_modern", "hifi_bright+voice_focus"], "track"), "volume_mode": mode})
+    sample_peaks = {n: F.col(n).withField("true_peak_db", F.col(f"{n}.peak_db")) for n in ("before", "after")}
+    return rows.withColumns(sample_peaks | {"target": _pick(["hifi_clean", "loud_modern", "hifi_bright+voice_focus"], "track"), "volume_mode": mode})
 
 
 @query(f"{o.COMPARED}, d AS (SELECT j.track, {o.DRIFT} AS f FROM j) SELECT track, array_to_string(f, ',') AS flags, CASE WHEN len(f) = 0 THEN 'none' WHEN list_has_any(f, ['headroom_risk', 'phase_correlation_loss', 'transient_flattening', 'high_band_harshness']) OR len(f) >= 3 THEN 'severe' ELSE 'warning' END AS severity FROM d")
@@ -698,9 +698,13 @@ def stem_guards(spark, sf_dir):
     return _guard_query(spark, sf_dir, fn, ["vocals", "bass", "drums", "other", "residual_rms", "residual_gain", "kept_rms", "final_peak", "final_rms"])
 
 
+def _sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks with their record, as a struct ``before`` and as columns."""
+    return with_record(_pairs(spark, sf_dir), "before", scale=PEAKED).select("*", "before.*")
+
+
 def _mastered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mastering.with_true_peak(_pairs(spark, sf_dir)).join(analyze(_pairs(spark, sf_dir)), "track")
-    return mastering.mastered(rules.for_request(_requests(rows)))
+    return mastering.mastered(rules.for_request(_requests(_sounds(spark, sf_dir))))
 
 
 @query(q.mastering_chain())
@@ -713,33 +717,25 @@ def mastering_chain(spark, sf_dir):
 @query()
 def post_quality_guard(spark, sf_dir):
     """What the chain did is analysed again; where it drifted, some of the source is blended back, levelled and analysed once more."""
-    done = _mastered(spark, sf_dir)
-    after = mastering.with_true_peak(done.select("track", F.col("out_l").alias("l"), F.col("out_r").alias("r")))
-    again = analyze(after).join(after.select("track", "true_peak_db"), "track")
-    known = mastering.with_low_side_growth(done.select("track", "target", "volume_mode", "dsp_params", "l", "r", "out_l", "out_r"))
-    rows = validation.compared(_records(spark, sf_dir), again, ["track"]).join(known, "track")
     drift = validation.drift_flags(F.col("target"), F.col("volume_mode"), F.col("dsp_params.limiter_ceiling_db"))
-    rows = rows.withColumn("flags", F.when(F.col("low_side_growth") == 1, F.concat(drift, F.array(F.lit("low_bass_side_growth")))).otherwise(drift))
-    rows = rows.withColumn("severity", validation.drift_severity(F.col("flags")))
-    rows = mastering.guarded(rows.select(*known.columns, "flags", "severity"))
-    last = analyze(rows.select("track", F.col("out_l").alias("l"), F.col("out_r").alias("r"))).join(rows.select("track", F.col("guarded_peak_db").alias("true_peak_db")), "track")
-    after = validation.compared(_records(spark, sf_dir), last, ["track"]).join(rows, "track").withColumn("after_flags", F.when(F.col("blend") > 0, drift).otherwise(F.array().cast("array<string>")))
-    return rounded(after.select("track", F.array_join("flags", ",").alias("flags"), "severity", "blend", rms(F.concat("out_l", "out_r")).alias("rms_out"), F.array_join("after_flags", ",").alias("after_flags"), "guarded_peak_db"))
+    grown = F.when(F.col("low_side_growth") == 1, F.array(F.lit("low_bass_side_growth"))).otherwise(F.array().cast("array<string>"))
+    known = ["track", "target", "volume_mode", "dsp_params", "l", "r", "out_l", "out_r", "before"]
+    rows = mastering.with_low_side_growth(with_record(_mastered(spark, sf_dir), "after", ("out_l", "out_r"), PEAKED, known))
+    rows = rows.withColumn("flags", F.concat(drift, grown)).withColumn("severity", validation.drift_severity(F.col("flags")))
+    rows = with_record(mastering.guarded(rows.drop("after")), "after", ("out_l", "out_r"), PEAKED)
+    rows = rows.withColumn("after_flags", F.when(F.col("blend") > 0, drift).otherwise(F.array().cast("array<string>")))
+    return rounded(rows.select("track", F.array_join("flags", ",").alias("flags"), "severity", "blend", rms(F.concat("out_l", "out_r")).alias("rms_out"), F.array_join("after_flags", ",").alias("after_flags"), "guarded_peak_db"))
 
 
 @query()
 def target_previews(spark, sf_dir):
     """Up to three targets for each track through the chain; the one with the highest validation score."""
-    rows = mastering.with_true_peak(_pairs(spark, sf_dir)).join(analyze(_pairs(spark, sf_dir)), "track")
+    rows = _sounds(spark, sf_dir)
     asked = rules.with_targets(_requests(rows)).select(*rows.columns, "amount", F.posexplode(text.preview_targets(F.col("targets"))).alias("position", "request"))
-    done = mastering.mastered(rules.recommend(asked))
-    tracks = done.select((F.col("track") * 3 + F.col("position")).alias("track"), F.col("out_l").alias("l"), F.col("out_r").alias("r"))
-    after = analyze(tracks).join(done.select((F.col("track") * 3 + F.col("position")).alias("track"), F.col("true_peak_out_db").alias("true_peak_db")), "track")
-    before = done.select((F.col("track") * 3 + F.col("position")).alias("track"), *(c for c in rows.columns if c not in ("track", "l", "r")))
-    known = done.select((F.col("track") * 3 + F.col("position")).alias("track"), "position", F.col("request").alias("target"), F.col("dsp_params.target_lufs").alias("goal"), F.col("dsp_params.limiter_ceiling_db").alias("ceiling"))
-    scored = validation.validation(validation.compared(before, after, ["track"]).join(known, "track"), F.col("target"), F.lit("target"), F.col("goal"), F.col("ceiling"))
-    best = validation.best(scored.withColumn("song", F.floor(F.col("track") / 3).cast("long")), ["song"])
-    return rounded(best.select(F.col("song").alias("track"), "target", "score", "overall"))
+    done = with_record(mastering.mastered(rules.recommend(asked)), "after", ("out_l", "out_r"), PEAKED, ["track", "position", "request", "dsp_params", "before"])
+    known = done.withColumnRenamed("request", "target")
+    scored = validation.validation(known, F.col("target"), F.lit("target"), F.col("dsp_params.target_lufs"), F.col("dsp_params.limiter_ceiling_db"))
+    return rounded(validation.best(scored, ["track"]).select("track", "target", "score", "overall"))
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import mastering
-from ..operators.analysis import Scale, analyze
+from ..operators.analysis import Scale, with_record
 from . import rules, validation
 
 
@@ -17,11 +17,10 @@ def processed(tracks: DataFrame, requests: DataFrame, scale: Scale) -> DataFrame
     Returns the record as ``before``, the recommendation's columns, l, r, out_l and out_r. Write it as a table before
     ``report`` reads it, so that the chain runs once.
     """
-    record = analyze(tracks, scale)
-    before = F.struct(*(c for c in record.columns if c != "track"))
-    asked = rules.for_request(record.withColumn("before", before).join(requests, "track"))
-    kept = asked.select("track", "before", "target", "mode", "intensity", "effective", "dsp_params", "manual_dsp", "volume_mode", "reasons", "advice")
-    return mastering.mastered(kept.join(tracks, "track"), mastering.Frames(sr=float(scale.sr)))
+    record = with_record(tracks, "before", scale=scale).select("*", "before.*")
+    asked = rules.for_request(record.join(requests, "track"))
+    kept = asked.select("track", "l", "r", "before", "target", "mode", "intensity", "effective", "dsp_params", "manual_dsp", "volume_mode", "reasons", "advice")
+    return mastering.mastered(kept, mastering.Frames(sr=float(scale.sr)))
 
 
 def report(done: DataFrame, scale: Scale) -> DataFrame:
@@ -29,9 +28,7 @@ def report(done: DataFrame, scale: Scale) -> DataFrame:
 
     Both records are measured the same way, true peak included.
     """
-    record = analyze(done.select("track", F.col("out_l").alias("l"), F.col("out_r").alias("r")), scale)
-    after = record.select("track", F.struct(*(c for c in record.columns if c != "track")).alias("after"))
-    rows = done.select("track", "before", "target", "mode", "manual_dsp", "volume_mode", "dsp_params", "advice").join(after, "track")
+    rows = with_record(done, "after", ("out_l", "out_r"), scale, ["track", "before", "target", "mode", "manual_dsp", "volume_mode", "dsp_params", "advice"])
     p = rows.dsp_params
     found = validation.drift_flags(F.col("target"), F.col("volume_mode"), p.limiter_ceiling_db)
     rows = rows.withColumn("flags", found).withColumn("severity", validation.drift_severity(F.col("flags")))

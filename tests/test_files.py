@@ -10,8 +10,8 @@ from quaverline.plans import files
 from quaverline.plans import validation as v
 from quaverline.sources import wav
 
-SR, LENGTH = 48_000, 24_000
-SCALE = Scale(sr=SR, length=LENGTH)
+SR, LENGTH = 48_000, 96_000
+SCALE = Scale(sr=SR)
 #: Highest true peak that codecs stand, in dB, and how far a measurement may be off.
 SAFE, SLACK = -1.4, 0.08
 

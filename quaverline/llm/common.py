@@ -110,5 +110,18 @@ def sampled(df: DataFrame, key: Column, most: int) -> DataFrame:
     return chosen.unionAll(df.filter(h == edge).limit(most - below)) if below < most else chosen
 
 
+def joined_back(rows: DataFrame, groups: DataFrame, key: str, size: str, most_hot: int = 1_000, least: int = 100) -> DataFrame:
+    """``rows`` with the columns of ``groups``, which has one row for each ``key`` and its number of rows in ``size``.
+
+    A group may hold a third of all rows. Those with more than a ``most_hot``-th of them (and more than ``least``) are less than
+    ``most_hot``: they are broadcast and their rows stay where they are. The others meet in a shuffle that no key dominates.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.filter(F.col(size) > max(least, total // most_hot))
+    near = rows.join(F.broadcast(hot), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(F.col(size) <= max(least, total // most_hot)), key)
+    return near.unionByName(far)
+
+
 def binary(array: np.ndarray) -> bytes:
     return np.ascontiguousarray(array).tobytes()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classlm, decontam, jaccard, langid, substring, topk, toxicity, warc, wavelet
+from . import bpe, classlm, decontam, exact, jaccard, langid, substring, topk, toxicity, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_table(spark, sf_dir, "documents"), held_out_remainder=2, modulus=4)
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_topk": op9_topk,
     "op10_language_id": op10_language_id,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLE: dict[str, str] = {
@@ -111,4 +116,9 @@ ORACLE: dict[str, str] = {
         ),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 10""",
+    "op13_exact_dedup": r"""
+        WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS s FROM documents),
+             k AS (SELECT s, count(*) AS group_size, max(n) AS most FROM d GROUP BY s),
+             f AS (SELECT s, min(doc_id) AS keep_id FROM d JOIN k USING (s) WHERE n = most GROUP BY s)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, s AS text_sha256 FROM d JOIN k USING (s) JOIN f USING (s)""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classlm, decontam, exact, jaccard, langid, substring, topk, toxicity, warc, wavelet
+from . import align, audit, bpe, classlm, decontam, exact, jaccard, langid, substring, topk, toxicity, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_table(spark, sf_dir, "documents"), held_out_remainder=2, modulus=4)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.token_alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -69,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_topk": op9_topk,
     "op10_language_id": op10_language_id,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_token_alignment": op12_token_alignment,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
@@ -116,6 +126,35 @@ ORACLE: dict[str, str] = {
         ),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 10""",
+    "op11_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             g AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+             l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+             f AS (
+                 SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                        [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+                         regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > least, false)] AS fails
+                 FROM d JOIN g USING (t) LEFT JOIN l ON l.doc_id = d.doc_id
+             ),
+             x AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+             o AS (
+                 SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM x a, x b, x c, x d, x e
+                 WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+             ),
+             s AS (
+                 SELECT part, good, toxic, p, k, fails[p[k]] AS bad, len(list_filter(p[1:k - 1], lambda i: fails[i])) > 0 AS gone,
+                        len(list_filter(fails, lambda b: b)) AS n
+                 FROM f, o, (SELECT unnest([1, 2, 3, 4, 5]) AS k)
+             ),
+             r AS (
+                 SELECT part, p, k, count(*) FILTER (NOT bad AND NOT gone) AS kept, count(*) FILTER (bad AND NOT gone) AS removed,
+                        count(*) FILTER (bad AND gone) AS redundant, count(*) FILTER (bad AND n = 1) AS unique_fails,
+                        count(*) FILTER (bad AND NOT gone AND good) AS good_lost, count(*) FILTER (bad AND NOT gone AND toxic) AS toxic_lost
+                 FROM s GROUP BY part, p, k
+             )
+        SELECT part, array_to_string(list_transform(p, lambda i: chr(64 + CAST(i AS INTEGER))), '') AS filter_order, CAST(k AS INTEGER) AS step,
+               kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, p[k]) AS BIGINT) AS shapley
+        FROM r""",
     "op13_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS s FROM documents),
              k AS (SELECT s, count(*) AS group_size, max(n) AS most FROM d GROUP BY s),

@@ -33,13 +33,10 @@ def buckets(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def pack(hashes: np.ndarray, owners: np.ndarray, n: int, width: int = WIDTH) -> Iterator[tuple[int, np.ndarray, bytes, bytes, bytes]]:
     """For ascending ``hashes``: bucket, order of its entries, hashes, owners and how many hashes each owner has."""
-    edges = np.searchsorted(buckets(hashes, n), np.arange(n + 1, dtype=np.uint64))
-    for b in range(n):
-        lo, hi = edges[b], edges[b + 1]
-        if lo < hi:
-            to = lo + np.argsort(owners[lo:hi], kind="stable")
-            ids, sizes = np.unique(owners[lo:hi], return_counts=True)
-            yield b, to, binary(hashes[to].view(np.uint8).reshape(-1, 8)[:, :width]), binary(ids), binary(sizes.astype(np.uint32))
+    for b, lo, hi in stretches(buckets(hashes, n)):
+        to = lo + np.argsort(owners[lo:hi], kind="stable")
+        ids, sizes = np.unique(owners[lo:hi], return_counts=True)
+        yield b, to, binary(hashes[to].view(np.uint8).reshape(-1, 8)[:, :width]), binary(ids), binary(sizes.astype(np.uint32))
 
 
 def unpack(hashes: list[bytes], owners: list[bytes], sizes: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -56,3 +53,10 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     if not len(sorted_values):
         return np.zeros(0, np.int64)
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
+
+
+def stretches(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Each value with where its run starts and ends; values that don't occur cost nothing."""
+    starts = runs(sorted_values)
+    ends = np.append(starts[1:], len(sorted_values))
+    return zip(sorted_values[starts].tolist(), starts.tolist(), ends.tolist())

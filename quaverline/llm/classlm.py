@@ -472,13 +472,11 @@ def word_sums(rows: DataFrame, frequent: list[bytes], least: int) -> DataFrame:
         tokens = np.bincount(at, times, len(ids)).astype(np.uint32)
         group = blobs.spread(ids, n)
         by = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[by], np.arange(n + 1))
         out: dict[str, list] = {"group": [int(h[0] % np.uint64(n)) if len(h) else 0], "owners": [None], "logs": [None], "known": [None], "tokens": [None], "types": [binary(np.append(types, counts.sum()).astype(np.int64))], "often": [often]}
-        for g in range(n):
-            i = by[edges[g] : edges[g + 1]]
-            if len(i):
-                for k, v in zip(out, (g, binary(ids[i]), binary(logs[i]), binary(known[i]), binary(tokens[i]), None, None)):
-                    out[k].append(v)
+        for g, lo, hi in blobs.stretches(group[by]):
+            i = by[lo:hi]
+            for k, v in zip(out, (g, binary(ids[i]), binary(logs[i]), binary(known[i]), binary(tokens[i]), None, None)):
+                out[k].append(v)
         return pa.table(out, pa.schema([("group", pa.int32()), *((c, pa.binary()) for c in ("owners", "logs", "known", "tokens", "types")), ("often", pa.list_(pa.binary()))]))
 
     def gather(table: pa.Table) -> pa.Table:

@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,10 @@ BUCKETS_PER_PARTITION = 2
 BUCKET_BYTES = 64 << 20
 #: Nodes of one block of a prefix shingle's posting; pairs of blocks are dealt to tasks.
 BLOCK_NODES = 2_000
+#: The same where nodes only meet the posting's centre.
+STAR_NODES = 65_536
+#: Bytes of the nodes' shingles behind one bucket of postings, about.
+POSTING_BYTES = 8 << 20
 #: Node counts from here on are not exact: capped, or of a frequent shingle.
 INEXACT = 65_534
 #: Nodes of one verification group.
@@ -170,14 +175,11 @@ def shared_shingles(docs: DataFrame, width: int, percent: int, hot: np.ndarray)
         group = blobs.spread(owner, n_buckets)
         by = np.lexsort((owner, group))
         h, owner, each, group = h[by], owner[by], each[by], group[by]
-        edges = np.searchsorted(group, np.arange(n_buckets + 1))
         rows: dict[str, list] = {"group": [], "hashes": [], "owners": [], "sizes": [], "counts": [], "kind": []}
-        for g in range(n_buckets):
-            lo, hi = edges[g], edges[g + 1]
-            if lo < hi:
-                ids, sizes = np.unique(owner[lo:hi], return_counts=True)
-                for k, v in zip(rows, (g, binary(h[lo:hi]), binary(ids), binary(sizes.astype(np.uint32)), binary(each[lo:hi]), 0)):
-                    rows[k].append(v)
+        for g, lo, hi in blobs.stretches(group):
+            ids, sizes = np.unique(owner[lo:hi], return_counts=True)
+            for k, v in zip(rows, (g, binary(h[lo:hi]), binary(ids), binary(sizes.astype(np.uint32)), binary(each[lo:hi]), 0)):
+                rows[k].append(v)
         buckets = table.column("bucket").to_pylist()
         for i, k in enumerate(raw["kind"]):
             if k == 1:
@@ -243,50 +245,72 @@ def prefix(n: int, counts: np.ndarray, percent: int) -> tuple[int, int]:
     return min(base + chosen, len(counts)), chosen
 
 
-def long_postings(nodes: DataFrame, percent: int) -> dict[int, int]:
-    """How many nodes have each of the most frequent shingles in their prefixes, if more than a block.
+def centrality(counts: np.ndarray, n: int) -> int:
+    """High for the centre of near copies, which holds the shingles that most of them hold."""
+    return int(np.log(counts).sum() / n * 1e6)
+
+
+def long_postings(nodes: DataFrame, percent: int) -> dict[int, tuple[int, int]]:
+    """How many nodes have each of the most frequent shingles in their prefixes, if more than a block, and the most central one.
 
     Only shingles whose number of nodes isn't known are counted, which are few: frequent in a sample or held by 65,534 nodes.
     """
 
     def run(batches):
         for batch in batches:
-            found = [np.zeros(0, np.uint64)]
-            for n, tokens, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            found, central, sids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for sid, n, tokens, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 c = np.frombuffer(counts, np.uint16)
                 size = prefix(n, c, percent)[0]
                 found.append(np.frombuffer(tokens, np.uint64)[:size][c[:size] >= INEXACT])
-            h, times = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "times": pa.array(times, pa.int64())})
+                central.append(np.full(len(found[-1]), centrality(c, n)))
+                sids.append(np.full(len(found[-1]), sid))
+            h, rank, sid = (np.concatenate(x) for x in (found, central, sids))
+            by = np.lexsort((sid, rank, h))
+            starts = blobs.runs(h[by])
+            last = by[np.append(starts[1:], len(h)).astype(int) - 1] if len(h) else by
+            times = np.diff(np.append(starts, len(h)))
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h[last].view(np.int64)), "times": pa.array(times, pa.int64()), "central": pa.array(rank[last]), "sid": pa.array(sid[last])})
 
-    counted = nodes.select("n", "tokens", "counts").mapInArrow(run, "h long, times long").groupBy("h").agg(F.sum("times").alias("times"))
-    return dict(map(tuple, counted.filter(F.col("times") > BLOCK_NODES).collect()))
+    found = nodes.select("sid", "n", "tokens", "counts").mapInArrow(run, "h long, times long, central long, sid long")
+    counted = found.groupBy("h").agg(F.sum("times").alias("times"), F.max(F.struct("central", "sid"))["sid"].alias("centre"))
+    return {h: (times, centre) for h, times, centre in counted.filter(F.col("times") > BLOCK_NODES).collect()}
 
 
 def block_pairs(sid: int, blocks: int) -> list[int]:
     """The cells of a posting's upper triangle of block pairs that a node belongs to."""
-    own = (sid >> 31 & 0x7FFFFFFF) % blocks
+    own = own_block(sid, blocks)
     return [min(own, k) * blocks + max(own, k) for k in range(blocks)]
 
 
+def own_block(sid: int, blocks: int) -> int:
+    return (sid >> 31 & 0x7FFFFFFF) % blocks
+
+
 def verified_links(nodes: DataFrame, labels: DataFrame | None, percent: int, groups: int) -> DataFrame:
     """(a, b) of linked nodes. Without ``labels`` only pairs of a prefix shingle's most central node with the others are
     looked at; with them all pairs that share enough of their prefixes and have different labels. A group of nodes passes
     on no more links than connect it.
 
-    For all pairs, a posting of more than a block's nodes is dealt to tasks by pairs of blocks.
+    For all pairs, a posting of more than a block's nodes is dealt to tasks by pairs of blocks; for those with the centre, one of
+    65,534 nodes or more is dealt by blocks, and its centre to each of them. There are as many buckets of postings as the nodes'
+    shingles ask for, and a bucket's pairs are passed on a part at a time.
     """
-    n_buckets = shuffle_partitions(nodes.sparkSession)
+    held_bytes = nodes.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    n_buckets = max(shuffle_partitions(nodes.sparkSession), -(-held_bytes // POSTING_BYTES))
     star = labels is None
-    many = nodes.sparkSession.sparkContext.broadcast({} if star else long_postings(nodes, percent))
+    many = nodes.sparkSession.sparkContext.broadcast(long_postings(nodes, percent))
     rows = nodes.withColumn("label", F.col("sid")) if star else nodes.join(labels, nodes.sid == labels.node, "left").select("sid", "n", "tokens", "counts", F.coalesce("root", "sid").alias("label"))
 
     def cells(sid: int, tokens: np.ndarray, counts: np.ndarray) -> list[tuple[int, list[int]]]:
         """Places in a prefix whose posting is parted, with the node's cells there."""
         out = []
-        for i in [] if star else np.flatnonzero(counts > BLOCK_NODES).tolist():
-            n = many.value.get(int(tokens[i].view(np.int64)), 0) if counts[i] >= INEXACT else int(counts[i])
-            if n > BLOCK_NODES:
+        for i in np.flatnonzero(counts >= INEXACT if star else counts > BLOCK_NODES).tolist():
+            n, centre = many.value.get(int(tokens[i].view(np.int64)), (0, 0)) if counts[i] >= INEXACT else (int(counts[i]), 0)
+            if star and n > STAR_NODES:
+                blocks = -(-n // STAR_NODES)
+                out.append((i, list(range(blocks)) if sid == centre else [own_block(sid, blocks)]))
+            elif n > BLOCK_NODES and not star:
                 out.append((i, block_pairs(sid, -(-n // BLOCK_NODES))))
         return out
 
@@ -308,8 +332,7 @@ def verified_links(nodes: DataFrame, labels: DataFrame | None, percent: int, gro
                 hashes.append(h)
                 places.append(cell)
                 ids.append(np.full(len(h), sid, np.int64))
-                # the centre of near copies holds the shingles that most of them hold
-                facts.append(np.tile(np.array([[n, level, label, int(np.log(c).sum() / n * 1e6)]], np.int64), (len(h), 1)))
+                facts.append(np.tile(np.array([[n, level, label, centrality(c, n)]], np.int64), (len(h), 1)))
             if not hashes:
                 continue
             h, owner, fact, cell = np.concatenate(hashes), np.concatenate(ids), np.concatenate(facts), np.concatenate(places)
@@ -317,33 +340,28 @@ def verified_links(nodes: DataFrame, labels: DataFrame | None, percent: int, gro
                 h = np.where(cell > 0, (h + cell.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93), h)
             bucket = blobs.spread(h, n_buckets)
             by = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
-            full = [b for b in range(n_buckets) if edges[b] < edges[b + 1]]
-            cut = [by[edges[b] : edges[b + 1]] for b in full]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "hashes": [binary(h[i]) for i in cut], "owners": [binary(owner[i]) for i in cut], "facts": [binary(fact[i]) for i in cut]})
+            full = list(blobs.stretches(bucket[by]))
+            cut = [by[lo:hi] for _, lo, hi in full]
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _, _ in full], pa.int32()), "hashes": [binary(h[i]) for i in cut], "owners": [binary(owner[i]) for i in cut], "facts": [binary(fact[i]) for i in cut]})
 
-    def candidates(table: pa.Table) -> pa.Table:
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         h = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
         owner = np.frombuffer(b"".join(table.column("owners").to_pylist()), np.int64)
         fact = np.frombuffer(b"".join(table.column("facts").to_pylist()), np.int64).reshape(-1, 4)
+        del table
         by = np.lexsort((owner, h))
         h, owner, fact = h[by], owner[by], fact[by]
         size, level, label, central = fact.T
         pending: list[np.ndarray] = []
-        out: dict[str, list] = {"group": [], "pairs": []}
 
-        def flush():
-            if not pending:
-                return
-            pairs = np.concatenate(pending)
+        def flush() -> pa.RecordBatch:
+            pairs = np.concatenate(pending) if pending else np.zeros((0, 3), np.int64)
             pending.clear()
             group = node_group(pairs[:, 0], groups)
             order = np.argsort(group, kind="stable")
-            edges = np.searchsorted(group[order], np.arange(groups + 1))
-            for g in range(groups):
-                if edges[g] < edges[g + 1]:
-                    out["group"].append(g)
-                    out["pairs"].append(binary(pairs[order[edges[g] : edges[g + 1]]]))
+            full = list(blobs.stretches(group[order]))
+            return pa.RecordBatch.from_pydict({"group": pa.array([g for g, _, _ in full], pa.int32()), "pairs": pa.array([binary(pairs[order[lo:hi]]) for _, lo, hi in full], pa.binary())})
 
         held = 0
         starts = blobs.runs(h)
@@ -351,7 +369,7 @@ def verified_links(nodes: DataFrame, labels: DataFrame | None, percent: int, gro
             if b - a < 2:
                 continue
             if star:
-                firsts = [a + int(np.argmax(central[a:b]))]
+                firsts = [b - 1 - int(np.argmax(central[a:b][::-1]))]  # of equally central ones the last, as in long_postings
             else:
                 if (label[a:b] == label[a]).all():
                     continue
@@ -364,10 +382,9 @@ def verified_links(nodes: DataFrame, labels: DataFrame | None, percent: int, gro
                     pending.append(np.stack([np.full(len(js), owner[i]), owner[js], np.minimum(level[js], level[i])], axis=1))
                     held += len(js)
                     if held >= BATCH_PAIRS:
-                        flush()
+                        yield flush()
                         held = 0
-        flush()
-        return pa.table(out, pa.schema([("group", pa.int32()), ("pairs", pa.binary())]))
+        yield flush()
 
     def ask(key, pairs: pa.Table, own: pa.Table) -> pa.Table:
         out: dict[str, list] = {"group": [], "sid": [], "n": [], "tokens": [], "others": []}

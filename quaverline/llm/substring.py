@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blobs
 from .common import binary, stored, text_parts, texts, words
 
 #: Windows that a map task folds at a time.
@@ -80,10 +81,9 @@ def _by_doc(doc: np.ndarray, home: np.ndarray, n: int) -> tuple[list[int], list[
     """Pairs as one byte string for each group of documents."""
     group = _spread(doc, n)
     order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(n + 1))
     both = np.stack([doc, home], axis=1)[order]
-    full = [g for g in range(n) if edges[g] < edges[g + 1]]
-    return full, [binary(both[edges[g] : edges[g + 1]]) for g in full]
+    full = list(blobs.stretches(group[order]))
+    return [g for g, _, _ in full], [binary(both[lo:hi]) for _, lo, hi in full]
 
 
 def homes(rows: DataFrame, min_words: int) -> DataFrame:
@@ -108,19 +108,16 @@ def homes(rows: DataFrame, min_words: int) -> DataFrame:
             known_groups, known = _by_doc(*_pairs(doc[later], least[later]), n)
             h, doc = h[new], doc[new]
             bucket = ((h >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)
-            edges = np.searchsorted(bucket, np.arange(n + 1, dtype=np.uint64))
             out: dict[str, list] = {"bucket": [], "windows": [], "docs": [], "sizes": [], "known": [], "known_group": []}
-            for b in range(n):
-                lo, hi = edges[b], edges[b + 1]
-                if lo < hi:
-                    to = np.argsort(doc[lo:hi], kind="stable")
-                    d, sizes = np.unique(doc[lo:hi], return_counts=True)
-                    out["bucket"].append(b)
-                    out["windows"].append(binary(h[lo:hi][to].view(np.uint8).reshape(-1, 8)[:, :7]))
-                    out["docs"].append(binary(d))
-                    out["sizes"].append(binary(sizes.astype(np.uint32)))
-                    out["known"].append(None)
-                    out["known_group"].append(None)
+            for b, lo, hi in blobs.stretches(bucket):
+                to = np.argsort(doc[lo:hi], kind="stable")
+                d, sizes = np.unique(doc[lo:hi], return_counts=True)
+                out["bucket"].append(b)
+                out["windows"].append(binary(h[lo:hi][to].view(np.uint8).reshape(-1, 8)[:, :7]))
+                out["docs"].append(binary(d))
+                out["sizes"].append(binary(sizes.astype(np.uint32)))
+                out["known"].append(None)
+                out["known_group"].append(None)
             for g, raw in zip(known_groups, known):
                 for k, v in (("bucket", g), ("windows", None), ("docs", None), ("sizes", None), ("known", raw), ("known_group", g)):
                     out[k].append(v)

@@ -90,6 +90,8 @@ def test_long_postings_in_blocks(spark, monkeypatch, share):
     import random
 
     monkeypatch.setattr(jaccard, "BLOCK_NODES", 7)
+    monkeypatch.setattr(jaccard, "STAR_NODES", 10)
+    monkeypatch.setattr(jaccard, "POSTING_BYTES", 2_000)
     monkeypatch.setattr(jaccard, "INEXACT", 30)
     rng = random.Random(8)
     lines = [" ".join(f"l{k}w{i}" for i in range(5)) for k in range(14)]

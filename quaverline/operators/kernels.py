@@ -61,8 +61,8 @@ def butterworth(sr: float, low: float | None, high: float | None) -> tuple[Array
 BLOCK = 64
 
 
-def run_filter(coefficients: tuple[Array, Array], x: Array) -> Array:
-    """Causal, from silence.
+def run_filter(coefficients: tuple[Array, Array], x: Array, start: Array | None = None, end: bool = False) -> Array | tuple[Array, Array]:
+    """Causal, from silence or from the state ``start`` of each track; with ``end`` the state after the last sample as well.
 
     The filter is a small state that each sample advances. Over a block, the output is one matrix times the samples plus
     another times the state before, so only the state has to walk from block to block.
@@ -85,9 +85,18 @@ def run_filter(coefficients: tuple[Array, Array], x: Array) -> Array:
     cells = np.concatenate([x, np.zeros((*x.shape[:-1], blocks * size - n))], axis=-1).reshape(*x.shape[:-1], blocks, size)
     inflow = cells @ gathered
     states = np.zeros((*x.shape[:-1], blocks, m))
+    if start is not None and blocks:
+        states[..., 0, :] = start
     for k in range(1, blocks):
         states[..., k, :] = states[..., k - 1, :] @ powers[size].T + inflow[..., k - 1, :]
-    return (cells @ own.T + states @ carried.T).reshape(*x.shape[:-1], blocks * size)[..., :n]
+    y = (cells @ own.T + states @ carried.T).reshape(*x.shape[:-1], blocks * size)[..., :n]
+    if not end:
+        return y
+    if not blocks:
+        return y, np.zeros((*x.shape[:-1], m)) if start is None else start
+    rest = n - (blocks - 1) * size
+    last = np.array([powers[rest - 1 - i] @ push for i in range(rest)])
+    return y, states[..., -1, :] @ powers[rest].T + cells[..., -1, :rest] @ last
 
 
 def zero_phase(coefficients: tuple[Array, Array], x: Array) -> Array:
@@ -169,33 +178,37 @@ def sample_peak(channels: list[Array]) -> Array:
     return np.max([np.abs(x).max(axis=-1) for x in channels], axis=0)
 
 
-def envelope(target: Array, start: float, fall: float, rise: float) -> Array:
+def envelope(target: Array, start: float | Array, fall: float, rise: float) -> Array:
     """One-pole smoothing whose coefficient depends on whether the target lies below the value so far."""
-    out, now = np.empty_like(target, dtype=float), np.full(target.shape[:-1], start)
-    for i in range(target.shape[-1]):
-        goal = target[..., i]
-        now = goal + (now - goal) * np.where(goal < now, fall, rise)
-        out[..., i] = now
-    return out
+    goals, now = np.ascontiguousarray(np.moveaxis(target, -1, 0), dtype=float), np.zeros(target.shape[:-1]) + start
+    out = np.empty_like(goals)
+    for i, goal in enumerate(goals):
+        now = out[i] = goal + (now - goal) * np.where(goal < now, fall, rise)
+    return np.moveaxis(out, 0, -1)
 
 
 def decay(samples: float, sr: float, seconds: float) -> float:
     return float(np.exp(-samples / max(sr * seconds, 1.0)))
 
 
+def wanted_cut(x: Array, size: int, ratio: Array) -> Array:
+    """By how many dB each block of ``size`` samples should fall."""
+    threshold, knee, most = -15.0, 7.0, 7.0
+    blocks = -(-x.shape[-1] // size)
+    padded = np.concatenate([x, np.full((*x.shape[:-1], blocks * size - x.shape[-1]), np.nan)], axis=-1).reshape(*x.shape[:-1], blocks, size)
+    level = db(np.maximum(np.sqrt(np.nanmean(padded**2, axis=-1)), np.nanmax(np.abs(padded), axis=-1) * 0.55))
+    over, slope = level - threshold, 1 - 1 / column(ratio)
+    into = np.clip(over + knee / 2, 0, knee)
+    return np.minimum(np.where(over >= knee / 2, over * slope, slope * into**2 / (2 * knee)), most)
+
+
 def compress(x: Array, sr: float, ratio: Array) -> Array:
     """Soft-knee compression by blocks of 4 ms, the gain in dB smoothed and interpolated between blocks."""
-    threshold, knee, most = -15.0, 7.0, 7.0
     size, n = max(32, int(sr * 0.004)), x.shape[-1]
     blocks = -(-n // size)
     if blocks <= 1:
         return x
-    padded = np.concatenate([x, np.full((*x.shape[:-1], blocks * size - n), np.nan)], axis=-1).reshape(*x.shape[:-1], blocks, size)
-    level = db(np.maximum(np.sqrt(np.nanmean(padded**2, axis=-1)), np.nanmax(np.abs(padded), axis=-1) * 0.55))
-    over, slope = level - threshold, 1 - 1 / column(ratio)
-    into = np.clip(over + knee / 2, 0, knee)
-    cut = np.where(over >= knee / 2, over * slope, slope * into**2 / (2 * knee))
-    gain = envelope(-np.minimum(cut, most), 0.0, decay(size, sr, 0.018), decay(size, sr, 0.16))
+    gain = envelope(-wanted_cut(x, size, ratio), 0.0, decay(size, sr, 0.018), decay(size, sr, 0.16))
     place = np.minimum(np.arange(n) / size, blocks - 1)
     low = np.minimum(place.astype(int), blocks - 2)
     gain = gain[..., low] + (gain[..., low + 1] - gain[..., low]) * np.minimum(place - low, 1.0)

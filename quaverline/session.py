@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,3 +49,25 @@ def ship(spark: SparkSession) -> None:
                     z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), root))
     context.addPyFile(archive)
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named the system's temporary folder serves, but only if all runs on this machine. What lies in the folder
+    is needed until the results are read, so it's left to the cluster's clean-up of its checkpoint folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
+        base = "file://" + tempfile.mkdtemp(prefix="quaverline-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends here, survives lost executors, and the size is known."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,25 +22,11 @@ from ..session import table
 from ..sources import signals
 from . import oracles as o
 from . import signal_sql as q
-from . import rules, validation
+from . import long, rules, validation  # noqa: F401, long registers its queries
+from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 #: For queries whose SQL has the true peak, or that have no SQL.
 PEAKED = replace(FRAMES, true_peak=True)
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE[fn.__name__] = sql
-        return fn
-
-    return add
-
-
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.event_tracks(table(spark, sf_dir, "events"))
 
@@ -159,9 +145,8 @@ def click_candidates(spark, sf_dir):
 @query(f"WITH {o.EVENT}, g AS (SELECT *, avg(x) OVER (PARTITION BY track ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smooth FROM e) SELECT track, n, round(greatest(least(5 * smooth * 0.24, 1), -1), 6) + 0.0 AS x FROM g WHERE n >= 2 AND n < (SELECT max(n) FROM e z WHERE z.track = g.track) - 1")
 def five_tap_filter(spark, sf_dir):
     """The placeholder model: five equal taps of 0.24 and a hard clip, where all five samples are there."""
-    near = Window.partitionBy("track").orderBy("n").rowsBetween(-2, 2)
-    rows = _tracks(spark, sf_dir).withColumns({"_sum": F.sum("x").over(near), "_cnt": F.count("*").over(near)})
-    return rounded(rows.filter("_cnt = 5").select("track", "n", F.greatest(F.least(F.col("_sum") * 0.24, num(1.0)), num(-1.0)).alias("x")))
+    rows = features.tapped(_tracks(spark, sf_dir), ["track"], [0.24] * 5)
+    return rounded(rows.withColumn("x", F.greatest(F.least(F.col("x"), num(1.0)), num(-1.0))))
 
 
 # Records of stereo tracks

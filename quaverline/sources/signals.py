@@ -41,6 +41,13 @@ def event_tracks(events: DataFrame, scale: float = 100.0) -> DataFrame:
     return indexed(events.select(F.col("user_id").alias("track"), "ts", "event_id", (F.col("value") / scale).alias("x")), ["track"], ["ts", "event_id"], day).select("track", "n", "x")
 
 
+def item_track(items: DataFrame) -> DataFrame:
+    """(track, n, x, y): all line items, in the order of shipping, as one long track of two channels, price and quantity."""
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = items.select(F.lit(0).cast("long").alias("track"), *order, (F.col("l_extendedprice") / 100000.0 - 0.5).alias("x"), (F.col("l_quantity") / 50.0 - 0.5).alias("y"))
+    return indexed(rows, ["track"], order, F.date_trunc("day", "l_shipdate")).select("track", "n", "x", "y")
+
+
 def vector_tracks(vectors: DataFrame, gain: float = 1.0) -> DataFrame:
     """(track, l, r): vectors 2i and 2i + 1 as left and right channel of track i; a vector without its other isn't a track."""
     cells = F.transform("embedding", lambda v: v.cast("double") * num(gain))

@@ -138,10 +138,3 @@ def test_percentiles_of_large_and_small_groups(spark):
         for k, x in groups.items():
             assert got[k].cnt == len(x)
             assert np.allclose([got[k][n] for n in shares], np.percentile(x, [100 * s for s in shares.values()]), rtol=1e-12, atol=0)
-
-
-def test_joined_back_with_a_hot_track(spark):
-    rows = spark.createDataFrame([(k, i) for k, n in (("hot", 500), ("a", 3), ("b", 1)) for i in range(n)], "track string, n long")
-    groups = rows.groupBy("track").agg(F.count("*").alias("size"), F.max("n").alias("top"))
-    got = blocks.joined_back(rows, groups, ["track"], "size", most_hot=10, least=20)
-    assert sorted((r.track, r.n, r.top) for r in got.collect()) == sorted((k, i, n - 1) for k, n in (("hot", 500), ("a", 3), ("b", 1)) for i in range(n))

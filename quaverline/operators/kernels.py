@@ -7,6 +7,8 @@ filters, one-pole envelopes and trigonometric interpolation.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 
 from ..functions.tables import K_HIGHPASS_HZ, K_SHELF
@@ -375,3 +377,42 @@ def resampled(x: Array, sr: float, to: float) -> Array:
     if least % 2 == 0 and m != n:
         spectrum[..., least // 2] *= 0.5 if m > n else 2.0
     return np.fft.irfft(spectrum, m, axis=-1) * (m / n)
+
+
+def rational(sr: float, to: float) -> tuple[int, int]:
+    """By how much to go up and down, in lowest terms."""
+    ratio = Fraction(int(round(to)), int(round(sr)))
+    return ratio.numerator, ratio.denominator
+
+
+def polyphase_bank(up: int, down: int, lobes: int = 16, beta: float = 8.6, cut: float = 0.95) -> Array:
+    """(phases, taps) of a sinc under a Kaiser window, ``lobes`` samples of the lower rate to each side; each phase sums to 1.
+
+    Output m lies ``phase = m * down % up`` fine steps after input ``m * down // up``; tap i weighs the input i - taps // 2 before it.
+    """
+    scale = max(up, down)
+    reach = -(-lobes * scale // up)
+    t = (np.arange(up)[:, None] + up * np.arange(-reach, reach + 1)[None, :]) / scale
+    h = np.sinc(t * cut) * np.i0(beta * np.sqrt(np.clip(1 - (t / lobes) ** 2, 0, None))) * (np.abs(t) <= lobes)
+    return h / h.sum(axis=1, keepdims=True)
+
+
+def polyphase(padded: Array, bank: Array, down: int, count: int) -> Array:
+    """``count`` outputs of samples that have half a bank's taps before and after them."""
+    up, taps = bank.shape
+    at = np.arange(count) * down
+    phase, place = at % up, at // up
+    out = np.zeros((*padded.shape[:-1], count))
+    for i in range(taps):
+        out += bank[phase, i] * padded[..., place + taps - 1 - i]
+    return out
+
+
+def resampled_polyphase(x: Array, sr: float, to: float) -> Array:
+    """The same as ``resampled`` by a filter bank: each output depends on its neighbourhood alone, silence beyond the ends."""
+    up, down = rational(sr, to)
+    if up == down:
+        return x
+    bank = polyphase_bank(up, down)
+    reach = bank.shape[1] // 2
+    return polyphase(np.pad(x, [*[(0, 0)] * (x.ndim - 1), (reach, reach + 1)]), bank, down, -(-x.shape[-1] * up // down))

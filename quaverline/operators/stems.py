@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,3 +176,47 @@ def fitted_gains(rows: DataFrame, a: str, b: str, y: str, keys: list[str]) -> Da
     return s.select(*keys, "gain_a", "gain_b", F.when(c("base_error") <= 1e-9, num(0.0)).otherwise(clip((c("base_error") - c("fitted_error")) / c("base_error"), -1.0, 1.0)).alias("error_reduction"))
 
 
+
+
+def gram(rows: DataFrame, stems: dict[str, Column], goal: Column, keys: list[str]) -> DataFrame:
+    """(keys..., cnt, products, with_goal, goal_energy): sums of products of aligned samples, by partial aggregation.
+
+    ``products`` holds the pairs of ``stems`` in order, each pair once; a song's samples meet nowhere.
+    """
+    names = list(stems)
+    wide = rows.select(*keys, *(F.coalesce(c, num(0.0)).alias(f"_{i}") for i, c in enumerate(stems.values())), F.coalesce(goal, num(0.0)).alias("_y"))
+    s = lambda a, b: F.sum(F.col(a) * F.col(b))
+    pairs = [s(f"_{i}", f"_{j}") for i in range(len(names)) for j in range(i, len(names))]
+    return wide.groupBy(*keys).agg(F.count("*").alias("cnt"), F.array(*pairs).alias("products"), F.array(*(s(f"_{i}", "_y") for i in range(len(names)))).alias("with_goal"), s("_y", "_y").alias("goal_energy"))
+
+
+def gains_from_gram(sums: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """(keys..., applied, names..., error_reduction): least-squares gains of any number of stems, held near their defaults.
+
+    A stem without any energy is absent and has no gain. Where the goal is silent or too short for so many stems the defaults stay.
+    One small matrix a track is solved, many tracks at once.
+    """
+    types = {f.name: f.dataType.simpleString() for f in sums.schema}
+    upper = np.triu_indices(len(names))
+    default, most, _ = (np.array(v) for v in zip(*(STEM_GAINS.get(n, STEM_GAINS["other"]) for n in names)))
+
+    def run(batches):
+        for batch in batches:
+            at = len(keys)
+            count, whole = (batch.column(at + i).to_numpy(zero_copy_only=False).astype(float) for i in (0, 3))
+            g = np.zeros((batch.num_rows, len(names), len(names)))
+            g[:, upper[0], upper[1]] = np.array(batch.column(at + 1).to_pylist()).reshape(batch.num_rows, -1)
+            g = g + np.transpose(np.triu(g, 1), (0, 2, 1))
+            b = np.array(batch.column(at + 2).to_pylist()).reshape(batch.num_rows, -1)
+            there = np.diagonal(g, axis1=1, axis2=2) > 0
+            solved = (np.linalg.pinv(g, hermitian=True) @ b[:, :, None])[:, :, 0]
+            applied = (count >= 8 * there.sum(axis=1)) & (np.sqrt(whole / np.maximum(count, 1)) > 1e-9) & there.any(axis=1)
+            gain = np.where(applied[:, None], np.clip(solved, default * 10 ** (-most / 20), default * 10 ** (most / 20)), default)
+            error = lambda v: np.sqrt(np.maximum(np.einsum("ti,tij,tj->t", v, g, v) - 2 * (v * b).sum(axis=1) + whole, 0))
+            base = error(np.broadcast_to(default, gain.shape))
+            less = np.where(applied & (base > 1e-9), np.clip((base - error(gain)) / np.maximum(base, 1e-300), -1, 1), 0.0)
+            gains = [pa.array(gain[:, i], mask=~there[:, i]) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(applied), *gains, pa.array(less)], [*keys, "applied", *names, "error_reduction"])
+
+    rows = sums.select(*keys, "cnt", "products", "with_goal", "goal_energy")
+    return rows.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "applied boolean", *(f"`{n}` double" for n in names), "error_reduction double"]))

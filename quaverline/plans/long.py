@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import decibels, rounded
-from ..operators import features, long_filters, recursions, selection
+from ..functions.tables import STEM_GAINS
+from ..operators import features, long_filters, long_spectra, recursions, selection, stems
 from ..operators.blocks import chunked, samples_of
 from ..session import stored, table
 from ..sources import signals
@@ -29,8 +30,8 @@ def _chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return stored(chunked(_samples(spark, sf_dir), KEYS, CHUNK, columns or ("x",)), "chunks")
 
 
-def _segments(chunks: DataFrame, *columns: str) -> DataFrame:
-    rows = samples_of(chunks, KEYS, CHUNK, columns)
+def _segments(chunks: DataFrame, *columns: str, size: int = CHUNK) -> DataFrame:
+    rows = samples_of(chunks, KEYS, size, columns)
     each = [f(c).alias(f"{c}_{name}") for c in columns for name, f in (("rms", lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))), ("low", F.min), ("high", F.max))]
     return rounded(rows.groupBy(F.floor(F.col("n") / q.SEGMENT).alias("segment")).agg(F.count("*").alias("cnt"), *each))
 
@@ -81,3 +82,29 @@ def long_activity(spark, sf_dir):
 @query(q.LONG_CLICKS)
 def long_clicks(spark, sf_dir):
     return rounded(features.click_candidates(_samples(spark, sf_dir), KEYS, times=2.0))
+
+
+@query(q.long_resampled(6_000.0))
+def long_resampled(spark, sf_dir):
+    """From 8 to 6 kHz."""
+    chunks = long_spectra.resampled(_chunks(spark, sf_dir), KEYS, q.SR, 6_000.0, CHUNK)
+    return _segments(chunks, "x", size=CHUNK * 3 // 4)
+
+
+@query(q.long_true_peak())
+def long_true_peak(spark, sf_dir):
+    return rounded(long_spectra.true_peak(_chunks(spark, sf_dir), KEYS).select("track", decibels(F.col("true_peak")).alias("true_peak_db")))
+
+
+@query(q.long_gate(0.8, 32, 8))
+def long_gate(spark, sf_dir):
+    """Frames of 32 samples every 8."""
+    return _segments(long_spectra.gate(_chunks(spark, sf_dir), KEYS, 0.8, 32, 8, CHUNK), "x")
+
+
+@query(q.song_gains(STEM_GAINS))
+def song_gains(spark, sf_dir):
+    """Five columns of the line items as stems of three songs, fitted to a source that is nearly their sum."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("song"), *(F.expr(e).alias(n) for n, e in q.STEMS.items()))
+    sums = stems.gram(rows, {n: F.col(n) for n in q.STEMS}, F.expr(q.GOAL), ["song"])
+    return rounded(stems.gains_from_gram(sums, list(q.STEMS), ["song"]))

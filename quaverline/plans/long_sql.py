@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from ..operators import kernels as k
@@ -107,3 +109,56 @@ LONG_CLICKS = f"""WITH {SERIES}, m AS (
                coalesce(abs(x - lag(x) OVER w), 0) AS slope, lag(x) OVER w AS before, lead(x) OVER w AS after, lead(x, 2) OVER w AS edge FROM s WINDOW w AS (ORDER BY n)
     ), t AS (SELECT greatest((quantile_cont(residual, 0.5) + 1e-9) * 2, 0.055) AS threshold, (quantile_cont(slope, 0.95) + 1e-9) * 1.15 AS steep FROM m)
     SELECT 0::BIGINT AS track, n, round(x, 6) + 0.0 AS x, round((before + after) / 2, 6) + 0.0 AS repaired FROM m, t WHERE residual > threshold AND slope >= steep AND n > 1 AND edge IS NOT NULL"""
+
+
+def long_resampled(to: float) -> str:
+    up, down = k.rational(SR, to)
+    bank = k.polyphase_bank(up, down)
+    taps = bank.shape[1]
+    return f"""WITH {SERIES}, b AS (SELECT [{', '.join(number(v) for v in bank.ravel())}] AS h),
+        m AS (SELECT unnest(range(0, CAST(ceil(n * {up} / {down}.0) AS BIGINT))) AS m FROM z),
+        y AS (SELECT m AS n, sum(h[(m * {down} % {up}) * {taps} + i + 1] * x) AS x FROM m, b, (SELECT unnest(range(0, {taps})) AS i) JOIN s ON s.n = m * {down} // {up} + {taps // 2} - i GROUP BY m)
+        {segments('y')}"""
+
+
+def long_true_peak(factor: int = 4) -> str:
+    bank = k.polyphase_bank(factor, 1, cut=1.0)
+    taps = bank.shape[1]
+    return f"""WITH {SERIES}, b AS (SELECT [{', '.join(number(v) for v in bank.ravel())}] AS h),
+        y AS (SELECT m.n, p, sum(h[p * {taps} + i + 1] * s.x) AS x FROM s m, b, (SELECT unnest(range(0, {factor})) AS p), (SELECT unnest(range(0, {taps})) AS i) JOIN s ON s.n = m.n + {taps // 2} - i GROUP BY m.n, p)
+        SELECT 0::BIGINT AS track, round({o.db('max(abs(x))')}, 6) + 0.0 AS true_peak_db FROM y"""
+
+
+def long_gate(intensity: float, size: int, hop: int) -> str:
+    turn, w = f"2 * pi() * k * j / {size}", f"(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / {size}))"
+    bins = f"(SELECT unnest(range(0, {size // 2 + 1})) AS k)"
+    return f"""WITH {SERIES}, f AS (SELECT f, j, coalesce(x, 0) * {w} AS v FROM (SELECT unnest(range(0, CAST(ceil(n / {hop}.0) AS BIGINT) + 1)) AS f FROM z), (SELECT unnest(range(0, {size})) AS j) LEFT JOIN s ON s.n = f * {hop} - {size // 2} + j),
+        p AS (SELECT f, k, sum(v * cos({turn})) AS re, -sum(v * sin({turn})) AS im FROM f, {bins} GROUP BY f, k),
+        q AS (SELECT k, quantile_cont(sqrt(re * re + im * im), 0.2) AS quiet FROM p GROUP BY k),
+        g AS (SELECT f, k, re, im, CASE WHEN k IN (0, {size // 2}) THEN 1 ELSE 2 END * CASE WHEN sqrt(re * re + im * im) >= quiet * {number(1 + 2.5 * intensity)} THEN 1.0::DOUBLE ELSE {number(1 - 0.75 * intensity)} END AS c FROM p JOIN q USING (k)),
+        t AS (SELECT f, j, sum(c * (re * cos({turn}) - im * sin({turn}))) / {size} * {w} AS v FROM g, (SELECT unnest(range(0, {size})) AS j) GROUP BY f, j),
+        y AS (SELECT f * {hop} - {size // 2} + j AS n, sum(v) / greatest(sum({w} ** 2), 1e-8) AS x FROM t GROUP BY ALL)
+        SELECT * FROM ({segments('y, z WHERE y.n BETWEEN 0 AND z.n - 1').replace('n //', 'y.n //')})"""
+
+
+#: Columns of the line items as stems of three songs, and a source that is nearly their sum.
+STEMS = {"vocals": "l_extendedprice / 100000.0D - 0.5D", "drums": "l_quantity / 50.0D - 0.5D", "bass": "l_discount * 10.0D - 0.5D", "other": "l_tax * 10.0D - 0.4D", "instrumental": "(l_linenumber - 4) / 4.0D"}
+GOAL = "0.93D * vocals + 0.99D * drums + 0.5D * bass + 1.0D * other + 0.95D * instrumental + 0.05D * vocals * drums"
+
+
+def song_gains(gains: dict[str, tuple[float, float, float]]) -> str:
+    """Gauss-Jordan elimination of each song's five normal equations, a step at a time."""
+    names, plain = list(STEMS), lambda e: re.sub(r"([0-9.]+)D", r"\1::DOUBLE", e)
+    n = len(names)
+    sums = ", ".join(f"sum({a} * {b}) AS a{i}_{j}" for i, a in enumerate(names) for j, b in enumerate([*names, "y"]))
+    steps = ["g"]
+    for p in range(n):
+        cells = ", ".join(f"a{i}_{j}" if i == p else f"a{i}_{j} - a{i}_{p} / a{p}_{p} * a{p}_{j} AS a{i}_{j}" for i in range(n) for j in range(n + 1))
+        steps.append(f"(SELECT song, {cells} FROM {steps[-1]})")
+    limits = {m: (gains[m][0], gains[m][0] * 10 ** (-gains[m][1] / 20), gains[m][0] * 10 ** (gains[m][1] / 20)) for m in names}
+    held = ", ".join(f"{o.clip(f'a{i}_{n} / a{i}_{i}', limits[m][1], limits[m][2])} AS g_{m}" for i, m in enumerate(names))
+    error = lambda g: f"sqrt(avg(({' + '.join(f'{g(m)} * {m}' for m in names)} - y) ** 2))"
+    return f"""WITH r AS (SELECT l_returnflag AS song, {', '.join(f'{plain(e)} AS {m}' for m, e in STEMS.items())} FROM lineitem), w AS (SELECT *, {plain(GOAL)} AS y FROM r),
+        g AS (SELECT song, {sums} FROM w GROUP BY song), h AS (SELECT song, {held} FROM {steps[-1]}),
+        e AS (SELECT song, {error(lambda m: number(limits[m][0]))} AS base, {error(lambda m: f'g_{m}')} AS now FROM w JOIN h USING (song) GROUP BY song)
+        SELECT song, true AS applied, {', '.join(f'round(g_{m}, 6) + 0.0 AS {m}' for m in names)}, round(greatest(least((base - now) / base, 1), -1), 6) + 0.0 AS error_reduction FROM h JOIN e USING (song)"""

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quaverline.operators import blocks, kernels, long_filters, recursions, selection
+from quaverline.operators import blocks, kernels, long_filters, long_spectra, recursions, selection, stems
 from quaverline.operators.scan import affine_starts
 
 SIZE = 1_000
@@ -138,3 +138,64 @@ def test_percentiles_of_large_and_small_groups(spark):
         for k, x in groups.items():
             assert got[k].cnt == len(x)
             assert np.allclose([got[k][n] for n in shares], np.percentile(x, [100 * s for s in shares.values()]), rtol=1e-12, atol=0)
+
+
+def test_resampling_equals_whole_tracks(tracks, chunks):
+    for sr, to in ((8_000.0, 6_000.0), (8_000.0, 12_000.0), (8_000.0, 11_040.0)):
+        want = {k: kernels.resampled_polyphase(x[None], sr, to)[0] for k, x in tracks.items()}
+        got = long_spectra.resampled(chunks, ["track"], sr, to, SIZE)
+        close(whole(got), want, 1e-12)
+        out = SIZE * int(to) // int(sr)
+        assert {len(r.x) for r in got.filter("track = 1 and c < 10").collect()} == {out}
+    with pytest.raises(ValueError):
+        long_spectra.resampled(chunks, ["track"], 48_000.0, 44_100.0, SIZE)
+
+
+def test_resampling_keeps_tones():
+    t = np.arange(4_800)
+    for to in (44_100, 96_000):
+        y = kernels.resampled_polyphase(np.sin(2 * np.pi * 997 * t / 48_000)[None], 48_000, to)[0]
+        want = np.sin(2 * np.pi * 997 * np.arange(len(y)) / to)
+        assert len(y) == -(-4_800 * to // 48_000) and np.abs(y - want)[100:-100].max() < 2e-4
+    high = kernels.resampled_polyphase(np.sin(2 * np.pi * 15_000 * t / 48_000)[None], 48_000, 24_000)[0]
+    assert np.abs(high[100:-100]).max() < 1e-3  # above half the new rate
+
+
+def test_true_peak_of_chunks(tracks, chunks):
+    bank = kernels.polyphase_bank(4, 1, cut=1.0)
+    reach = bank.shape[1] // 2
+    for r in long_spectra.true_peak(chunks, ["track"]).collect():
+        x = tracks[r.track]
+        want = np.abs(kernels.polyphase(np.pad(x, (reach, reach + 1)), bank, 1, 4 * len(x))).max()
+        assert abs(r.true_peak - want) < 1e-12 and r.true_peak >= np.abs(x).max() - 1e-12
+
+
+@pytest.mark.parametrize("small", [20_000, 10])
+def test_gate_equals_whole_tracks(tracks, chunks, small):
+    want = {k: kernels.gate(x[None], np.array([0.8]), 64, 20)[0] for k, x in tracks.items()}
+    close(whole(long_spectra.gate(chunks, ["track"], 0.8, 64, 20, SIZE, small)), want)
+    close(whole(long_spectra.gate(chunks, ["track"], 0.0, 64, 20, SIZE)), tracks, 0)
+    with pytest.raises(ValueError):
+        long_spectra.gate(chunks, ["track"], 0.8, 64, 30, SIZE)
+
+
+def test_gains_of_many_stems(spark):
+    rng = np.random.default_rng(8)
+    names = ["vocals", "drums", "bass", "other", "instrumental"]
+    songs = {k: rng.normal(0, 1, (5, n)) for k, n in ((1, 4_000), (2, 500), (3, 20), (4, 300))}
+    songs[2][4] = 0.0  # an absent stem
+    goals = {k: np.array([0.93, 0.99, 0.5, 1.0, 0.95]) @ x for k, x in songs.items()}
+    goals[4] = goals[4] * 0
+    rows = spark.createDataFrame([(k, *map(float, x[:, i]), float(goals[k][i])) for k, x in songs.items() for i in range(x.shape[1])], "song int, " + ", ".join(f"{n} double" for n in names) + ", y double").repartition(5)
+    got = {r.song: r for r in stems.gains_from_gram(stems.gram(rows, {n: F.col(n) for n in names}, F.col("y"), ["song"]), names, ["song"]).collect()}
+    for k, x in songs.items():
+        own = [i for i in range(5) if np.abs(x[i]).max() > 0]
+        solved = np.linalg.lstsq(x[own].T, goals[k], rcond=None)[0]
+        default, limit, _ = (np.array(v) for v in zip(*(stems.STEM_GAINS[names[i]] for i in own)))
+        gain = np.clip(solved, default * 10 ** (-limit / 20), default * 10 ** (limit / 20))
+        applied = x.shape[1] >= 8 * len(own) and np.abs(goals[k]).max() > 0
+        assert got[k].applied == applied
+        gain = gain if applied else default
+        assert np.allclose([got[k][names[i]] for i in own], gain, atol=1e-9) and all(got[k][names[i]] is None for i in range(5) if i not in own)
+        base, now = (np.sqrt(np.mean((g @ x[own] - goals[k]) ** 2)) for g in (default, gain))
+        assert abs(got[k].error_reduction - (np.clip((base - now) / base, -1, 1) if applied else 0.0)) < 1e-9

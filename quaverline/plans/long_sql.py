@@ -111,21 +111,29 @@ LONG_CLICKS = f"""WITH {SERIES}, m AS (
     SELECT 0::BIGINT AS track, n, round(x, 6) + 0.0 AS x, round((before + after) / 2, 6) + 0.0 AS repaired FROM m, t WHERE residual > threshold AND slope >= steep AND n > 1 AND edge IS NOT NULL"""
 
 
+def _bank(bank: np.ndarray) -> str:
+    """(p, i, w): a filter bank's phases, taps and weights."""
+    cells = ", ".join(f"({p}, {i}, {number(w)})" for p, row in enumerate(bank) for i, w in enumerate(row))
+    return f"b(p, i, w) AS (VALUES {cells})"
+
+
 def long_resampled(to: float) -> str:
     up, down = k.rational(SR, to)
     bank = k.polyphase_bank(up, down)
     taps = bank.shape[1]
-    return f"""WITH {SERIES}, b AS (SELECT [{', '.join(number(v) for v in bank.ravel())}] AS h),
+    return f"""WITH {SERIES}, {_bank(bank)},
         m AS (SELECT unnest(range(0, CAST(ceil(n * {up} / {down}.0) AS BIGINT))) AS m FROM z),
-        y AS (SELECT m AS n, sum(h[(m * {down} % {up}) * {taps} + i + 1] * x) AS x FROM m, b, (SELECT unnest(range(0, {taps})) AS i) JOIN s ON s.n = m * {down} // {up} + {taps // 2} - i GROUP BY m)
+        y AS (SELECT m AS n, sum(w * x) AS x FROM m JOIN b ON p = m * {down} % {up} JOIN s ON s.n = m * {down} // {up} + {taps // 2} - i GROUP BY m)
         {segments('y')}"""
 
 
 def long_true_peak(factor: int = 4) -> str:
     bank = k.polyphase_bank(factor, 1, cut=1.0)
     taps = bank.shape[1]
-    return f"""WITH {SERIES}, b AS (SELECT [{', '.join(number(v) for v in bank.ravel())}] AS h),
-        y AS (SELECT m.n, p, sum(h[p * {taps} + i + 1] * s.x) AS x FROM s m, b, (SELECT unnest(range(0, {factor})) AS p), (SELECT unnest(range(0, {taps})) AS i) JOIN s ON s.n = m.n + {taps // 2} - i GROUP BY m.n, p)
+    return f"""WITH {SERIES}, {_bank(bank)},
+        m AS MATERIALIZED (SELECT n, i, n + {taps // 2} - i AS near FROM s, (SELECT unnest(range(0, {taps})) AS i)),
+        t AS MATERIALIZED (SELECT m.n, i, s.x FROM m JOIN s ON s.n = near),
+        y AS (SELECT t.n, p, sum(w * x) AS x FROM t JOIN b USING (i) GROUP BY t.n, p)
         SELECT 0::BIGINT AS track, round({o.db('max(abs(x))')}, 6) + 0.0 AS true_peak_db FROM y"""
 
 

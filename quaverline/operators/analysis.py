@@ -1,4 +1,4 @@
-"""The analysis record of stereo tracks: level, loudness, spectrum, stereo image and quality flags in one row each."""
+"""The analysis record of tracks of one or two channels: level, loudness, spectrum, stereo image and quality flags in one row each."""
 
 from __future__ import annotations
 
@@ -55,7 +55,9 @@ def analyze(tracks: DataFrame, scale: Scale = FRAMES) -> DataFrame:
 
 
 def with_record(tracks: DataFrame, name: str, channels: tuple[str, str] = ("l", "r"), scale: Scale = FRAMES, keep: list[str] | None = None) -> DataFrame:
-    """Adds the record of two channels as a struct; tracks may differ in length. ``keep`` names the columns that stay, all if None.
+    """Adds the record of a track as a struct; tracks may differ in length. ``keep`` names the columns that stay, all if None.
+
+    A track whose second channel is null is mono and has one channel's measures.
 
     Samples are measured in numpy, many tracks of one length at a time; what follows from the measures stays in columns.
     Signals sampled at more than 100 Hz are K-weighted for their loudness. A track without samples, or with channels of
@@ -64,21 +66,31 @@ def with_record(tracks: DataFrame, name: str, channels: tuple[str, str] = ("l",
     sr = scale.sr
     bands = {"low_energy": scale.low, "mid_energy": scale.mid, "high_energy": scale.high}
 
-    def measured(l, r):
-        parts = [measures.level(l, r, scale.frame, scale.hop), measures.loudness(l, r, sr), measures.image(l, r), measures.spectrum(l, r, sr, bands)]
-        peak = {"true_peak_db": kernels.db(kernels.true_peak([l, r]))} if scale.true_peak else {}
-        found = {"duration": np.full(len(l), l.shape[-1] / sr), **{n: v for part in parts for n, v in part.items()}, **peak}
-        return {f"_m_{n}": v for n, v in found.items()}
+    def own(c):
+        parts = [measures.level(c, scale.frame, scale.hop), measures.loudness(c, sr), measures.image(c), measures.spectrum(c, sr, bands)]
+        peak = {"true_peak_db": kernels.db(kernels.true_peak(c))} if scale.true_peak else {}
+        return {"duration": np.full(len(c[0]), c[0].shape[-1] / sr), **{n: v for part in parts for n, v in part.items()}, **peak}
+
+    def measured(l, r, mono):
+        out = {f"_m_{n}": np.zeros(len(l)) for n in names}
+        for count, rows in ((1, mono > 0), (2, mono == 0)):
+            if rows.any():
+                for n, v in own([l[rows], r[rows]][:count]).items():
+                    out[f"_m_{n}"][rows] = v
+        return out
 
     names = [n for n in MEASURES if scale.true_peak or n != "true_peak_db"]
-    rows = map_tracks(tracks, list(channels), [], {f"_m_{n}": "double" for n in names}, measured, keep)
-    m = {"sr": F.lit(sr), "channels": F.lit(2), **{n: F.col(f"_m_{n}") for n in names}}
+    kept = tracks.columns if keep is None else keep
+    left, right = map(F.col, channels)
+    both = tracks.select("*", left.alias("_a"), F.coalesce(right, left).alias("_b"), right.isNull().cast("double").alias("_mono"))
+    rows = map_tracks(both, ["_a", "_b"], ["_mono"], {f"_m_{n}": "double" for n in names}, measured, [*kept, "_mono"])
+    m = {"sr": F.lit(sr), "channels": (2 - F.col("_mono")).cast("int"), **{n: F.col(f"_m_{n}") for n in names}}
     m["band_separation_score"], m["band_balance"] = spectral.separation(m["low_energy"], m["mid_energy"], m["high_energy"])
     m["peak_db"] = decibels(m["peak"])
     m["crest_db"] = decibels(m["peak"] / F.greatest(m["rms"], num(1e-9)))
     m["dynamic_range_db"] = m["peak_db"] - m["noise_floor_db"]
     m["quality_flags"] = quality_flags(m, scale)
-    return rows.withColumn(name, F.struct(*(c.alias(n) for n, c in m.items()))).drop(*(f"_m_{n}" for n in names))
+    return rows.withColumn(name, F.struct(*(c.alias(n) for n, c in m.items()))).drop("_mono", *(f"_m_{n}" for n in names))
 
 
 def quality_flags(m: dict[str, Column], scale: Scale) -> Column:

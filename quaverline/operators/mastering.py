@@ -71,6 +71,8 @@ def map_tracks(tracks: DataFrame, arrays: list[str], scalars: list[str], out: di
     return tracks.mapInArrow(run, ", ".join([schema_text(tracks.select(names)), *(f"`{c}` {t}" for c, t in out.items())]))
 
 
+#: By how many dB two equal channels are louder than one.
+TWICE = 10 * float(np.log10(2))
 #: How a track is to be treated, besides its parameters; 0 or 1 for each track.
 WAYS = ("denoise", "bass_boost", "hifi_bright", "strict", "match")
 #: Ceilings in dB of manual requests and of what codecs stand.
@@ -130,7 +132,7 @@ def master(x: Stereo, p: dict[str, np.ndarray], intensity: np.ndarray, amount: n
     y = guards.transients(x, y, sr)[0]
     y = tuple(guards.band_transients(s, d, sr) for s, d in zip(x, y))
     y = guards.delta(x, y, sr, amount)
-    y = tuple(k.trimmed(list(y), k.true_peak(list(y)), np.full(len(amount), -1.0))[0])
+    y = tuple(k.trimmed(list(y), k.sample_peak(list(y)), np.full(len(amount), -1.0))[0])
     y = _by_rows(y, strict, lambda i, now=y: strict_trim(tuple(c[i] for c in x), tuple(c[i] for c in now)))
     ceiling = np.where(strict, np.minimum(p["limiter_ceiling_db"], MANUAL_CEILING), p["limiter_ceiling_db"])
     if match_source:
@@ -147,18 +149,24 @@ def master(x: Stereo, p: dict[str, np.ndarray], intensity: np.ndarray, amount: n
 
 def mastered(rows: DataFrame, frames: Frames = SHORT, match_source: bool = False) -> DataFrame:
     """Adds ``out_l`` and ``out_r``, and the true peak of both, to rows with l, r, intensity, effective and
-    ``dsp_params``; ``mode``, ``target``, ``manual_dsp`` and ``volume_mode`` count where there are such columns."""
+    ``dsp_params``; ``mode``, ``target``, ``manual_dsp`` and ``volume_mode`` count where there are such columns.
+
+    A track whose r is null is mono and gets no ``out_r``. It goes through as two equal channels, to which every guard of the
+    stereo image is blind; only their loudness is ``TWICE`` that of one, so its target is as much higher.
+    """
     rule = {"denoise": ("mode", "denoise"), "bass_boost": ("target", "bass_boost"), "hifi_bright": ("target", "hifi_bright"), "strict": ("manual_dsp", True), "match": ("volume_mode", "match_source")}
     way = lambda w: F.coalesce((F.col(rule[w][0]) == F.lit(rule[w][1])).cast("double"), F.lit(0.0)) if rule[w][0] in rows.columns else F.lit(float(w == "denoise"))
-    flat = rows.select("*", *(rows.dsp_params[p].alias(f"_{p}") for p in PARAMETERS), *(way(w).alias(f"_way_{w}") for w in WAYS))
+    mono = F.col("r").isNull().cast("double")
+    param = lambda p: rows.dsp_params[p] + mono * TWICE if p == "target_lufs" else rows.dsp_params[p]
+    flat = rows.select("*", F.coalesce("r", "l").alias("_r"), *(param(p).alias(f"_{p}") for p in PARAMETERS), *(way(w).alias(f"_way_{w}") for w in WAYS))
 
     def fn(left, right, intensity, effective, *rest):
         params, ways = rest[: len(PARAMETERS)], rest[len(PARAMETERS) :]
         y = master((left, right), dict(zip(PARAMETERS, params)), intensity, effective, frames, match_source, dict(zip(WAYS, ways)))
         return {"out_l": y[0], "out_r": y[1], "true_peak_out_db": k.db(k.true_peak(list(y)))}
 
-    out = map_tracks(flat, ["l", "r"], ["intensity", "effective", *(f"_{p}" for p in PARAMETERS), *(f"_way_{w}" for w in WAYS)], {"out_l": "array<double>", "out_r": "array<double>", "true_peak_out_db": "double"}, fn)
-    return out.drop(*(f"_{p}" for p in PARAMETERS), *(f"_way_{w}" for w in WAYS))
+    out = map_tracks(flat, ["l", "_r"], ["intensity", "effective", *(f"_{p}" for p in PARAMETERS), *(f"_way_{w}" for w in WAYS)], {"out_l": "array<double>", "out_r": "array<double>", "true_peak_out_db": "double"}, fn)
+    return out.withColumn("out_r", F.when(F.col("r").isNotNull(), F.col("out_r"))).drop("_r", *(f"_{p}" for p in PARAMETERS), *(f"_way_{w}" for w in WAYS))
 
 
 def with_true_peak(tracks: DataFrame, name: str = "true_peak_db") -> DataFrame:
@@ -176,7 +184,8 @@ def blended_back(rows: DataFrame, severity: str = "severity") -> DataFrame:
 def with_low_side_growth(rows: DataFrame, frames: Frames = SHORT) -> DataFrame:
     """Adds ``low_side_growth``: 1 where the processed track's low-bass side grew against the source, 0 elsewhere."""
     fn = lambda l, r, a, b: {"low_side_growth": guards.low_side_growth((l, r), (a, b), frames.sr).astype(int)}
-    return map_tracks(rows, ["l", "r", "out_l", "out_r"], [], {"low_side_growth": "int"}, fn)
+    both = rows.withColumns({"_r": F.coalesce("r", "l"), "_out_r": F.coalesce("out_r", "out_l")})
+    return map_tracks(both, ["l", "_r", "out_l", "_out_r"], [], {"low_side_growth": "int"}, fn).drop("_r", "_out_r")
 
 
 def relevelled(x: Stereo, y: Stereo, blend: np.ndarray, match: np.ndarray, target: np.ndarray, ceiling: np.ndarray, frames: Frames = SHORT) -> Stereo:
@@ -188,16 +197,17 @@ def relevelled(x: Stereo, y: Stereo, blend: np.ndarray, match: np.ndarray, targe
 
 
 def guarded(rows: DataFrame, severity: str = "severity", frames: Frames = SHORT) -> DataFrame:
-    """Blends the source back, levels what was blended and adds its true peak, ``guarded_peak_db``."""
+    """Blends the source back, levels what was blended and adds its true peak, ``guarded_peak_db``; mono tracks as in ``mastered``."""
     mixed = blended_back(rows, severity)
     p = mixed.dsp_params
     match = F.coalesce((F.col("volume_mode") == "match_source").cast("double"), F.lit(0.0))
-    flat = mixed.withColumns({"_match": match, "_target": p.target_lufs, "_ceiling": p.limiter_ceiling_db})
-    flat = flat.withColumnsRenamed({"out_l": "_mixed_l", "out_r": "_mixed_r"})
+    mono = F.col("r").isNull().cast("double")
+    flat = mixed.withColumns({"_match": match, "_target": p.target_lufs + mono * TWICE, "_ceiling": p.limiter_ceiling_db, "_r": F.coalesce("r", "l")})
+    flat = flat.withColumn("_mixed_r", F.coalesce("out_r", "out_l")).drop("out_r").withColumnRenamed("out_l", "_mixed_l")
 
     def fn(left, right, done_l, done_r, *levels):
         y = relevelled((left, right), (done_l, done_r), *levels, frames)
         return {"out_l": y[0], "out_r": y[1], "guarded_peak_db": k.db(k.true_peak(list(y)))}
 
-    out = map_tracks(flat, ["l", "r", "_mixed_l", "_mixed_r"], ["blend", "_match", "_target", "_ceiling"], {"out_l": "array<double>", "out_r": "array<double>", "guarded_peak_db": "double"}, fn)
-    return out.drop("_match", "_target", "_ceiling", "_mixed_l", "_mixed_r")
+    out = map_tracks(flat, ["l", "_r", "_mixed_l", "_mixed_r"], ["blend", "_match", "_target", "_ceiling"], {"out_l": "array<double>", "out_r": "array<double>", "guarded_peak_db": "double"}, fn)
+    return out.withColumn("out_r", F.when(F.col("r").isNotNull(), F.col("out_r"))).drop("_match", "_target", "_ceiling", "_mixed_l", "_mixed_r", "_r")

@@ -1,4 +1,4 @@
-"""Level, stereo, frame and spectral measures of many stereo tracks at once.
+"""Level, stereo, frame and spectral measures of many tracks of one or two channels at once.
 
 As in ``kernels``, every array has the shape (tracks, samples) and all tracks of a call are equally long.
 """
@@ -28,33 +28,36 @@ def power(channels: list[Array]) -> Array:
     return sum(np.abs(np.fft.rfft(c, axis=-1)) ** 2 for c in channels) / len(channels)
 
 
-def level(l: Array, r: Array, frame: int, hop: int) -> dict[str, Array]:
-    every = np.concatenate([l, r], axis=-1)
-    size, offsets = np.abs(every), (l.mean(axis=-1), r.mean(axis=-1))
-    frames = np.concatenate([frame_levels(l, frame, hop), frame_levels(r, frame, hop)], axis=-1)
+def level(channels: list[Array], frame: int, hop: int) -> dict[str, Array]:
+    every = np.concatenate(channels, axis=-1)
+    size, offsets = np.abs(every), np.array([c.mean(axis=-1) for c in channels])
+    frames = np.concatenate([frame_levels(c, frame, hop) for c in channels], axis=-1)
     return {
         "rms": k.rms(every),
         "peak": size.max(axis=-1),
         "noise_floor_db": k.db(np.percentile(frames, 10, axis=-1)),
-        "dc_offset": (offsets[0] + offsets[1]) / 2,
-        "max_channel_dc_offset": np.maximum(*map(np.abs, offsets)),
+        "dc_offset": offsets.mean(axis=0),
+        "max_channel_dc_offset": np.abs(offsets).max(axis=0),
         "clipping_ratio": (size >= 0.98).mean(axis=-1),
         "silence_ratio": (size <= 10 ** (-50 / 20)).mean(axis=-1),
-        "zero_crossing_rate": (crossings(l) + crossings(r)) / 2,
+        "zero_crossing_rate": np.mean([crossings(c) for c in channels], axis=0),
     }
 
 
-def image(l: Array, r: Array) -> dict[str, Array]:
-    """Width and uncentred correlation."""
+def image(channels: list[Array]) -> dict[str, Array]:
+    """Width and uncentred correlation; one channel has no width and agrees with itself."""
+    if len(channels) == 1:
+        return {"stereo_width": np.zeros(len(channels[0])), "phase_correlation": np.ones(len(channels[0]))}
+    l, r = channels
     width = k.rms((l - r) * 0.5) / (k.rms((l + r) * 0.5) + 1e-9)
     alike = (l * r).mean(axis=-1) / ((k.rms(l) + 1e-9) * (k.rms(r) + 1e-9))
     return {"stereo_width": np.clip(width, 0.0, 4.0), "phase_correlation": np.clip(alike, -1.0, 1.0)}
 
 
-def spectrum(l: Array, r: Array, sr: float, bands: dict[str, tuple[float, float]]) -> dict[str, Array]:
+def spectrum(channels: list[Array], sr: float, bands: dict[str, tuple[float, float]]) -> dict[str, Array]:
     """Share of the power in each band, its upper edge left out; centroid, roll-off (85 %) and flatness."""
-    p = power([l, r])
-    hz, summed = np.arange(p.shape[-1]) * (sr / l.shape[-1]), np.cumsum(p, axis=-1)
+    p = power(channels)
+    hz, summed = np.arange(p.shape[-1]) * (sr / channels[0].shape[-1]), np.cumsum(p, axis=-1)
     whole = summed[..., -1]
     heard, some = whole > 1e-12, np.where(whole == 0, 1.0, whole)
     magnitude = np.sqrt(np.maximum(p, 1e-18))
@@ -66,8 +69,13 @@ def spectrum(l: Array, r: Array, sr: float, bands: dict[str, tuple[float, float]
     }
 
 
-def loudness(l: Array, r: Array, sr: float) -> dict[str, Array]:
-    """Gated loudness of both channels, their mid and their side. Weighting is linear, so two weighted channels give all three."""
+def loudness(channels: list[Array], sr: float) -> dict[str, Array]:
+    """Gated loudness of the channels, their mid and their side. Weighting is linear, so two weighted channels give all three; one
+    channel is its own mid, and its side is silence."""
+    if len(channels) == 1:
+        own = k.integrated_loudness(channels, sr)
+        return {"lufs": own, "mid_lufs": own, "side_lufs": np.full(len(own), k.db(np.zeros(1))[0] - 0.691)}
+    l, r = channels
     a, b = k.k_weighted(l, sr), k.k_weighted(r, sr)
     middle, apart = lambda x, y: (x + y) * 0.5, lambda x, y: (x - y) * 0.5
     return {

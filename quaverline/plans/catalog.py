@@ -157,6 +157,13 @@ def analysis_record(spark, sf_dir):
     return rounded(analyze(_pairs(spark, sf_dir)).select("track", *o.NUMBERS))
 
 
+@query(f"WITH {o.PAIR}, q AS (SELECT track, l, l AS r FROM p), {o.record('q', mono=True)} " + o.rounded(["track!", "channels!", *o.NUMBERS], "FROM rec"))
+def mono_record(spark, sf_dir):
+    """The left channels as mono tracks."""
+    mono = _pairs(spark, sf_dir).withColumn("r", F.lit(None).cast("array<double>"))
+    return rounded(analyze(mono).select("track", "channels", *o.NUMBERS))
+
+
 @query(o.RECORD + " SELECT track, array_to_string(quality_flags, ',') AS flags, len(quality_flags) AS n_flags FROM rec")
 def quality_flags(spark, sf_dir):
     return analyze(_pairs(spark, sf_dir)).select("track", F.array_join("quality_flags", ",").alias("flags"), F.size("quality_flags").cast("long").alias("n_flags"))

@@ -50,8 +50,8 @@ def _gated(e: str) -> str:
     return f"""CASE WHEN len({loud}) = 0 THEN NULL ELSE {lu(f"coalesce(list_avg([b for b in {loud} if {lu('b')} > {lu(f'list_avg({loud})')} - 10]), list_avg({loud}))")} END"""
 
 
-def record(source: str = "p", name: str = "rec", power: bool = True) -> str:
-    """The analysis record of (track, l, r) with 64 samples at 64 Hz, in steps."""
+def record(source: str = "p", name: str = "rec", power: bool = True, mono: bool = False) -> str:
+    """The analysis record of (track, l, r) with 64 samples at 64 Hz, in steps; of ``mono`` tracks r is l again."""
     blocks = lambda e: f"[list_sum({e}[o + 1:o + 26]) / 26 for o in range(0, 39, 6)]"
     frames = lambda c: f"[sqrt(list_sum([v * v for v in {c}[o + 1:o + 16]]) / 16) for o in range(0, 49, 4)]"
     cross = lambda c: f"(list_sum([CASE WHEN ({c}[i] < 0) <> ({c}[i - 1] < 0) THEN 1.0::DOUBLE ELSE 0.0 END for i in range(2, 65)]) / 64)"
@@ -59,26 +59,26 @@ def record(source: str = "p", name: str = "rec", power: bool = True) -> str:
     band = lambda a, b: f"(list_sum(power[{a + 1}:{b}]) / list_sum(power))"
     return f"""{name}_a AS (
         SELECT track, l, r, list_concat(l, r) AS x, [(l[i] + r[i]) / 2 for i in range(1, 65)] AS m, [(l[i] - r[i]) / 2 for i in range(1, 65)] AS s,
-               [l[i] * l[i] + r[i] * r[i] for i in range(1, 65)] AS e,
+               [l[i] * l[i]{'' if mono else ' + r[i] * r[i]'} for i in range(1, 65)] AS e,
                [({bin_of('l')} + {bin_of('r')}) / 2 for k in range(0, 33)] AS power
         FROM {source}
     ), {name}_b AS (
-        SELECT track, 64 AS sr, 2 AS channels, 1.0::DOUBLE AS duration, {lrms('x')} AS rms, list_max([abs(v) for v in x]) AS peak,
+        SELECT track, 64 AS sr, {1 if mono else 2} AS channels, 1.0::DOUBLE AS duration, {lrms('x')} AS rms, list_max([abs(v) for v in x]) AS peak,
                {blocks('e')} AS be, {blocks('[v * v for v in m]')} AS bm, {blocks('[v * v for v in s]')} AS bs,
-               {db(f"list_aggregate(list_concat({frames('l')}, {frames('r')}), 'quantile_cont', 0.1)")} AS noise_floor_db,
+               {db(f"list_aggregate({frames('l')}, 'quantile_cont', 0.1)" if mono else f"list_aggregate(list_concat({frames('l')}, {frames('r')}), 'quantile_cont', 0.1)")} AS noise_floor_db,
                (list_avg(l) + list_avg(r)) / 2 AS dc_offset, greatest(abs(list_avg(l)), abs(list_avg(r))) AS max_channel_dc_offset,
                {lmean('x', 'CASE WHEN abs(v) >= 0.98 THEN 1.0::DOUBLE ELSE 0.0 END')} AS clipping_ratio,
                {lmean('x', 'CASE WHEN abs(v) <= 10 ** (-2.5) THEN 1.0::DOUBLE ELSE 0.0 END')} AS silence_ratio,
                ({cross('l')} + {cross('r')}) / 2 AS zero_crossing_rate,
-               {clip(f"{lrms('s')} / ({lrms('m')} + 1e-9)", 0.0, 4.0)} AS stereo_width,
-               {clip(f"(list_sum([l[i] * r[i] for i in range(1, 65)]) / 64) / (({lrms('l')} + 1e-9) * ({lrms('r')} + 1e-9))", -1.0, 1.0)} AS phase_correlation,
+               {'0.0::DOUBLE' if mono else clip(f"{lrms('s')} / ({lrms('m')} + 1e-9)", 0.0, 4.0)} AS stereo_width,
+               {'1.0::DOUBLE' if mono else clip(f"(list_sum([l[i] * r[i] for i in range(1, 65)]) / 64) / (({lrms('l')} + 1e-9) * ({lrms('r')} + 1e-9))", -1.0, 1.0)} AS phase_correlation,
                {band(1, 8)} AS low_energy, {band(8, 20)} AS mid_energy, {band(20, 32)} AS high_energy,
                list_sum([(k - 1) * power[k] for k in range(1, 34)]) / list_sum(power) AS spectral_centroid_hz,
                list_min([k - 1 for k in range(1, 34) if list_sum(power[1:k]) >= 0.85 * list_sum(power)])::DOUBLE AS spectral_rolloff_hz,
                exp(list_avg([ln(sqrt(greatest(v, 1e-18))) for v in power])) / (list_avg([sqrt(greatest(v, 1e-18)) for v in power]) + 1e-18) AS spectral_flatness
         FROM {name}_a
     ), {name}_c AS (
-        SELECT *, {_gated('be')} AS lufs, {_gated('bm')} AS mid_lufs, {_gated('bs')} AS side_lufs, {db('peak')} AS peak_db, {db('peak / greatest(rms, 1e-9)')} AS crest_db,
+        SELECT *, {_gated('be')} AS lufs, {_gated('bm')} AS mid_lufs, {'-180.691::DOUBLE' if mono else _gated('bs')} AS side_lufs, {db('peak')} AS peak_db, {db('peak / greatest(rms, 1e-9)')} AS crest_db,
                greatest(low_energy + mid_energy + high_energy, 1e-9) AS tot
         FROM {name}_b
     ), {name} AS (

@@ -174,6 +174,9 @@ class Steps:
 
     # levels
 
+    def sample_peak(self, channels: list[str]) -> str:
+        return self.new(f"greatest({', '.join(f'list_max([abs(v) for v in {x}])' for x in channels)})")
+
     def true_peak(self, channels: list[str], factor: int = 4) -> str:
         """By the interpolation kernel of 64 periodic samples."""
         total = N * factor
@@ -595,7 +598,7 @@ def chained(s: Steps) -> list[str]:
     y = s.transients(x, y, sr)[0]
     y = [s.band_transients(a, b, sr) for a, b in zip(x, y)]
     y = s.delta(x, y, sr, "effective")
-    y = s.trimmed(y, s.true_peak(y), "-1.0")[0]
+    y = s.trimmed(y, s.sample_peak(y), "-1.0")[0]
     trim = s.new(f"-1.4 - {o.db(s.true_peak(y))}")
     wet = s.new(f"CASE WHEN {trim} < -5 THEN 0.65 * 10 ** (({trim} + 5) / 20) ELSE 10 ** (least({trim}, 0) / 20) END")
     strict = [s.new(each(f"%1 * CASE WHEN {trim} < -5 THEN 0.35 ELSE 0 END + %2 * {wet}", a, b)) for a, b in zip(x, y)]

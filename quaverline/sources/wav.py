@@ -57,10 +57,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def stereo(files: DataFrame, sr: int, frames: int) -> DataFrame:
     """(track, l, r) of the files of one rate and length; track is the file's name without its ending.
 
-    A mono file is both channels; of more than two channels the first two count. Other rates and lengths need a call of their own.
+    The r of a mono file is null; of more than two channels the first two count. Other rates and lengths need a call of their own.
     """
     name = F.regexp_replace(base_name(F.col("path")), r"\.[^.]*$", "")
-    right = F.coalesce(F.get("channels", F.lit(1)), F.get("channels", F.lit(0)))
+    right = F.get("channels", F.lit(1))
     chosen = files.filter((F.col("sr") == sr) & (F.col("frames") == frames))
     return chosen.select(name.alias("track"), F.get("channels", F.lit(0)).alias("l"), right.alias("r"))
 

@@ -80,3 +80,24 @@ def test_too_loud_is_not_perfect(spark, sounds):
     rows = v.compared(analyze(sounds.filter("track = 'soft'"), SCALE), analyze(louder, SCALE), ["track"])
     found = v.validation(rows, F.lit("hifi_clean"), F.lit("match_source"), F.col("before.lufs"), F.lit(-1.5)).first()
     assert found.penalties > 0 and found.score <= 95
+
+
+def test_mono_files(spark, tmp_path):
+    """A mono file is measured and mastered as one channel: its loudness is that of one, and it ends at its target."""
+    t = np.arange(LENGTH) / SR
+    tone = 0.2 * np.sin(2 * np.pi * 997 * t) * (1 + 0.3 * np.sin(2 * np.pi * 3 * t))
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "tone.wav").write_bytes(wav.encode(tone[None], SR))
+    mono = wav.stereo(wav.read(spark, f"file://{tmp_path}/one"), SR, LENGTH)
+    record = analyze(mono, SCALE).first()
+    alone = float(kernels.integrated_loudness([tone[None]], SR)[0])
+    assert record.channels == 1 and record.lufs == pytest.approx(alone, abs=1e-3) and record.mid_lufs == record.lufs
+    assert (record.stereo_width, record.phase_correlation) == (0.0, 1.0) and record.side_lufs == pytest.approx(-180.691)
+    requests = spark.createDataFrame([("tone", "hifi_clean", 0.3, None, "target", False)], "track string, request string, amount double, manual string, volume_mode string, use_denoise boolean")
+    files.processed(mono, requests, SCALE).write.parquet(f"{tmp_path}/done")
+    found = spark.read.parquet(f"{tmp_path}/done").first()
+    assert found.out_r is None and len(found.out_l) == LENGTH
+    after = float(kernels.integrated_loudness([np.array([found.out_l])], SR)[0])
+    assert after == pytest.approx(found.dsp_params.target_lufs, abs=0.3)
+    checked = files.report(spark.read.parquet(f"{tmp_path}/done"), SCALE).first()
+    assert checked.after.channels == 1 and "stereo_width_loss" not in checked.flags

@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.scalars import decibels, mean, num, rms, rounded
-from ..functions.tables import LIGHT_PRESETS, PARAMETERS, STEM_GAINS, STEM_ORDER, STEM_ROLES
+from ..functions.tables import LIGHT_PRESETS, PARAMETERS, STEM_GAINS, STEM_ORDER, STEM_ROLES, TWEAKS
 from ..operators import features, guards, kernels, mastering, spectral, stem_audio, stems
 from ..operators.analysis import FRAMES, analyze, with_record
 from ..session import table
 from ..sources import signals
 from . import oracles as o
 from . import signal_sql as q
-from . import long, rules, validation  # noqa: F401, long registers its queries
+from . import long, reports, rules, validation  # noqa: F401, long registers its queries
 from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 #: For queries whose SQL has the true peak, or that have no SQL.
@@ -823,6 +823,77 @@ def report_line(spark, sf_dir):
     return _validated(spark, sf_dir).select("track", F.concat_ws(" | ", F.concat(F.lit("validation "), "overall"), F.when(F.size(open_) > 0, F.array_join(open_, ", "))).alias("line"))
 
 
+_DETAILS = f"""[CASE WHEN {o.MODE} THEN 'source match' ELSE 'target' END || printf(' delta %+.1f LU', {o._LOUD}), 'ceiling -1.5 dBTP', printf('ratio %.5f', a.clipping_ratio),
+    printf('width %+.2f, phase %+.2f', {o._D('stereo_width')}, {o._D('phase_correlation')}), printf('score delta %+.1f', {o._D('band_separation_score')}), printf('crest loss %.1f dB', -{o._D('crest_db')}),
+    printf('high %+.2f, flatness %+.3f', {o._D('high_energy')}, {o._D('spectral_flatness')})]"""
+_LABELS = "[" + ", ".join(repr(x) for x in reports.LABELS.values()) + "]"
+
+
+@query(
+    f"""{o.COMPARED}, {o.CHECKS}, w AS (SELECT j.track, st, v.score, v.overall, {_DETAILS.replace('a.', 'j.a.').replace('b.', 'j.b.')} AS d, greatest(j.a.lufs - j.b.lufs - CASE WHEN {o.MODE} THEN 1 ELSE 3 END, 0) AS loud FROM j JOIN k USING (track) JOIN v USING (track)),
+    n AS (SELECT *, [({_LABELS})[i] || ': ' || d[i] for i in range(1, 8) if st[i] <> 'pass'][1:2] AS weak FROM w)
+    SELECT track, array_to_string(d, '; ') AS details, round(loud, 6) + 0.0 AS excessive_loudness_gain, false AS protected, overall || printf(' %.0f / 100: ', score) || CASE WHEN len(weak) > 0 THEN array_to_string(weak, ' / ') ELSE 'all checks stable' END AS line FROM n"""
+)
+def validation_lines(spark, sf_dir):
+    """The checks' details, and the line that a report shows."""
+    rows = _validated(spark, sf_dir)
+    line = reports.validation_line(F.col("checks"), F.col("score"), F.col("overall"))
+    return rounded(rows.select("track", F.array_join(F.transform("checks", lambda c: c["detail"]), "; ").alias("details"), "risk.excessive_loudness_gain", F.col("protected_by_quality_guard").alias("protected"), line.alias("line")))
+
+
+@query(
+    f"""{o.COMPARED}, {o.CHECKS} SELECT j.track, concat_ws('; ', CASE WHEN abs(j.a.lufs - j.b.lufs) <= CASE WHEN {o.MODE} THEN 1.25 ELSE 1 END THEN 'volume matched' ELSE printf('level changed by %+.1f dB', j.a.lufs - j.b.lufs) END,
+    CASE WHEN j.a.peak_db <= -1 THEN 'headroom safe' ELSE 'check headroom' END, CASE WHEN j.a.clipping_ratio <= 0.0005 AND j.a.peak_db <= -1.5 + 0.2 THEN 'low clipping risk' ELSE 'check clipping' END,
+    CASE WHEN abs(j.a.stereo_width - j.b.stereo_width) <= 0.2 AND abs(j.a.phase_correlation - j.b.phase_correlation) <= 0.25 THEN 'stereo preserved' ELSE 'stereo changed' END, printf('validation %.0f (%s)', v.score, v.overall)) AS line
+    FROM j JOIN v USING (track)"""
+)
+def summary_lines(spark, sf_dir):
+    rows = validation.comparison(_validated(spark, sf_dir), F.col("volume_mode"), num(-1.5))
+    return rows.select("track", reports.summary_line(F.col("summary"), F.col("delta.lufs"), F.col("score"), F.col("overall")).alias("line"))
+
+
+@query(
+    f"""{o.REQUESTED}, t AS (SELECT *, floor(amount * 100 + 0.5) AS asked, floor(effective * 100 + 0.5) AS used, list_filter([{', '.join(f"CASE WHEN {f}_factor < 0.999 THEN printf('{f} %.0f%%', {f}_factor * 100) END" for f in o.BUDGET_LIMITS)}], lambda x: x IS NOT NULL) AS limited FROM r8)
+    SELECT track, printf('%d%% to %d%% (%+d%%): %s', CAST(asked AS INTEGER), CAST(used AS INTEGER), CAST(used - asked AS INTEGER), source_condition) AS adaptive,
+        CASE WHEN len(limited) > 0 THEN 'limited: ' || array_to_string(limited, ' / ') ELSE 'within budget' END AS budget, printf('harmonics at %.0f%%', harmonic_factor * 100) AS harmonics FROM t"""
+)
+def recommendation_lines(spark, sf_dir):
+    rows = rules.recommend(_requests(_records(spark, sf_dir)).withColumn("amount", F.least("amount", num(1.0))))
+    lines = reports.adaptive_line(F.col("amount"), F.col("effective"), F.col("source_condition")), reports.budget_line(F.col("reductions")), reports.harmonic_line(F.col("harmonic_factor"))
+    return rows.select("track", *(c.alias(n) for c, n in zip(lines, ("adaptive", "budget", "harmonics"))))
+
+
+@query(f"{o.RISKS} SELECT song, printf('average %.2f, highest %.2f: ', avg(score), max(score)) || CASE WHEN avg(score) < 0.45 THEN 'allow' WHEN avg(score) <= 0.65 THEN 'attenuate' ELSE 'fallback' END AS line FROM e GROUP BY song")
+def stem_risk_lines(spark, sf_dir):
+    rows = stems.risk_map(_risks(spark, sf_dir), ["song"])
+    return rows.select("song", reports.stem_risk_line(F.col("average"), F.col("max"), F.col("decision")).alias("line"))
+
+
+@query(f"SELECT song, {' || '.join(chr(39) + (' / ' if i else '') + n + ' ' + chr(39) + f' || printf({chr(39)}%.2f{chr(39)}, {n})' for i, n in enumerate(long.q.STEMS))} || printf(', error less by %.0f%%', error_reduction * 100) AS line FROM ({ORACLE['song_gains']})")
+def remix_lines(spark, sf_dir):
+    rows = QUERIES["song_gains"](spark, sf_dir)
+    return rows.select("song", reports.remix_line(F.col("applied"), {n: F.col(n) for n in long.q.STEMS}, F.col("error_reduction")).alias("line"))
+
+
+@query(f"SELECT track, CASE severity WHEN 'none' THEN 'no drift' ELSE severity || ': source blended by ' || CASE severity WHEN 'severe' THEN '35' ELSE '15' END || '% / ' || replace(flags, ',', ', ') END AS line FROM ({ORACLE['quality_drift']})")
+def guard_lines(spark, sf_dir):
+    found = _compared(spark, sf_dir).withColumn("flags", validation.drift_flags(F.col("target"), F.col("volume_mode"), num(-1.5)))
+    return found.select("track", reports.guard_line(validation.drift_severity(F.col("flags")), F.col("flags")).alias("line"))
+
+
+_CONTROLS = {key: f"((p_partkey * {7 + 2 * i} % 41) - 20) / {div}" for i, (_, key, _, _) in enumerate(TWEAKS) for div in [1 if "hz" in key else 4 if "db" in key or "lufs" in key else 50]}
+
+
+@query(f"SELECT p_partkey, p_partkey % 3 <> 0 AS enabled, CASE WHEN p_partkey % 3 <> 0 THEN 'fine_tune' END AS mode, CASE WHEN p_partkey % 3 <> 0 THEN -1.5::DOUBLE END AS ceiling_db, {', '.join(f'CASE WHEN p_partkey % 3 <> 0 THEN round(({e})::DOUBLE, 6) + 0.0 END AS {k}' for k, e in _CONTROLS.items())} FROM part")
+def manual_requests(spark, sf_dir):
+    """Manual controls as the JSON that a request carries, read again."""
+    rows = table(spark, sf_dir, "part")
+    values = {k: F.expr(e).cast("double") for k, e in _CONTROLS.items()}
+    asked = rows.select("p_partkey", rules.manual_request(F.col("p_partkey") % 3 != 0, values).alias("raw"))
+    read = F.from_json("raw", "manual_mode string, limiter_ceiling_db double, " + ", ".join(f"{k} double" for k in values))
+    return rounded(asked.select("p_partkey", F.col("raw").isNotNull().alias("enabled"), read["manual_mode"].alias("mode"), read["limiter_ceiling_db"].alias("ceiling_db"), *(read[k].alias(k) for k in values)))
+
+
 @query(q.process_payload())
 def process_payload(spark, sf_dir):
     """The nested report of each track as JSON, without numbers that JSON lacks, and some of what a reader gets from it."""

@@ -159,6 +159,12 @@ def manual(base: Params, raw: Column) -> tuple[Column, Params]:
     return keys.isNotNull(), out
 
 
+def manual_request(enabled: Column, values: dict[str, Column]) -> Column:
+    """The JSON of a manual request from the controls' values, null where they are off: changes within the manual ceiling."""
+    fixed = {"manual_mode": F.lit("fine_tune"), "limiter_ceiling_db": num(MANUAL_CEILING_DB), "normalize": F.lit(True)}
+    return F.when(enabled, F.to_json(F.struct(*(c.alias(n) for n, c in (fixed | values).items()))))
+
+
 def recommend(rows: DataFrame) -> DataFrame:
     """Mode, intensity, parameters, confidence, reasons and advice for each row of a record with ``request`` and ``amount``.
 

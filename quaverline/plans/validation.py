@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import amplitude, clip, finite, flags, num
 from ..functions.tables import CHECK_WEIGHTS, CODEC_CEILING_DB, SEVERE_FLAGS, STATUS_WORTH
+from .reports import LABELS, figure
 
 
 def _after(name: str) -> Column:
@@ -55,8 +56,10 @@ def _status(passes: Column, reviews: Column) -> Column:
     return F.when(passes, "pass").when(reviews, "review").otherwise("fail")
 
 
-def validation(rows: DataFrame, target: Column, volume_mode: Column, target_lufs: Column, ceiling_db: Column, stem_risk: Column | None = None) -> DataFrame:
-    """Adds ``checks`` (array of id, value, unit, status), ``score``, ``overall``, ``penalties`` and ``bonuses``."""
+def validation(rows: DataFrame, target: Column, volume_mode: Column, target_lufs: Column, ceiling_db: Column, stem_risk: Column | None = None, guarded: Column | None = None) -> DataFrame:
+    """Adds ``checks`` (array of id, label, value, unit, status, detail), ``score``, ``overall``, ``penalties``, ``bonuses``, ``risk`` (a
+    struct of both, the gain in loudness that is too much, and what stems cost) and ``protected_by_quality_guard``, false if
+    ``guarded`` isn't given."""
     matched = volume_mode == "match_source"
     loud = F.when(matched, delta("lufs")).otherwise(_after("lufs") - target_lufs)
     width, phase = F.abs(delta("stereo_width")), F.abs(delta("phase_correlation"))
@@ -75,15 +78,27 @@ def validation(rows: DataFrame, target: Column, volume_mode: Column, target_lufs
         "transients": (-crest_loss, "dB", _status(crest_loss <= most_crest, crest_loss <= most_crest + 2.0)),
         "harshness": (high, "", F.when((high > 0.22) & (flat > 0.035) & ~F.contains(target, F.lit("hifi_bright")), "fail").when((high > 0.16) & (flat > 0.025), "review").otherwise("pass")),
     }
-    rows = rows.withColumn("checks", F.array(*(F.struct(F.lit(k).alias("id"), v.alias("value"), F.lit(u).alias("unit"), s.alias("status")) for k, (v, u, s) in checks.items())))
+    details = {
+        "loudness": F.concat(F.when(matched, F.lit("source match")).otherwise(F.lit("target")), figure(" delta %+.1f LU", loud, 1)),
+        "true_peak": figure("ceiling %.1f dBTP", ceiling_db, 1),
+        "clipping": figure("ratio %.5f", _after("clipping_ratio"), 5),
+        "stereo": F.concat(figure("width %+.2f, ", delta("stereo_width"), 2), figure("phase %+.2f", delta("phase_correlation"), 2)),
+        "separation": figure("score delta %+.1f", sep, 1),
+        "transients": figure("crest loss %.1f dB", crest_loss, 1),
+        "harshness": F.concat(figure("high %+.2f, ", high, 2), figure("flatness %+.3f", flat, 3)),
+    }
+    check = lambda k, v, u, s: F.struct(F.lit(k).alias("id"), F.lit(LABELS[k]).alias("label"), v.alias("value"), F.lit(u).alias("unit"), s.alias("status"), details[k].alias("detail"))
+    rows = rows.withColumn("checks", F.array(*(check(k, *c) for k, c in checks.items())))
     worth = F.create_map(*(x for s, w in STATUS_WORTH.items() for x in (F.lit(s), num(w))))
     weight = F.create_map(*(x for k, w in CHECK_WEIGHTS.items() for x in (F.lit(k), num(w))))
     over = lambda v: F.greatest(v, num(0.0))
     weighted = F.aggregate("checks", num(0.0), lambda a, c: a + weight[c["id"]] * worth[c["status"]])
     risk = num(0.0) if stem_risk is None else F.coalesce(stem_risk, num(0.0)) * 12.0
-    penalties = over(delta("lufs") - F.when(matched, 1.0).otherwise(3.0)) * 4.5 + over(phase - 0.18) * 18.0 + over(crest_loss - most_crest) * 2.0 + over(high - 0.14) * 22.0 + risk
+    too_loud = over(delta("lufs") - F.when(matched, 1.0).otherwise(3.0))
+    penalties = too_loud * 4.5 + over(phase - 0.18) * 18.0 + over(crest_loss - most_crest) * 2.0 + over(high - 0.14) * 22.0 + risk
     bonuses = over(sep) * 0.18 + F.when(_after("true_peak_db") <= CODEC_CEILING_DB + 0.05, num(4.0)).otherwise(num(0.0)) + F.when((width <= 0.12) & (phase <= 0.16), num(3.0)).otherwise(num(0.0))
-    rows = rows.withColumns({"penalties": penalties, "bonuses": bonuses, "_weighted": weighted})
+    rows = rows.withColumns({"penalties": penalties, "bonuses": bonuses, "_weighted": weighted, "protected_by_quality_guard": F.lit(False) if guarded is None else guarded})
+    rows = rows.withColumn("risk", F.struct(too_loud.alias("excessive_loudness_gain"), risk.alias("stem_artifact_penalty"), "penalties", "bonuses"))
     of = lambda s: F.size(F.filter("checks", lambda c: c["status"] == s))
     overall = F.when(of("fail") > 0, "fail").when(of("review") <= 1, "pass").otherwise("review")
     return rows.withColumns({"score": clip(F.col("_weighted") * 100.0 + F.col("bonuses") - F.col("penalties"), 0.0, 100.0), "overall": overall}).drop("_weighted")

@@ -706,7 +706,7 @@ def mastering_chain(spark, sf_dir):
     return rounded(rows.select("track", "target", "mode", "true_peak_db", "true_peak_out_db", rms(F.concat("out_l", "out_r")).alias("rms_out"), (mean(F.col("out_l")) + mean(F.col("out_r"))).alias("dc_out")))
 
 
-@query()
+@query(q.post_quality_guard())
 def post_quality_guard(spark, sf_dir):
     """What the chain did is analysed again; where it drifted, some of the source is blended back, levelled and analysed once more."""
     drift = validation.drift_flags(F.col("target"), F.col("volume_mode"), F.col("dsp_params.limiter_ceiling_db"))

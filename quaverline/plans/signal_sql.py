@@ -111,12 +111,18 @@ class Steps:
         self.add(**{name: expression})
         return name
 
-    def sql(self, *columns: str, **named: str) -> str:
-        """The columns as they are, and the named ones rounded."""
+    def tables(self) -> tuple[list[str], str]:
+        """All parts of a WITH, and the name of the last one."""
         parts, last = list(self.parts), self.last
         for k, level in enumerate(self.levels):
-            parts.append(f"step{k} AS MATERIALIZED (SELECT *, {', '.join(f'{e} AS {c}' for c, e in level.items())} FROM {last})")
-            last = f"step{k}"
+            name = f"step{len(self.parts)}_{k}"
+            parts.append(f"{name} AS MATERIALIZED (SELECT *, {', '.join(f'{e} AS {c}' for c, e in level.items())} FROM {last})")
+            last = name
+        return parts, last
+
+    def sql(self, *columns: str, **named: str) -> str:
+        """The columns as they are, and the named ones rounded."""
+        parts, last = self.tables()
         return f"WITH {', '.join(parts)} SELECT {', '.join([*(columns or ['track']), *(f'round({e}, 6) + 0.0 AS {c}' for c, e in named.items())])} FROM {last}"
 
     # filters
@@ -642,6 +648,55 @@ def mastering_chain() -> str:
     return s.sql("track", "target", "mode", true_peak_db=o.db(s.true_peak(["l", "r"])), true_peak_out_db=o.db(s.true_peak(y)), rms_out=level, dc_out=f"list_avg({y[0]}) + list_avg({y[1]})")
 
 
+def drift(ceiling_db: str, matched: str) -> str:
+    """Flags of (target, a, b) rows, true peaks in ``peak_a``."""
+    d = lambda n: f"(a.{n} - b.{n})"
+    rules = {
+        "stereo_width_loss": f"b.stereo_width > 0.08 AND a.stereo_width < b.stereo_width * 0.72 AND {d('stereo_width')} < -0.1",
+        "stereo_width_overexpansion": f"b.stereo_width > 0.08 AND a.stereo_width > b.stereo_width * 1.55 AND {d('stereo_width')} > 0.18",
+        "phase_correlation_loss": f"a.phase_correlation < -0.1 OR ({d('phase_correlation')} < -0.3 AND a.phase_correlation < 0.25)",
+        "band_separation_loss": f"{d('band_separation_score')} < -12",
+        "transient_flattening": f"-{d('crest_db')} > CASE WHEN contains(target, 'loud_modern') THEN 6.0::DOUBLE ELSE 4.5 END",
+        "high_band_harshness": f"{d('high_energy')} > 0.22 AND {d('spectral_flatness')} > 0.035 AND NOT contains(target, 'hifi_bright')",
+        "source_loudness_drift": f"{matched} AND abs({d('lufs')}) > 2.25",
+        "headroom_risk": f"a.clipping_ratio > 0.0005 OR peak_a > {ceiling_db} + 0.15",
+    }
+    return f"list_filter([{', '.join(f'CASE WHEN {r} THEN {n!r} END' for n, r in rules.items())}], lambda x: x IS NOT NULL)"
+
+
+def post_quality_guard() -> str:
+    """The chain, what drifted, some of the source blended back and levelled, and what still drifts."""
+    s, sr, matched = requested(), 8_000.0, "volume_mode = 'match_source'"
+    y = chained(s)
+    low = lambda x: s.width(*(s.low(c, sr, 140.0) for c in s.mid_side(x)))
+    before, now = s.new(low(["l", "r"])), s.new(low(y))
+    top = s.new(o.db(s.true_peak(y)))
+    parts, last = s.tables()
+    parts += [
+        f"made AS MATERIALIZED (SELECT track, target, volume_mode, target_lufs, limiter_ceiling_db, l, r, {y[0]} AS yl, {y[1]} AS yr, {top} AS peak_a, {now} > greatest({before} * 1.35, {before} + 0.08) AS grown FROM {last})",
+        "heard AS (SELECT track, yl AS l, yr AS r FROM made)",
+        o.record("heard", "aft"),
+        "met AS (SELECT made.*, rec AS b, aft AS a FROM made JOIN rec USING (track) JOIN aft USING (track))",
+        f"found AS (SELECT * EXCLUDE (a), list_concat({drift('limiter_ceiling_db', matched)}, CASE WHEN grown THEN ['low_bass_side_growth'] ELSE [] END) AS flags FROM met)",
+        "judged AS (SELECT *, CASE WHEN len(flags) = 0 THEN 'none' WHEN list_has_any(flags, ['headroom_risk', 'phase_correlation_loss', 'transient_flattening', 'high_band_harshness']) OR len(flags) >= 3 THEN 'severe' ELSE 'warning' END AS severity FROM found)",
+        "shares AS MATERIALIZED (SELECT *, CASE severity WHEN 'severe' THEN 0.35::DOUBLE WHEN 'warning' THEN 0.15 ELSE 0 END AS blend FROM judged)",
+    ]
+    g = Steps(*parts)
+    mixed = [g.new(each("%1 * (1 - blend) + %2 * blend", a, b)) for a, b in (("yl", "l"), ("yr", "r"))]
+    level = g.where(matched, g.loudness_match(["l", "r"], mixed, sr, "limiter_ceiling_db", 2.0)[0], g.loudness_set(mixed, sr, "target_lufs", "limiter_ceiling_db", 0.5)[0])
+    out = g.where("blend > 0", g.safe(level, sr, "limiter_ceiling_db", "TRUE"), mixed)
+    peak_db = g.new(o.db(g.true_peak(out)))
+    parts, last = g.tables()
+    parts += [
+        f"kept AS MATERIALIZED (SELECT track, target, volume_mode, limiter_ceiling_db, b, flags, severity, blend, {out[0]} AS l, {out[1]} AS r, {peak_db} AS peak_a FROM {last})",
+        o.record("kept", "fin"),
+        "last AS (SELECT kept.*, fin AS a FROM kept JOIN fin USING (track))",
+    ]
+    rms = f"sqrt(({o.lmean('l', 'v * v')} + {o.lmean('r', 'v * v')}) / 2)"
+    after = f"CASE WHEN blend > 0 THEN array_to_string({drift('limiter_ceiling_db', matched)}, ',') ELSE '' END"
+    return f"WITH {', '.join(parts)} SELECT track, array_to_string(flags, ',') AS flags, severity, blend, round({rms}, 6) + 0.0 AS rms_out, {after} AS after_flags, round(peak_a, 6) + 0.0 AS guarded_peak_db FROM last"
+
+
 def case(*pairs: tuple[str, str]) -> str:
     """The word of the first rule that holds; an empty one is none."""
     return f"nullif(CASE {' '.join(f'WHEN {rule} THEN {word!r}' for rule, word in pairs)} END, '')"

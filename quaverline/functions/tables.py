@@ -74,6 +74,8 @@ STEM_ROLES = {
     "instrumental": (0.40, {"high_boost_db": (None, 0.85), "compress_ratio": (None, 1.35), "exciter_amount": (None, 0.035), "saturation_amount": (None, 0.035), "limiter_ceiling_db": (None, -2.0)}),
 }
 STEM_ORDER = ["vocals", "instrumental", "drums", "bass", "other"]
+#: What a stem is processed towards; others follow the song's own target.
+STEM_TARGETS = {"vocals": "voice_focus", "drums": "restore", "bass": "bass_boost"}
 #: Targets that pull against each other.
 OPPOSING_TARGETS = [("restore", "loud_modern"), ("hifi_bright", "warm_analog"), ("bass_boost", "voice_focus")]
 #: Weight of each check and worth of each status.

@@ -97,8 +97,9 @@ def strict_trim(x: Stereo, y: Stereo) -> Stereo:
     return tuple(s * k.column(dry) + d * k.column(wet) for s, d in zip(x, y))
 
 
-def master(x: Stereo, p: dict[str, np.ndarray], intensity: np.ndarray, amount: np.ndarray, frames: Frames, match_source: bool = False, ways: dict[str, np.ndarray] | None = None) -> Stereo:
-    """Mid and side through denoising (where ``ways`` says so), tone, dynamics and harmonics, then the guards against the source, then loudness and safety."""
+def master(x: Stereo, p: dict[str, np.ndarray], intensity: np.ndarray, amount: np.ndarray, frames: Frames, match_source: bool = False, ways: dict[str, np.ndarray] | None = None, output_sr: float | None = None) -> Stereo:
+    """Mid and side through denoising (where ``ways`` says so), tone, dynamics and harmonics, then the guards against the source, then
+    the output's rate if it is another one, loudness and safety."""
     sr, size, hop = frames.sr, frames.size, frames.hop
     ways = {w: np.asarray(ways[w], bool) if ways else np.full(len(amount), w == "denoise") for w in WAYS}
     strict = ways["strict"]
@@ -133,6 +134,9 @@ def master(x: Stereo, p: dict[str, np.ndarray], intensity: np.ndarray, amount: n
     y = tuple(guards.band_transients(s, d, sr) for s, d in zip(x, y))
     y = guards.delta(x, y, sr, amount)
     y = tuple(k.trimmed(list(y), k.sample_peak(list(y)), np.full(len(amount), -1.0))[0])
+    if output_sr and output_sr != sr:
+        x, y = (tuple(k.resampled_polyphase(c, sr, output_sr) for c in z) for z in (x, y))
+        sr = output_sr
     y = _by_rows(y, strict, lambda i, now=y: strict_trim(tuple(c[i] for c in x), tuple(c[i] for c in now)))
     ceiling = np.where(strict, np.minimum(p["limiter_ceiling_db"], MANUAL_CEILING), p["limiter_ceiling_db"])
     if match_source:
@@ -147,12 +151,14 @@ def master(x: Stereo, p: dict[str, np.ndarray], intensity: np.ndarray, amount: n
     return y
 
 
-def mastered(rows: DataFrame, frames: Frames = SHORT, match_source: bool = False) -> DataFrame:
+def mastered(rows: DataFrame, frames: Frames = SHORT, match_source: bool = False, at_output_rate: bool = False) -> DataFrame:
     """Adds ``out_l`` and ``out_r``, and the true peak of both, to rows with l, r, intensity, effective and
     ``dsp_params``; ``mode``, ``target``, ``manual_dsp`` and ``volume_mode`` count where there are such columns.
 
     A track whose r is null is mono and gets no ``out_r``. It goes through as two equal channels, to which every guard of the
     stereo image is blind; only their loudness is ``TWICE`` that of one, so its target is as much higher.
+
+    With ``at_output_rate`` a track ends at the rate that its column ``output_sr`` names; else at its own.
     """
     rule = {"denoise": ("mode", "denoise"), "bass_boost": ("target", "bass_boost"), "hifi_bright": ("target", "hifi_bright"), "strict": ("manual_dsp", True), "match": ("volume_mode", "match_source")}
     way = lambda w: F.coalesce((F.col(rule[w][0]) == F.lit(rule[w][1])).cast("double"), F.lit(0.0)) if rule[w][0] in rows.columns else F.lit(float(w == "denoise"))
@@ -160,13 +166,20 @@ def mastered(rows: DataFrame, frames: Frames = SHORT, match_source: bool = False
     param = lambda p: rows.dsp_params[p] + mono * TWICE if p == "target_lufs" else rows.dsp_params[p]
     flat = rows.select("*", F.coalesce("r", "l").alias("_r"), *(param(p).alias(f"_{p}") for p in PARAMETERS), *(way(w).alias(f"_way_{w}") for w in WAYS))
 
-    def fn(left, right, intensity, effective, *rest):
-        params, ways = rest[: len(PARAMETERS)], rest[len(PARAMETERS) :]
-        y = master((left, right), dict(zip(PARAMETERS, params)), intensity, effective, frames, match_source, dict(zip(WAYS, ways)))
-        return {"out_l": y[0], "out_r": y[1], "true_peak_out_db": k.db(k.true_peak(list(y)))}
-
-    out = map_tracks(flat, ["l", "_r"], ["intensity", "effective", *(f"_{p}" for p in PARAMETERS), *(f"_way_{w}" for w in WAYS)], {"out_l": "array<double>", "out_r": "array<double>", "true_peak_out_db": "double"}, fn)
-    return out.withColumn("out_r", F.when(F.col("r").isNotNull(), F.col("out_r"))).drop("_r", *(f"_{p}" for p in PARAMETERS), *(f"_way_{w}" for w in WAYS))
+    def fn(left, right, rates, intensity, effective, *rest):
+        out = {n: [None] * len(left) for n in ("out_l", "out_r", "true_peak_out_db")}
+        for rate in np.unique(rates):
+            rows = np.flatnonzero(rates == rate)
+            params, ways = ([c[rows] for c in part] for part in (rest[: len(PARAMETERS)], rest[len(PARAMETERS) :]))
+            y = master((left[rows], right[rows]), dict(zip(PARAMETERS, params)), intensity[rows], effective[rows], frames, match_source, dict(zip(WAYS, ways)), rate)
+            for name, values in zip(out, (*y, k.db(k.true_peak(list(y))))):
+                for i, v in zip(rows, values):
+                    out[name][i] = v
+        return out
+
+    rate = F.col("output_sr").cast("double") if at_output_rate else F.lit(frames.sr)
+    out = map_tracks(flat.withColumn("_rate", rate), ["l", "_r"], ["_rate", "intensity", "effective", *(f"_{p}" for p in PARAMETERS), *(f"_way_{w}" for w in WAYS)], {"out_l": "array<double>", "out_r": "array<double>", "true_peak_out_db": "double"}, fn)
+    return out.withColumn("out_r", F.when(F.col("r").isNotNull(), F.col("out_r"))).drop("_r", "_rate", *(f"_{p}" for p in PARAMETERS), *(f"_way_{w}" for w in WAYS))
 
 
 def with_true_peak(tracks: DataFrame, name: str = "true_peak_db") -> DataFrame:

@@ -79,6 +79,12 @@ def fitted(stems: dict[str, Stereo], source: Stereo) -> dict[str, Array]:
     return out
 
 
+def vocals_cleaned(stems: dict[str, Stereo], frames: mastering.Frames) -> Stereo:
+    """The vocals without what the sum of all other stems is the stronger in."""
+    others = [sum(x[c] for n, x in stems.items() if n != "vocals") for c in (0, 1)]
+    return tuple(k.bleed_cleaned(v, o, frames.sr, frames.size, frames.hop) for v, o in zip(stems["vocals"], others))
+
+
 def finished(source: Stereo, mixed: Stereo, sr: float) -> Stereo:
     """A remix with the source's width and loudness, made safe."""
     ceiling = np.full(len(source[0]), STEM_CEILING_DB)
@@ -86,20 +92,25 @@ def finished(source: Stereo, mixed: Stereo, sr: float) -> Stereo:
 
 
 def remixed(rows: DataFrame, frames: mastering.Frames = mastering.SHORT) -> DataFrame:
-    """(track, stems, residual_gain, out_l, out_r) of stems with track, stem, l, r, strength, ``dsp_params`` and risk ``score``.
+    """(track, stems, residual_gain, out_l, out_r) of stems with track, stem, l, r, strength, mode, target, ``dsp_params`` and risk
+    ``score``.
 
-    The source is the sum of the raw stems and the columns ``extra_l`` and ``extra_r`` that no stem holds. Each stem goes
-    through the chain and its role's guard; gains are fitted to the source, lost residual is kept and the result made safe.
+    The source is the sum of the raw stems and the columns ``extra_l`` and ``extra_r`` that no stem holds. What the other stems have
+    left in the vocals is taken back first. Each stem goes through the chain as its mode and target say, at its own loudness, and
+    through its role's guard; gains are fitted to the source, lost residual is kept and the result made safe.
     """
-    flat = rows.select("track", "stem", "l", "r", "extra_l", "extra_r", "score", "strength", *(F.col(f"dsp_params.{p}").alias(p) for p in PARAMETERS))
+    flat = rows.select("track", "stem", "l", "r", "extra_l", "extra_r", "score", "strength", "mode", "target", *(F.col(f"dsp_params.{p}").alias(p) for p in PARAMETERS))
 
     def run(table: pa.Table) -> pa.Table:
         cells = table.to_pydict()
         raw, done = {}, {}
+        given = {stem: (np.array([cells["l"][i]]), np.array([cells["r"][i]])) for i, stem in enumerate(cells["stem"])}
         for i, stem in sorted(enumerate(cells["stem"]), key=lambda x: x[1]):
-            x = (np.array([cells["l"][i]]), np.array([cells["r"][i]]))
+            x = given[stem]
+            heard = vocals_cleaned(given, frames) if stem == "vocals" and len(given) > 1 else x
+            ways = {"denoise": cells["mode"][i] == "denoise", "bass_boost": cells["target"][i] == "bass_boost", "hifi_bright": cells["target"][i] == "hifi_bright", "strict": False, "match": True}
             params, strength = {p: np.array([cells[p][i]]) for p in PARAMETERS}, np.array([cells["strength"][i]])
-            y = mastering.master(x, params, strength, strength, frames, match_source=True)
+            y = mastering.master(heard, params, strength, strength, frames, ways={w: np.array([on]) for w, on in ways.items()})
             y = guards.loudness_match(x, role_guard(stem, x, y, frames.sr), frames.sr, np.array([-2.0]), STEM_GAINS.get(stem, STEM_GAINS["other"])[2])[0]
             raw[stem], done[stem] = x, y
         total = lambda parts: tuple(sum(p[c] for p in parts) for c in (0, 1))

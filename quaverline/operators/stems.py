@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, num
-from ..functions.tables import PARAMETERS, STEM_CAP, STEM_GAINS, STEM_ROLES, VOCAL_STEM_CAP
+from ..functions.tables import PARAMETERS, STEM_CAP, STEM_GAINS, STEM_ROLES, STEM_TARGETS, VOCAL_STEM_CAP
 from ..plans.rules import clamp, flat, of, opened, packed, without
 
 
@@ -90,6 +90,15 @@ def safe_amount(adaptive: Column) -> Column:
     return clip(base * weight * adaptive * left * left * clip(c("phase_safety_factor"), 0.25, 1.0) * clip(c("transient_safety_factor"), 0.35, 1.0), 0.0, STEM_CAP)
 
 
+def stem_requests(rows: DataFrame) -> DataFrame:
+    """Requests of the songs as requests of their stems: each towards its own target, no stronger than a stem may be, at the
+    loudness it had and without manual parameters."""
+    towards = F.col("request")
+    for stem, target in STEM_TARGETS.items():
+        towards = F.when(F.col("stem") == stem, F.lit(target)).otherwise(towards)
+    return rows.withColumns({"request": towards, "amount": F.least("amount", num(STEM_CAP)), "volume_mode": F.lit("match_source"), "manual": F.lit(None).cast("string")})
+
+
 def role_tuned(rows: DataFrame) -> DataFrame:
     """``dsp_params`` and ``strength`` within the range of each stem's role."""
     rows, params = opened(rows, "dsp_params", "_in_"), of("_in_")

@@ -733,10 +733,10 @@ def target_previews(spark, sf_dir):
 @query()
 def stem_remix(spark, sf_dir):
     """Five stems a song through their chains and back together, with what no stem holds."""
-    rows = rules.recommend(_requests(_risks(spark, sf_dir)))
+    rows = rules.for_request(stems.stem_requests(_requests(_risks(spark, sf_dir))))
     tuned = stems.role_tuned(stems.conservative(rows.withColumn("strength", F.col("intensity"))))
     sound = _pairs(spark, sf_dir).withColumns({"extra_l": F.transform("r", lambda v: v * 0.02), "extra_r": F.transform("l", lambda v: v * 0.02)})
-    parts = tuned.select("track", "song", "stem", "score", "strength", "dsp_params").join(sound, "track").drop("track").withColumnRenamed("song", "track")
+    parts = tuned.select("track", "song", "stem", "score", "strength", "mode", "target", "dsp_params").join(sound, "track").drop("track").withColumnRenamed("song", "track")
     out = stem_audio.remixed(parts)
     return rounded(out.select("track", "stems", "residual_gain", rms(F.concat("out_l", "out_r")).alias("rms_out"), F.array_max(F.transform(F.concat("out_l", "out_r"), F.abs)).alias("peak_out")))
 

@@ -101,3 +101,23 @@ def test_mono_files(spark, tmp_path):
     assert after == pytest.approx(found.dsp_params.target_lufs, abs=0.3)
     checked = files.report(spark.read.parquet(f"{tmp_path}/done"), SCALE).first()
     assert checked.after.channels == 1 and "stereo_width_loss" not in checked.flags
+
+
+def test_low_rates_end_at_the_output_rate(spark, tmp_path):
+    """A source below 32 kHz comes out at 44.1 kHz, safe there, with its tone where it was."""
+    sr, n = 22_050, 44_100
+    t = np.arange(n) / sr
+    x = np.array([0.3 * np.sin(2 * np.pi * 441 * t), 0.28 * np.sin(2 * np.pi * 441 * t + 0.2)])
+    tracks = spark.createDataFrame([("low", *(c.tolist() for c in x))], "track string, l array<double>, r array<double>")
+    requests = spark.createDataFrame([("low", "hifi_clean", 0.3, None, "target", False)], "track string, request string, amount double, manual string, volume_mode string, use_denoise boolean")
+    files.processed(tracks, requests, Scale(sr=sr)).write.parquet(f"{tmp_path}/done")
+    done = spark.read.parquet(f"{tmp_path}/done")
+    found = done.first()
+    assert found.output_sr == 44_100 and len(found.out_l) == len(found.out_r) == 2 * n
+    y = np.array([found.out_l, found.out_r])
+    assert float(kernels.db(kernels.true_peak([y[:1], y[1:]]))[0]) <= SAFE + SLACK
+    spectrum = np.abs(np.fft.rfft(y[0]))
+    assert abs(np.argmax(spectrum) * 44_100 / len(y[0]) - 441) < 1
+    row = files.report(done, Scale(sr=sr)).first()
+    assert (row.before.sr, row.after.sr) == (sr, 44_100)
+    assert row.after.lufs == pytest.approx(float(kernels.integrated_loudness([y[:1], y[1:]], 44_100)[0]), abs=1e-6)

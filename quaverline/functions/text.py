@@ -109,8 +109,8 @@ def targets(request: Column) -> Column:
     return F.when(F.size(known) > 0, known).otherwise(F.array(F.lit("hifi_clean")))
 
 
-def preview_targets(chosen: Column) -> Column:
-    """The chosen ones if there are two, else distinct defaults after them; three at most."""
+def preview_targets(chosen: Column, most: int = 3) -> Column:
+    """The chosen ones if there are two, else distinct defaults after them; ``most`` at most."""
     first = F.coalesce(F.get(chosen, F.lit(0)), F.lit("hifi_clean"))
     defaults = F.array_distinct(F.array(first, *(F.lit(t) for t in ("hifi_clean", "warm_analog", "bass_boost", "hifi_bright"))))
-    return F.slice(F.when(F.size(chosen) >= 2, chosen).otherwise(defaults), 1, 3)
+    return F.slice(F.when(F.size(chosen) >= 2, chosen).otherwise(defaults), 1, most)

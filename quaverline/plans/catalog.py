@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.scalars import decibels, mean, num, rms, rounded
 from ..functions.tables import LIGHT_PRESETS, PARAMETERS, STEM_GAINS, STEM_ORDER, STEM_ROLES, TWEAKS
-from ..operators import features, guards, kernels, mastering, spectral, stem_audio, stems
+from ..operators import features, guards, kernels, light, mastering, spectral, stem_audio, stems
 from ..operators.analysis import FRAMES, analyze, with_record
 from ..session import table
 from ..sources import signals
@@ -706,27 +706,34 @@ def mastering_chain(spark, sf_dir):
     return rounded(rows.select("track", "target", "mode", "true_peak_db", "true_peak_out_db", rms(F.concat("out_l", "out_r")).alias("rms_out"), (mean(F.col("out_l")) + mean(F.col("out_r"))).alias("dc_out")))
 
 
-@query(q.post_quality_guard())
-def post_quality_guard(spark, sf_dir):
+def _drift() -> Column:
+    return validation.drift_flags(F.col("target"), F.col("volume_mode"), F.col("dsp_params.limiter_ceiling_db"))
+
+
+def _guarded(done: DataFrame, *keep: str) -> DataFrame:
     """What the chain did is analysed again; where it drifted, some of the source is blended back, levelled and analysed once more."""
-    drift = validation.drift_flags(F.col("target"), F.col("volume_mode"), F.col("dsp_params.limiter_ceiling_db"))
     grown = F.when(F.col("low_side_growth") == 1, F.array(F.lit("low_bass_side_growth"))).otherwise(F.array().cast("array<string>"))
-    known = ["track", "target", "volume_mode", "dsp_params", "l", "r", "out_l", "out_r", "before"]
-    rows = mastering.with_low_side_growth(with_record(_mastered(spark, sf_dir), "after", ("out_l", "out_r"), PEAKED, known))
-    rows = rows.withColumn("flags", F.concat(drift, grown)).withColumn("severity", validation.drift_severity(F.col("flags")))
-    rows = with_record(mastering.guarded(rows.drop("after")), "after", ("out_l", "out_r"), PEAKED)
+    known = [*keep, "target", "volume_mode", "dsp_params", "l", "r", "out_l", "out_r", "before"]
+    rows = mastering.with_low_side_growth(with_record(done, "after", ("out_l", "out_r"), PEAKED, known))
+    rows = rows.withColumn("flags", F.concat(_drift(), grown)).withColumn("severity", validation.drift_severity(F.col("flags")))
+    return with_record(mastering.guarded(rows.drop("after")), "after", ("out_l", "out_r"), PEAKED)
+
+
+@query(q.post_quality_guard())
+def post_quality_guard(spark, sf_dir):
+    """The guard after the chain."""
+    drift, rows = _drift(), _guarded(_mastered(spark, sf_dir), "track")
     rows = rows.withColumn("after_flags", F.when(F.col("blend") > 0, drift).otherwise(F.array().cast("array<string>")))
     return rounded(rows.select("track", F.array_join("flags", ",").alias("flags"), "severity", "blend", rms(F.concat("out_l", "out_r")).alias("rms_out"), F.array_join("after_flags", ",").alias("after_flags"), "guarded_peak_db"))
 
 
 @query()
 def target_previews(spark, sf_dir):
-    """Up to three targets for each track through the chain; the one with the highest validation score."""
+    """Up to five targets for each track through the chain and the guard after it; the one with the highest validation score."""
     rows = _sounds(spark, sf_dir)
-    asked = rules.with_targets(_requests(rows)).select(*rows.columns, "amount", F.posexplode(text.preview_targets(F.col("targets"))).alias("position", "request"))
-    done = with_record(mastering.mastered(rules.recommend(asked)), "after", ("out_l", "out_r"), PEAKED, ["track", "position", "request", "dsp_params", "before"])
-    known = done.withColumnRenamed("request", "target")
-    scored = validation.validation(known, F.col("target"), F.lit("target"), F.col("dsp_params.target_lufs"), F.col("dsp_params.limiter_ceiling_db"))
+    asked = rules.with_targets(_requests(rows)).select(*rows.columns, "amount", F.lit("target").alias("volume_mode"), F.posexplode(text.preview_targets(F.col("targets"), 5)).alias("position", "request"))
+    known = _guarded(mastering.mastered(rules.recommend(asked)), "track", "position")
+    scored = validation.validation(known, F.col("target"), F.lit("target"), F.col("dsp_params.target_lufs"), F.col("dsp_params.limiter_ceiling_db"), guarded=F.col("blend") > 0)
     return rounded(validation.best(scored, ["track"]).select("track", "target", "score", "overall"))
 
 
@@ -793,6 +800,29 @@ def drive_curve(spark, sf_dir):
     return rounded(rows.select("track", "drive", rms(F.col("y")).alias("shaped_rms"), F.array_max(F.transform("y", F.abs)).alias("shaped_peak")))
 
 
+_LIGHTS = ", ".join(f"({i}, '{t}', {v[5]}::DOUBLE, {v[6]}::DOUBLE)" for i, (t, v) in enumerate(LIGHT_PRESETS.items()))
+_POS = "((greatest(least(v, 1), -1) + 1) / 2 * 2047)"
+_LOW = f"least(floor({_POS}), 2046)"
+_DRIVEN = lambda c: f"list_transform({c}, lambda v: (1 - ({_POS} - {_LOW})) * tanh(({_LOW} * 2 / 2048 - 1) * d) / tanh(d) + ({_POS} - {_LOW}) * tanh((({_LOW} + 1) * 2 / 2048 - 1) * d) / tanh(d))"
+
+
+@query(
+    f"""WITH {o.PAIR}, a AS (SELECT track, name, goal, l, r, (track % 12) / 10.0::DOUBLE AS amount, track % 2 = 0 AS matched, CASE WHEN track % 3 <> 0 THEN -1.0::DOUBLE ELSE -0.3 END AS top_db, 1 + drive * ((track % 12) / 10.0::DOUBLE) * 8 AS d FROM p JOIN (VALUES {_LIGHTS}) t(k, name, goal, drive) ON k = track % 7),
+    b AS (SELECT * EXCLUDE (goal), {o.db(o.lrms('list_concat(l, r)'))} - 0.691 AS before, list_concat({_DRIVEN('l')}, {_DRIVEN('r')}) AS x, goal FROM a),
+    c AS (SELECT *, CASE WHEN matched THEN before ELSE goal END AS aim, {o.db(o.lrms('x'))} - 0.691 AS lufs, greatest(list_max([abs(v) for v in x]), 1e-9) AS peak FROM b),
+    e AS (SELECT *, greatest(least(aim - lufs, 8), -14) AS wanted, least(greatest(least(aim - lufs, 8), -14), {o.db('10 ** (top_db / 20) / peak')}) AS gain FROM c),
+    y AS (SELECT *, [v * 10 ** (gain / 20) for v in x] AS y FROM e), z AS (SELECT *, list_max([abs(v) for v in y]) AS top, {o.db(o.lrms('y'))} - 0.691 AS after, {o.lmean('y', 'CASE WHEN abs(v) >= 0.98 THEN 1.0::DOUBLE ELSE 0.0 END')} AS clipped FROM y)
+    SELECT track, name AS target, round(gain, 6) + 0.0 AS gain_db, gain < wanted - 0.05 AS limited, round({o.lrms('y')}, 6) + 0.0 AS out_rms, round(top, 6) + 0.0 AS out_peak,
+    concat_ws('; ', printf('loudness changed by %+.1f LUFS, peak %.1f dBFS', round(after - before, 6) + 0.0, {o.db('top')}), printf('amount %.0f%%, goal %.1f LUFS, gain %+.1f dB', amount * 100, aim, gain), CASE WHEN gain < wanted - 0.05 THEN 'gain held back for headroom' ELSE 'gain within the headroom' END,
+    CASE WHEN clipped > 0.0005 THEN 'high peaks in the output' ELSE 'low clipping risk' END, CASE name WHEN 'voice_focus' THEN 'less bass for clearer speech' WHEN 'bass_boost' THEN 'more bass under the limiter' END) AS lines FROM z"""
+)
+def light_chain(spark, sf_dir):
+    """The light client's waveshaper, gain and limiter, and its report."""
+    asked = {"target": _pick(list(LIGHT_PRESETS), "track"), "amount": (F.col("track") % 12) / num(10.0), "match": F.col("track") % 2 == 0, "safe": F.col("track") % 3 != 0}
+    rows = light.processed(_pairs(spark, sf_dir).withColumns(asked))
+    return rounded(rows.select("track", "target", "gain_db", "limited", rms(F.concat("out_l", "out_r")).alias("out_rms"), F.array_max(F.transform(F.concat("out_l", "out_r"), F.abs)).alias("out_peak"), F.array_join("lines", "; ").alias("lines")))
+
+
 @query("WITH f AS (SELECT p_brand, repeat('sub/', CAST(p_partkey % 3 AS INTEGER)) || p_name || '/' || CASE p_partkey % 2 WHEN 0 THEN 'Vocals.WAV' ELSE 'no_vocals.wav' END AS path FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY length(path), path) AS k FROM f WHERE lower(regexp_extract(path, '([^/]*)$', 1)) = 'vocals.wav') SELECT p_brand, path FROM r WHERE k = 1")
 def separator_file(spark, sf_dir):
     """The file of a stem in a folder tree: name in any case, shortest path first."""

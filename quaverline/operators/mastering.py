@@ -11,10 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import PARAMETERS
+from ..plans.reports import figure
 from . import guards
 from . import kernels as k
 from .guards import Stereo
@@ -97,9 +98,10 @@ def strict_trim(x: Stereo, y: Stereo) -> Stereo:
     return tuple(s * k.column(dry) + d * k.column(wet) for s, d in zip(x, y))
 
 
-def master(x: Stereo, p: dict[str, np.ndarray], intensity: np.ndarray, amount: np.ndarray, frames: Frames, match_source: bool = False, ways: dict[str, np.ndarray] | None = None, output_sr: float | None = None) -> Stereo:
+def master(x: Stereo, p: dict[str, np.ndarray], intensity: np.ndarray, amount: np.ndarray, frames: Frames, match_source: bool = False, ways: dict[str, np.ndarray] | None = None, output_sr: float | None = None, log: dict[str, np.ndarray] | None = None) -> Stereo:
     """Mid and side through denoising (where ``ways`` says so), tone, dynamics and harmonics, then the guards against the source, then
-    the output's rate if it is another one, loudness and safety."""
+    the output's rate if it is another one, loudness and safety. ``log`` takes what the ``STEPS`` did to each track, in dB."""
+    log = {} if log is None else log
     sr, size, hop = frames.sr, frames.size, frames.hop
     ways = {w: np.asarray(ways[w], bool) if ways else np.full(len(amount), w == "denoise") for w in WAYS}
     strict = ways["strict"]
@@ -121,7 +123,8 @@ def master(x: Stereo, p: dict[str, np.ndarray], intensity: np.ndarray, amount: n
     mid, side = guards.mid_side(x)
     y = guards.left_right((stages(mid, intensity), stages(side, np.minimum(0.35 * intensity, 0.3))))
     y = guards.width_match(x, guards.channel_balance(x, y))
-    y = guards.band_widths(x, guards.low_bass(x, y, sr)[0], sr)
+    y, log["low_bass"] = guards.low_bass(x, y, sr)
+    y = guards.band_widths(x, y, sr)
     y = guards.band_balance(x, y, sr)
     bright = ways["hifi_bright"]
     for target in ("", "bass_boost", "hifi_bright"):
@@ -130,27 +133,46 @@ def master(x: Stereo, p: dict[str, np.ndarray], intensity: np.ndarray, amount: n
     for on in (False, True):
         y = _by_rows(y, bright == on, lambda i, now=y, on=on: tuple(guards.harshness(s[i], d[i], sr, on)[0] for s, d in zip(x, now)))
     y = tuple(k.repair_clicks(c)[0] for c in y)
-    y = guards.transients(x, y, sr)[0]
+    y, log["transients"] = guards.transients(x, y, sr)
     y = tuple(guards.band_transients(s, d, sr) for s, d in zip(x, y))
     y = guards.delta(x, y, sr, amount)
-    y = tuple(k.trimmed(list(y), k.sample_peak(list(y)), np.full(len(amount), -1.0))[0])
+    y, log["watch"] = k.trimmed(list(y), k.sample_peak(list(y)), np.full(len(amount), -1.0))
     if output_sr and output_sr != sr:
         x, y = (tuple(k.resampled_polyphase(c, sr, output_sr) for c in z) for z in (x, y))
         sr = output_sr
-    y = _by_rows(y, strict, lambda i, now=y: strict_trim(tuple(c[i] for c in x), tuple(c[i] for c in now)))
+    log["strict"] = np.where(strict, np.minimum(CODEC_CEILING - k.db(k.true_peak(list(y))), 0.0), 0.0)
+    y = _by_rows(tuple(y), strict, lambda i, now=y: strict_trim(tuple(c[i] for c in x), tuple(c[i] for c in now)))
     ceiling = np.where(strict, np.minimum(p["limiter_ceiling_db"], MANUAL_CEILING), p["limiter_ceiling_db"])
     if match_source:
         y = guards.loudness_match(x, y, sr, ceiling)[0]
     else:
-        y = guards.loudness_set(y, sr, p["target_lufs"], ceiling)[0]
+        y, log["normalize"] = guards.loudness_set(y, sr, p["target_lufs"], ceiling)
         y = tuple(k.limit(list(y), ceiling, sr))
-        y = tuple(k.trimmed(list(y), k.true_peak(list(y)), ceiling)[0])
+        y, log["headroom"] = k.trimmed(list(y), k.true_peak(list(y)), ceiling)
+        y = tuple(y)
         y = _by_rows(y, ways["match"], lambda i, now=y: guards.loudness_match(tuple(c[i] for c in x), tuple(c[i] for c in now), sr, ceiling[i])[0])
     for on in (False, True):
         y = _by_rows(y, strict == on, lambda i, now=y, on=on: guards.safe(tuple(c[i] for c in now), sr, ceiling[i], on))
     return y
 
 
+#: What the chain logs, and from which change on in dB a step is told: words with its figure, else words without.
+STEPS = {
+    "low_bass": (0.05, "low bass side %+.1f dB", "low bass checked"),
+    "transients": (0.05, "transients kept, loss %.1f dB", "transients checked"),
+    "watch": (0.01, "peak between modules %+.1f dB", "peak between modules checked"),
+    "strict": (0.01, "strict trim of the predicted true peak %+.1f dB", ""),
+    "normalize": (0.0, "loudness %+.1f dB", ""),
+    "headroom": (0.01, "true peak trim %+.1f dB", "true peak checked"),
+}
+
+
+def steps(log: dict[str, Column]) -> Column:
+    """What was done, in order, from the chain's log."""
+    told = [F.when(F.abs(log[n]) > least, figure(words, log[n], 1)).otherwise(F.lit(none or None)) for n, (least, words, none) in STEPS.items() if n in log]
+    return F.array_compact(F.array(*told))
+
+
 def mastered(rows: DataFrame, frames: Frames = SHORT, match_source: bool = False, at_output_rate: bool = False) -> DataFrame:
     """Adds ``out_l`` and ``out_r``, and the true peak of both, to rows with l, r, intensity, effective and
     ``dsp_params``; ``mode``, ``target``, ``manual_dsp`` and ``volume_mode`` count where there are such columns.
@@ -158,7 +180,7 @@ def mastered(rows: DataFrame, frames: Frames = SHORT, match_source: bool = False
     A track whose r is null is mono and gets no ``out_r``. It goes through as two equal channels, to which every guard of the
     stereo image is blind; only their loudness is ``TWICE`` that of one, so its target is as much higher.
 
-    With ``at_output_rate`` a track ends at the rate that its column ``output_sr`` names; else at its own.
+    ``steps`` tells what was done. With ``at_output_rate`` a track ends at the rate that its column ``output_sr`` names; else at its own.
     """
     rule = {"denoise": ("mode", "denoise"), "bass_boost": ("target", "bass_boost"), "hifi_bright": ("target", "hifi_bright"), "strict": ("manual_dsp", True), "match": ("volume_mode", "match_source")}
     way = lambda w: F.coalesce((F.col(rule[w][0]) == F.lit(rule[w][1])).cast("double"), F.lit(0.0)) if rule[w][0] in rows.columns else F.lit(float(w == "denoise"))
@@ -166,19 +188,23 @@ def mastered(rows: DataFrame, frames: Frames = SHORT, match_source: bool = False
     param = lambda p: rows.dsp_params[p] + mono * TWICE if p == "target_lufs" else rows.dsp_params[p]
     flat = rows.select("*", F.coalesce("r", "l").alias("_r"), *(param(p).alias(f"_{p}") for p in PARAMETERS), *(way(w).alias(f"_way_{w}") for w in WAYS))
 
+    logged = [f"_log_{n}" for n in STEPS if not (match_source and n in ("normalize", "headroom"))]
+
     def fn(left, right, rates, intensity, effective, *rest):
-        out = {n: [None] * len(left) for n in ("out_l", "out_r", "true_peak_out_db")}
+        out = {n: [None] * len(left) for n in ("out_l", "out_r", "true_peak_out_db", *logged)}
         for rate in np.unique(rates):
             rows = np.flatnonzero(rates == rate)
             params, ways = ([c[rows] for c in part] for part in (rest[: len(PARAMETERS)], rest[len(PARAMETERS) :]))
-            y = master((left[rows], right[rows]), dict(zip(PARAMETERS, params)), intensity[rows], effective[rows], frames, match_source, dict(zip(WAYS, ways)), rate)
-            for name, values in zip(out, (*y, k.db(k.true_peak(list(y))))):
+            log: dict[str, np.ndarray] = {}
+            y = master((left[rows], right[rows]), dict(zip(PARAMETERS, params)), intensity[rows], effective[rows], frames, match_source, dict(zip(WAYS, ways)), rate, log)
+            for name, values in zip(out, (*y, k.db(k.true_peak(list(y))), *(log[n.removeprefix("_log_")] for n in logged))):
                 for i, v in zip(rows, values):
                     out[name][i] = v
         return out
 
     rate = F.col("output_sr").cast("double") if at_output_rate else F.lit(frames.sr)
-    out = map_tracks(flat.withColumn("_rate", rate), ["l", "_r"], ["_rate", "intensity", "effective", *(f"_{p}" for p in PARAMETERS), *(f"_way_{w}" for w in WAYS)], {"out_l": "array<double>", "out_r": "array<double>", "true_peak_out_db": "double"}, fn)
+    out = map_tracks(flat.withColumn("_rate", rate), ["l", "_r"], ["_rate", "intensity", "effective", *(f"_{p}" for p in PARAMETERS), *(f"_way_{w}" for w in WAYS)], {"out_l": "array<double>", "out_r": "array<double>", "true_peak_out_db": "double"} | {n: "double" for n in logged}, fn)
+    out = out.withColumn("steps", steps({n.removeprefix("_log_"): F.col(n) for n in logged})).drop(*logged)
     return out.withColumn("out_r", F.when(F.col("r").isNotNull(), F.col("out_r"))).drop("_r", "_rate", *(f"_{p}" for p in PARAMETERS), *(f"_way_{w}" for w in WAYS))
 
 

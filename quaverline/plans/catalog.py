@@ -706,6 +706,12 @@ def mastering_chain(spark, sf_dir):
     return rounded(rows.select("track", "target", "mode", "true_peak_db", "true_peak_out_db", rms(F.concat("out_l", "out_r")).alias("rms_out"), (mean(F.col("out_l")) + mean(F.col("out_r"))).alias("dc_out")))
 
 
+@query(q.chain_steps(mastering.STEPS))
+def chain_steps(spark, sf_dir):
+    """What the chain did to each track, in words."""
+    return _mastered(spark, sf_dir).select("track", F.array_join("steps", "; ").alias("steps"))
+
+
 def _drift() -> Column:
     return validation.drift_flags(F.col("target"), F.col("volume_mode"), F.col("dsp_params.limiter_ceiling_db"))
 

@@ -582,9 +582,10 @@ def output_safety() -> str:
     return s.sql(gain_db=gain, limited_peak=peak(*loud), cut_db=o.db(by), cut_rms=o.lrms(cut[0]), safe_peak=s.true_peak(plain), strict_peak=s.true_peak(strict), strict_rms=o.lrms(strict[0]))
 
 
-def chained(s: Steps) -> list[str]:
+def chained(s: Steps, log: dict[str, str] | None = None) -> list[str]:
     """The mastering chain on l and r of rows with the parameters, intensity, effective, mode, target, manual_dsp and
-    volume_mode, as sampled at 8 kHz."""
+    volume_mode, as sampled at 8 kHz. ``log`` takes what its steps did."""
+    log = {} if log is None else log
     sr, x = 8_000.0, ["l", "r"]
     out = []
     for c, strength in zip(s.mid_side(x), ("intensity", "least(0.35 * intensity, 0.3)")):
@@ -595,23 +596,28 @@ def chained(s: Steps) -> list[str]:
         out.append(s.excite(s.smooth_top(c, sr, "saturation_amount"), sr, "exciter_amount"))
     y = s.left_right(out)
     y = s.width_match(x, s.channel_balance(x, y))
-    y = s.band_widths(x, s.low_bass(x, y, sr)[0], sr)
-    y = s.band_balance(x, y, sr)
+    y, gain = s.low_bass(x, y, sr)
+    log["low_bass"] = o.db(gain)
+    y = s.band_balance(x, s.band_widths(x, y, sr), sr)
     made = {t: [s.dynamic_eq(a, b, sr, t) for a, b in zip(x, y)] for t in ("", "bass_boost", "hifi_bright")}
     y = s.where("target = 'bass_boost'", made["bass_boost"], s.where("target = 'hifi_bright'", made["hifi_bright"], made[""]))
     y = s.where("target = 'hifi_bright'", *([s.harshness(a, b, sr, on)[0] for a, b in zip(x, y)] for on in (True, False)))
     y = [s.repair_clicks(c)[0] for c in y]
-    y = s.transients(x, y, sr)[0]
+    y, log["transients"] = s.transients(x, y, sr)
     y = [s.band_transients(a, b, sr) for a, b in zip(x, y)]
     y = s.delta(x, y, sr, "effective")
-    y = s.trimmed(y, s.sample_peak(y), "-1.0")[0]
+    y, gain = s.trimmed(y, s.sample_peak(y), "-1.0")
+    log["watch"] = o.db(gain)
     trim = s.new(f"-1.4 - {o.db(s.true_peak(y))}")
     wet = s.new(f"CASE WHEN {trim} < -5 THEN 0.65 * 10 ** (({trim} + 5) / 20) ELSE 10 ** (least({trim}, 0) / 20) END")
     strict = [s.new(each(f"%1 * CASE WHEN {trim} < -5 THEN 0.35 ELSE 0 END + %2 * {wet}", a, b)) for a, b in zip(x, y)]
+    log["strict"] = f"CASE WHEN manual_dsp THEN least({trim}, 0) ELSE 0 END"
     y = s.where("manual_dsp", strict, y)
     ceiling = s.new("CASE WHEN manual_dsp THEN least(limiter_ceiling_db, -1.5) ELSE limiter_ceiling_db END")
-    y = s.limit(s.loudness_set(y, sr, "target_lufs", ceiling)[0], ceiling, sr)
-    y = s.trimmed(y, s.true_peak(y), ceiling)[0]
+    y, log["normalize"] = s.loudness_set(y, sr, "target_lufs", ceiling)
+    y = s.limit(y, ceiling, sr)
+    y, gain = s.trimmed(y, s.true_peak(y), ceiling)
+    log["headroom"] = o.db(gain)
     y = s.where("volume_mode = 'match_source'", s.loudness_match(x, y, sr, ceiling)[0], y)
     return s.safe(y, sr, ceiling, "manual_dsp")
 
@@ -648,6 +654,13 @@ def mastering_chain() -> str:
     return s.sql("track", "target", "mode", true_peak_db=o.db(s.true_peak(["l", "r"])), true_peak_out_db=o.db(s.true_peak(y)), rms_out=level, dc_out=f"list_avg({y[0]}) + list_avg({y[1]})")
 
 
+def chain_steps(steps: dict[str, tuple[float, str, str]]) -> str:
+    s, log = requested(), {}
+    chained(s, log)
+    told = ", ".join(f"CASE WHEN abs({v}) > {steps[n][0]} THEN printf({steps[n][1]!r}, {v}) ELSE {repr(steps[n][2]) if steps[n][2] else 'NULL'} END" for n, v in ((n, s.new(log[n])) for n in steps))
+    return s.sql("track", f"concat_ws('; ', {told}) AS steps")
+
+
 def drift(ceiling_db: str, matched: str) -> str:
     """Flags of (target, a, b) rows, true peaks in ``peak_a``."""
     d = lambda n: f"(a.{n} - b.{n})"

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, decibels, mean, num, peak, rms
+from ..session import stored
 from .blocks import BLOCK, haloed, in_order, own_rows
 from .selection import SMALL, order_statistics, percentiles
 
@@ -110,7 +111,7 @@ def waveform_peaks(samples: DataFrame, keys: Sequence[str], size: int) -> DataFr
 
 def active_segment(samples: DataFrame, keys: Sequence[str], seconds: int, frame: int, hop: int, small: int = SMALL) -> DataFrame:
     """(keys..., start, stop) of a stretch of ``seconds`` samples around the middle one of the loudest third of frames."""
-    frames = framed_rms(samples, keys, frame, hop)
+    frames = stored(framed_rms(samples, keys, frame, hop), "frames")  # read several times, and far fewer than samples
     return middle_segment(frames, percentiles(frames, keys, "rms", {"least": 0.65}, small), samples, keys, seconds, hop, small)
 
 
@@ -146,6 +147,7 @@ def click_candidates(samples: DataFrame, keys: Sequence[str], least: float = 0.0
     order = in_order(keys)
     rows = _with_median(haloed(samples, before=2, after=2), keys).withColumns({"before": F.lag("x").over(order), "after": F.lead("x").over(order), "edge": F.lead("x", 2).over(order)})
     rows = own_rows(rows).withColumns({"residual": F.abs("residual"), "slope": F.coalesce(F.abs(F.col("x") - F.col("before")), num(0.0))})
+    rows = stored(rows.select(*keys, "n", "x", "residual", "slope", "before", "after", "edge"), "slopes")  # so that the windows run once
     bars = percentiles(rows, keys, "residual", {"typical": 0.5}, small).join(percentiles(rows, keys, "slope", {"steep": 0.95}, small).drop("cnt"), list(keys))
     threshold, steep = F.greatest((F.col("typical") + 1e-9) * times, num(least)), (F.col("steep") + 1e-9) * 1.15
     chosen = (F.col("residual") > threshold) & (F.col("slope") >= steep) & (F.col("n") > 1) & F.col("edge").isNotNull()

@@ -1,7 +1,7 @@
 """Stems as audio: the guard of each role, the shaped residual, and remixing processed stems against the source.
 
-Stems travel packed like tracks, one row for each stem; the remix sums them by track in one grouped pass over rows that a
-track bounds.
+Stems travel packed like tracks, one row for each stem; for the remix those of a song meet in one row, and many songs are worked
+on together, like tracks.
 """
 
 from __future__ import annotations
@@ -91,35 +91,72 @@ def finished(source: Stereo, mixed: Stereo, sr: float) -> Stereo:
     return guards.safe(guards.loudness_match(source, guards.width_match(source, mixed), sr, ceiling)[0], sr, ceiling, strict=True)
 
 
+def _remix(given: dict[str, Stereo], settings: dict[str, dict[str, Array]], extra: Stereo, risk: Array, frames: mastering.Frames) -> tuple[Stereo, Array]:
+    """The remix of songs that have the same stems, each stem as (songs, samples), and the gain of their residuals."""
+    raw, done = {}, {}
+    for stem in sorted(given):
+        x, told = given[stem], settings[stem]
+        heard = vocals_cleaned(given, frames) if stem == "vocals" and len(given) > 1 else x
+        ways = {w: told[w] > 0 for w in _ASKED} | {"strict": np.zeros(len(risk), bool), "match": np.ones(len(risk), bool)}
+        y = mastering.master(heard, {p: told[p] for p in PARAMETERS}, told["strength"], told["strength"], frames, ways=ways)
+        y = guards.loudness_match(x, role_guard(stem, x, y, frames.sr), frames.sr, np.full(len(risk), -2.0), STEM_GAINS.get(stem, STEM_GAINS["other"])[2])[0]
+        raw[stem], done[stem] = x, y
+    total = lambda parts: tuple(sum(p[c] for p in parts) for c in (0, 1))
+    raw_sum = total(raw.values())
+    source = (raw_sum[0] + extra[0], raw_sum[1] + extra[1])
+    gains = fitted(done, source)
+    mixed = total([(y[0] * column(gains[n]), y[1] * column(gains[n])) for n, y in done.items()])
+    kept, gain = residual_kept(mixed, raw_sum, source, risk, frames.sr)
+    return finished(source, kept, frames.sr), gain
+
+
+#: Ways of the chain that a stem's mode and target ask for, and the column that does.
+_ASKED = {"denoise": ("mode", "denoise"), "bass_boost": ("target", "bass_boost"), "hifi_bright": ("target", "hifi_bright")}
+#: Samples of a stem (of one channel) that songs worked on together have at most.
+CALL_SAMPLES = 250_000
+
+
 def remixed(rows: DataFrame, frames: mastering.Frames = mastering.SHORT) -> DataFrame:
     """(track, stems, residual_gain, out_l, out_r) of stems with track, stem, l, r, strength, mode, target, ``dsp_params`` and risk
     ``score``.
 
-    The source is the sum of the raw stems and the columns ``extra_l`` and ``extra_r`` that no stem holds. What the other stems have
-    left in the vocals is taken back first. Each stem goes through the chain as its mode and target say, at its own loudness, and
-    through its role's guard; gains are fitted to the source, lost residual is kept and the result made safe.
+    The source is the sum of the raw stems and the columns ``extra_l`` and ``extra_r`` that no stem holds (of the first stem by name, if
+    they differ). What the other stems have left in the vocals is taken back first. Each stem goes through the chain as its mode and
+    target say, at its own loudness, and through its role's guard; gains are fitted to the source, lost residual is kept and the result
+    made safe.
+
+    A song's stems meet in one row, and songs of an Arrow batch with the same stems and lengths are worked on together.
     """
-    flat = rows.select("track", "stem", "l", "r", "extra_l", "extra_r", "score", "strength", "mode", "target", *(F.col(f"dsp_params.{p}").alias(p) for p in PARAMETERS))
-
-    def run(table: pa.Table) -> pa.Table:
-        cells = table.to_pydict()
-        raw, done = {}, {}
-        given = {stem: (np.array([cells["l"][i]]), np.array([cells["r"][i]])) for i, stem in enumerate(cells["stem"])}
-        for i, stem in sorted(enumerate(cells["stem"]), key=lambda x: x[1]):
-            x = given[stem]
-            heard = vocals_cleaned(given, frames) if stem == "vocals" and len(given) > 1 else x
-            ways = {"denoise": cells["mode"][i] == "denoise", "bass_boost": cells["target"][i] == "bass_boost", "hifi_bright": cells["target"][i] == "hifi_bright", "strict": False, "match": True}
-            params, strength = {p: np.array([cells[p][i]]) for p in PARAMETERS}, np.array([cells["strength"][i]])
-            y = mastering.master(heard, params, strength, strength, frames, ways={w: np.array([on]) for w, on in ways.items()})
-            y = guards.loudness_match(x, role_guard(stem, x, y, frames.sr), frames.sr, np.array([-2.0]), STEM_GAINS.get(stem, STEM_GAINS["other"])[2])[0]
-            raw[stem], done[stem] = x, y
-        total = lambda parts: tuple(sum(p[c] for p in parts) for c in (0, 1))
-        raw_sum = total(raw.values())
-        source = (raw_sum[0] + np.array([cells["extra_l"][0]]), raw_sum[1] + np.array([cells["extra_r"][0]]))
-        gains = fitted(done, source)
-        mixed = total([(y[0] * column(gains[n]), y[1] * column(gains[n])) for n, y in done.items()])
-        kept, gain = residual_kept(mixed, raw_sum, source, np.array([np.mean(cells["score"])]), frames.sr)
-        out = finished(source, kept, frames.sr)
-        return pa.table({"track": cells["track"][:1], "stems": pa.array([len(raw)], pa.int64()), "residual_gain": gain.tolist(), "out_l": pa.array([out[0][0].tolist()]), "out_r": pa.array([out[1][0].tolist()])})
-
-    return flat.groupBy("track").applyInArrow(run, "track long, stems long, residual_gain double, out_l array<double>, out_r array<double>")
+    numbers = ["score", "strength", *_ASKED, *PARAMETERS]
+    asked = [F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)).alias(w) for w, (c, v) in _ASKED.items()]
+    one = F.struct("stem", "l", "r", "extra_l", "extra_r", "score", "strength", *asked, *(F.col(f"dsp_params.{p}").alias(p) for p in PARAMETERS))
+    songs = rows.groupBy("track").agg(F.array_sort(F.collect_list(one)).alias("s"))
+    every = lambda name: F.transform("s", lambda v: v[name])
+    sound = [F.flatten(every(c)).alias(c) for c in ("l", "r")]
+    extra = [F.col("s")[0][c].alias(c) for c in ("extra_l", "extra_r")]
+    wide = songs.select("track", every("stem").alias("stems"), F.transform("s", lambda v: F.size(v["l"])).alias("sizes"), *sound, *extra, *(every(n).cast("array<double>").alias(n) for n in numbers))
+
+    def run(batches):
+        for batch in batches:
+            cells = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            flat = {n: cells[n].values.to_numpy(zero_copy_only=False) for n in ("l", "r", "extra_l", "extra_r", *numbers)}
+            starts = {n: cells[n].offsets.to_numpy()[:-1] for n in flat}
+            alike: dict[tuple, list[int]] = {}
+            for i, kind in enumerate(zip(map(tuple, cells["stems"].to_pylist()), map(tuple, cells["sizes"].to_pylist()))):
+                alike.setdefault(kind, []).append(i)
+            for (names, sizes), members in alike.items():
+                step = max(CALL_SAMPLES // max(*sizes, 1), 1)
+                for at in (np.array(members[i : i + step]) for i in range(0, len(members), step)):
+                    cut = lambda n, start, size: flat[n][starts[n][at, None] + start + np.arange(size)].astype(float)  # noqa: B023, E731
+                    given, settings, begin = {}, {}, 0
+                    for i, (name, size) in enumerate(zip(names, sizes)):
+                        given[name] = (cut("l", begin, size), cut("r", begin, size))
+                        settings[name] = {n: cut(n, i, 1)[:, 0] for n in numbers}
+                        begin += size
+                    risk = cut("score", 0, len(names)).mean(axis=-1)
+                    out, gain = _remix(given, settings, (cut("extra_l", 0, sizes[0]), cut("extra_r", 0, sizes[0])), risk, frames)
+                    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * y.shape[-1], pa.int32()), pa.array(y.ravel())) for y in out]
+                    made = [cells["track"].take(pa.array(at)), pa.array(np.full(len(at), len(given))), pa.array(gain), *lists]
+                    yield pa.RecordBatch.from_arrays(made, ["track", "stems", "residual_gain", "out_l", "out_r"])
+
+    return wide.mapInArrow(run, "track long, stems long, residual_gain double, out_l array<double>, out_r array<double>")

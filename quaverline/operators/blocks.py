@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Samples of one chunk.
 CHUNK = 65_536
+#: Samples, of all columns of an argument together, that one call of a function on chunks works on at most, unless a chunk has more.
+CALL_SAMPLES = 500_000
 #: Rows of one block.
 BLOCK = 50_000
 _TYPES = {"double": pa.float64(), "long": pa.int64(), "array<double>": pa.list_(pa.float64())}
@@ -81,10 +83,19 @@ def last_chunks(chunks: DataFrame, keys: Sequence[str], column: str = "x", size:
     return top.select(*keys, F.col("top.c").alias("last"), (F.col("top.c") * size + F.col("top.n")).alias("length"))
 
 
+def _cells(values: Sequence, kind: str) -> pa.Array:
+    """A column of numbers or of arrays."""
+    if not kind.startswith("array"):
+        return pa.array(values, _TYPES[kind])
+    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(list(values)), pa.float64()))
+
+
 def map_chunks(chunks: DataFrame, arrays: Sequence[str], scalars: Sequence[str], out: dict[str, str], fn: Callable[..., dict[str, np.ndarray]], keep: Sequence[str]) -> DataFrame:
     """``keep`` and the columns of ``out``, which ``fn`` computes from arrays of shape (chunks, samples) and from scalars.
 
-    Chunks of an Arrow batch whose arrays are equally long are worked on together.
+    Chunks of an Arrow batch whose arrays are equally long are worked on together, up to ``CALL_SAMPLES`` at a time, and passed on
+    at once. So beside the batch, whose bytes Spark bounds, a task holds what a few calls take, however many chunks it has.
     """
     read = chunks.select(*keep, *(F.col(c).alias(f"_{i}") for i, c in enumerate((*arrays, *scalars))))
     types = {f.name: f.dataType.simpleString() for f in read.schema}
@@ -97,14 +108,12 @@ def map_chunks(chunks: DataFrame, arrays: Sequence[str], scalars: Sequence[str],
             starts = [c.offsets.to_numpy()[:-1] for c in lists]
             sizes = np.stack([np.diff(c.offsets.to_numpy()) for c in lists]) if lists else np.zeros((1, batch.num_rows), int)
             single = [batch.column(fixed + len(arrays) + i).to_numpy(zero_copy_only=False) for i in range(len(scalars))]
-            found: dict[str, list] = {c: [None] * batch.num_rows for c in out}
             for shape in np.unique(sizes, axis=1).T:
-                rows = np.flatnonzero((sizes == shape[:, None]).all(axis=0))
-                args = [x[s[rows, None] + np.arange(n)] for x, s, n in zip(flat, starts, shape)]
-                for name, values in fn(*args, *(s[rows] for s in single)).items():
-                    for i, v in zip(rows.tolist(), values):
-                        found[name][i] = v
-            made = [pa.array(found[c], _TYPES[t]) for c, t in out.items()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:fixed], *made], [*keep, *out])
+                same, step = np.flatnonzero((sizes == shape[:, None]).all(axis=0)), max(CALL_SAMPLES // max(int(shape.sum()), 1), 1)
+                for rows in (same[i : i + step] for i in range(0, len(same), step)):
+                    args = [x[s[rows, None] + np.arange(n)] for x, s, n in zip(flat, starts, shape)]
+                    found = fn(*args, *(s[rows] for s in single))
+                    kept = [c.take(pa.array(rows)) for c in batch.columns[:fixed]]
+                    yield pa.RecordBatch.from_arrays([*kept, *(_cells(found[c], t) for c, t in out.items())], [*keep, *out])
 
     return read.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"`{c}` {t}" for c, t in out.items())]))

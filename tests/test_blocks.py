@@ -47,6 +47,14 @@ def test_chunks_and_back(spark, tracks, chunks):
     assert [(r.track, r.n) for r in back] == [(k, i) for k, x in tracks.items() if k > 2 for i in range(len(x))]
 
 
+def test_calls_on_chunks_are_bounded(spark):
+    rows = spark.range(300, numPartitions=1).select(F.col("id").alias("c"), F.array_repeat(F.col("id") * 1.0, 4_000 + F.col("id").cast("int") % 2).alias("x"))
+    run = lambda x: {"held": np.full(len(x), x.size), "twice": x * 2}
+    found = blocks.map_chunks(rows, ["x"], [], {"held": "long", "twice": "array<double>"}, run, ["c"]).collect()
+    assert sorted(r.c for r in found) == list(range(300)) and max(r.held for r in found) <= blocks.CALL_SAMPLES
+    assert all(r.twice == [r.c * 2.0] * (4_000 + r.c % 2) for r in found)
+
+
 def test_halos(tracks, chunks):
     for r in blocks.with_halo(chunks, ["track"], before=3, after=5).collect():
         x, at = tracks[r.track], r.c * SIZE

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ class Frames:
 SHORT = Frames(sr=8_000.0, size=32, hop=8)
 
 
-#: Samples that one call of a kernel works on at most (of one column), so that its temporaries stay small.
-CALL_SAMPLES = 2_000_000
+#: Samples that one call of a kernel works on at most (of one column), unless a track has more, so that its temporaries stay small.
+CALL_SAMPLES = 100_000
 TYPES = {"double": pa.float64(), "array<double>": pa.list_(pa.float64()), "int": pa.int32(), "long": pa.int64()}
 
 
@@ -45,13 +46,20 @@ def map_tracks(tracks: DataFrame, arrays: list[str], scalars: list[str], out: di
     """Adds columns that ``fn`` computes from array columns of equal length, as (tracks, samples), and scalar columns.
 
     ``keep`` names the columns that stay, all if None. A track that has no samples, or a null or unequally long array among
-    ``arrays``, gets nulls. A null sample is NaN to ``fn``.
+    ``arrays``, gets nulls. A null sample is NaN to ``fn``. An Arrow batch is worked on and passed on in parts of ``CALL_SAMPLES``, as
+    several of these stages may run one behind the other in each task.
     """
     names = tracks.columns if keep is None else keep
     places, stay = [tracks.columns.index(c) for c in (*arrays, *scalars)], [tracks.columns.index(c) for c in names]
 
-    def run(batches):
+    def parts(batches):
         for batch in batches:
+            lengths = [pa.compute.max(batch.column(i).value_lengths()).as_py() for i in places[: len(arrays)]]
+            step = max(CALL_SAMPLES // max(*(n or 1 for n in lengths), 1), 1)
+            yield from (batch.slice(at, step) for at in range(0, batch.num_rows, step))
+
+    def run(batches):
+        for batch in parts(batches):
             lists = [batch.column(i) for i in places[: len(arrays)]]
             samples = [c.values.to_numpy(zero_copy_only=False) for c in lists]
             starts = np.array([c.offsets.to_numpy()[:-1] for c in lists])
@@ -60,12 +68,11 @@ def map_tracks(tracks: DataFrame, arrays: list[str], scalars: list[str], out: di
             size = np.where((sizes == sizes[0]).all(axis=0), sizes[0], 0)
             found: dict[str, list] = {c: [None] * batch.num_rows for c in out}
             for length in np.unique(size[size > 0]):
-                same, step = np.flatnonzero(size == length), max(CALL_SAMPLES // int(length), 1)
-                for rows in (same[i : i + step] for i in range(0, len(same), step)):
-                    args = [x[s[rows, None] + np.arange(length)].astype(float) for x, s in zip(samples, starts)]
-                    for name, values in fn(*args, *(c[rows] for c in single)).items():
-                        for i, v in zip(rows, values):
-                            found[name][i] = v
+                rows = np.flatnonzero(size == length)
+                args = [x[s[rows, None] + np.arange(length)].astype(float) for x, s in zip(samples, starts)]
+                for name, values in fn(*args, *(c[rows] for c in single)).items():
+                    for i, v in zip(rows, values):
+                        found[name][i] = v
             made = (pa.array(found[c], TYPES[t]) for c, t in out.items())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), *made], [*names, *out])
 

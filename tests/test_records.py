@@ -53,3 +53,12 @@ def test_calls_of_few_samples_agree(spark, monkeypatch):
     assert run() == whole
     want = rows.select("track", F.zip_with("l", "r", lambda a, b: a + b).alias("both")).orderBy("track").collect()
     assert [r.both for r in whole] == [r.both for r in want]
+
+
+def test_a_call_on_tracks_is_small_however_many_a_batch_has(spark):
+    rows = spark.range(6_000, numPartitions=1).select(F.col("id").alias("track"), F.when(F.col("id") % 1_000 != 7, F.array_repeat(F.col("id") * 1.0, 64 - F.col("id").cast("int") % 2)).alias("l"))
+    fn = lambda l: {"held": np.full(len(l), float(l.size)), "twice": l * 2}
+    found = mastering.map_tracks(rows, ["l"], [], {"held": "double", "twice": "array<double>"}, fn, keep=["track"]).collect()
+    assert sorted(r.track for r in found) == list(range(6_000)) and sum(r.held is None for r in found) == 6
+    assert max(r.held or 0 for r in found) <= mastering.CALL_SAMPLES <= 100_000
+    assert all(r.twice is None if r.track % 1_000 == 7 else r.twice == [r.track * 2.0] * (64 - r.track % 2) for r in found)

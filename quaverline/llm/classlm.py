@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import Memo, binary, id_bucket, lower_words, sampled, shuffle_partitions, small_batches, stored, text_parts, texts
+from .common import binary, id_bucket, lower_words, sampled, shuffle_partitions, small_batches, stored, text_parts, texts
 
 #: The end of a text; no word holds a space.
 END = b" "
 #: Classes of word endings.
 ENDINGS = 256
 #: Entries (word of a document) that a map task folds at a time.
-BATCH_ENTRIES = 1_000_000
+BATCH_ENTRIES = 500_000
+#: Words that a task numbers before it starts anew (about 150 bytes each).
+CACHE_WORDS = 200_000
 #: Bytes of text behind one bucket of words at most, about.
 BUCKET_BYTES = 64 << 20
 #: Training tokens behind the bigrams of one group, about.
@@ -58,6 +60,25 @@ def frequent_words(docs: DataFrame, most: int, sample_docs: int) -> list[bytes]:
     return [bytes(r[0]) for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
+def keys(words: list[bytes]) -> np.ndarray:
+    """``key`` of each word."""
+    ends = np.fromiter(map(zlib.crc32, [w[-2:] for w in words]), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) & ~np.uint64(0xFF) | ends & np.uint64(ENDINGS - 1)
+
+
+class _Numbers(dict):
+    """Numbers words in the order in which they are met; ``fresh`` are those met since it was emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self)
+        self.fresh.append(word)
+        return i
+
+
 class Units:
     """Numbers words for one task: keys, hot words (-1: others) and units by a local number. Units: known words, the end, endings."""
 
@@ -70,15 +91,16 @@ class Units:
         self.unit = np.zeros(1 << 16, np.int32)
         self.hot = np.zeros(1 << 16, np.int32)
         self.done = 0
-        self.memo = Memo(self._number)
+        self.memo = _Numbers()
 
-    def _number(self, word: bytes) -> int:
-        i = len(self.memo)
-        if i >= len(self.keys):
+    def _note(self) -> None:
+        """Keys and hot words of the words numbered since the last call, all at once."""
+        new, known = self.memo.fresh, len(self.memo) - len(self.memo.fresh)
+        while len(self.memo) > len(self.keys):
             self.keys, self.unit, self.hot = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.unit, self.hot))
-        self.keys[i] = key(word)
-        self.hot[i] = self.hot_words.get(word, -1)
-        return i
+        self.keys[known : len(self.memo)] = keys(new)
+        self.hot[known : len(self.memo)] = [self.hot_words.get(w, -1) for w in new] if self.hot_words else -1
+        self.memo.fresh = []
 
     def units(self, text: str | None) -> np.ndarray:
         at = self.numbers(text)  # may replace the arrays
@@ -94,10 +116,14 @@ class Units:
 
     def numbers(self, text: str | None) -> np.ndarray:
         """Local numbers of the words of a text, good until the next call."""
-        if self.memo.trim():
+        if len(self.memo) > CACHE_WORDS:
+            self.memo.clear()
             self.done = 0
         tokens = lower_words(text)
-        return np.fromiter(map(self.memo.__getitem__, tokens), np.int64, len(tokens))
+        at = np.fromiter(map(self.memo.__getitem__, tokens), np.int64, len(tokens))
+        if self.memo.fresh:
+            self._note()
+        return at
 
 
 def unit_of(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:

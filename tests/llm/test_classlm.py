@@ -112,3 +112,17 @@ def test_the_sample_changes_no_score(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     scores = [{r.doc_id: r.score for r in classlm.class_scores(docs, words=50, classes=8, sample_docs=n).collect()} for n in (10, 20_000)]
     assert scores[0] == pytest.approx(scores[1], rel=1e-9)
+
+
+def test_words_are_numbered_in_bulk_and_few_are_held(monkeypatch):
+    monkeypatch.setattr(classlm, "CACHE_WORDS", 50)
+    hashes = np.sort(np.array([classlm.key(b"w%d" % i) for i in range(0, 300, 3)], np.uint64))
+    units = classlm.Units(hashes, [b"w7", b"w9"])
+    for start in (*range(0, 300, 20), 0, 5):
+        words = [b"w%d" % i for i in range(start, start + 30)] * 2
+        at = units.numbers(b" ".join(words).decode())
+        units.place()
+        want = np.array([classlm.key(w) for w in words], np.uint64)
+        assert np.array_equal(units.keys[at], want) and np.array_equal(units.unit[at], classlm.unit_of(hashes, want))
+        assert units.hot[at].tolist() == [{b"w7": 0, b"w9": 1}.get(w, -1) for w in words]
+        assert len(units.memo) <= 50 + 30

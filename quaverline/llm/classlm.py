@@ -11,23 +11,23 @@ adding 0.5, so unseen words have their share in every class. What is broadcast g
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import binary, id_bucket, lower_words, sampled, shuffle_partitions, small_batches, stored, text_parts, texts
+from .common import binary, id_bucket, lower_words, shuffle_partitions, small_batches, stored, text_parts, texts
 
 #: The end of a text; no word holds a space.
 END = b" "
 #: Classes of word endings.
 ENDINGS = 256
-#: Entries (word of a document) that a map task folds at a time.
-BATCH_ENTRIES = 500_000
+#: Bytes of the texts that a map task numbers and folds at a time, about.
+CHUNK_BYTES = 3 << 20
 #: Words that a task numbers before it starts anew (about 150 bytes each).
 CACHE_WORDS = 200_000
 #: Bytes of text behind one bucket of words at most, about.
@@ -36,8 +36,6 @@ BUCKET_BYTES = 64 << 20
 GROUP_TOKENS = 500_000
 #: Units whose gains are computed at a time; each takes some hundred KB.
 BATCH_UNITS = 512
-#: In place of a row's train flag: sums of hot words, of no row.
-HOT = 2
 
 
 def key(word: bytes) -> int:
@@ -45,21 +43,6 @@ def key(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) & ~0xFF | zlib.crc32(word[-2:]) & (ENDINGS - 1)
 
 
-def frequent_words(docs: DataFrame, most: int, sample_docs: int) -> list[bytes]:
-    """The most frequent words of a sample, ties to the smaller word. They are only counted another way, so the sample changes no result."""
-
-    def run(batches):
-        for batch in batches:
-            found: Counter = Counter()
-            for text in batch.column(1).to_pylist():
-                found.update(lower_words(text))
-            yield pa.RecordBatch.from_pydict({"word": pa.array(found.keys(), pa.binary()), "n": pa.array(found.values(), pa.int64())})
-
-    chosen = sampled(docs.select("doc_id", "text"), F.col("doc_id"), sample_docs)
-    counted = chosen.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r[0]) for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
-
-
 def keys(words: list[bytes]) -> np.ndarray:
     """``key`` of each word."""
     ends = np.fromiter(map(zlib.crc32, [w[-2:] for w in words]), np.uint64, len(words))
@@ -135,6 +118,60 @@ def unit_of(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(hashes[at] == keys, at, endings)
 
 
+#: A row of whole texts as numbers: the words of each text, then those of all texts one after the other as byte planes of
+#: their places among ``keys``, the ``key`` of each distinct word of the row.
+_ENCODED = "doc_ids array<long>, held_out array<boolean>, sizes binary, numbers binary, keys binary"
+
+
+def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many words each text has, the words of all texts as places among their distinct words, and the keys of those."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found, ends = lists.flatten(), lists.offsets.to_numpy()
+    full = pc.greater(pc.binary_length(found), 0)  # white space at either end leaves an empty word
+    before = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))[ends - ends[0]]
+    numbered = found.filter(full).dictionary_encode()
+    return np.diff(before).astype(np.uint32), numbered.indices.to_numpy(), keys(numbered.dictionary.cast(pa.large_binary()).to_pylist())
+
+
+def encoded_texts(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text, held_out) as rows of ``_ENCODED`` with an id in ``chunk``, each of about ``CHUNK_BYTES`` of text.
+
+    The texts are read and parted into words only here.
+    """
+
+    def row(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        ids, text, held_out = (pa.concat_arrays(table.column(i).chunks) for i in range(3))
+        sizes, numbers, k = encode(text)
+        one = [0, len(ids)]
+        return pa.RecordBatch.from_pydict(
+            {"doc_ids": pa.ListArray.from_arrays(one, ids), "held_out": pa.ListArray.from_arrays(one, held_out), "sizes": [binary(sizes)], "numbers": [_planes(numbers)], "keys": [binary(k)]}
+        )
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        size, last = 0, 0
+        for batch in batches:
+            ends = size + np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            for part, lo, hi in blobs.stretches(ends // CHUNK_BYTES):
+                if part != last and held:
+                    yield row(held)
+                    held = []
+                last = part
+                held.append(batch.slice(lo, hi - lo))
+            size = int(ends[-1]) if len(ends) else size
+        if held:
+            yield row(held)
+
+    sent = rows.select("doc_id", "text", "held_out").mapInArrow(run, _ENCODED)
+    return stored(sent.select(F.monotonically_increasing_id().alias("chunk"), "*"), "texts")
+
+
+def with_ends(values: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """``values`` of the words of all texts with ``end`` after each text."""
+    return np.insert(values, np.cumsum(sizes, dtype=np.int64), end)
+
+
 def _folded(a: np.ndarray, b: np.ndarray, n: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ascending distinct pairs and the sums of their counts."""
     code = a.astype(np.int64) * count + b
@@ -159,43 +196,35 @@ def _numbers(raw: bytes, kind: type) -> np.ndarray:
 _PAIRS = "a binary, b binary, n binary, a2 binary, b2 binary, n2 binary"
 
 
-def unit_pairs(train: DataFrame, hashes: np.ndarray, groups: int) -> DataFrame:
-    """Counts of neighbouring units in all training documents, the end before each first word, as rows of ``_PAIRS``.
+def unit_pairs(encoded: DataFrame, hashes: np.ndarray, groups: int) -> DataFrame:
+    """Counts of neighbouring units in all training documents of ``encoded_texts``, the end before each first word, as rows of ``_PAIRS``.
 
     A pair is in its first unit's group and in its second one's.
     """
-    shared = train.sparkSession.sparkContext.broadcast(hashes)
+    shared = encoded.sparkSession.sparkContext.broadcast(hashes)
     count = len(hashes) + 1 + ENDINGS
 
     def run(batches):
-        units = Units(shared.value)
-        held: list[np.ndarray] = []
-        size = 0
-
-        def fold():
-            u = np.concatenate([[units.end], *held]).astype(np.int64)
-            code, n = np.unique(u[:-1] * count + u[1:], return_counts=True)
-            before, after, n = code // count, code % count, n.astype(np.uint32)
-            out: dict[str, list] = {"group": [], "side": [], "a": [], "b": [], "n": []}
-            for side, (a, b) in enumerate(((before, after), (after, before))):
-                group = blobs.spread(a, groups)
-                by = np.lexsort((b, a, group)) if side else np.argsort(group, kind="stable")
-                edges = np.searchsorted(group[by], np.arange(groups + 1))
-                for g in np.flatnonzero(np.diff(edges)):
-                    i = by[edges[g] : edges[g + 1]]
-                    for k, v in zip(out, (g, side, _planes(a[i].astype(np.int32)), _planes(b[i].astype(np.int32)), _planes(n[i]))):
-                        out[k].append(v)
-            return pa.RecordBatch.from_pydict(out, pa.schema([("group", pa.int32()), ("side", pa.int32()), *((c, pa.binary()) for c in "abn")]))
-
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                held.append(np.append(units.units(text), units.end))
-                size += len(held[-1])
-                if size >= BATCH_ENTRIES:
-                    yield fold()
-                    held, size = [], 0
-        if held:
-            yield fold()
+            for row in batch.to_pylist():
+                sizes = np.frombuffer(row["sizes"], np.uint32)
+                unit = unit_of(shared.value, np.frombuffer(row["keys"], np.uint64)).astype(np.int32)
+                u = with_ends(unit[_numbers(row["numbers"], np.int32)], sizes, len(shared.value))
+                train = np.repeat(~np.array(row["held_out"]), sizes + np.uint32(1))
+                before = np.append(len(shared.value), u[:-1])[train]  # an end stands before each text
+                code, n = np.unique(before.astype(np.int64) * count + u[train], return_counts=True)
+                before, after, n = (code // count).astype(np.int32), (code % count).astype(np.int32), n.astype(np.uint32)
+                out: dict[str, list] = {"group": [], "side": [], "a": [], "b": [], "n": []}
+                for side in (0, 1):
+                    by = np.argsort(after.astype(np.int64) * count + before) if side else np.arange(len(n))
+                    a, b, times = (x[by] for x in ((after, before, n) if side else (before, after, n)))
+                    group = blobs.spread(a, groups)
+                    to = np.argsort(group.astype(np.uint16 if groups <= 1 << 16 else np.int64), kind="stable")
+                    for g, lo, hi in blobs.stretches(group[to]):
+                        i = to[lo:hi]
+                        for k, v in zip(out, (g, side, _planes(a[i]), _planes(b[i]), _planes(times[i]))):
+                            out[k].append(v)
+                yield pa.RecordBatch.from_pydict(out, pa.schema([("group", pa.int32()), ("side", pa.int32()), *((c, pa.binary()) for c in "abn")]))
 
     def merge(table: pa.Table) -> pa.Table:
         sides = np.array(table.column("side").to_pylist())
@@ -206,7 +235,7 @@ def unit_pairs(train: DataFrame, hashes: np.ndarray, groups: int) -> DataFrame:
             both += _folded(*(np.concatenate([np.zeros(0, kind), *(_numbers(raw[c][i], kind) for i in at)]) for c, kind in (("a", np.int32), ("b", np.int32), ("n", np.uint32))), count)
         return pa.table({c: pa.array([_planes(x)], pa.binary()) for c, x in zip(("a", "b", "n", "a2", "b2", "n2"), both)})
 
-    sent = train.select("doc_id", "text").mapInArrow(run, "group int, side int, a binary, b binary, n binary")
+    sent = encoded.select("held_out", "sizes", "numbers", "keys").mapInArrow(run, "group int, side int, a binary, b binary, n binary")
     return stored(sent.groupBy("group").applyInArrow(merge, _PAIRS), "unit-pairs")
 
 
@@ -423,108 +452,52 @@ def exchange(bigrams: np.ndarray, classes: int, fixed: int, rounds: int = 8) ->
     return cls
 
 
-def word_sums(rows: DataFrame, frequent: list[bytes], least: int) -> DataFrame:
-    """(owner, logs, known, tokens) of words that aren't in ``frequent``: the sum of log10(count + 0.5) over a row's tokens, how
-    many occur in training and how many there are; and rows without an owner with the number of distinct training words that
-    occur less than ``least`` times, by ending, and then of all training tokens; with the hashes and counts of the others; and
-    with those of all words in ``frequent``.
-
-    ``rows`` has owner, text and train. A word's count is that in training rows. Of the frequent words a map task sends sums.
+def word_counts(encoded: DataFrame, n: int, least: int) -> DataFrame:
+    """(chunk, bucket, counts) for each of ``n`` buckets of hashes that a row of ``encoded_texts`` has words of: how often they
+    occur in all training documents, ascending by key; and rows without a chunk with the number of distinct training words that
+    occur less than ``least`` times, by ending, and then of all training words; with the hashes and counts of the others.
     """
-    spark = rows.sparkSession
-    n = text_parts(rows, 1, BUCKET_BYTES)
-    shared = spark.sparkContext.broadcast(frequent)
 
     def send(batches):
-        units = Units(np.zeros(0, np.uint64), shared.value)
-        parts: list[tuple[np.ndarray, np.ndarray, int, int]] = []
-        held = 0
-        often: Counter = Counter()
-
-        def fold():
-            h = np.concatenate([p[0] for p in parts])
-            times = np.concatenate([p[1] for p in parts]).astype(np.uint32)
-            owner = np.repeat(np.array([p[2] for p in parts], np.int64), [len(p[0]) for p in parts])
-            train = np.repeat(np.array([p[3] for p in parts], np.uint8), [len(p[0]) for p in parts])
-            by = np.argsort(h, kind="stable")
-            h, times, owner, train = h[by], times[by], owner[by], train[by]
-            out: dict[str, list] = {"bucket": [], "hashes": [], "owners": [], "sizes": [], "times": [], "train": []}
-            for b, to, raw, ids, sizes in blobs.pack(h, owner, n, 8):
-                ends = np.cumsum(np.frombuffer(sizes, np.uint32)) - 1
-                for k, v in zip(out, (b, raw, ids, sizes, binary(times[to]), binary(train[to][ends]))):
-                    out[k].append(v)
-            return pa.RecordBatch.from_pydict(out, pa.schema([*blobs.ARROW, ("times", pa.binary()), ("train", pa.binary())]))
-
         for batch in batches:
-            for owner, text, train in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                numbers, times = np.unique(units.numbers(text), return_counts=True)
-                hot = units.hot[numbers] >= 0
-                rare = ~hot
-                if train and hot.any():
-                    for h, found in zip(units.keys[numbers[hot]].tolist(), times[hot].tolist()):
-                        often[h] += found
-                if rare.any():
-                    parts.append((units.keys[numbers[rare]], times[rare], owner, int(train)))
-                    held += len(parts[-1][0])
-                if held >= BATCH_ENTRIES:
-                    yield fold()
-                    parts, held = [], 0
-        if parts:
-            yield fold()
-        if often:
-            h = np.array(sorted(often), np.uint64)
-            parts = [(h, np.array([often[x] for x in h.tolist()]), 0, HOT)]
-            yield fold()
+            for row in batch.to_pylist():
+                h = np.frombuffer(row["keys"], np.uint64)
+                train = np.repeat(~np.array(row["held_out"]), np.frombuffer(row["sizes"], np.uint32))
+                times = np.bincount(_numbers(row["numbers"], np.int32)[train], minlength=len(h)).astype(np.uint32)
+                by = np.argsort(h)
+                h, times = h[by], times[by]
+                parts = list(blobs.stretches(blobs.buckets(h, n)))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "chunk": pa.array([row["chunk"]] * len(parts), pa.int64()),
+                        "bucket": pa.array([b for b, _, _ in parts], pa.int32()),
+                        "hashes": pa.array([binary(h[lo:hi]) for _, lo, hi in parts], pa.binary()),
+                        "times": pa.array([_planes(times[lo:hi]) for _, lo, hi in parts], pa.binary()),
+                    }
+                )
 
     def meet(table: pa.Table) -> pa.Table:
-        raw = {c: table.column(c).to_pylist() for c in ("hashes", "owners", "sizes", "times", "train")}
-        h, owner = blobs.unpack(raw["hashes"], raw["owners"], raw["sizes"], 8)
-        times = np.frombuffer(b"".join(raw["times"]), np.uint32).astype(np.int64)
-        flag = np.repeat(np.frombuffer(b"".join(raw["train"]), np.uint8), np.frombuffer(b"".join(raw["sizes"]), np.uint32))
-        by = np.argsort(h, kind="stable")
+        sent = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        h, times = np.concatenate(sent), np.concatenate([_numbers(x, np.uint32) for x in table.column("times").to_pylist()])
+        by = np.argsort(h)
         starts = blobs.runs(h[by])
-        counts = np.add.reduceat((times * (flag > 0))[by], starts) if len(h) else np.zeros(0, np.int64)
-        own_count = np.empty(len(h), np.int64)
-        own_count[by] = np.repeat(counts, np.diff(np.append(starts, len(h))))
-        distinct = h[by][starts]
+        distinct, counts = h[by][starts], np.add.reduceat(times[by], starts, dtype=np.int64)
+        of_each = np.empty(len(h), np.int64)
+        of_each[by] = np.repeat(counts, np.diff(np.append(starts, len(h))))
         types = np.bincount((distinct & np.uint64(0xFF)).astype(np.int64)[(counts > 0) & (counts < least)], minlength=ENDINGS)
-        hot = np.isin(distinct, h[flag == HOT])
-        often = [binary(x[at]) for at in (counts >= least, hot) for x in (distinct, counts)]
-        mine = flag != HOT
-        times, own_count = times[mine], own_count[mine]
-        ids, at = np.unique(owner[mine], return_inverse=True)
-        logs = np.bincount(at, times * np.log10(own_count + 0.5), len(ids))
-        known = np.bincount(at, times * (own_count > 0), len(ids)).astype(np.uint32)
-        tokens = np.bincount(at, times, len(ids)).astype(np.uint32)
-        group = blobs.spread(ids, n)
-        by = np.argsort(group, kind="stable")
-        out: dict[str, list] = {"group": [int(h[0] % np.uint64(n)) if len(h) else 0], "owners": [None], "logs": [None], "known": [None], "tokens": [None], "types": [binary(np.append(types, counts.sum()).astype(np.int64))], "often": [often]}
-        for g, lo, hi in blobs.stretches(group[by]):
-            i = by[lo:hi]
-            for k, v in zip(out, (g, binary(ids[i]), binary(logs[i]), binary(known[i]), binary(tokens[i]), None, None)):
-                out[k].append(v)
-        return pa.table(out, pa.schema([("group", pa.int32()), *((c, pa.binary()) for c in ("owners", "logs", "known", "tokens", "types")), ("often", pa.list_(pa.binary()))]))
-
-    def gather(table: pa.Table) -> pa.Table:
-        raw = {c: [x for x in table.column(c).to_pylist() if x is not None] for c in ("owners", "logs", "known", "tokens", "types", "often")}
-        ids, at = np.unique(np.frombuffer(b"".join(raw["owners"]), np.int64), return_inverse=True)
-        sums = [np.bincount(at, np.frombuffer(b"".join(raw[c]), kind), len(ids)) for c, kind in (("logs", np.float64), ("known", np.uint32), ("tokens", np.uint32))]
-        types = np.sum([np.frombuffer(t, np.int64) for t in raw["types"]], axis=0).tolist() if raw["types"] else None
-        often = [b"".join(x) for x in zip(*raw["often"])] or None
+        often = [binary(x[counts >= least]) for x in (distinct, counts)]
         return pa.table(
             {
-                "owner": pa.array([*ids.tolist(), None], pa.int64()),
-                "logs": pa.array([*sums[0].tolist(), 0.0]),
-                "known": pa.array([*sums[1].astype(np.int64).tolist(), 0], pa.int64()),
-                "tokens": pa.array([*sums[2].astype(np.int64).tolist(), 0], pa.int64()),
-                "types": pa.array([None] * len(ids) + [types], pa.list_(pa.int64())),
-                "often": pa.array([None] * len(ids) + [often], pa.list_(pa.binary())),
+                "chunk": pa.array([*table.column("chunk").to_pylist(), None], pa.int64()),
+                "bucket": pa.array([*table.column("bucket").to_pylist(), None], pa.int32()),
+                "counts": pa.array([*(_planes(x) for x in np.split(of_each, np.cumsum([len(x) for x in sent])[:-1])), None], pa.binary()),
+                "types": pa.array([None] * len(sent) + [np.append(types, counts.sum()).tolist()], pa.list_(pa.int64())),
+                "often": pa.array([None] * len(sent) + [often], pa.list_(pa.binary())),
             }
         )
 
-    sent = rows.select("owner", "text", "train").mapInArrow(send, blobs.SCHEMA + ", times binary, train binary")
-    met = sent.groupBy("bucket").applyInArrow(meet, "group int, owners binary, logs binary, known binary, tokens binary, types binary, often array<binary>")
-    return met.groupBy("group").applyInArrow(gather, "owner long, logs double, known long, tokens long, types array<long>, often array<binary>")
+    sent = encoded.mapInArrow(send, "chunk long, bucket int, hashes binary, times binary")
+    return stored(sent.groupBy("bucket").applyInArrow(meet, "chunk long, bucket int, counts binary, types array<long>, often array<binary>"), "word-counts")
 
 
 class ClassModel:
@@ -551,20 +524,18 @@ class ClassModel:
         self.spread = np.log10(joint.sum(axis=0) + 0.5 * (np.bincount(cls, unit_types, classes) + 1))
 
 
-def class_model(train: DataFrame, hashes: np.ndarray, counts: np.ndarray, types: np.ndarray, tokens: int, words: int, classes: int) -> ClassModel:
+def class_model(encoded: DataFrame, hashes: np.ndarray, counts: np.ndarray, types: np.ndarray, tokens: int, words: int, classes: int) -> ClassModel:
     """Clusters the words with ``hashes`` (ascending) and the endings; the ``words`` most frequent ones are the start."""
     end = len(hashes)
     first = np.sort(np.lexsort((hashes, -counts))[:words])
     start = np.concatenate([len(first) + 1 + (hashes & np.uint64(0xFF)).astype(np.int64), len(first) + np.arange(1 + ENDINGS)])
     start[first] = np.arange(len(first))
-    pairs = unit_pairs(train, hashes, max(shuffle_partitions(train.sparkSession), tokens // GROUP_TOKENS + 1))
-    small_batches(train.sparkSession, 1)  # a row is a whole group
+    pairs = unit_pairs(encoded, hashes, max(shuffle_partitions(encoded.sparkSession), tokens // GROUP_TOKENS + 1))
     table = starting_table(pairs, start.astype(np.int32), len(first) + 1 + ENDINGS)
     model = ClassModel(first, table, types, classes)
     model.end_count = int(table[len(first)].sum())
     cls, joint = refined(pairs, model.cls[start], end, classes)
-    small_batches(train.sparkSession)
-    model.refit(cls.astype(np.int64), joint, np.concatenate([np.ones(end), [model.end_count > 0], types]).astype(np.int64))
+    model.refit(cls, joint, np.concatenate([np.ones(end), [model.end_count > 0], types]).astype(np.int64))
     return model
 
 
@@ -574,57 +545,54 @@ def class_scores(docs: DataFrame, held_out_remainder: int = 1, modulus: int = 5,
     Words that occur ``least`` times in training are clustered, starting with the ``words`` most frequent ones.
     A null or empty text is its end alone. A null doc_id has the bucket of the empty text. Repeated rows count as often as they
     occur in training and have equal scores. An empty table gives no rows; without training rows all counts are 0.
+    All words are counted alike; ``sample_docs`` is taken for earlier callers and has no effect.
     """
     spark = docs.sparkSession
     held = id_bucket(F.col("doc_id"), modulus) == held_out_remainder
-    rows = texts(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("owner"), held.alias("held_out"))
-    train = rows.filter(~F.col("held_out"))
-    frequent = frequent_words(train, words, sample_docs)
-    sums = stored(word_sums(rows.select("owner", "text", (~F.col("held_out")).alias("train")), frequent, least), "word-sums")
+    rows = texts(docs).withColumn("held_out", held)
+    n = text_parts(rows, 1, BUCKET_BYTES)
+    encoded = encoded_texts(rows)
+    small_batches(spark, 1)  # a row is a whole chunk of texts or group of units
+    counted = word_counts(encoded, n, least)
     types = np.zeros(ENDINGS + 1, np.int64)
     often: list[list[bytes]] = []
-    for row, found in sums.filter("types is not null").select("types", "often").collect():
+    for row, found in counted.filter("chunk is null").select("types", "often").collect():
         types += np.array(row, np.int64)
         often.append([bytes(x) for x in found])
-    hashes, counts, hot, hot_counts = (np.frombuffer(b"".join(o[i] for o in often), kind) for i, kind in enumerate((np.uint64, np.int64) * 2))
+    hashes, counts = (np.frombuffer(b"".join(o[i] for o in often), kind) for i, kind in enumerate((np.uint64, np.int64)))
     by = np.argsort(hashes)
     hashes, counts = hashes[by], counts[by]
-    fitted = class_model(train, hashes, counts, types[:ENDINGS], int(types[ENDINGS]), words, classes)
-    count_of = dict(zip(hot.tolist(), hot_counts.tolist()))
-    logs = np.log10(np.array([*(count_of[key(w)] for w in frequent), fitted.end_count]) + 0.5)
-    model = spark.sparkContext.broadcast((hashes, frequent, logs, fitted))
+    fitted = class_model(encoded, hashes, counts, types[:ENDINGS], int(types[ENDINGS]), words, classes)
+    model = spark.sparkContext.broadcast((hashes, fitted))
+
+    def score(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        hashes, m = model.value
+        row = {c: chunk.column(c)[0].as_py() for c in ("sizes", "numbers", "keys")}
+        ids, held_out = (chunk.column(c)[0].values for c in ("doc_ids", "held_out"))
+        sizes, numbers, k = np.frombuffer(row["sizes"], np.uint32), _numbers(row["numbers"], np.int32), np.frombuffer(row["keys"], np.uint64)
+        parts = sorted(zip(found.column("bucket").to_pylist(), found.column("counts").to_pylist()))
+        count = np.empty(len(k), np.int64)
+        count[np.argsort(k)] = np.concatenate([np.zeros(0, np.int64), *(_numbers(x, np.int64) for _, x in parts)])
+        c = with_ends(m.cls[unit_of(hashes, k)][numbers], sizes, m.cls[len(hashes)])
+        tokens = sizes.astype(np.int64) + 1
+        text = np.repeat(np.arange(len(sizes)), tokens)
+        fixed = np.bincount(text, m.transitions[np.append(c.dtype.type(0), c[:-1]), c] - m.spread[c], len(sizes))
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        known = np.bincount(text, (count > 0)[numbers], len(sizes)).astype(np.int64) + (m.end_count > 0)
+        logs = np.bincount(text, np.log10(count + 0.5)[numbers], len(sizes)) + np.log10(m.end_count + 0.5)
+        return pa.table(
+            {
+                "doc_id": ids,
+                "held_out": held_out,
+                "n_tokens": tokens,
+                "n_known": known,
+                "train_tokens": np.full(len(sizes), m.train_tokens, np.int64),
+                "base_score": logs - tokens * m.base,
+                "score": logs + fixed,
+            }
+        )
 
-    def run(batches):
-        hashes, frequent, log, m = model.value
-        units = Units(hashes, frequent)
-        seen = log > np.log10(0.75)
-        for batch in batches:
-            out: dict[str, list] = {"n_tokens": [], "rare": [], "n_known": [], "logs": [], "fixed": []}
-            for text in batch.column(1).to_pylist():
-                at = units.numbers(text)
-                units.place()
-                c = m.cls[np.append(units.unit[at], units.end)]
-                hot = np.append(units.hot[at], len(frequent))
-                hot = hot[hot >= 0]
-                for k, v in zip(out, (len(c), len(c) - len(hot), seen[hot].sum(), log[hot].sum(), m.transitions[np.append(0, c[:-1]), c].sum() - m.spread[c].sum())):
-                    out[k].append(v.item() if hasattr(v, "item") else v)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), *(pa.array(v, pa.float64() if k in ("logs", "fixed") else pa.int64()) for k, v in out.items())],
-                ["doc_id", "owner", "held_out", *out],
-            )
-
-    scored = rows.select("doc_id", "text", "owner", "held_out").mapInArrow(run, "doc_id long, owner long, held_out boolean, n_tokens long, rare long, n_known long, logs double, fixed double")
-    joined = scored.join(sums.filter("owner is not null").withColumnsRenamed({"logs": "rare_logs", "known": "rare_known", "tokens": "rare_tokens"}).drop("types", "often"), "owner", "left")
-    # a row that occurs k times has k times its sums
-    part = F.when(F.col("rare") > 0, F.col("rare") / F.col("rare_tokens")).otherwise(F.lit(0.0))
-    logs = F.col("logs") + F.coalesce(F.col("rare_logs") * part, F.lit(0.0))
-    base, total = fitted.base, fitted.train_tokens
-    return joined.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce(F.round(F.col("rare_known") * part), F.lit(0.0)).cast("long")).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.lit(base)).alias("base_score"),
-        (logs + F.col("fixed")).alias("score"),
-    )
+    both = [x.repartition(n, "chunk").groupBy("chunk") for x in (encoded, counted.filter("chunk is not null").select("chunk", "bucket", "counts"))]
+    scored = stored(both[0].cogroup(both[1]).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
+    small_batches(spark)
+    return scored

@@ -1,12 +1,14 @@
 import math
+import uuid
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quaverline.llm import classlm
+from quaverline.llm import classlm, common
 
 SF = "/root/testdata/sf0.01"
 
@@ -126,3 +128,44 @@ def test_words_are_numbered_in_bulk_and_few_are_held(monkeypatch):
         assert np.array_equal(units.keys[at], want) and np.array_equal(units.unit[at], classlm.unit_of(hashes, want))
         assert units.hot[at].tolist() == [{b"w7": 0, b"w9": 1}.get(w, -1) for w in words]
         assert len(units.memo) <= 50 + 30
+
+
+def test_a_chunk_of_texts_is_numbered_as_its_words_are():
+    odd = "".join(map(chr, [*range(0x100), 0x2003, 0x3000, 0x1F600]))
+    texts = ["Zz a zZ", None, "", " \t\n", odd, f" {odd} É é\x0bA ", "a", *(f"w{i} x\r\nw{i % 7}" for i in range(50))]
+    for array in (pa.array(texts), pa.array(["gone", *texts, "gone"]).slice(1, len(texts)), pa.array(texts, pa.large_string())):
+        sizes, numbers, k = classlm.encode(array)
+        words = [common.lower_words(t) for t in texts]
+        assert sizes.tolist() == [len(w) for w in words]
+        assert k[numbers].tolist() == [classlm.key(w) for ws in words for w in ws]
+        assert len(k) == len({w for ws in words for w in ws})
+    sizes, numbers, k = classlm.encode(pa.array([None, ""], pa.string()))
+    assert sizes.tolist() == [0, 0] and not len(numbers) and not len(k)
+
+
+def test_texts_are_read_once_for_their_size_and_once_for_their_words(spark, tmp_path):
+    rows = [(d, " ".join(f"w{d * i % 23}" for i in range(60))) for d in range(40)]
+
+    def note(batches):
+        for batch in batches:
+            with open(tmp_path / uuid.uuid4().hex, "w") as f:
+                f.write(str(batch.num_rows))
+            yield batch
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(note, "doc_id long, text string")
+    check(classlm.class_scores(docs, words=4, classes=4).collect(), rows)
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) <= 2 * len(rows)
+
+
+def test_small_chunks_change_nothing(spark, monkeypatch):
+    """Words meet across chunks; repeated rows and null ids lie in several."""
+    rows = [(d if d % 9 else None, " ".join(f"w{(d % 30) * i % 41}" for i in range(d % 13))) for d in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = []
+    for size in (1, 100, 1 << 20):
+        monkeypatch.setattr(classlm, "CHUNK_BYTES", size)
+        found.append(sorted(map(tuple, classlm.class_scores(docs, words=4, classes=4, least=5).collect()), key=str))
+        check(classlm.class_scores(docs, words=4, classes=4, least=5).collect(), rows)
+    for other in found[1:]:
+        for a, b in zip(found[0], other, strict=True):
+            assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)

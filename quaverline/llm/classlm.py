@@ -34,8 +34,8 @@ CACHE_WORDS = 200_000
 BUCKET_BYTES = 64 << 20
 #: Training tokens behind the bigrams of one group, about.
 GROUP_TOKENS = 500_000
-#: Units whose gains are computed at a time; each takes some hundred KB.
-BATCH_UNITS = 512
+#: Units whose gains are computed at a time; each takes some hundred KB in several tables.
+BATCH_UNITS = 128
 
 
 def key(word: bytes) -> int:
